@@ -99,20 +99,24 @@ def ngrams(tokens, n: int = 1, uncased: bool = False, keep=None) -> Column:
 
     ``keep`` is an optional ``Column -> Column`` predicate over the n-gram's
     token array (the reference's filter_fn, applied before joining).
+    Linear in the token count: the array is zipped with its own shifted
+    copies, so no lambda re-evaluates the (possibly expensive) input.
     """
     t = words(tokens, uncased)
-    sz = F.size(t)
-
-    def grams_at(s):
-        lens = F.sequence(F.lit(1), F.least(F.lit(n), sz - s))
-        arrs = F.transform(lens, lambda ln: F.slice(t, s + 1, ln))
-        if keep is not None:
-            arrs = F.filter(arrs, keep)
-        return F.transform(arrs, lambda a: F.array_join(a, " "))
-
-    starts = F.sequence(F.lit(0), sz - 1)
-    return F.when(sz > 0, F.flatten(F.transform(starts, grams_at))).otherwise(
-        F.array().cast("array<string>"))
+    shifted = [t] + [F.slice(t, j + 1, F.greatest(F.size(t), F.lit(1))) for j in range(1, n)]
+    z = F.arrays_zip(*[c.alias(f"t{j}") for j, c in enumerate(shifted)])
+
+    def grams(e):
+        out = []
+        for ln in range(1, n + 1):
+            parts = [e[f"t{j}"] for j in range(ln)]
+            ok = parts[-1].isNotNull()
+            if keep is not None:
+                ok = ok & keep(F.array(*parts))
+            out.append(F.when(ok, F.concat_ws(" ", *parts)))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+    return F.coalesce(F.flatten(F.transform(z, grams)), F.array().cast("array<string>"))
 
 
 def untokenize(tokens) -> Column:
