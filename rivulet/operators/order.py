@@ -1,27 +1,29 @@
 """Order-dependent helpers: global dense ids and running totals without a
 single-partition window (W4, W9 and the compat run ids of W3).
 
-The trick: range-partition on the order key with an explicit partition count
-(AQE never coalesces an explicit repartition, so partition indices are stable),
-sort inside partitions, and number rows inside each partition
-(``monotonically_increasing_id`` carries the partition index in its upper
-bits and the row index in its lower 33 bits; running sums of a value column
-use a vectorized per-partition cumsum).  Per-partition totals form a tiny table
-(one row per partition, bounded by the partition count) whose prefix sums are
-broadcast back.  Both branches read the same range exchange, which Spark reuses.
+Method:
+1. Bucket bounds on the leading order column are computed once
+   (``approxQuantile``: ``n - 1`` values, bounded by the bucket count) and
+   embedded as literals, so every later evaluation -- including a recompute
+   after an executor loss -- assigns every row to the same bucket, no matter
+   the upstream row order.  (A ``RangePartitioner`` would re-sample and could
+   disagree between the two branches below.)
+2. Rows are hash-partitioned by bucket; a window *per bucket* numbers / sums
+   rows in the full order (no single-partition window).
+3. Per-bucket totals (one row per bucket) get prefix sums and are broadcast
+   back to offset every bucket.
+
+Equal leading keys share a bucket, so a single very large leading key (one
+huge page) makes one large bucket; within-page order keys keep that bounded
+by the page size.
 """
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-_LOW33 = (1 << 33) - 1
 
-
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
+def _num_buckets(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -32,58 +34,55 @@ def _order_cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _ranged(df: DataFrame, order_by, n: int) -> DataFrame:
+def _bucketed(df: DataFrame, order_by, n: int):
     cols = _order_cols(order_by)
-    return df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-
-
-def _with_offsets(local: DataFrame, name: str, start: int) -> DataFrame:
-    totals = local.groupBy("__pid").agg(F.max("__tot").alias("__tot"))
-    wp = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__pid", F.coalesce(F.sum("__tot").over(wp), F.lit(0)).alias("__off"))
-    out = local.join(F.broadcast(offsets), "__pid")  # one row per partition
+    lead = cols[0]
+    d = df.withColumn("__lead", lead.cast("double"))
+    if n > 1:
+        probs = [i / n for i in range(1, n)]
+        bounds = sorted(set(x for x in d.approxQuantile("__lead", probs, 1.0 / (4 * n))
+                            if x is not None))
+    else:
+        bounds = []
+    if bounds:
+        arr = F.array(*[F.lit(float(b)) for b in bounds])
+        bucket = F.coalesce(F.size(F.filter(arr, lambda b: b < F.col("__lead"))), F.lit(0))
+    else:
+        bucket = F.lit(0)
+    d = d.withColumn("__b", bucket.cast("int")).drop("__lead")
+    return d.repartition(max(len(bounds) + 1, 1), "__b"), cols
+
+
+def _with_offsets(local: DataFrame, totals: DataFrame, name: str, start: int) -> DataFrame:
+    wp = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__b", F.coalesce(F.sum("__tot").over(wp), F.lit(0)).alias("__off"))
+    out = local.join(F.broadcast(offsets), "__b")  # one row per bucket
     return (out.withColumn(name, (F.col("__off") + F.col("__loc") + F.lit(start)).cast("long"))
-            .drop("__pid", "__loc", "__off", "__tot"))
+            .drop("__b", "__loc", "__off"))
 
 
 def add_dense_id(df: DataFrame, order_by, name: str = "id", start: int = 1,
                  num_partitions: int | None = None) -> DataFrame:
     """Dense ids ``start, start+1, ...`` in the total order ``order_by``.
 
-    ``order_by`` must be a unique key (ties would make ids non-deterministic).
+    ``order_by`` must be a unique key (ties would make ids non-deterministic);
+    its first column must be numeric (it drives the bucket bounds).
     """
-    n = _num_partitions(df, num_partitions)
-    r = _ranged(df, order_by, n).withColumn("__mid", F.monotonically_increasing_id())
-    local = (r.withColumn("__pid", F.shiftright("__mid", 33))
-             .withColumn("__loc", F.col("__mid").bitwiseAND(F.lit(_LOW33)))
-             .withColumn("__tot", F.col("__loc") + 1)
-             .drop("__mid"))
-    return _with_offsets(local, name, start)
+    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions))
+    w = Window.partitionBy("__b").orderBy(*cols)
+    local = b.withColumn("__loc", (F.row_number().over(w) - 1).cast("long"))
+    totals = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__tot"))
+    return _with_offsets(local, totals, name, start)
 
 
 def running_sum(df: DataFrame, order_by, value: str, name: str, start: int = 0,
                 inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Global running sum of integer column ``value`` in the total order
     ``order_by``; ``inclusive=False`` sums only the rows strictly before."""
-    n = _num_partitions(df, num_partitions)
-    r = _ranged(df, order_by, n).withColumn("__pid", F.spark_partition_id().cast("long"))
-    schema = T.StructType(list(r.schema.fields) + [
-        T.StructField("__loc", T.LongType()), T.StructField("__tot", T.LongType())])
-    vidx = r.columns.index(value)
-
-    def cumsum(batches):
-        run = 0
-        for b in batches:
-            v = b.column(vidx).to_numpy(zero_copy_only=False)
-            v = np.nan_to_num(v.astype(np.float64)).astype(np.int64)
-            cs = np.cumsum(v) + run
-            loc = cs if inclusive else cs - v
-            run = int(cs[-1]) if len(cs) else run
-            tot = np.full(len(v), run, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                list(b.columns) + [pa.array(loc, pa.int64()), pa.array(tot, pa.int64())],
-                schema=pa.schema(list(b.schema) + [pa.field("__loc", pa.int64()),
-                                                   pa.field("__tot", pa.int64())]))
-
-    local = r.mapInArrow(cumsum, schema)
-    return _with_offsets(local, name, start)
+    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions))
+    v = F.coalesce(F.col(value).cast("long"), F.lit(0))
+    w = Window.partitionBy("__b").orderBy(*cols).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    local = b.withColumn("__loc", F.coalesce(F.sum(v).over(w), F.lit(0)).cast("long"))
+    totals = b.groupBy("__b").agg(F.sum(v).alias("__tot"))
+    return _with_offsets(local, totals, name, start)
