@@ -1,8 +1,8 @@
 """Training-set assembly, sampling, sharding and batching
 (G1, G5, G7, A3, A7, F7-F10, U1-U3, U6, D1-D6, J12, J14, T9, A14).
 
-Order is explicit everywhere: a deterministic hash (``xxhash64`` of key, seed
-and epoch) replaces the reference's in-place ``random.shuffle`` so that an
+Order is explicit everywhere: a deterministic hash (``md5`` of seed+epoch and
+key) replaces the reference's in-place ``random.shuffle`` so that an
 epoch's order is a pure function of (key, seed, epoch) and independent of the
 partitioning.  Batches are bounded groups (the batch size), so per-batch
 collections are safe; nothing is ever collected per shard or globally.
@@ -22,8 +22,9 @@ CTX_ARRAY = T.ArrayType(CTX)
 
 
 def ctx_struct(id_col="id", title="title", text="text") -> Column:
-    return F.struct(F.col(id_col).cast("string").alias("id"), F.col(title).cast("string").alias("title"),
-                    F.col(text).cast("string").alias("text"))
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.struct(c(id_col).cast("string").alias("id"), c(title).cast("string").alias("title"),
+                    c(text).cast("string").alias("text"))
 
 
 # ---------------------------------------------------------------- G5 / A7 / A3
@@ -105,10 +106,21 @@ def dedup_last_wins(df: DataFrame, key, order: str) -> DataFrame:
 
 # ---------------------------------------------------------------- D1 / D2 / D3
 def shuffle_key(key_cols, seed: int, epoch: int = 0) -> Column:
-    """Deterministic shuffle key, a pure function of (key, seed, epoch)."""
+    """Deterministic shuffle key, a pure function of (key, seed, epoch):
+    the first 60 bits of ``md5("{seed+epoch}:{key...}")`` as a BIGINT."""
     cols = key_cols if isinstance(key_cols, (list, tuple)) else [key_cols]
-    return F.md5(F.concat_ws(":", F.lit(str(seed + epoch)),
-                             *[F.col(c).cast("string") for c in cols]))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed + epoch)), *[F.col(c).cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("long")
+
+
+def epoch_order(df: DataFrame, key_cols, seed: int, epoch: int = 0, name: str = "pos",
+                num_partitions: int | None = None) -> DataFrame:
+    """D1 + W4: 0-based position of every row in the epoch's shuffled order
+    (ties on the 60-bit key broken by the key columns)."""
+    cols = key_cols if isinstance(key_cols, (list, tuple)) else [key_cols]
+    d = df.withColumn("__sk", shuffle_key(cols, seed, epoch))
+    return add_dense_id(d, ["__sk", *cols], name=name, start=0,
+                        num_partitions=num_partitions).drop("__sk")
 
 
 def assign_positions(df: DataFrame, order_by, name: str = "pos",

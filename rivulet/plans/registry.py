@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the plan modules registers their queries
-    from rivulet.plans import corpus_build, retrieval, text_search  # noqa: F401
+    from rivulet.plans import corpus_build, retrieval, text_search, training_data  # noqa: F401
