@@ -225,3 +225,99 @@ def gold_rank(queries: DataFrame, corpus: DataFrame, *, qid: str = "qid", qvec:
     return (allp.groupBy("qid").agg(F.sum("n_before").alias("gold_rank"))
             .join(q.select("qid", "gold_id"), "qid")
             .select("qid", "gold_id", F.col("gold_rank").cast("long").alias("gold_rank")))
+
+
+# ---------------------------------------------------------------- J4 / X15 / A8
+def max_norm2(corpus: DataFrame, dvec: str = "vec") -> float:
+    """phi = max squared norm over the corpus (one aggregate)."""
+    from rivulet.functions.vector import norm2
+    return float(corpus.agg(F.max(norm2(dvec))).first()[0] or 0.0)
+
+
+def train_ivf(corpus: DataFrame, n_cells: int, *, dvec: str = "vec", seed: int = 7,
+              max_iter: int = 10):
+    """Coarse quantizer for J4: k-means (Spark ML, distributed) over the
+    MIPS->L2 augmented corpus vectors (X15), so L2 cells follow inner product.
+    Returns ``(phi, centroids[n_cells, dim+1])`` -- bounded by ``n_cells``."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from rivulet.functions.vector import mips_augment_doc
+    phi = max_norm2(corpus, dvec)
+    aug = corpus.select(array_to_vector(mips_augment_doc(F.col(dvec), F.lit(phi))).alias("features"))
+    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, initMode="k-means||").fit(aug)
+    return phi, np.array([c for c in model.clusterCenters()], dtype=np.float64)
+
+
+def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, *, n_cells: int = 16,
+            nprobe: int = 4, qid: str = "qid", qvec: str = "vec", did: str = "doc_id",
+            dvec: str = "vec", exclude_self: bool = False, seed: int = 7,
+            max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+    """Approximate top-k by inner product, IVF style.
+
+    Corpus vectors are assigned to their nearest k-means cell; each query
+    probes its ``nprobe`` nearest cells and only (query, vector) pairs in a
+    probed cell are scored, with the exact inner product (Q13: scores are
+    always inner products).  ``nprobe == n_cells`` equals :func:`knn`.
+    Same streaming / broadcast-wave / partial top-k design as :func:`knn`.
+    """
+    spark = queries.sparkSession
+    q, c = _prepare(queries, corpus, qid, qvec, did, dvec)
+    phi, cents = train_ivf(c.select(F.col("dvec").alias("vec")), n_cells, seed=seed)
+    nc = len(cents)
+    nprobe = min(nprobe, nc)
+    dim, waves = _query_waves(q, max_broadcast_bytes)
+    parts = []
+    for wave in waves:
+        qids, qm, _ = _collect_wave(wave, dim, "dot")
+        qa = np.concatenate([qm, np.zeros((len(qm), 1))], axis=1)
+        d2 = ((qa[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)
+        probes = np.argsort(d2, axis=1, kind="stable")[:, :nprobe]
+        probe_mask = np.zeros((len(qm), nc), dtype=bool)
+        np.put_along_axis(probe_mask, probes, True, axis=1)
+        bc = spark.sparkContext.broadcast((qids, qm, probe_mask, cents, phi))
+
+        def score(batches, bc=bc):
+            w_ids, w_q, w_probe, w_c, w_phi = bc.value
+            nq = len(w_ids)
+            best_s = np.full((nq, 0), -np.inf)
+            best_i = np.zeros((nq, 0), dtype=np.int64)
+            for b in batches:
+                if b.num_rows == 0:
+                    continue
+                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                cm = _matrix(b.column(1), dim)
+                extra = np.sqrt(np.maximum(w_phi - (cm * cm).sum(axis=1), 0.0))
+                ca = np.concatenate([cm, extra[:, None]], axis=1)
+                cell = (((ca[:, None, :] - w_c[None, :, :]) ** 2).sum(axis=2)).argmin(axis=1)
+                s = np.full((nq, len(ids)), -np.inf)
+                for cl in np.unique(cell):
+                    qsel = np.nonzero(w_probe[:, cl])[0]
+                    csel = np.nonzero(cell == cl)[0]
+                    if len(qsel) and len(csel):
+                        s[np.ix_(qsel, csel)] = w_q[qsel] @ cm[csel].T
+                if exclude_self:
+                    s[w_ids[:, None] == ids[None, :]] = -np.inf
+                best_s, best_i = _topk_merge(best_s, best_i, s, ids, k)
+            if best_s.shape[1] == 0:
+                return
+            keep = np.isfinite(best_s)
+            qcol = np.broadcast_to(w_ids[:, None], best_s.shape)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qcol, pa.int64()), pa.array(best_i[keep], pa.int64()),
+                 pa.array(best_s[keep], pa.float64())], names=["qid", "doc_id", "score"])
+
+        parts.append(c.mapInArrow(score, HITS_SCHEMA))
+    allp = parts[0]
+    for p in parts[1:]:
+        allp = allp.unionByName(p)
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    return (allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "rank", "doc_id", "score"))
+
+
+def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
+    """Share of the exact top-k ids that the approximate search returned."""
+    j = exact.select("qid", "doc_id").join(approx.select("qid", "doc_id", F.lit(1).alias("__f")),
+                                           ["qid", "doc_id"], "left")
+    return j.agg(F.round(F.avg(F.coalesce("__f", F.lit(0))), 4).alias("recall"),
+                 F.count(F.lit(1)).alias("n_pairs"))

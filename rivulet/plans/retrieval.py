@@ -144,3 +144,40 @@ def inbatch_nll(spark, sf_dir):
                    F.col("q_pos").alias("gold_pos"))
     per_q = evaluate.inbatch_nll(qs, ctx)
     return evaluate.nll_summary(per_q)
+
+
+@register("knn_ivf_topk")
+def knn_ivf_topk(spark, sf_dir):
+    """IVF approximate top-10 (16 k-means cells over MIPS->L2 augmented
+    vectors, 4 probes), scores are exact inner products.  Rows-only; recall
+    against the exact search is a test."""
+    e = _emb(spark, sf_dir)
+    h = knn_ops.knn_ivf(e, e, K, n_cells=16, nprobe=4, qid="vec_id", qvec="embedding",
+                        did="vec_id", dvec="embedding", exclude_self=True)
+    return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
+@register("knn_ivf_recall")
+def knn_ivf_recall(spark, sf_dir):
+    """J4 quality: recall@10 of the IVF search against the exact search."""
+    e = _emb(spark, sf_dir)
+    kw = dict(qid="vec_id", qvec="embedding", did="vec_id", dvec="embedding", exclude_self=True)
+    approx = knn_ops.knn_ivf(e, e, K, n_cells=16, nprobe=4, **kw)
+    exact = knn_ops.knn(e, e, K, **kw)
+    return knn_ops.recall_at_k(approx, exact)
+
+
+@register("mips_to_l2", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, list_sum(list_transform(v, lambda x: x * x)) AS n2 FROM e),
+p AS (SELECT max(n2) AS phi FROM n)
+SELECT vec_id, round(sqrt(greatest(p.phi - n.n2, 0)), 6) AS extra, round(p.phi, 6) AS phi FROM n, p
+""")
+def mips_to_l2(spark, sf_dir):
+    """X15 + A8: phi = max squared norm; the appended coordinate
+    sqrt(phi - |v|^2) of every document vector."""
+    from rivulet.functions.vector import mips_augment_doc
+    e = _emb(spark, sf_dir)
+    phi = knn_ops.max_norm2(e, "embedding")
+    a = e.select("vec_id", F.element_at(mips_augment_doc(F.col("embedding"), F.lit(phi)), -1).alias("x"))
+    return a.select("vec_id", F.round("x", 6).alias("extra"), F.round(F.lit(phi), 6).alias("phi"))
