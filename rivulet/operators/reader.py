@@ -158,18 +158,12 @@ def best_span(start: Column, end: Column, max_answer_length: int) -> Column:
                                   (-best["nj"]).cast("int").alias("e")))
 
 
-def _topn_spans(start, end, L, top_n):
-    start = np.asarray(start, dtype=np.float64)
-    end = np.asarray(end, dtype=np.float64)
-    n = len(start)
-    cands = []
-    for i in range(n):
-        for j in range(i, min(n, i + L)):
-            cands.append((start[i] + end[j], i, j))
-    # stable sort by score desc keeps enumeration order (i asc, j asc) on ties
-    cands.sort(key=lambda c: -c[0])
+def suppress_nested(cands, top_n):
+    """Greedy non-nested selection over (score, s, e) candidates already in
+    enumeration order: stable sort by score desc, skip a span containing or
+    contained in a chosen one.  Yields (rank, s, e, score)."""
     chosen = []
-    for score, s, e in cands:
+    for score, s, e in sorted(cands, key=lambda c: -c[0]):
         if any(s <= ps <= pe <= e or ps <= s <= e <= pe for ps, pe in chosen):
             continue
         chosen.append((s, e))
@@ -178,6 +172,14 @@ def _topn_spans(start, end, L, top_n):
             break
 
 
+def _topn_spans(start, end, L, top_n):
+    start = np.asarray(start, dtype=np.float64)
+    end = np.asarray(end, dtype=np.float64)
+    n = len(start)
+    cands = [(start[i] + end[j], i, j) for i in range(n) for j in range(i, min(n, i + L))]
+    return suppress_nested(cands, top_n)
+
+
 def decode_spans(logits: DataFrame, *, max_answer_length: int = 10, top_spans: int = 3,
                  key=("qid", "passage_idx"), start: str = "start_logits",
                  end: str = "end_logits") -> DataFrame:

@@ -35,5 +35,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the plan modules registers their queries
-    from rivulet.plans import (corpus_build, reader_prep, retrieval, text_search,  # noqa: F401
-                               training_data)
+    from rivulet.plans import (corpus_build, monitoring, reader_prep, retrieval,  # noqa: F401
+                               text_search, training_data)
