@@ -39,14 +39,22 @@ class LexicalIndex:
 
 def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "text",
                 analyzer=analyze) -> LexicalIndex:
-    """K15 + A9: postings, per-doc lengths, df per term and corpus stats."""
+    """K15 + A9: postings, per-doc lengths, df per term and corpus stats.
+
+    Tokenization runs once: doc lengths (sum of tf), document frequencies and
+    the total term count all derive from the single postings aggregation
+    (its exchange is reused); N counts every passage, including ones without
+    terms, from an id-only scan.
+    """
     toks = passages.select(F.col(id_col).alias("doc_id"), analyzer(F.col(text_col)).alias("terms"))
-    doc_stats = toks.select("doc_id", F.size("terms").cast("long").alias("dl"))
     postings = (toks.select("doc_id", F.explode("terms").alias("term"))
                 .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
+    doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    corpus_stats = doc_stats.agg(F.count(F.lit(1)).alias("n_docs"),
-                                 F.avg("dl").alias("avgdl"))
+    n_docs = passages.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n_docs"))
+    total = postings.agg(F.sum("tf").alias("__tt"))
+    corpus_stats = (n_docs.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k")
+                    .select("n_docs", (F.coalesce("__tt", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
     return LexicalIndex(postings, doc_stats, term_stats, corpus_stats)
 
 
