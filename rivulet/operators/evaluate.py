@@ -136,3 +136,45 @@ def best_so_far(scores: DataFrame, *, run: str = "run", epoch: str = "epoch",
     return s.select(run, epoch, score,
                     F.greatest(F.coalesce("prev_best", F.col(score)), F.col(score)).alias("best_score"),
                     "is_best", F.col("below_streak").cast("int").alias("below_streak"), "stopped")
+
+
+def reader_span_loss(logits: DataFrame, *, qid: str = "qid", slot: str = "slot",
+                     start: str = "start_logits", end: str = "end_logits",
+                     relevance: str = "relevance", spans: str = "spans") -> DataFrame:
+    """Reader loss from a logits table (one row per question slot, slot 0
+    = the positive passage; ``spans`` = the slot's answer spans, absent =
+    masked).  Per span: start CE + end CE (positions outside the sequence are
+    ignored, loss 0); max over slots per answer index; marginal
+    log-likelihood over answers; plus the switch loss (CE of the relevance
+    logits against slot 0).  Returns one row: span_loss, switch_loss, loss."""
+    def lse(col, m):  # m: a column holding array_max(col), so no lambda recomputes it
+        return m + F.log(F.aggregate(col, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    base = logits.select(qid, slot, relevance,
+                         F.transform(start, lambda x: x.cast("double")).alias("__st"),
+                         F.transform(end, lambda x: x.cast("double")).alias("__en"), spans)
+    base = (base.withColumn("__ms", F.array_max("__st")).withColumn("__me", F.array_max("__en"))
+            .withColumn("__lse_s", lse(F.col("__st"), F.col("__ms")))
+            .withColumn("__lse_e", lse(F.col("__en"), F.col("__me"))))
+    ex = base.select(qid, slot, "__st", "__en", "__lse_s", "__lse_e",
+                     F.posexplode(spans).alias("__a", "__sp"))
+    n = F.size("__st")
+    ce_s = F.when(F.col("__sp.s") < n, F.col("__lse_s") - F.element_at("__st", F.col("__sp.s") + 1)) \
+        .otherwise(F.lit(0.0))
+    ce_e = F.when(F.col("__sp.e") < n, F.col("__lse_e") - F.element_at("__en", F.col("__sp.e") + 1)) \
+        .otherwise(F.lit(0.0))
+    per_a = ex.groupBy(qid, "__a").agg(F.max(ce_s + ce_e).alias("__l"))
+    contrib = F.when(F.col("__l") == 0, F.lit(0.0)).otherwise(F.exp(-F.col("__l")))
+    per_q = per_a.groupBy(qid).agg(F.sum(contrib).alias("__ml"))
+    span_q = -F.log(F.col("__ml") + F.when(F.col("__ml") == 0, 1.0).otherwise(0.0))
+    span = per_q.agg(F.sum(span_q).alias("span_loss"))
+    rel = logits.groupBy(qid).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(slot).alias("s"),
+                                             F.col(relevance).cast("double").alias("r")))).alias("__r"))
+    rel = rel.select(F.transform("__r", lambda x: x["r"]).alias("__rv"))
+    rel = rel.withColumn("__mr", F.array_max("__rv"))
+    sw = rel.select((lse(F.col("__rv"), F.col("__mr")) - F.col("__rv")[0]).alias("__sw")) \
+        .agg(F.sum("__sw").alias("switch_loss"))
+    k = F.lit(1)
+    out = span.withColumn("__k", k).join(sw.withColumn("__k", k), "__k").drop("__k")
+    return out.select(F.round("span_loss", 4).alias("span_loss"), F.round("switch_loss", 4).alias("switch_loss"),
+                      F.round(F.col("span_loss") + F.col("switch_loss"), 4).alias("loss"))

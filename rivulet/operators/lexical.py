@@ -38,17 +38,27 @@ class LexicalIndex:
 
 
 def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                analyzer=analyze) -> LexicalIndex:
+                analyzer=analyze, materialize: bool = True) -> LexicalIndex:
     """K15 + A9: postings, per-doc lengths, df per term and corpus stats.
 
     Tokenization runs once: doc lengths (sum of tf), document frequencies and
     the total term count all derive from the single postings aggregation
     (its exchange is reused); N counts every passage, including ones without
     terms, from an id-only scan.
+
+    ``materialize`` writes the postings once as Parquet under the session's
+    checkpoint folder (the index *is* a persisted table; it also cuts the lineage, so
+    the three statistics never re-run the analyzer).  ``explode_outer`` +
+    null filter keeps the optimizer from inferring a ``size(terms) > 0``
+    filter below the analyzer, which would evaluate it twice.
     """
     toks = passages.select(F.col(id_col).alias("doc_id"), analyzer(F.col(text_col)).alias("terms"))
-    postings = (toks.select("doc_id", F.explode("terms").alias("term"))
+    postings = (toks.select("doc_id", F.explode_outer("terms").alias("term"))
+                .where(F.col("term").isNotNull())
                 .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
+    if materialize:
+        from rivulet.session import materialize as write_table
+        postings = write_table(postings, "postings")
     doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = passages.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -62,7 +72,8 @@ def query_terms(questions: DataFrame, *, qid: str = "qid", text_col: str = "ques
                 analyzer=analyze) -> DataFrame:
     """Question -> (qid, term, qtf): query term multiplicities."""
     return (questions.select(F.col(qid).alias("qid"),
-                             F.explode(analyzer(F.col(text_col))).alias("term"))
+                             F.explode_outer(analyzer(F.col(text_col))).alias("term"))
+            .where(F.col("term").isNotNull())
             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 

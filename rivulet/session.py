@@ -60,3 +60,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as a Parquet table under the session's checkpoint
+    folder (shared on a cluster) and return it read back: the lineage is cut,
+    later branches read columnar files instead of recomputing, and a lost
+    executor re-reads files rather than re-running the upstream plan."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/rivulet-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
