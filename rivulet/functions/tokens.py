@@ -40,3 +40,20 @@ def extend_span_to_words(tokens, s, e) -> Column:
                     lambda i: (i >= F.size(t)) | ~is_subword(F.element_at(t, F.least(i + 1, F.size(t)))))
     new_e = F.coalesce(F.array_min(ends), F.size(t)) - 1
     return F.struct(new_s.cast("int").alias("s"), F.greatest(new_e, e).cast("int").alias("e"))
+
+
+def _offsets_series(texts):
+    import pandas as pd
+    import regex
+    pat = regex.compile(r"([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])")
+    return pd.Series([None if t is None else [[m.start(), m.end()] for m in pat.finditer(t)]
+                      for t in texts])
+
+
+def token_offsets(col) -> Column:
+    """X7c ``offsets()``: [start, end) character offsets of every simple-
+    tokenizer token (match positions are not exposed by Spark's regex
+    built-ins, so this is a small Arrow-batched helper)."""
+    from pyspark.sql import types as T
+    udf = F.pandas_udf(_offsets_series, T.ArrayType(T.ArrayType(T.IntegerType())))
+    return udf(_c(col))

@@ -47,3 +47,14 @@ def mips_augment_doc(a, phi) -> Column:
 def mips_augment_query(a) -> Column:
     """X15 (query side): append a zero."""
     return F.concat(F.transform(_c(a), lambda x: x.cast("double")), F.array(F.lit(0.0)))
+
+
+def first_token_pool(token_vectors) -> Column:
+    """Pooled vector = the first token's vector."""
+    return F.element_at(_c(token_vectors), 1)
+
+
+def project(vec, matrix) -> Column:
+    """Optional linear projection ``W @ v`` with a fixed (parameter) matrix."""
+    rows = [F.array(*[F.lit(float(x)) for x in r]) for r in matrix]
+    return F.array(*[dot(r, _c(vec)) for r in rows])

@@ -321,3 +321,37 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
                                            ["qid", "doc_id"], "left")
     return j.agg(F.round(F.avg(F.coalesce("__f", F.lit(0))), 4).alias("recall"),
                  F.count(F.lit(1)).alias("n_pairs"))
+
+
+def save_ivf(path: str, spark, phi: float, centroids: np.ndarray, corpus: DataFrame,
+             did: str = "doc_id", dvec: str = "vec") -> None:
+    """Persist an IVF index -- the model (phi + centroids, bounded by the
+    cell count) and the cell assignment of every corpus id (a table)."""
+    model = spark.createDataFrame([(i, float(phi), [float(x) for x in c]) for i, c in enumerate(centroids)],
+                                  "cell int, phi double, centroid array<double>")
+    model.write.mode("overwrite").parquet(f"{path}/model")
+    from rivulet.functions.vector import mips_augment_doc, norm2
+    cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
+    aug = corpus.select(F.col(did).cast("long").alias("doc_id"),
+                        mips_augment_doc(F.col(dvec), F.lit(float(phi))).alias("__a"))
+    d2 = F.transform(cents, lambda c: norm2(F.zip_with(c, F.col("__a"), lambda x, y: x - y)))
+    cell = F.array_position(d2, F.array_min(d2)) - 1
+    aug.select("doc_id", cell.cast("int").alias("cell")).write.mode("overwrite").parquet(f"{path}/assign")
+
+
+def load_ivf(path: str, spark, corpus: DataFrame | None = None, did: str = "doc_id"):
+    """K16 reload: returns (phi, centroids, assignments); when the corpus is
+    given, asserts that every corpus id has exactly one assignment (the
+    reference's index-size == id-map-size check, done as one aggregate)."""
+    rows = sorted(spark.read.parquet(f"{path}/model").collect(), key=lambda r: r.cell)
+    phi = rows[0].phi if rows else 0.0
+    cents = np.array([r.centroid for r in rows], dtype=np.float64)
+    assign = spark.read.parquet(f"{path}/assign")
+    if corpus is not None:
+        c = corpus.select(F.col(did).cast("long").alias("doc_id"))
+        bad = c.join(assign, "doc_id", "full_outer").agg(
+            F.count_if(F.col("cell").isNull()).alias("missing")).first()
+        n_ids, n_assign = c.count(), assign.count()
+        if bad["missing"] or n_ids != n_assign:
+            raise ValueError(f"index / id map size mismatch: {n_assign} assignments for {n_ids} ids")
+    return phi, cents, assign

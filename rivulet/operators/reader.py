@@ -222,3 +222,16 @@ def best_prediction(spans: DataFrame, thresholds=(1,), *, qid: str = "qid",
     return out.select(qid, "top_k", F.coalesce(passage_idx, F.lit(-1)).alias("passage_idx"),
                       F.coalesce("s", F.lit(-1)).alias("s"), F.coalesce("e", F.lit(-1)).alias("e"),
                       F.coalesce("score", F.lit(-1.0)).alias("score"))
+
+
+def include_gold_passages(selected: DataFrame, gold: DataFrame) -> DataFrame:
+    """Append each question's gold passage as a positive when it is not
+    already among the positives and it has an answer span.
+
+    ``gold``: ``qid, doc_id, passage_offset, spans`` (spans already shifted).
+    Anti-join on (qid, doc_id) against the selected positives, then union."""
+    pos = selected.where(F.col("role") == "positive").select("qid", "doc_id")
+    add = (gold.where(F.size("spans") > 0).join(pos, ["qid", "doc_id"], "left_anti")
+           .select("qid", F.lit("positive").alias("role"), F.lit(-1).cast("int").alias("rank"),
+                   "doc_id", "passage_offset", "spans"))
+    return selected.unionByName(add)

@@ -246,3 +246,24 @@ def biencoder_batch(batched: DataFrame, *, batch: str = "batch_id", pos: str = "
                       role.alias("role"), F.col("ctx.id").alias("ctx_id"),
                       F.col("ctx.title").alias("ctx_title"), F.col("ctx.text").alias("ctx_text"),
                       F.col("ctx_offset").alias("gold_ctx_pos"), "hard_neg_start", "hard_neg_end")
+
+
+# ---------------------------------------------------------------- J14 / D9
+def global_batch_offsets(batches: DataFrame, *, batch: str = "batch_id", shard: str = "shard_id",
+                         pos: str = "sample_pos", n_ctx: str = "n_ctx") -> DataFrame:
+    """A global batch gathers the same batch index of every shard; each
+    sample's gold context index in the gathered context list is the number of
+    contexts of all earlier shards plus earlier samples of its own shard.
+    The running sum is a window per global batch (bounded by shards x batch
+    size).  Adds ``global_ctx_offset``."""
+    w = Window.partitionBy(batch).orderBy(shard, pos).rowsBetween(Window.unboundedPreceding, -1)
+    return batches.withColumn("global_ctx_offset", F.coalesce(F.sum(n_ctx).over(w), F.lit(0)).cast("long"))
+
+
+def apply_visitor(df: DataFrame, visitor, schema) -> DataFrame:
+    """Run a per-row visitor over every row of every shard, Arrow-batched
+    (``visitor(pandas.DataFrame) -> pandas.DataFrame``)."""
+    def run(batches):
+        for pdf in batches:
+            yield visitor(pdf)
+    return df.mapInPandas(run, schema)
