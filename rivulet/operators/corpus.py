@@ -128,8 +128,13 @@ def make_passages(paragraphs: DataFrame, *, max_len: int = 1000, compat: bool =
         kept = paragraphs.where(F.length("text") <= max_len)
         return add_dense_id(kept, order, name="id", start=1, num_partitions=num_partitions) \
             .select("id", "title", "text")
+    # the global-order steps below read their input several times: write it
+    # once (cuts the lineage of the upstream HTML / normalization work)
+    from rivulet.session import materialize
+    paragraphs = materialize(paragraphs.select(*order, "section", "title", "text"), "paragraphs")
     # global position of every paragraph (before the length filter)
     pos = add_dense_id(paragraphs, order, name="__pos", start=0, num_partitions=num_partitions)
+    pos = materialize(pos, "paragraph_pos")
     prev = pos.select((F.col("__pos") + 1).alias("__pos"), F.col("section").alias("__prev"))
     flagged = pos.join(prev, "__pos", "left").withColumn(
         "__start", F.when(F.col("__prev").isNull() | (F.col("__prev") != F.col("section")), 1)

@@ -174,7 +174,6 @@ def reader_span_loss(logits: DataFrame, *, qid: str = "qid", slot: str = "slot",
     rel = rel.withColumn("__mr", F.array_max("__rv"))
     sw = rel.select((lse(F.col("__rv"), F.col("__mr")) - F.col("__rv")[0]).alias("__sw")) \
         .agg(F.sum("__sw").alias("switch_loss"))
-    k = F.lit(1)
-    out = span.withColumn("__k", k).join(sw.withColumn("__k", k), "__k").drop("__k")
+    out = span.select("span_loss", sw.select("switch_loss").scalar().alias("switch_loss"))
     return out.select(F.round("span_loss", 4).alias("span_loss"), F.round("switch_loss", 4).alias("switch_loss"),
                       F.round(F.col("span_loss") + F.col("switch_loss"), 4).alias("loss"))

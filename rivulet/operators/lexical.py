@@ -62,9 +62,8 @@ def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "tex
     doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = passages.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n_docs"))
-    total = postings.agg(F.sum("tf").alias("__tt"))
-    corpus_stats = (n_docs.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k")
-                    .select("n_docs", (F.coalesce("__tt", F.lit(0)) / F.col("n_docs")).alias("avgdl")))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("__tt")).scalar()
+    corpus_stats = n_docs.select("n_docs", (total / F.col("n_docs")).alias("avgdl"))
     return LexicalIndex(postings, doc_stats, term_stats, corpus_stats)
 
 
@@ -86,10 +85,11 @@ def bm25_scores(index: LexicalIndex, qterms: DataFrame, *, k1: float = K1, b: fl
 
 
 def _score(index, qt, stats, k1, b, max_df):
-    # the corpus statistics are a single row: attach them as scalar columns
-    # through a one-row broadcast join on a constant key
-    st = stats.withColumn("__k", F.lit(1))
-    qt = qt.withColumn("__k", F.lit(1)).join(F.broadcast(st), "__k").drop("__k")
+    # corpus statistics are one row: attach them as scalar subqueries
+    # (evaluated once, no join)
+    n_docs = stats.select("n_docs").scalar()
+    avgdl = stats.select("avgdl").scalar()
+    qt = qt.withColumn("n_docs", n_docs).withColumn("avgdl", avgdl)
     if max_df is not None:
         qt = qt.where(F.col("df") <= F.col("n_docs") * max_df)
     qt = qt.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

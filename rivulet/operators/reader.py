@@ -95,25 +95,30 @@ def reader_select(hits: DataFrame, passages: DataFrame, questions: DataFrame,
     j = j.withColumn("cand_pos", is_pos)
     j = j.withColumn("spans", F.when(F.col("cand_pos"), spans).otherwise(F.array().cast(T.ArrayType(SPAN))))
     j = j.withColumn("passage_offset", (F.col("q_len") + F.coalesce("t_len", F.lit(0)) + 3).cast("int"))
-    pos = j.where(F.col("cand_pos") & (F.size("spans") > 0))
-    wp = Window.partitionBy("qid").orderBy("rank")
-    pos = pos.withColumn("__r", F.row_number().over(wp)).where(F.col("__r") <= cfg.max_positives)
-    n_pos = pos.groupBy("qid").agg(F.count(F.lit(1)).alias("n_pos"))
-    neg = j.where(~F.col("cand_pos")).join(n_pos, "qid", "left")
+    # one pass, one window per question (bounded by the retrieval depth):
+    # running counts pick the first positives / negatives, no self-joins
+    is_p = F.col("cand_pos") & (F.size("spans") > 0)
+    is_n = ~F.col("cand_pos")
+    w = Window.partitionBy("qid").orderBy("rank")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    j = (j.withColumn("__ip", is_p.cast("int")).withColumn("__in", is_n.cast("int"))
+         .withColumn("__pr", F.sum("__ip").over(run)).withColumn("__nr", F.sum("__in").over(run))
+         .withColumn("__np", F.least(F.sum("__ip").over(Window.partitionBy("qid")),
+                                     F.lit(cfg.max_positives))))
     if train:
-        limit = F.least(F.greatest(10 * F.coalesce("n_pos", F.lit(0)), F.lit(cfg.max_negatives)),
-                        F.lit(cfg.min_negatives))
+        limit = F.least(F.greatest(10 * F.col("__np"), F.lit(cfg.max_negatives)), F.lit(cfg.min_negatives))
     else:
         limit = F.lit(cfg.eval_passages)
-    neg = neg.withColumn("__r", F.row_number().over(wp)).where(F.col("__r") <= limit)
+    keep_p = (F.col("__ip") == 1) & (F.col("__pr") <= cfg.max_positives)
+    keep_n = (F.col("__in") == 1) & (F.col("__nr") <= limit)
     if train and cfg.skip_no_positives:
-        neg = neg.join(n_pos.select("qid"), "qid", "left_semi")
-    cols = ["qid", "rank", "doc_id", "passage_offset"]
-    pos = pos.select(*cols, F.lit("positive").alias("role"),
-                     shift_spans(F.col("spans"), F.col("passage_offset")).alias("spans"))
-    neg = neg.select(*cols, F.lit("negative").alias("role"),
-                     F.array().cast(T.ArrayType(SPAN)).alias("spans"))
-    return pos.unionByName(neg).select("qid", "role", "rank", "doc_id", "passage_offset", "spans")
+        keep_n = keep_n & (F.col("__np") > 0)
+    out = j.where(keep_p | keep_n)
+    empty = F.array().cast(T.ArrayType(SPAN))
+    return out.select("qid", F.when(keep_p, "positive").otherwise("negative").alias("role"), "rank",
+                      "doc_id", "passage_offset",
+                      F.when(keep_p, shift_spans(F.col("spans"), F.col("passage_offset")))
+                      .otherwise(empty).alias("spans"))
 
 
 def reader_batch(selected: DataFrame, *, passages_per_question: int = 4, max_length: int = 256,
@@ -123,21 +128,27 @@ def reader_batch(selected: DataFrame, *, passages_per_question: int = 4, max_len
     first negatives, then empty slots.  Questions without such a positive are
     dropped.  Returns ``qid, slot, doc_id (null = empty), n_answers``."""
     in_range = F.filter("spans", lambda x: (x["s"] < max_length) & (x["e"] < max_length))
-    s = selected.withColumn("ok_spans", in_range)
-    pos = (s.where((F.col("role") == "positive") & (F.size("ok_spans") > 0))
-           .groupBy("qid").agg(F.min_by(F.struct("doc_id", F.slice("ok_spans", 1, max_n_answers)
-                                                  .alias("sp")), "rank").alias("p")))
     w = Window.partitionBy("qid").orderBy("rank")
-    neg = (s.where(F.col("role") == "negative").join(pos.select("qid"), "qid", "left_semi")
-           .withColumn("slot", F.row_number().over(w))
-           .where(F.col("slot") < passages_per_question))
-    slots = pos.select("qid", F.explode(F.sequence(F.lit(0), F.lit(passages_per_question - 1)))
-                       .alias("slot"), "p")
-    out = slots.join(neg.select("qid", "slot", F.col("doc_id").alias("neg_doc")), ["qid", "slot"], "left")
-    return out.select("qid", F.col("slot").cast("int").alias("slot"),
-                      F.when(F.col("slot") == 0, F.col("p.doc_id")).otherwise(F.col("neg_doc")).alias("doc_id"),
-                      F.when(F.col("slot") == 0, F.size("p.sp")).otherwise(F.lit(0)).cast("int")
-                      .alias("n_answers"))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = selected.withColumn("ok_spans", in_range)
+    okp = ((F.col("role") == "positive") & (F.size("ok_spans") > 0)).cast("int")
+    neg = (F.col("role") == "negative").cast("int")
+    s = (s.withColumn("__okp", okp).withColumn("__neg", neg)
+         .withColumn("__pr", F.sum("__okp").over(run)).withColumn("__nr", F.sum("__neg").over(run)))
+    slot = (F.when((F.col("__okp") == 1) & (F.col("__pr") == 1), F.lit(0))
+            .when((F.col("__neg") == 1) & (F.col("__nr") < passages_per_question), F.col("__nr")))
+    s = s.withColumn("slot", slot).where(F.col("slot").isNotNull())
+    n_ans = F.when(F.col("slot") == 0, F.size(F.slice("ok_spans", 1, max_n_answers))).otherwise(F.lit(0))
+    # one bounded group per question (at most M kept rows)
+    g = s.groupBy("qid").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), "doc_id",
+                                                     n_ans.cast("int").alias("n"))).alias("__k"))
+    g = g.where(F.exists("__k", lambda x: x["slot"] == 0))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(passages_per_question - 1)),
+                       lambda i: F.struct(i.cast("int").alias("slot"),
+                                          F.filter("__k", lambda x: x["slot"] == i)[0].alias("x")))
+    out = g.select("qid", F.explode(grid).alias("c"))
+    return out.select("qid", F.col("c.slot").alias("slot"), F.col("c.x.doc_id").alias("doc_id"),
+                      F.coalesce(F.col("c.x.n"), F.lit(0)).cast("int").alias("n_answers"))
 
 
 def best_span(start: Column, end: Column, max_answer_length: int) -> Column:

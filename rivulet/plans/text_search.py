@@ -119,17 +119,19 @@ SELECT n_docs, round(avgdl, 4) AS avgdl, (SELECT count(*) FROM tstat) AS n_terms
 def lexical_corpus_stats(spark, sf_dir):
     """N, avgdl, vocabulary size and posting count."""
     ix = _index(spark, sf_dir)
-    nt = ix.term_stats.agg(F.count(F.lit(1)).alias("n_terms"))
-    npost = ix.postings.agg(F.count(F.lit(1)).alias("n_postings"))
-    cs = ix.corpus_stats.select("n_docs", F.round("avgdl", 4).alias("avgdl"))
-    k = F.lit(1)
-    return (cs.withColumn("__k", k).join(nt.withColumn("__k", k), "__k")
-            .join(npost.withColumn("__k", k), "__k").drop("__k"))
+    nt = ix.term_stats.agg(F.count(F.lit(1))).scalar()
+    npost = ix.postings.agg(F.count(F.lit(1))).scalar()
+    return ix.corpus_stats.select("n_docs", F.round("avgdl", 4).alias("avgdl"),
+                                  nt.alias("n_terms"), npost.alias("n_postings"))
 
 
 # ----------------------------------------------------------------- J5 / T2
 def bm25_hits(spark, sf_dir, k=K):
-    return lexical.search(_index(spark, sf_dir), questions(spark, sf_dir), k)
+    """BM25 top-k hits, written once to the checkpoint folder: every
+    downstream stage (matching, selection, nesting) reads several branches
+    of them, and re-running retrieval per branch would multiply its cost."""
+    from rivulet.session import materialize
+    return materialize(lexical.search(_index(spark, sf_dir), questions(spark, sf_dir), k), "bm25_hits")
 
 
 @register("bm25_topk", f"""
