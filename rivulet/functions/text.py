@@ -59,11 +59,26 @@ def collapse_whitespace(col) -> Column:
 def normalize_text(col, unicode_normalize: bool = True) -> Column:
     """NFKC -> collapse whitespace -> drop non-printable -> strip."""
     c = nfkc(col) if unicode_normalize else _c(col)
-    c = collapse_whitespace(c)
+    return clean_text(c)
+
+
+def clean_text(col) -> Column:
+    """X1 without the NFKC step (built-ins only, usable inside ``transform``)."""
+    c = collapse_whitespace(_c(col))
     c = F.regexp_replace(c, r"\p{C}", "")
     return F.trim(c)
 
 
+def split_paragraphs(text, min_len: int = 10, max_len: int = 1000, sep: str = "\n") -> Column:
+    """Newline paragraphs of one text, NFKC + X1-normalized, kept when
+    ``min_len <= length <= max_len`` (F5), in text order.  Everything stays in
+    the row (NFKC once per text, then array built-ins), so numbering the kept
+    paragraphs (W2) is a ``posexplode`` -- no shuffle, no window."""
+    lines = F.split(nfkc(text), sep)
+    cleaned = F.transform(lines, clean_text)
+    return F.filter(cleaned, lambda x: F.length(x).between(min_len, max_len))
+
+
 def normalize_answer(col) -> Column:
     """Lower -> drop ASCII punctuation -> drop articles -> delete whitespace."""
     c = F.lower(_c(col))

@@ -1,21 +1,20 @@
 """Corpus building: page filter, page URL, HTML -> paragraphs -> passages,
 dump-line pairing and the fetch retry frontier (F1-F6, F11, J13, W1-W5).
 
-Per-page work (HTML walking, title carry-forward, paragraph numbering) is
-partitioned by page, which is bounded by a page's size.  Only the passage ids
-and the reference-compatible run titles need a *global* order; those use the
-range-partition + per-partition-offset helpers in :mod:`rivulet.operators.order`
-instead of a single-partition window.
+Per-page work (HTML walking, title carry-forward, paragraph numbering) stays
+inside one row per page (bounded by a page's size), so it needs no shuffle.
+Only the passage ids and the reference-compatible run titles need a *global*
+order; those use the bucketed per-bucket-offset helpers in
+:mod:`rivulet.operators.order` instead of a single-partition window.
 """
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.html import extract
-from rivulet.functions.text import format_id, normalize_text
+from rivulet.functions.text import clean_text, format_id
 from rivulet.operators.order import add_dense_id, running_sum
 
 # Section titles whose paragraphs are dropped (footnotes,
@@ -58,23 +57,40 @@ def pair_dump_lines(lines: DataFrame, *, order: str = "line_ord") -> DataFrame:
 
 
 # ---------------------------------------------------------------- F3-F5 / W1 / W2
-_RAW = T.StructType([
-    T.StructField("page_key", T.LongType()), T.StructField("page_title", T.StringType()),
-    T.StructField("sec_ord", T.IntegerType()), T.StructField("h2", T.StringType()),
-    T.StructField("p_ord", T.IntegerType()), T.StructField("raw", T.StringType())])
+_PARA = T.StructType([T.StructField("section", T.StringType()), T.StructField("raw", T.StringType())])
+_PAGE = T.StructType([
+    T.StructField("page_key", T.LongType()), T.StructField("rev_id", T.LongType()),
+    T.StructField("meta_title", T.StringType()), T.StructField("page_title", T.StringType()),
+    T.StructField("paras", T.ArrayType(_PARA))])
 
 
 def _walk_pages(container: str):
+    import unicodedata
+
+    import pyarrow as pa
+
+    para_type = pa.list_(pa.struct([("section", pa.string()), ("raw", pa.string())]))
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for key, html in zip(pdf["page_key"], pdf["html"]):
-                title, paras = extract(html, container)
-                if not paras:
-                    continue
-                for sec_ord, h2, p_ord, raw in paras:
-                    rows.append((key, title, sec_ord, h2, p_ord, raw))
-            yield pd.DataFrame(rows, columns=[f.name for f in _RAW.fields])
+        for b in batches:
+            d = b.to_pydict()
+            titles, paras = [], []
+            for html in d["html"]:
+                title, rows = extract(html, container)
+                out, carried, last_sec = [], LEAD_TITLE, None
+                for sec_ord, h2, _p_ord, raw in rows:
+                    if sec_ord != last_sec:          # W1: carry the title forward
+                        last_sec = sec_ord
+                        if h2 is not None:
+                            carried = h2
+                    out.append({"section": carried,
+                                "raw": raw if raw.isascii() else unicodedata.normalize("NFKC", raw)})
+                titles.append(title)
+                paras.append(out)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("page_key"), b.column("rev_id"), b.column("meta_title"),
+                 pa.array(titles, pa.string()), pa.array(paras, para_type)],
+                names=[f.name for f in _PAGE.fields])
     return run
 
 
@@ -87,27 +103,28 @@ def extract_paragraphs(pages: DataFrame, *, container: str = "section", min_len:
     Returns ``id, page_id, rev_id, paragraph_index, title, section, text``;
     ``paragraph_index`` counts paragraphs that survive the filters; the page
     title falls back to the HTML ``<title>`` when no title column is given.
+
+    One row per page all the way: the walker (per-page Python helper) yields
+    the page's paragraphs with their carried section titles; normalization
+    (X1), the section / length filters and the numbering are array built-ins
+    on that row, so there is no shuffle and no window.
     """
-    keep = [F.col(page_id).cast("long").alias("page_key"), F.col(html).alias("html")]
-    meta = [F.col(page_id).cast("long").alias("page_key"),
-            (F.col(rev_id).cast("long") if rev_id else F.lit(None).cast("long")).alias("rev_id"),
-            (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("meta_title")]
-    raw = pages.select(*keep).mapInPandas(_walk_pages(container), _RAW)
-    # A section without h2 keeps the previous section's title
-    ws = Window.partitionBy("page_key").orderBy("sec_ord", "p_ord") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    p = raw.withColumn("section", F.coalesce(F.last("h2", ignorenulls=True).over(ws),
-                                             F.lit(LEAD_TITLE)))
-    p = p.withColumn("text", normalize_text(F.col("raw")))
-    if ignore_sections:
-        p = p.where(~F.col("section").isin(list(ignore_sections)))
-    p = p.where(F.length("text").between(min_len, max_len))
-    wi = Window.partitionBy("page_key").orderBy("sec_ord", "p_ord")
-    p = p.withColumn("paragraph_index", (F.row_number().over(wi) - 1).cast("int"))
-    p = p.join(pages.select(*meta), "page_key", "left")
-    return p.select(format_id("page_key", "rev_id", "paragraph_index").alias("id"),
-                    F.col("page_key").alias("page_id"), "rev_id", "paragraph_index",
-                    F.coalesce("meta_title", "page_title").alias("title"), "section", "text")
+    src = pages.select(F.col(page_id).cast("long").alias("page_key"),
+                       (F.col(rev_id).cast("long") if rev_id else F.lit(None).cast("long")).alias("rev_id"),
+                       (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("meta_title"),
+                       F.col(html).cast("string").alias("html"))
+    walked = src.mapInArrow(_walk_pages(container), _PAGE)
+    cleaned = F.transform("paras", lambda p: F.struct(p["section"].alias("section"),
+                                                      clean_text(p["raw"]).alias("text")))
+    ignore = list(ignore_sections or [])
+    kept = F.filter(cleaned, lambda p: F.length(p["text"]).between(min_len, max_len)
+                    & (~p["section"].isin(ignore) if ignore else F.lit(True)))
+    ex = walked.select("page_key", "rev_id", F.coalesce("meta_title", "page_title").alias("title"),
+                       F.posexplode(kept).alias("paragraph_index", "p"))
+    return ex.select(format_id("page_key", "rev_id", "paragraph_index").alias("id"),
+                     F.col("page_key").alias("page_id"), "rev_id",
+                     F.col("paragraph_index").cast("int").alias("paragraph_index"), "title",
+                     F.col("p.section").alias("section"), F.col("p.text").alias("text"))
 
 
 # ---------------------------------------------------------------- W3 / W4 / F6

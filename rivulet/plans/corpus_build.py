@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.text import normalize_text
+from rivulet.functions.text import split_paragraphs
 from rivulet.operators import corpus
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
@@ -48,14 +48,15 @@ def html_paragraphs(spark, sf_dir):
 
 def doc_paragraphs(spark, sf_dir, ignore=()):
     """Documents as the paragraph stage: lines normalized, 10..1000 chars,
-    numbered per document after filtering (``page_ord`` = doc_id)."""
-    p = raw_paragraphs(spark, sf_dir).withColumn("text", normalize_text("text"))
+    numbered per document after filtering (``page_ord`` = doc_id).  Per-row
+    array work: no shuffle."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     if ignore:
-        p = p.where(~F.col("section").isin(list(ignore)))
-    p = p.where(F.length("text").between(10, 1000))
-    from pyspark.sql import Window
-    w = Window.partitionBy("page_id").orderBy("paragraph_index")
-    return (p.withColumn("paragraph_index", (F.row_number().over(w) - 1).cast("int"))
+        d = d.where(~F.col("lang").isin(list(ignore)))
+    p = d.select(F.col("doc_id").alias("page_id"), F.col("source").alias("title"),
+                 F.col("lang").alias("section"),
+                 F.posexplode(split_paragraphs("text", 10, 1000)).alias("paragraph_index", "text"))
+    return (p.withColumn("paragraph_index", F.col("paragraph_index").cast("int"))
             .withColumn("page_ord", F.col("page_id")))
 
 
