@@ -150,7 +150,8 @@ def make_passages(paragraphs: DataFrame, *, max_len: int = 1000, compat: bool =
     from rivulet.session import materialize
     paragraphs = materialize(paragraphs.select(*order, "section", "title", "text"), "paragraphs")
     # global position of every paragraph (before the length filter)
-    pos = add_dense_id(paragraphs, order, name="__pos", start=0, num_partitions=num_partitions)
+    pos = add_dense_id(paragraphs, order, name="__pos", start=0, num_partitions=num_partitions,
+                       materialize_input=False)
     pos = materialize(pos, "paragraph_pos")
     prev = pos.select((F.col("__pos") + 1).alias("__pos"), F.col("section").alias("__prev"))
     flagged = pos.join(prev, "__pos", "left").withColumn(

@@ -13,6 +13,10 @@ Method:
 3. Per-bucket totals (one row per bucket) get prefix sums and are broadcast
    back to offset every bucket.
 
+The input is written once to the checkpoint folder first (``materialize_input``)
+because steps 1-3 each read it; otherwise an expensive upstream would run
+three times.
+
 Equal leading keys share a bucket, so a single very large leading key (one
 huge page) makes one large bucket; within-page order keys keep that bounded
 by the page size.
@@ -34,7 +38,13 @@ def _order_cols(order_by) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _bucketed(df: DataFrame, order_by, n: int):
+def _bucketed(df: DataFrame, order_by, n: int, materialize_input: bool = True):
+    if materialize_input:
+        # the bounds pass, the per-bucket totals and the numbering all read the
+        # input; write it once so the upstream plan runs once (columnar reads
+        # of only the needed columns afterwards)
+        from rivulet.session import materialize
+        df = materialize(df, "ordered_input")
     cols = _order_cols(order_by)
     lead = cols[0]
     d = df.withColumn("__lead", lead.cast("double"))
@@ -62,13 +72,13 @@ def _with_offsets(local: DataFrame, totals: DataFrame, name: str, start: int) ->
 
 
 def add_dense_id(df: DataFrame, order_by, name: str = "id", start: int = 1,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, materialize_input: bool = True) -> DataFrame:
     """Dense ids ``start, start+1, ...`` in the total order ``order_by``.
 
     ``order_by`` must be a unique key (ties would make ids non-deterministic);
     its first column must be numeric (it drives the bucket bounds).
     """
-    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions))
+    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions), materialize_input)
     w = Window.partitionBy("__b").orderBy(*cols)
     local = b.withColumn("__loc", (F.row_number().over(w) - 1).cast("long"))
     totals = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__tot"))
@@ -76,10 +86,11 @@ def add_dense_id(df: DataFrame, order_by, name: str = "id", start: int = 1,
 
 
 def running_sum(df: DataFrame, order_by, value: str, name: str, start: int = 0,
-                inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+                inclusive: bool = True, num_partitions: int | None = None,
+                materialize_input: bool = True) -> DataFrame:
     """Global running sum of integer column ``value`` in the total order
     ``order_by``; ``inclusive=False`` sums only the rows strictly before."""
-    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions))
+    b, cols = _bucketed(df, order_by, _num_buckets(df, num_partitions), materialize_input)
     v = F.coalesce(F.col(value).cast("long"), F.lit(0))
     w = Window.partitionBy("__b").orderBy(*cols).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
