@@ -246,3 +246,36 @@ def include_gold_passages(selected: DataFrame, gold: DataFrame) -> DataFrame:
            .select("qid", F.lit("positive").alias("role"), F.lit(-1).cast("int").alias("rank"),
                    "doc_id", "passage_offset", "spans"))
     return selected.unionByName(add)
+
+
+def selection_counters(selected: DataFrame, questions: DataFrame) -> DataFrame:
+    """A10: questions without any positive passage, and positives that came
+    from gold insertion (``rank = -1``, see :func:`include_gold_passages`)."""
+    pos = selected.where(F.col("role") == "positive")
+    per_q = questions.select("qid").join(
+        pos.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"),
+                               F.count_if(F.col("rank") == -1).alias("__g")), "qid", "left")
+    return per_q.agg(F.count_if(F.coalesce("__n", F.lit(0)) == 0).alias("no_positive_questions"),
+                     F.coalesce(F.sum("__g"), F.lit(0)).cast("long").alias("positives_from_gold"))
+
+
+def answer_matrices(spans: Column, max_n_answers: int) -> Column:
+    """Start / end position vectors and the answer mask, zero-padded to
+    ``max_n_answers`` (first spans kept, T11)."""
+    sp = F.slice(spans, 1, max_n_answers)
+    pad = F.array_repeat(F.lit(0), max_n_answers)
+    starts = F.slice(F.concat(F.transform(sp, lambda x: x["s"]), pad), 1, max_n_answers)
+    ends = F.slice(F.concat(F.transform(sp, lambda x: x["e"]), pad), 1, max_n_answers)
+    mask = F.slice(F.concat(F.transform(sp, lambda x: F.lit(1)), pad), 1, max_n_answers)
+    return F.struct(starts.alias("start_positions"), ends.alias("end_positions"), mask.alias("answer_mask"))
+
+
+def pick_positive(selected: DataFrame, max_length: int, seed: int | None = None) -> DataFrame:
+    """Per question, the positive used in slot 0 -- the first one (by
+    rank) with an in-range span, or with ``seed`` a seeded-hash pick among
+    those (deterministic, partition-independent).  Questions without such a
+    positive get no row (F18)."""
+    in_range = F.filter("spans", lambda x: (x["s"] < max_length) & (x["e"] < max_length))
+    c = selected.where((F.col("role") == "positive") & (F.size(in_range) > 0))
+    key = F.col("rank") if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    return c.groupBy("qid").agg(F.min_by("doc_id", key).alias("doc_id"))

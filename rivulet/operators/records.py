@@ -54,3 +54,12 @@ def canonical_questions(questions: DataFrame, gold: DataFrame, *, question: str
             .dropDuplicates(["__k"]))
     j = questions.join(keys, questions[question] == F.col("__k"), "left")
     return j.withColumn(question, F.coalesce("__canon", F.col(question))).drop("__k", "__canon")
+
+
+def nest_predictions(best: DataFrame, questions: DataFrame) -> DataFrame:
+    """One record per question -- qid, question, gold answers and a
+    ``predictions`` map top_k -> prediction struct (the map only at the sink)."""
+    pred = F.struct(*[F.col(c) for c in best.columns if c not in ("qid", "top_k")])
+    g = best.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col("top_k"), pred)))).alias("predictions"))
+    return questions.select("qid", "question", F.col("answers").alias("gold_answers")).join(g, "qid", "left")

@@ -157,3 +157,15 @@ def submission(predictions: DataFrame) -> DataFrame:
     first = predictions.groupBy("qid").agg(F.min("top_k").alias("top_k"))
     return predictions.join(first, ["qid", "top_k"]).select("qid", "question",
                                                              F.col("text").alias("prediction"))
+
+
+def write_reader_samples(df: DataFrame, path: str, prefix: str = "samples") -> None:
+    """Reader samples as Parquet shards (one file per partition); passage
+    text is not stored (only ids / offsets / spans), like the reference."""
+    keep = [c for c in df.columns if c not in ("text", "passage_text")]
+    df.select(*keep).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{prefix}")
+
+
+def write_metrics(df: DataFrame, path: str, *, append: bool = True) -> None:
+    """Per-epoch scores or EM lines, appended run after run."""
+    df.write.mode("append" if append else "overwrite").json(path)

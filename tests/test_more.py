@@ -160,3 +160,27 @@ def test_streaming_paragraphs(spark):
     batch = docs.select(F.posexplode(F.split("text", "\n")).alias("l", "raw")).select(
         normalize_text("raw").alias("t")).where(F.length("t").between(10, 1000)).count()
     assert n_stream == batch > 0
+
+
+def test_from_document_indices(spark):
+    doc = lambda i: {"id": i, "title": "t" + i, "text": "x" + i}
+    df = spark.createDataFrame([("q1", "a", [doc("1"), doc("2"), doc("3")], [2], [0, 1])],
+                               "qid string, answer string, documents array<struct<id:string,title:string,text:string>>, "
+                               "positive_document_indices array<int>, negative_document_indices array<int>")
+    r = training.from_document_indices(df).first()
+    assert r.answers == ["a"] and [c.id for c in r.positive_ctxs] == ["3"]
+    assert [c.id for c in r.hard_negative_ctxs] == ["1", "2"] and r.negative_ctxs == []
+
+
+def test_answer_matrices_and_pick(spark):
+    sel = spark.createDataFrame(
+        [(1, "positive", 1, 10, [(300, 301)]), (1, "positive", 2, 11, [(5, 6), (7, 9)]),
+         (2, "positive", 1, 20, [(400, 400)])],
+        "qid long, role string, rank int, doc_id long, spans array<struct<s:int,e:int>>")
+    picked = {r.qid: r.doc_id for r in reader.pick_positive(sel, 256).collect()}
+    assert picked == {1: 11}
+    m = sel.where("doc_id = 11").select(reader.answer_matrices(F.col("spans"), 3).alias("m")).first().m
+    assert (m.start_positions, m.end_positions, m.answer_mask) == ([5, 7, 0], [6, 9, 0], [1, 1, 0])
+    qs = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    c = reader.selection_counters(sel, qs).first()
+    assert (c.no_positive_questions, c.positives_from_gold) == (1, 0)
