@@ -51,12 +51,16 @@ def hashed_bow(dim: int = 64):
         return b
 
     def encode(terms: pd.Series) -> np.ndarray:
+        # vectorized: flatten the batch, hash each distinct term once,
+        # scatter-add counts, L2-normalize rows
         out = np.zeros((len(terms), dim), dtype=np.float64)
-        for r, ts in enumerate(terms):
-            if ts is None:
-                continue
-            for t in ts:
-                out[r, bucket(t)] += 1.0
+        lens = np.fromiter((0 if t is None else len(t) for t in terms), dtype=np.int64, count=len(terms))
+        if lens.sum() > 0:
+            flat = np.concatenate([np.asarray(t, dtype=object) for t in terms if t is not None and len(t)])
+            uniq, inv = np.unique(flat, return_inverse=True)
+            buckets = np.fromiter((bucket(u) for u in uniq), dtype=np.int64, count=len(uniq))
+            rows = np.repeat(np.arange(len(terms)), lens)
+            np.add.at(out, (rows, buckets[inv]), 1.0)
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         n[n == 0] = 1.0
         return out / n

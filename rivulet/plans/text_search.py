@@ -95,8 +95,16 @@ def exact_match_at_n(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- K15 / A9
+_INDEXES: dict = {}
+
+
 def _index(spark, sf_dir):
-    return lexical.build_index(passages(spark, sf_dir))
+    """The lexical index of a corpus is a build-once artifact (K15): built and
+    written on first use in an application, then reused by later queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build_index(passages(spark, sf_dir))
+    return _INDEXES[key]
 
 
 @register("lexical_index_stats", f"""
