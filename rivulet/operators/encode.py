@@ -57,7 +57,7 @@ def hashed_bow(dim: int = 64):
         lens = np.fromiter((0 if t is None else len(t) for t in terms), dtype=np.int64, count=len(terms))
         if lens.sum() > 0:
             flat = np.concatenate([np.asarray(t, dtype=object) for t in terms if t is not None and len(t)])
-            uniq, inv = np.unique(flat, return_inverse=True)
+            inv, uniq = pd.factorize(flat)   # hash-based, distinct terms once
             buckets = np.fromiter((bucket(u) for u in uniq), dtype=np.int64, count=len(uniq))
             rows = np.repeat(np.arange(len(terms)), lens)
             np.add.at(out, (rows, buckets[inv]), 1.0)
@@ -77,10 +77,15 @@ def encode(df: DataFrame, text: str, *, title: str | None = None, encoder: str =
     map and no count assertion are needed."""
     elem = T.FloatType() if dtype == "float" else T.DoubleType()
     np_dtype = np.float32 if dtype == "float" else np.float64
+    if encoder not in _REGISTRY:
+        raise KeyError(f"unknown encoder {encoder!r}; known: {sorted(_REGISTRY)}")
+    # resolve the factory on the driver: it travels in the UDF closure, so
+    # encoders registered by user code exist on the workers too
+    factory = _REGISTRY[encoder]
 
     @F.pandas_udf(T.ArrayType(elem))
     def _enc(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = get_encoder(encoder, **encoder_kwargs)  # once per worker
+        fn = factory(**encoder_kwargs)  # once per worker
         for terms in it:
             m = fn(terms).astype(np_dtype)
             yield pd.Series(list(m))

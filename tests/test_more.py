@@ -51,6 +51,13 @@ def test_encoder_registry_and_shape(spark):
     except KeyError:
         pass
 
+    @encode.register_encoder("test_constant")
+    def constant(dim=3):  # a user encoder registered on the driver only
+        import numpy as np
+        return lambda terms: np.ones((len(terms), dim))
+    got = encode.encode(df, "text", encoder="test_constant", dtype="double").first().vec
+    assert got == [1.0, 1.0, 1.0]
+
 
 def test_vocab_roundtrip(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "id long, tokens array<string>")
