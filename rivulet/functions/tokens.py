@@ -32,14 +32,15 @@ def is_subword(tok: Column) -> Column:
 def extend_span_to_words(tokens, s, e) -> Column:
     """Move the start left while it sits on a ``##`` sub-word and the end
     right while the next token is a sub-word.  Returns struct(s, e)."""
-    t = _c(tokens)
-    s, e = _c(s), _c(e)
-    starts = F.filter(F.sequence(F.lit(0), s), lambda i: ~is_subword(F.element_at(t, i + 1)))
-    new_s = F.coalesce(F.array_max(starts), F.lit(0))
-    ends = F.filter(F.sequence(e + 1, F.greatest(F.size(t), e + 1)),
-                    lambda i: (i >= F.size(t)) | ~is_subword(F.element_at(t, F.least(i + 1, F.size(t)))))
-    new_e = F.coalesce(F.array_min(ends), F.size(t)) - 1
-    return F.struct(new_s.cast("int").alias("s"), F.greatest(new_e, e).cast("int").alias("e"))
+    def body(t, s, e):
+        starts = F.filter(F.sequence(F.lit(0), s), lambda i: ~is_subword(F.element_at(t, i + 1)))
+        new_s = F.coalesce(F.array_max(starts), F.lit(0))
+        ends = F.filter(F.sequence(e + 1, F.greatest(F.size(t), e + 1)),
+                        lambda i: (i >= F.size(t)) | ~is_subword(F.element_at(t, F.least(i + 1, F.size(t)))))
+        new_e = F.coalesce(F.array_min(ends), F.size(t)) - 1
+        return F.struct(new_s.cast("int").alias("s"), F.greatest(new_e, e).cast("int").alias("e"))
+    from rivulet.functions.bind import let
+    return let(body, _c(tokens), _c(s), _c(e))
 
 
 def _offsets_series(texts):

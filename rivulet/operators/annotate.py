@@ -1,27 +1,41 @@
 """Token annotation grouping (X7d): consecutive tokens with the same tag form
-one entity; the non-entity tag is skipped.  Gaps-and-islands over the
-token positions of one row (window per row key, bounded by the row length).
-Tags come from an external annotator column (the reference never populates
-them itself)."""
+one entity; the non-entity tag is skipped.  Tags come from an external
+annotator column (the reference never populates them itself).
+
+Everything happens inside the row (array built-ins, linear in the row's
+token count): group starts are the positions where the tag changes, each
+group is a slice between two starts.  No explode, no shuffle, no window.
+"""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.bind import let
+
+
+def entity_group_array(tokens: str = "tokens", tags: str = "tags", outside: str = "O") -> Column:
+    """ARRAY<STRUCT<tag, text>> of the row's entity groups in order.
+    The arrays are bound once per row (:func:`rivulet.functions.bind.let`)."""
+    def body(t, g):
+        n = F.size(g)
+        idx = F.sequence(F.lit(0), n - 1)
+        starts = F.filter(idx, lambda i: F.when(i == 0, F.lit(True)).otherwise(g[i] != g[i - 1]))
+        ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+        spans = F.arrays_zip(starts.alias("b"), ends.alias("e"))
+        groups = F.transform(spans, lambda s: F.struct(
+            g[s["b"]].alias("tag"),
+            F.array_join(F.slice(t, s["b"] + 1, s["e"] - s["b"]), " ").alias("text")))
+        return F.when(n > 0, F.filter(groups, lambda x: x["tag"] != outside)) \
+            .otherwise(F.array().cast("array<struct<tag:string,text:string>>"))
+    return let(body, F.col(tokens), F.col(tags))
+
 
 def entity_groups(df: DataFrame, key, tokens: str = "tokens", tags: str = "tags",
                   outside: str = "O") -> DataFrame:
-    """-> ``*key, group_idx, tag, text`` (tokens of a group joined by spaces)."""
+    """Long form: ``*key, group_idx, tag, text``."""
     keys = key if isinstance(key, (list, tuple)) else [key]
-    ex = df.select(*keys, F.posexplode(F.arrays_zip(F.col(tokens).alias("tok"),
-                                                    F.col(tags).alias("tag"))).alias("pos", "z"))
-    ex = ex.select(*keys, "pos", F.col("z.tok").alias("tok"), F.col("z.tag").alias("tag"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    ex = ex.withColumn("__new", F.coalesce(F.lag("tag").over(w) != F.col("tag"), F.lit(True)).cast("int"))
-    ex = ex.withColumn("__grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = (ex.where(F.col("tag") != outside)
-         .groupBy(*keys, "__grp", "tag")
-         .agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("__t")))
-    wg = Window.partitionBy(*keys).orderBy("__grp")
-    return g.select(*keys, (F.row_number().over(wg) - 1).cast("int").alias("group_idx"), "tag",
-                    F.array_join(F.transform("__t", lambda x: x["tok"]), " ").alias("text"))
+    arr = df.select(*keys, entity_group_array(tokens, tags, outside).alias("__g"))
+    ex = arr.select(*keys, F.posexplode("__g").alias("group_idx", "__x"))
+    return ex.select(*keys, F.col("group_idx").cast("int").alias("group_idx"),
+                     F.col("__x.tag").alias("tag"), F.col("__x.text").alias("text"))

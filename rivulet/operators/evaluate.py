@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions.bind import let
 from rivulet.functions.text import exact_match
 from rivulet.functions.vector import dot
 
@@ -72,14 +73,16 @@ def inbatch_nll(questions: DataFrame, contexts: DataFrame, *, batch: str = "batc
            .agg(F.array_sort(F.collect_list(F.struct(F.col(ctx_pos).alias("pos"),
                                                      F.col(cvec).alias("v")))).alias("ctxs")))
     j = questions.join(ctx, batch)
-    scores = F.transform(F.col("ctxs"), lambda c: dot(F.col(qvec), c["v"]))
-    j = j.withColumn("scores", scores).withColumn("m", F.array_max("scores"))
-    lse = F.col("m") + F.log(F.aggregate(F.col("scores"), F.lit(0.0),
-                                         lambda a, s: a + F.exp(s - F.col("m"))))
-    gold_score = F.element_at(F.col("scores"), F.col(gold_pos) + 1)
-    argmax = F.array_position(F.col("scores"), F.col("m")) - 1
-    return j.select(batch, q_pos, (lse - gold_score).alias("loss"),
-                    (argmax == F.col(gold_pos)).alias("correct"))
+
+    def body(scores, gold):  # scores bound once per row
+        m = F.array_max(scores)
+        return let(lambda mm: F.struct(
+            (mm + F.log(F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - mm)))
+             - F.element_at(scores, gold + 1)).alias("loss"),
+            ((F.array_position(scores, mm) - 1) == gold).alias("correct")), m)
+
+    r = let(body, F.transform(F.col("ctxs"), lambda c: dot(F.col(qvec), c["v"])), F.col(gold_pos))
+    return j.select(batch, q_pos, r["loss"].alias("loss"), r["correct"].alias("correct"))
 
 
 def nll_summary(per_q: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -147,8 +150,9 @@ def reader_span_loss(logits: DataFrame, *, qid: str = "qid", slot: str = "slot",
     ignored, loss 0); max over slots per answer index; marginal
     log-likelihood over answers; plus the switch loss (CE of the relevance
     logits against slot 0).  Returns one row: span_loss, switch_loss, loss."""
-    def lse(col, m):  # m: a column holding array_max(col), so no lambda recomputes it
-        return m + F.log(F.aggregate(col, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    def lse(col, _m=None):  # array and its max bound once per row
+        return let(lambda v: let(lambda m: m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))),
+                                 F.array_max(v)), col)
     base = logits.select(qid, slot, relevance,
                          F.transform(start, lambda x: x.cast("double")).alias("__st"),
                          F.transform(end, lambda x: x.cast("double")).alias("__en"), spans)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.functions.bind import let
 from rivulet.functions.text import nfkc, tokenize
 
 
@@ -36,14 +37,17 @@ SPAN = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.I
 
 def answer_positions(ctx: Column, ans: Column) -> Column:
     """Every (s, e) where ``ans`` occurs as a token subsequence of
-    ``ctx`` (inclusive ends, overlaps kept).  Pass column references."""
-    a = F.size(ans)
-    starts = F.sequence(F.lit(0), F.size(ctx) - a)
-    hit = F.filter(starts, lambda i: (ctx[i] == ans[0]) & (F.slice(ctx, i + 1, a) == ans))
-    return F.when((a > 0) & (F.size(ctx) >= a),
-                  F.transform(hit, lambda i: F.struct(i.cast("int").alias("s"),
-                                                      (i + a - 1).cast("int").alias("e")))) \
-        .otherwise(F.array().cast(T.ArrayType(SPAN)))
+    ``ctx`` (inclusive ends, overlaps kept).  Both arrays are bound once per
+    row, so a computed ``ctx`` is never re-evaluated per position."""
+    def body(c, a_arr):
+        a = F.size(a_arr)
+        starts = F.sequence(F.lit(0), F.size(c) - a)
+        hit = F.filter(starts, lambda i: (c[i] == a_arr[0]) & (F.slice(c, i + 1, a) == a_arr))
+        return F.when((a > 0) & (F.size(c) >= a),
+                      F.transform(hit, lambda i: F.struct(i.cast("int").alias("s"),
+                                                          (i + a - 1).cast("int").alias("e")))) \
+            .otherwise(F.array().cast(T.ArrayType(SPAN)))
+    return let(body, ctx, ans)
 
 
 def shift_spans(spans: Column, offset: Column) -> Column:
@@ -154,19 +158,21 @@ def reader_batch(selected: DataFrame, *, passages_per_question: int = 4, max_len
 def best_span(start: Column, end: Column, max_answer_length: int) -> Column:
     """W8 + T6 (top 1): the (s, e), e - s < L, maximizing start[s] + end[e];
     ties -> smallest s, then smallest e.  O(n * L) inside one array
-    expression.  Returns struct(score, s, e) or null for empty logits."""
-    n = F.size(start)
-
-    def at(i):
-        win = F.transform(F.slice(end, i + 1, max_answer_length), lambda x: x.cast("double"))
-        m = F.array_max(win)
-        j = i + F.array_position(win, m) - 1
-        return F.struct((start[i].cast("double") + m).alias("score"), (-i).alias("ni"),
-                        (-j).alias("nj"))
-
-    best = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), at))
-    return F.when(n > 0, F.struct(best["score"].alias("score"), (-best["ni"]).cast("int").alias("s"),
-                                  (-best["nj"]).cast("int").alias("e")))
+    expression (logits bound once per row).  Returns struct(score, s, e) or
+    null for empty logits."""
+    def body(st, en):
+        n = F.size(st)
+
+        def at(i):
+            win = F.transform(F.slice(en, i + 1, max_answer_length), lambda x: x.cast("double"))
+            m = F.array_max(win)
+            j = i + F.array_position(win, m) - 1
+            return F.struct((st[i].cast("double") + m).alias("score"), (-i).alias("ni"), (-j).alias("nj"))
+
+        best = F.array_max(F.transform(F.sequence(F.lit(0), n - 1), at))
+        return F.when(n > 0, F.struct(best["score"].alias("score"), (-best["ni"]).cast("int").alias("s"),
+                                      (-best["nj"]).cast("int").alias("e")))
+    return let(body, start, end)
 
 
 def suppress_nested(cands, top_n):
