@@ -117,6 +117,8 @@ def ngrams(tokens, n: int = 1, uncased: bool = False, keep=None) -> Column:
     Linear in the token count: the array is zipped with its own shifted
     copies, so no lambda re-evaluates the (possibly expensive) input.
     """
+    if keep is None:
+        return _ngrams_fast(tokens, n, uncased)
     t = words(tokens, uncased)
     shifted = [t] + [F.slice(t, j + 1, F.greatest(F.size(t), F.lit(1))) for j in range(1, n)]
     z = F.arrays_zip(*[c.alias(f"t{j}") for j, c in enumerate(shifted)])
@@ -134,6 +136,38 @@ def ngrams(tokens, n: int = 1, uncased: bool = False, keep=None) -> Column:
     return F.coalesce(F.flatten(F.transform(z, grams)), F.array().cast("array<string>"))
 
 
+def _ngrams_fast(tokens, n: int, uncased: bool) -> Column:
+    """ngrams without a filter: per length one ``zip_with`` over shifted
+    copies, interleaved by nesting ``zip_with`` and flattened; missing tails
+    are nulls removed by ``array_compact`` (no per-element filter lambda).
+    Lower-casing joins / splits once (tokens never contain a space)."""
+    from rivulet.functions.bind import let
+
+    def body(t):
+        if uncased:
+            t = F.when(F.size(t) > 0, F.split(F.lower(F.array_join(t, " ")), " ")).otherwise(t)
+        return let(lambda w: _interleave(w, n), t)
+
+    return F.coalesce(let(body, _c(tokens)), F.array().cast("array<string>"))
+
+
+def _interleave(w, n: int) -> Column:
+    sz = F.size(w)
+    grams = [w]
+    for ln in range(2, n + 1):
+        parts = [F.slice(w, j + 1, F.greatest(sz, F.lit(1))) for j in range(ln)]
+        g = parts[0]
+        for p in parts[1:]:
+            g = F.zip_with(g, p, lambda a, b: F.concat(a, F.lit(" "), b))
+        grams.append(g)
+    if n == 1:
+        return w
+    acc = F.zip_with(grams[0], grams[1], lambda a, b: F.array(a, b))
+    for g in grams[2:]:
+        acc = F.zip_with(acc, g, lambda a, b: F.concat(a, F.array(b)))
+    return F.array_compact(F.flatten(acc))
+
+
 def untokenize(tokens) -> Column:
     """Join tokens back with single spaces (whitespace is not kept)."""
     return F.trim(F.array_join(_c(tokens), " "))
