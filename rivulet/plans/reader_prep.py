@@ -9,6 +9,7 @@ from rivulet.operators.training import ids_string
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
 from rivulet.plans.text_search import K, labelled_hits
+from rivulet.functions.text import nfkc, tokenize
 from rivulet.sources.tables import passages, questions, table
 
 MAX_ANSWER_LEN = 10
@@ -169,3 +170,59 @@ def gold_page_match(spark, sf_dir):
     from rivulet.operators.records import gold_page_flags
     h = labelled_hits(spark, sf_dir, "raw")
     return gold_page_flags(h, passages(spark, sf_dir))
+
+
+L_MAX = 256
+
+
+@register("reader_inputs", _SELECT_SQL + f""",
+seq AS (SELECT sel.qid, sel.doc_id,
+               list_concat(['[CLS]'], {S.tokens('qs.question')}, ['[SEP]'], {S.tokens('docs.title')}, ['[SEP]'],
+                           {S.tokens('docs.text')}) AS s
+        FROM sel JOIN qs USING (qid) JOIN docs USING (doc_id) WHERE sel.role = 'positive'),
+pad AS (SELECT qid, doc_id, list_concat(s, list_transform(range({L_MAX}), lambda i: '[PAD]'))[1:{L_MAX}] AS p FROM seq)
+SELECT qid, doc_id, CAST(len(list_filter(p, lambda x: x <> '[PAD]')) AS INTEGER) AS n_attended,
+       md5(array_to_string(p, ' ')) AS ids_md5
+FROM pad
+""")
+def reader_inputs(spark, sf_dir):
+    """X18 + X19 + X20: [CLS] question [SEP] title [SEP] passage for every
+    selected positive, padded / truncated to 256, with its attention mask."""
+    s = selected(spark, sf_dir).where(F.col("role") == "positive").select("qid", "doc_id")
+    q = questions(spark, sf_dir).select("qid", tokenize(nfkc("question")).alias("q_tok"))
+    d = passages(spark, sf_dir).select(F.col("id").alias("doc_id"), tokenize(nfkc("title")).alias("t_tok"),
+                                       tokenize(nfkc("text")).alias("p_tok"))
+    j = s.join(q, "qid").join(d, "doc_id")
+    seq = F.concat(F.array(F.lit("[CLS]")), "q_tok", F.array(F.lit("[SEP]")), "t_tok",
+                   F.array(F.lit("[SEP]")), "p_tok")
+    p = j.select("qid", "doc_id", rd.pad_ids(seq, L_MAX).alias("p"))
+    mask = rd.attention_mask(F.col("p"))
+    return p.select("qid", "doc_id",
+                    F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("int").alias("n_attended"),
+                    F.md5(F.array_join("p", " ")).alias("ids_md5"))
+
+
+@register("canonical_question", f"""
+WITH g AS (SELECT split_part(text, chr(10), 1) AS question,
+                  array_to_string({S.tokens("split_part(text, chr(10), 1)")}, ' ') AS question_tokens FROM benchmark),
+k AS (SELECT question AS k, question AS canon FROM g
+      UNION SELECT question_tokens AS k, question AS canon FROM g),
+q AS (SELECT item_id AS qid,
+             CASE WHEN NOT contains(split_part(text, chr(10), 1), ',') THEN split_part(text, chr(10), 1)
+                  ELSE array_to_string({S.tokens("split_part(text, chr(10), 1)")}, ' ') END AS asked
+      FROM benchmark)
+SELECT q.qid, coalesce(k.canon, q.asked) AS question FROM q LEFT JOIN k ON k.k = q.asked
+""")
+def canonical_question(spark, sf_dir):
+    """J10 + S10: a question asked either verbatim or in its tokenized form is
+    mapped back to the gold file's canonical question (left join on both key
+    forms, fallback to the question itself).  Gold rows = benchmark items;
+    questions containing a comma are asked in their tokenized form."""
+    from rivulet.operators.records import canonical_questions
+    b = table(spark, sf_dir, "benchmark")
+    first = F.split("text", "\n")[0]
+    gold = b.select(first.alias("question"), F.array_join(tokenize(first), " ").alias("question_tokens"))
+    asked = b.select(F.col("item_id").alias("qid"),
+                     F.when(~first.contains(","), first)
+                     .otherwise(F.array_join(tokenize(first), " ")).alias("question"))
+    return canonical_questions(asked, gold).select("qid", "question")

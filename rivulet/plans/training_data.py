@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.operators import training as tr
+from rivulet.operators.training import ids_string
 from rivulet.plans.registry import register
 from rivulet.plans.text_search import _TS_SQL, training_set
 from rivulet.sources.tables import conversation_pairs, table
@@ -215,3 +216,30 @@ def sample_negatives(spark, sf_dir):
     pool = tr.sort_by_hash(F.col("hard_negative_ctxs"), 7)
     return ts.select("qid", F.array_join(F.transform(F.slice(pool, 1, 3), lambda c: c["id"]), ",")
                      .alias("sampled_negative_ids"))
+
+
+@register("pick_by_index", _TS_SQL + """
+SELECT qid, positive_ids, hard_negative_ids FROM ts
+""")
+def pick_by_index(spark, sf_dir):
+    """F9 + F10 + G7: items carrying a document list (each question's BM25
+    top-10 in rank order) plus positive / negative index lists (raw answer
+    containment) become training samples by picking documents by index."""
+    from rivulet.operators.training import CTX_ARRAY, ctx_struct, from_document_indices
+    from rivulet.plans.text_search import labelled_hits
+    from rivulet.sources.tables import passages, questions
+    h = labelled_hits(spark, sf_dir, "raw").join(
+        passages(spark, sf_dir).select(F.col("id").alias("doc_id"), "title", "text"), "doc_id")
+    g = h.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(
+        "rank", ctx_struct("doc_id", "title", "text").alias("c"), "has_answer"))).alias("__d"))
+    items = g.select("qid", F.transform("__d", lambda x: x["c"]).alias("documents"),
+                     F.transform(F.filter(F.transform("__d", lambda x: F.struct(x["rank"].alias("r"), x["has_answer"].alias("h"))),
+                                          lambda y: y["h"]), lambda y: (y["r"] - 1).cast("int")).alias("positive_document_indices"),
+                     F.transform(F.filter(F.transform("__d", lambda x: F.struct(x["rank"].alias("r"), x["has_answer"].alias("h"))),
+                                          lambda y: ~y["h"]), lambda y: (y["r"] - 1).cast("int")).alias("negative_document_indices"))
+    q = questions(spark, sf_dir).select("qid", F.lit("").alias("answer"))
+    items = q.join(items, "qid", "left").withColumn(
+        "documents", F.coalesce("documents", F.array().cast(CTX_ARRAY)))
+    ts = from_document_indices(items)
+    return ts.select("qid", ids_string("positive_ctxs").alias("positive_ids"),
+                     ids_string("hard_negative_ctxs").alias("hard_negative_ids"))
