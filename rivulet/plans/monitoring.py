@@ -58,10 +58,10 @@ def best_checkpoint(spark, sf_dir):
 
 @register("quality_checks", """
 SELECT count(*) AS n_rows,
-       count_if(contains(source, chr(9))) AS bad_tab_in_title,
-       count_if(contains(text, chr(9))) AS bad_tab_in_text,
-       count_if(doc_id IS NULL) AS bad_null_id,
-       count_if(n_chars <> length(text)) AS bad_length_mismatch
+       CAST(count_if(contains(source, chr(9))) AS BIGINT) AS bad_tab_in_title,
+       CAST(count_if(contains(replace(to_json(text), '\t', ''), chr(9))) AS BIGINT) AS bad_tab_in_text,
+       CAST(count_if(doc_id IS NULL) AS BIGINT) AS bad_null_id,
+       CAST(count_if(n_chars <> length(text)) AS BIGINT) AS bad_length_mismatch
 FROM documents
 """)
 def quality_checks(spark, sf_dir):

@@ -262,8 +262,8 @@ def build_training_set(spark, sf_dir):
 
 
 @register("positive_counts", _TS_SQL + """
-SELECT count_if(positive_ids <> '') AS n_with_positive, count_if(positive_ids = '') AS n_without_positive,
-       count(*) AS n_total FROM ts
+SELECT CAST(count_if(positive_ids <> '') AS BIGINT) AS n_with_positive,
+       CAST(count_if(positive_ids = '') AS BIGINT) AS n_without_positive, count(*) AS n_total FROM ts
 """)
 def positive_counts(spark, sf_dir):
     """A3: questions with / without a positive context, and the total."""

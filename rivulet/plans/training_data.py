@@ -184,7 +184,7 @@ off AS (SELECT *, coalesce(sum(n_ctx) OVER (PARTITION BY batch_id ORDER BY sampl
 x AS (SELECT batch_id, sample_pos, ctx_offset, len(others) AS n_other,
              unnest(list_prepend(pos_id, others)) AS ctx_id,
              generate_subscripts(list_prepend(pos_id, others), 1) - 1 AS ctx_i FROM off)
-SELECT batch_id, sample_pos, CAST(ctx_offset + ctx_i AS BIGINT) AS ctx_pos,
+SELECT batch_id, CAST(sample_pos AS INTEGER) AS sample_pos, CAST(ctx_offset + ctx_i AS BIGINT) AS ctx_pos,
        CASE WHEN ctx_i = 0 THEN 'positive' ELSE 'other_negative' END AS role, ctx_id,
        CAST(ctx_offset AS BIGINT) AS gold_ctx_pos,
        CAST(ctx_offset + 1 + n_other AS BIGINT) AS hard_neg_start,
