@@ -8,7 +8,6 @@ from rivulet.functions.text import split_paragraphs
 from rivulet.operators import corpus
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
-from rivulet.sources.tables import paragraphs as raw_paragraphs
 from rivulet.sources.tables import table
 
 MAX_PASSAGE = 400

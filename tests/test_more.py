@@ -2,14 +2,12 @@
 batches, index persistence, readers / writers and the streaming path."""
 import gzip
 import json
-import os
 import tempfile
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from rivulet.functions import tokens as tk
-from rivulet.functions.text import tokenize
 from rivulet.functions.vector import first_token_pool, project
 from rivulet.operators import annotate, encode, knn, reader, training
 from rivulet.sources import io
