@@ -37,8 +37,25 @@ class LexicalIndex:
     corpus_stats: DataFrame  # one row: n_docs, avgdl
 
 
+def _write_bucketed(df: DataFrame, key: str, num_buckets: int | None) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``key`` under the session's
+    checkpoint folder and read it back with its bucket spec, so later joins /
+    aggregations that include ``key`` run without a shuffle."""
+    import uuid
+
+    from rivulet.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"rivulet_{key}_{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
 def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                analyzer=analyze, materialize: bool = True) -> LexicalIndex:
+                analyzer=analyze, materialize: bool = True,
+                num_buckets: int | None = None) -> LexicalIndex:
     """K15 + A9: postings, per-doc lengths, df per term and corpus stats.
 
     Tokenization runs once: doc lengths (sum of tf), document frequencies and
@@ -46,8 +63,8 @@ def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "tex
     (its exchange is reused); N counts every passage, including ones without
     terms, from an id-only scan.
 
-    ``materialize`` writes the postings once as Parquet under the session's
-    checkpoint folder (the index *is* a persisted table; it also cuts the lineage, so
+    ``materialize`` writes the postings once, bucketed by ``doc_id``, under the
+    session's checkpoint folder (the index *is* a persisted table; it also cuts the lineage, so
     the three statistics never re-run the analyzer).  ``explode_outer`` +
     null filter keeps the optimizer from inferring a ``size(terms) > 0``
     filter below the analyzer, which would evaluate it twice.
@@ -57,8 +74,7 @@ def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "tex
                 .where(F.col("term").isNotNull())
                 .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
     if materialize:
-        from rivulet.session import materialize as write_table
-        postings = write_table(postings, "postings")
+        postings = _write_bucketed(postings, "doc_id", num_buckets)
     doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
     term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = passages.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n_docs"))
