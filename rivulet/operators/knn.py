@@ -90,12 +90,23 @@ def _query_waves(q: DataFrame, max_broadcast_bytes: int):
         waves *= 2
 
 
-def _prepare(queries, corpus, qid, qvec, did, dvec):
+def _prepare(queries, corpus, qid, qvec, did, dvec, max_tasks=None):
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")) \
         .where(F.col("qvec").isNotNull())
     c = corpus.select(F.col(did).cast("long").alias("doc_id"), F.col(dvec).alias("dvec")) \
         .where(F.col("dvec").isNotNull())
-    return q, c
+    return q, _bound_tasks(c, max_tasks)
+
+
+def _bound_tasks(c: DataFrame, max_tasks: int | None) -> DataFrame:
+    """Each scan task emits one partial top-k list per query, so the merge
+    shuffles ``tasks x queries x k`` rows.  Cap the task count (default: twice
+    the cluster's parallelism) by coalescing input splits -- no shuffle, every
+    core still busy, and the partial volume no longer grows with the number
+    of input files."""
+    limit = max_tasks or 2 * c.sparkSession.sparkContext.defaultParallelism
+    n = c.rdd.getNumPartitions()
+    return c.coalesce(limit) if n > limit else c
 
 
 def _collect_wave(wave: DataFrame, dim: int, metric: str, extra_cols=()):
@@ -110,7 +121,7 @@ def _collect_wave(wave: DataFrame, dim: int, metric: str, extra_cols=()):
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, *, qid: str = "qid",
         qvec: str = "vec", did: str = "doc_id", dvec: str = "vec", metric: str = "dot",
-        exclude_self: bool = False,
+        exclude_self: bool = False, max_tasks: int | None = None,
         max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Exact top-k by inner product (or cosine).  Returns ``qid, rank, doc_id, score``.
 
@@ -121,7 +132,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, *, qid: str = "qid",
     if metric not in ("dot", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
     spark = queries.sparkSession
-    q, c = _prepare(queries, corpus, qid, qvec, did, dvec)
+    q, c = _prepare(queries, corpus, qid, qvec, did, dvec, max_tasks)
     dim, waves = _query_waves(q, max_broadcast_bytes)
     parts = []
     for wave in waves:
