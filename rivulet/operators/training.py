@@ -98,10 +98,15 @@ def drop_no_positives(samples: DataFrame, col: str = "positive_ctxs") -> DataFra
 
 
 def dedup_last_wins(df: DataFrame, key, order: str) -> DataFrame:
-    """One row per key, the last one in ``order`` (dict overwrite)."""
+    """One row per key, the last one in ``order`` (dict overwrite).
+
+    ``max_by`` is partially aggregated before the shuffle, so a key holding a
+    large share of the rows costs one small partial per task instead of one
+    huge sorted window partition."""
     keys = key if isinstance(key, (list, tuple)) else [key]
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    rest = [c for c in df.columns if c not in keys]
+    g = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__last"))
+    return g.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
 # ---------------------------------------------------------------- D1 / D2 / D3
