@@ -29,6 +29,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app_name)
     builder = builder.master(master or os.environ.get("RIVULET_MASTER", "local[8]"))
@@ -38,6 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -74,3 +76,34 @@ def materialize(df, name: str = "table"):
     path = f"{base}/rivulet-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+_ZIP: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rivulet`` importable in executor Python workers.
+
+    UDFs and ``mapInArrow`` functions are pickled by reference to their
+    module, so workers must import the package.  A zip of it is built once
+    per driver process and added with ``addPyFile`` once per application
+    (Spark distributes it to every executor)."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    if not _ZIP:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        out = os.path.join(tempfile.mkdtemp(prefix="rivulet-pkg-"), "rivulet.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _dirs, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        _ZIP.append(out)
+    spark.sparkContext.addPyFile(_ZIP[0])
+    _SHIPPED.add(app)
