@@ -45,3 +45,22 @@ def test_plans_have_no_cartesian_or_nested_loop(spark):
         plan = qs[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
         assert "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_bm25_scores_aggregate_without_shuffle(spark):
+    """The (question, passage) sum runs on the doc_id-bucketed postings: no
+    exchange between the partial and final score aggregation."""
+    ps = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("doc_id").alias("id"), "text")
+    qs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
+        F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    ix = lexical.build_index(ps)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = lexical.search(ix, qs, 5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    lines = plan.splitlines()
+    final = next(i for i, l in enumerate(lines) if "HashAggregate(keys=[qid" in l and "partial_" not in l)
+    partial = next(i for i, l in enumerate(lines) if "HashAggregate(keys=[qid" in l and "partial_sum" in l)
+    assert not any("Exchange" in l for l in lines[final:partial]), "\n".join(lines[final:partial + 1])
