@@ -17,14 +17,15 @@ The input is written once to the checkpoint folder first (``materialize_input``)
 because steps 1-3 each read it; otherwise an expensive upstream would run
 three times.
 
-Equal leading keys share a bucket, so a single very large leading key (one
-huge page) makes one large bucket; within-page order keys keep that bounded
-by the page size.
+A leading value that holds more than 1/n of the rows (a hot key) gets extra
+boundaries on the second order column, so it spreads over several buckets
+instead of making one huge window partition.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _num_buckets(df: DataFrame, num_partitions: int | None) -> int:
@@ -54,13 +55,49 @@ def _bucketed(df: DataFrame, order_by, n: int, materialize_input: bool = True):
                             if x is not None))
     else:
         bounds = []
+    bucket = F.lit(0)
     if bounds:
         arr = F.array(*[F.lit(float(b)) for b in bounds])
         bucket = F.coalesce(F.size(F.filter(arr, lambda b: b < F.col("__lead"))), F.lit(0))
-    else:
-        bucket = F.lit(0)
+    extra = _hot_boundaries(d, cols, n) if n > 1 and len(cols) > 1 else []
+    if extra:
+        # a leading value holding more than 1/n of the rows is split further
+        # on the second order column: boundary (v, s) is below a row iff
+        # lead > v, or lead == v and second > s (lexicographic)
+        second = cols[1]
+        hot = F.array(*[F.struct(F.lit(float(v)).alias("v"), F.lit(sv).alias("s")) for v, sv in extra])
+        bucket = bucket + F.size(F.filter(hot, lambda x: (x["v"] < F.col("__lead")) |
+                                          ((x["v"] == F.col("__lead")) & (x["s"] < second))))
     d = d.withColumn("__b", bucket.cast("int")).drop("__lead")
-    return d.repartition(max(len(bounds) + 1, 1), "__b"), cols
+    return d.repartition(max(len(bounds) + len(extra) + 1, 1), "__b"), cols
+
+
+def _hot_boundaries(d: DataFrame, cols, n: int) -> list:
+    """Second-level bounds for leading values that hold more than 1/n of the
+    rows.  Hot values are at most n (each exceeds 1/n of the rows); their
+    bounds come from ``approxQuantile`` (numeric second key) or a bounded
+    sample of the second key (used for bounds only; every row is kept)."""
+    total = d.count()
+    if total == 0:
+        return []
+    hot = (d.groupBy("__lead").count().where(F.col("count") > total / n)
+           .orderBy("__lead").collect())  # <= n rows
+    second = cols[1]
+    out = []
+    for r in hot:
+        v, cnt = r["__lead"], r["count"]
+        k = max(int(cnt * n / total), 1)          # sub-buckets for this value
+        rows = d.where(F.col("__lead") == v).select(second.alias("__s"))
+        if isinstance(rows.schema["__s"].dataType, (T.NumericType,)):
+            qs = rows.withColumn("__s", F.col("__s").cast("double")).approxQuantile(
+                "__s", [i / (k + 1) for i in range(1, k + 1)], 1.0 / (4 * (k + 1)))
+        else:
+            frac = min(1.0, 20.0 * (k + 1) / cnt)
+            sample = sorted(x["__s"] for x in rows.sample(fraction=frac, seed=17).limit(20 * (k + 1)).collect()
+                            if x["__s"] is not None)
+            qs = [sample[(i * len(sample)) // (k + 1)] for i in range(1, k + 1)] if sample else []
+        out += [(v, s) for s in sorted(set(x for x in qs if x is not None))]
+    return out
 
 
 def _with_offsets(local: DataFrame, totals: DataFrame, name: str, start: int) -> DataFrame:

@@ -155,3 +155,17 @@ def test_mips_transform(spark):
     assert phi == 25.0
     got = [r[0] for r in df.select(mips_augment_doc(F.col("v"), F.lit(phi))).collect()]
     assert got[0] == [3.0, 4.0, 0.0] and abs(got[1][2] - math.sqrt(24)) < 1e-12
+
+
+def test_dense_id_hot_leading_key(spark):
+    """60% of rows share one leading value: ids stay in exact (lead, token)
+    order while the hot value is split over several buckets."""
+    df = spark.range(0, 5000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id")).alias("lead"),
+                                     F.format_string("t%05d", F.col("id")).alias("tok"))
+    rows = sorted(add_dense_id(df, ["lead", "tok"], name="pos", start=0, num_partitions=8).collect(),
+                  key=lambda r: r.pos)
+    assert [(r.lead, r.tok) for r in rows] == sorted((r.lead, r.tok) for r in df.collect())
+    from rivulet.operators.order import _bucketed
+    b, _ = _bucketed(df, ["lead", "tok"], 8, materialize_input=False)
+    hot_buckets = b.where("lead = 0").select("__b").distinct().count()
+    assert hot_buckets > 1
