@@ -40,8 +40,8 @@ CHUNKS = regex.compile(f"[^{SPACE}]+")
 #: Python's split() also cuts at these, which are not white space here.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 END = ""  # stands for the word end inside the automaton
-#: Entries of each cache of a worker.
-CACHE = 250_000
+#: Entries of each half of a worker's caches.
+CACHE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +52,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Recent(dict):
+    """A cache of at most twice ``CACHE`` entries: when the younger half is full
+    it becomes the older one, from which entries in use come back."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute, self.older = compute, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class PairTable:
     """Which tokens can stand side by side in an encoding."""
 
@@ -73,7 +94,7 @@ class PairTable:
         pair = (left, right)
         found = self.known.get(pair)
         if found is None:
-            if len(self.known) >= 2 * CACHE:
+            if len(self.known) >= 4 * CACHE:
                 self.known.clear()
             found = self.known[pair] = self._check(left, right)
         return found
@@ -114,8 +135,7 @@ class BpeCodec:
                 self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
         self.letters = {b: c for b, c in enumerate(byte_letters())}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words, self.chunks = Recent(self._word), Recent(self._chunk)
         # the offset table: every token's text and a space after it, end to end
         texts = {**{i: t for t, i in vocab.items()}, **{i: t for t, i in self.special.items()}}
         size = max(texts) + 1
@@ -127,15 +147,26 @@ class BpeCodec:
     def encode_word(self, letters: str) -> list[int]:
         """Token ids of one word, given as byte letters without the word end."""
         text = letters + END
+        compatible = self.pairs.compatible
+        # the longest match at each place in turn; if every neighbour fits, no step back is needed
+        ids = [token for _, (_, token) in self.automaton.iter_long(text)]
+        before = -1
+        for token in ids:
+            if before >= 0 and not compatible(before, token):
+                return self._backtrack(text)
+            before = token
+        return ids
+
+    def _backtrack(self, text: str) -> list[int]:
         starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for last, (size, token) in self.automaton.iter(text):
-            starts[last + 1 - size].append((size, token))  # grows in length: ends come in order
+        for last, match in self.automaton.iter(text):
+            starts[last + 1 - match[0]].append(match)  # grows in length: ends come in order
+        compatible = self.pairs.compatible
         end, at = len(text), 0
         dead = bytearray(end + 1)
         ids: list[int] = []
         sizes: list[int] = []
         tries = [len(starts[0]) - 1]
-        compatible = self.pairs.compatible
         while at < end:
             k = tries[-1]
             here = starts[at]
@@ -160,35 +191,20 @@ class BpeCodec:
                 at -= sizes.pop()
         return ids
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = self.words[word] = tuple(self.encode_word(word.encode().decode("latin-1").translate(self.letters)))
-        return ids
+    def _word(self, word: str) -> bytes:
+        ids = self.encode_word(word.encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space and special tokens."""
         text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        ids: list[int] = []
-        for word in WORDS.findall(text):
-            ids += self._word(word)
-        return struct.pack(f"<{len(ids)}I", *ids)
+        words = self.words
+        return b"".join([words[w] for w in WORDS.findall(text)])
 
     def _plain(self, text: str) -> bytes:
         chunks = CHUNKS.findall(text) if ODD_SPACE.search(text) else text.split()
-        known, out = self.chunks, []
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = self._chunk(chunk)
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+        known = self.chunks
+        return b"".join([known[c] for c in chunks])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, end to end."""
