@@ -128,11 +128,16 @@ class BpeCodec:
                 parts[made], born[made] = (vocab[a], vocab[b]), rank
         self.pairs = PairTable(merges, parts, born)
         self.automaton = ahocorasick.Automaton()
+        keys = {}
         for token, i in vocab.items():
             if token not in self.special:
-                ends = token.endswith(suffix)
-                key = token.removesuffix(suffix) + END if ends else token
-                self.automaton.add_word(key, (len(key), i))
+                keys[token.removesuffix(suffix) + END if token.endswith(suffix) else token] = i
+        #: of each token its length, and its longest proper prefix that is a token
+        self.sizes, self.shorter = {}, {}
+        for key, i in keys.items():
+            self.automaton.add_word(key, i)
+            self.sizes[i] = len(key)
+            self.shorter[i] = next((keys[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in keys), -1)
         self.automaton.make_automaton()
         self.letters = {b: c for b, c in enumerate(byte_letters())}
         self.words, self.chunks = Recent(self._word), Recent(self._chunk)
@@ -147,49 +152,38 @@ class BpeCodec:
     def encode_word(self, letters: str) -> list[int]:
         """Token ids of one word, given as byte letters without the word end."""
         text = letters + END
-        compatible = self.pairs.compatible
-        # the longest match at each place in turn; if every neighbour fits, no step back is needed
-        ids = [token for _, (_, token) in self.automaton.iter_long(text)]
-        before = -1
-        for token in ids:
-            if before >= 0 and not compatible(before, token):
-                return self._backtrack(text)
-            before = token
-        return ids
-
-    def _backtrack(self, text: str) -> list[int]:
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]
-        for last, match in self.automaton.iter(text):
-            starts[last + 1 - match[0]].append(match)  # grows in length: ends come in order
-        compatible = self.pairs.compatible
         end, at = len(text), 0
         dead = bytearray(end + 1)
+        dead[end - 1] = 1  # the word end alone is no token
+        known, check = self.pairs.known, self.pairs.compatible
+        sizes, shorter, longest = self.sizes, self.shorter, self.automaton.iter_long
         ids: list[int] = []
-        sizes: list[int] = []
-        tries = [len(starts[0]) - 1]
-        while at < end:
-            k = tries[-1]
-            here = starts[at]
-            while k >= 0:
-                size, token = here[k]
-                if not dead[at + size] and (not ids or compatible(ids[-1], token)):
-                    break
-                k -= 1
-            if k >= 0:
-                tries[-1] = k - 1  # where to go on if this one fails
+        before = -1
+        token = next(longest(text, at))[1]
+        while True:
+            while token >= 0:
+                to = at + sizes[token]
+                if not dead[to]:
+                    if before < 0:
+                        break
+                    fits = known.get((before, token))
+                    if fits or fits is None and check(before, token):
+                        break
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                sizes.append(size)
-                at += size
-                if at < end:
-                    tries.append(len(starts[at]) - 1)
-            else:
-                if not ids:
-                    raise ValueError("the vocabulary does not cover the word")
+                if to == end:
+                    return ids
+                at, before = to, token
+                token = next(longest(text, at))[1]
+            elif ids:  # a dead place: the token before it must be shorter
                 dead[at] = 1
-                tries.pop()
-                ids.pop()
-                at -= sizes.pop()
-        return ids
+                token = ids.pop()
+                at -= sizes[token]
+                before = ids[-1] if ids else -1
+                token = shorter[token]
+            else:
+                raise ValueError("the vocabulary does not cover the word")
 
     def _word(self, word: str) -> bytes:
         ids = self.encode_word(word.encode().decode("latin-1").translate(self.letters))
@@ -197,8 +191,15 @@ class BpeCodec:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space and special tokens."""
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
+        if chunk.isascii():
+            text = chunk.lower()
+        else:
+            text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
         words = self.words
+        if text.isalpha():
+            return words[text]
+        if text[-1] in ".," and text[:-1].isalpha():
+            return words[text[:-1]] + words[text[-1]]
         return b"".join([words[w] for w in WORDS.findall(text)])
 
     def _plain(self, text: str) -> bytes:
