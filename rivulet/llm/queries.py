@@ -64,14 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
         WITH v AS (
-            SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
+            SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
             GROUP BY vec_id),
         scored AS (
             SELECT q.vec_id AS query_id, c.vec_id,
-                   CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+                   CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
             WHERE q.vec_id % 20 = 0),
         ranked AS (

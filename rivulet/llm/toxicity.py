@@ -1,8 +1,8 @@
 """Toxicity scores from a small recurrent network.
 
 A bidirectional gated recurrent network reads windows of words.  The input of
-a word is a learned word vector beside the mean vector of its character
-trigrams, so words never seen in training are read by their characters.
+a word is a learned word vector beside the mean vector of its runs of three and
+five characters, so words never seen in training are read by their characters.
 Attention pools the states of a window to one logit; a text's score is that of
 its highest window.  Overlapping windows cover each text to its end.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import documents_only, fresh, with_text_columns
 
 WINDOW, STRIDE = 48, 40
-HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, WORD_BYTES = 8, 4, 8, 1 << 13, 24
+HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, WORD_BYTES = 8, 4, 8, 1 << 14, 24
 #: Bounds of the training sample: documents of each class, windows of each.
 SAMPLE = {1: 1200, 0: 2400}
 SAMPLE_WINDOWS = 64
@@ -57,16 +57,26 @@ def window_starts(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
 
 
-def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed rows of every trigram of ``^word$`` and their weights (1/count)."""
+def char_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed rows of every run of three and five characters of ``^word$`` and
+    their weights (1 / count)."""
     chars = np.array([b"^" + w + b"$" for w in words], dtype=f"S{WORD_BYTES + 2}").view(np.uint8)
-    chars = chars.reshape(len(words), -1).astype(np.uint32)
-    code = chars[:, :-2] | chars[:, 1:-1] << 8 | chars[:, 2:] << 16
-    there = chars[:, 2:] > 0
-    rows = ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int32)
+    chars = chars.reshape(len(words), -1).astype(np.uint64)
+    three = chars[:, :-2] | chars[:, 1:-1] << 8 | chars[:, 2:] << 16
+    five = three[:, :-2] | three[:, 2:] << 16
+    code = np.concatenate([three, five], axis=1)
+    there = np.concatenate([chars[:, 2:] > 0, chars[:, 4:] > 0], axis=1)
+    rows = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(50)).astype(np.int32)
     return rows, (there / np.maximum(there.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def shrunken_odds(toxic: np.ndarray, clean: np.ndarray, prior: float, weight: float = 4.0) -> np.ndarray:
+    """Log odds of the toxic class among documents with a feature, against the
+    prior; few documents say little."""
+    rate = (toxic + weight * prior) / (toxic + clean + weight)
+    return np.clip(np.log(rate / (1 - rate)) - np.log(prior / (1 - prior)), -3, 3)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -91,12 +101,12 @@ class Network:
     def inputs(self, words: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if known is None:
             known = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
-        rows, weights = trigrams(words)
+        rows, weights = char_rows(words)
         chars = np.zeros((len(words), CHAR_DIM), dtype=np.float32)
         for j in range(rows.shape[1]):
             use = np.flatnonzero(weights[:, j])
             if len(use) == 0:
-                break
+                continue
             chars[use] += self.char[rows[use, j]] * weights[use, j, None]
         return np.concatenate([self.word[known], chars], axis=1), known, rows, weights
 
@@ -184,35 +194,52 @@ class Network:
         d_x = (d_words @ self.enter.transpose(0, 2, 1)).sum(axis=0)
         d_word, d_char = np.zeros_like(self.word), np.zeros_like(self.char)
         np.add.at(d_word, known, d_x[:, :WORD_DIM])
-        d_word[:, 0] = 0  # the first component stays what it was counted to be
+        d_word[:, 0] = 0  # first components stay what they were counted to be
         use = weights > 0
         spread = np.broadcast_to(d_x[:, None, WORD_DIM:], (*use.shape, CHAR_DIM))[use] * weights[use][:, None]
         for j in range(CHAR_DIM):
             d_char[:, j] = np.bincount(rows[use], spread[:, j], minlength=CHAR_ROWS)
+        d_char[:, 0] = 0
         return [d_word, d_char, x.T @ d_words, d_words.sum(axis=1, keepdims=True), d_gates_w, d_cand_w, d_attend, d_out]
 
 
 def _start(words: list[list[bytes]], label: list[int], rng: np.random.Generator) -> Network:
-    """Random weights; a word's first component is its shrunken log odds."""
-    seen = {c: Counter(w for ws, y in zip(words, label) if y == c for w in set(ws)) for c in (0, 1)}
-    total = {c: label.count(c) for c in (0, 1)}
-    both = seen[0] + seen[1]
+    """Random weights over the sample's words; first components still 0."""
+    both = Counter(w for ws in words for w in set(ws))
     listed = sorted((w for w, n in both.items() if n >= 2), key=lambda w: (-both[w], w))[:VOCABULARY - 1]
-    odds = [np.log((seen[1][w] + 1) / (total[1] + 2)) - np.log((seen[0][w] + 1) / (total[0] + 2)) for w in listed]
     word = rng.normal(0, 0.05, (len(listed) + 1, WORD_DIM)).astype(np.float32)
-    word[:, 0] = np.clip([0, *odds], -3, 3)
+    char = rng.normal(0, 0.3, (CHAR_ROWS, CHAR_DIM)).astype(np.float32)
+    word[:, 0], char[:, 0] = 0, 0
 
     def noise(*shape):
         return (rng.normal(0, 1, shape) / np.sqrt(shape[-2])).astype(np.float32)
 
     bias = np.zeros((2, 1, 3 * HIDDEN), dtype=np.float32)
-    return Network({w: i + 1 for i, w in enumerate(listed)}, word, rng.normal(0, 0.5, (CHAR_ROWS, CHAR_DIM)).astype(np.float32),
+    return Network({w: i + 1 for i, w in enumerate(listed)}, word, char,
                    noise(2, WORD_DIM + CHAR_DIM, 3 * HIDDEN), bias, noise(2, HIDDEN, 2 * HIDDEN), noise(2, HIDDEN, HIDDEN),
                    rng.normal(0, 0.3, 2 * HIDDEN).astype(np.float32),
                    np.append(rng.normal(0, 0.3, 2 * HIDDEN), 0).astype(np.float32))
 
 
-def train(windows: list[list[list[bytes]]], label: list[int], epochs: int = 2, rounds: int = 2, batch: int = 256,
+def _odds(net: Network, words: list[list[bytes]], label: np.ndarray, rows: np.ndarray, weights: np.ndarray,
+          index: dict[bytes, int], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First components: log odds of words and of runs of characters over the
+    documents ``use``."""
+    prior = np.clip(label[use].mean() if len(use) else 0.5, 0.01, 0.99)
+    of_word, of_char = np.zeros((2, len(net.word))), np.zeros((2, CHAR_ROWS))
+    for d in use:
+        own = set(words[d])
+        of_word[label[d], [net.vocabulary.get(w, 0) for w in own]] += 1
+        at = np.fromiter((index[w] for w in own), dtype=np.int64, count=len(own))
+        there = np.zeros(CHAR_ROWS, dtype=bool)
+        there[rows[at][weights[at] > 0]] = True
+        of_char[label[d]] += there
+    word = shrunken_odds(of_word[1], of_word[0], prior)
+    word[0] = 0
+    return word.astype(np.float32), (3 * shrunken_odds(of_char[1], of_char[0], prior)).astype(np.float32)
+
+
+def train(windows: list[list[list[bytes]]], label: list[int], steps: int = 150, rounds: int = 2, batch: int = 256,
           seed: int = 7) -> Network | None:
     """A network from each document's windows and label; None without both labels."""
     if len(set(label)) < 2:
@@ -221,40 +248,63 @@ def train(windows: list[list[list[bytes]]], label: list[int], epochs: int = 2, r
     words = [[w for win in doc for w in win] for doc in windows]
     net = _start(words, label, rng)
     index: dict[bytes, int] = {}
-    rows, owner = [], []
+    table, owner = [], []
     for d, doc in enumerate(windows):
         for win in doc:
-            rows.append([index.setdefault(w, len(index)) for w in win] + [-1] * (WINDOW - len(win)))
+            table.append([index.setdefault(w, len(index)) for w in win] + [-1] * (WINDOW - len(win)))
             owner.append(d)
-    table, owner, y = np.array(rows), np.array(owner), np.array(label)
+    table, owner, y = np.array(table), np.array(owner), np.array(label)
     listed = list(index)
     known = np.array([net.vocabulary.get(w, 0) for w in listed])
-    odds = np.append(net.word[known, 0], -9)[table]
-    value = np.sort(odds, axis=1)[:, -3:].sum(axis=1)  # before training: a window's three most telling words
+    # a document is read with the odds that the other half of the sample gives,
+    # in training and when the border is drawn: else its own words would tell
+    half = np.zeros(len(y), dtype=np.int64)
+    for c in (0, 1):
+        half[y == c] = np.arange((y == c).sum()) % 2
+    every = char_rows(listed)
+    odds = [_odds(net, words, y, *every, index, np.flatnonzero(half != f)) for f in (0, 1)]
+    in_half = [np.flatnonzero(half[owner] == f) for f in (0, 1)]
+
+    def look(f: int) -> None:
+        net.word[:, 0], net.char[:, 0] = odds[f]
+
+    value = np.zeros(len(owner))
+    for f in (0, 1):  # before training: a window's three most telling words
+        look(f)
+        telling = np.append(net.word[known, 0] + net.inputs(listed, known)[0][:, WORD_DIM], -99)
+        value[in_half[f]] = np.sort(telling[table[in_half[f]]], axis=1)[:, -3:].sum(axis=1)
     moment = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parameters()]
     step = 0
     for _ in range(rounds):
         order = np.lexsort((-value, owner))
         place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         top = order[place < 2]
-        some = rng.choice(np.flatnonzero(y[owner] == 0), min(3 * int((y == 0).sum()), int((y[owner] == 0).sum())), replace=False)
-        chosen = np.unique(np.concatenate([top, some]))
-        for epoch in range(epochs):
-            rng.shuffle(chosen)
-            for i in range(0, len(chosen), batch):
-                part = table[chosen[i:i + batch]]
-                uniq, inverse = np.unique(part, return_inverse=True)
-                inverse = inverse.reshape(part.shape) - int(uniq[0] < 0)
-                uniq = uniq[uniq >= 0]
-                rows_known = np.where(rng.random(len(uniq)) < 0.3, 0, known[uniq])  # so that characters count, too
-                grads = net.gradients([listed[u] for u in uniq], rows_known, inverse, y[owner[chosen[i:i + batch]]])
-                step += 1
-                for p, g, (m, v) in zip(net.parameters(), grads, moment):
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    p -= (0.01 * m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
-        gates = net.enter_gates(net.inputs(listed, known)[0])
-        value = np.concatenate([net.read(gates, table[i:i + 4096])[0] for i in range(0, len(table), 4096)])
+        clean = np.flatnonzero(y[owner] == 0)
+        negative = np.union1d(top[y[owner[top]] == 0], rng.choice(clean, min(3 * int((y == 0).sum()), len(clean)), replace=False))
+        positive = top[y[owner[top]] == 1]
+        for _ in range(steps):
+            f = step % 2
+            mine = [part[half[owner[part]] == f] for part in (positive, negative)]
+            chosen = np.concatenate([rng.choice(part, batch // 2) for part in mine if len(part)])
+            look(f)
+            part = table[chosen]
+            uniq, inverse = np.unique(part, return_inverse=True)
+            inverse = inverse.reshape(part.shape) - int(uniq[0] < 0)
+            uniq = uniq[uniq >= 0]
+            rows_known = np.where(rng.random(len(uniq)) < 0.3, 0, known[uniq])  # so that characters count, too
+            grads = net.gradients([listed[u] for u in uniq], rows_known, inverse, y[owner[chosen]])
+            step += 1
+            for p, g, (m, v) in zip(net.parameters(), grads, moment):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                p -= (0.01 * m / (1 - 0.9 ** step) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)).astype(np.float32)
+        for f in (0, 1):
+            look(f)
+            gates = net.enter_gates(net.inputs(listed, known)[0])
+            for i in range(0, len(in_half[f]), 4096):
+                at = in_half[f][i:i + 4096]
+                value[at] = net.read(gates, table[at])[0]
+    net.word[:, 0], net.char[:, 0] = _odds(net, words, y, *every, index, np.arange(len(y)))
     best = np.full(len(y), -np.inf)
     np.maximum.at(best, owner, value)
     # the border between the classes that has the best F1 on the sample, halfway to the next lower score
