@@ -30,7 +30,7 @@ WINDOW, STRIDE = 48, 40
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, WORD_BYTES = 8, 4, 8, 1 << 14, 24
 #: Bounds of the training sample: documents of each class, windows of each.
 SAMPLE = {1: 1200, 0: 2400}
-SAMPLE_WINDOWS = 64
+SAMPLE_WINDOWS = 32
 VOCABULARY = 50_000
 #: Windows read at a time.
 BATCH = 1024
@@ -101,6 +101,9 @@ class Network:
     def inputs(self, words: list[bytes], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         if known is None:
             known = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
+        if len(words) > 1 << 14:  # in parts; the last two are for training alone
+            parts = [self.inputs(words[i:i + (1 << 14)], known[i:i + (1 << 14)])[0] for i in range(0, len(words), 1 << 14)]
+            return np.concatenate(parts), known, np.zeros(0), np.zeros(0)
         rows, weights = char_rows(words)
         chars = np.zeros((len(words), CHAR_DIM), dtype=np.float32)
         for j in range(rows.shape[1]):
@@ -221,7 +224,7 @@ def _start(words: list[list[bytes]], label: list[int], rng: np.random.Generator)
                    np.append(rng.normal(0, 0.3, 2 * HIDDEN), 0).astype(np.float32))
 
 
-def _odds(net: Network, words: list[list[bytes]], label: np.ndarray, rows: np.ndarray, weights: np.ndarray,
+def _odds(net: Network, words: list[list[bytes]], label: np.ndarray, rows: np.ndarray, used: np.ndarray,
           index: dict[bytes, int], use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First components: log odds of words and of runs of characters over the
     documents ``use``."""
@@ -232,7 +235,7 @@ def _odds(net: Network, words: list[list[bytes]], label: np.ndarray, rows: np.nd
         of_word[label[d], [net.vocabulary.get(w, 0) for w in own]] += 1
         at = np.fromiter((index[w] for w in own), dtype=np.int64, count=len(own))
         there = np.zeros(CHAR_ROWS, dtype=bool)
-        there[rows[at][weights[at] > 0]] = True
+        there[rows[at][used[at]]] = True
         of_char[label[d]] += there
     word = shrunken_odds(of_word[1], of_word[0], prior)
     word[0] = 0
@@ -248,12 +251,10 @@ def train(windows: list[list[list[bytes]]], label: list[int], steps: int = 150,
     words = [[w for win in doc for w in win] for doc in windows]
     net = _start(words, label, rng)
     index: dict[bytes, int] = {}
-    table, owner = [], []
-    for d, doc in enumerate(windows):
-        for win in doc:
-            table.append([index.setdefault(w, len(index)) for w in win] + [-1] * (WINDOW - len(win)))
-            owner.append(d)
-    table, owner, y = np.array(table), np.array(owner), np.array(label)
+    owner, y = np.repeat(np.arange(len(windows)), [len(doc) for doc in windows]), np.array(label)
+    table = np.full((len(owner), WINDOW), -1, dtype=np.int32)
+    for row, win in zip(table, (win for doc in windows for win in doc)):
+        row[:len(win)] = [index.setdefault(w, len(index)) for w in win]
     listed = list(index)
     known = np.array([net.vocabulary.get(w, 0) for w in listed])
     # a document is read with the odds that the other half of the sample gives,
@@ -261,7 +262,9 @@ def train(windows: list[list[list[bytes]]], label: list[int], steps: int = 150,
     half = np.zeros(len(y), dtype=np.int64)
     for c in (0, 1):
         half[y == c] = np.arange((y == c).sum()) % 2
-    every = char_rows(listed)
+    parts = [char_rows(listed[i:i + 8192]) for i in range(0, len(listed), 8192)]
+    every = np.concatenate([p[0].astype(np.int16) for p in parts]), np.concatenate([p[1] > 0 for p in parts])
+    del parts
     odds = [_odds(net, words, y, *every, index, np.flatnonzero(half != f)) for f in (0, 1)]
     in_half = [np.flatnonzero(half[owner] == f) for f in (0, 1)]
 
@@ -395,7 +398,8 @@ def sample_documents(docs: DataFrame, labels: DataFrame, learn: "F.Column") -> t
     field = T.StructField("windows", T.ArrayType(T.BinaryType()))
     rows = with_text_columns(texts, "text", [field], lambda: cut).select("toxic", "windows").collect()
     rows = sorted((r.toxic, [bytes(w) for w in r.windows]) for r in rows if r.windows)[:sum(SAMPLE.values())]
-    return [[w.split() for w in ws] for _, ws in rows], [y for y, _ in rows]
+    one: dict[bytes, bytes] = {}  # of equal words one object is enough
+    return [[[one.setdefault(w, w) for w in win.split()] for win in ws] for _, ws in rows], [y for y, _ in rows]
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> "F.Column":
