@@ -185,7 +185,14 @@ class Scanner:
                 best = found[d].get(name)
                 if best is None or (-share, -new[2], new[1]) < (-best[0], -best[2], best[1]):
                     found[d][name] = new
-        return found
+        return [self._distinct(f) for f in found]
+
+    @staticmethod
+    def _distinct(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
+        """Without licenses whose words another one matches better (as one
+        version's notice resembles the next one's)."""
+        return {n: m for n, m in found.items() if not any(
+            o[0] > m[0] and o[1] < m[1] + m[2] and m[1] < o[1] + o[2] for o in found.values())}
 
 
 _FIELD = T.StructField("found", T.ArrayType(T.StructType([
