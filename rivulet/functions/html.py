@@ -47,9 +47,11 @@ class _Walker(HTMLParser):
             self.sec_paras.append("".join(self.buf))
             self.buf = []
             self.in_p = False
+        self.sup = 0  # an unclosed <sup> ends with its paragraph
 
     def _end_section(self):
         self._close_p()
+        self.table = 0  # an unclosed <table> ends with its section
         for i, t in enumerate(self.sec_paras):
             self.out.append((self.sec_ord, self.sec_title, i, t))
         self.sec_paras = []

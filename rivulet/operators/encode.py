@@ -101,7 +101,7 @@ def encode(df: DataFrame, text: str, *, title: str | None = None, encoder: str =
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 
 
-def build_vocab(token_arrays: DataFrame, tokens: str = "tokens", min_df: int = 1,
+def build_vocab(token_arrays: DataFrame, tokens: str = "tokens",
                 num_partitions: int | None = None) -> DataFrame:
     """Vocabulary ``token, id``: special tokens first, then tokens by
     document frequency desc, token asc (dense ids, no single-partition window)."""
@@ -109,7 +109,6 @@ def build_vocab(token_arrays: DataFrame, tokens: str = "tokens", min_df: int = 1
     df = (token_arrays.select(F.explode_outer(F.array_distinct(tokens)).alias("token"))
           .where(F.col("token").isNotNull())
           .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-          .where(F.col("df") >= min_df)
           .withColumn("neg_df", -F.col("df")))
     v = add_dense_id(df, ["neg_df", "token"], name="id", start=len(SPECIALS),
                      num_partitions=num_partitions)

@@ -1,46 +1,47 @@
 """Exact / approximate nearest-neighbour search by inner product.
 
-Design (Spark-first, scale-aware):
-
-* The corpus is never shuffled or collected.  It is streamed once per query
-  *wave* through ``mapInArrow``; each Arrow batch becomes a dense float64 matrix
-  (zero-copy from the list column) and is scored against the wave's query
-  matrix with one BLAS matmul.  Only a running top-k per query is kept per
-  task, so a task emits at most ``n_queries_in_wave * k`` rows, never all pairs.
-* The query side is broadcast, but only in waves whose byte size is checked
-  against ``max_broadcast_bytes`` before anything is collected; a larger query
-  set is split into more waves (each wave re-streams the corpus), so the
-  broadcast never grows with the data.
-* Per-task partial top-k lists are merged with a window ``row_number() <= k``
-  over ``qid`` (Spark plans a partial/final ``WindowGroupLimit``).  Ties are
-  broken by the smaller document id, so the result is independent of the
-  partitioning.
+Design:
+
+* Both sides are tables of (id, vector); ids can be of any orderable type.
+  Corpus vectors are dealt into chunks and queries into blocks of bounded size,
+  and every (chunk, block) pair is one cogroup: the pairing is an equi-join on
+  (cell, chunk, block) in the data plane.  Nothing is collected or broadcast,
+  and no task holds more than one chunk, one block and their score matrix.
+* Exact search has one cell.  IVF search assigns every corpus vector to its
+  nearest centroid and every query to its ``nprobe`` nearest; only equal cells
+  meet.  A large cell has more chunks, so it is no hot group.
+* A pair is scored with one matrix product and emits at most k rows a query;
+  they are merged by ``row_number() <= k``, which Spark limits before the
+  shuffle.  Ties go to the smaller document id, whatever the partitioning.
+* A null vector, a component that is null or not finite, or vectors of
+  different lengths are errors, not silently left out.
+
+Input vectors are written to the shared folder once when a search is built, so
+that an encoder in front of it runs once.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HITS_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("score", T.DoubleType()),
-])
+from rivulet.session import materialize
 
-DEFAULT_MAX_BROADCAST_BYTES = 128 << 20
+#: Corpus vectors of a chunk, and bounds of a block of queries.
+CHUNK_ROWS, BLOCK_ROWS = 8192, 2048
+DEFAULT_MAX_BLOCK_BYTES = 8 << 20
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    """ARRAY<FLOAT> Arrow column -> (n, dim) float64 matrix without per-row Python."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
-    flat = col.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64, copy=False).reshape(-1, dim)
+def _matrix(col, dim: int) -> np.ndarray:
+    """List column -> (n, dim) float64 matrix without per-row Python."""
+    chunks = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
+    out = np.concatenate(flat) if flat else np.zeros(0)
+    if len(out) != len(col) * dim:
+        raise ValueError(f"vectors must all have {dim} components")
+    return out.astype(np.float64, copy=False).reshape(-1, dim)
 
 
 def _normalize_rows(m: np.ndarray) -> np.ndarray:
@@ -49,193 +50,155 @@ def _normalize_rows(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _topk_merge(best_s, best_i, s, ids, k):
-    """Merge a new score block into running top-k, ties -> smaller id."""
-    cand_s = np.concatenate([best_s, s], axis=1)
-    cand_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-    m = cand_s.shape[1]
-    kk = min(k, m)
-    part = np.argpartition(-cand_s, kk - 1, axis=1)[:, :kk]
-    sel_s = np.take_along_axis(cand_s, part, axis=1)
-    sel_i = np.take_along_axis(cand_i, part, axis=1)
-    thr = sel_s.min(axis=1)
-    full_eq = (cand_s == thr[:, None]).sum(axis=1)
-    sel_eq = (sel_s == thr[:, None]).sum(axis=1)
-    amb = np.nonzero((full_eq != sel_eq) & np.isfinite(thr))[0]
-    for r in amb:  # exact tie resolution at the cut, rare (duplicate vectors)
-        order = np.lexsort((cand_i[r], -cand_s[r]))[:kk]
-        sel_s[r] = cand_s[r, order]
-        sel_i[r] = cand_i[r, order]
-    return sel_s, sel_i
-
-
-def _query_waves(q: DataFrame, max_broadcast_bytes: int):
-    """Split queries into hash waves whose collected size is proven <= bound."""
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qvec")).alias("dim"),
-                  F.min(F.size("qvec")).alias("mindim")).first()
-    n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    if n == 0:
-        return 0, []
-    if stats["mindim"] != dim:
-        raise ValueError("query vectors must all have the same dimension")
-    row_bytes = dim * 8 + 64
-    waves = max(1, math.ceil(n * row_bytes / max_broadcast_bytes))
-    while True:
-        if waves == 1:
-            return dim, [q]
-        key = F.pmod(F.xxhash64("qid"), F.lit(waves))
-        counts = q.groupBy(key.alias("w")).count().collect()  # <= waves rows
-        if max(r["count"] for r in counts) * row_bytes <= max_broadcast_bytes:
-            return dim, [q.where(key == w) for w in range(waves)]
-        waves *= 2
-
-
-def _prepare(queries, corpus, qid, qvec, did, dvec, max_tasks=None):
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec")) \
-        .where(F.col("qvec").isNotNull())
-    c = corpus.select(F.col(did).cast("long").alias("doc_id"), F.col(dvec).alias("dvec")) \
-        .where(F.col("dvec").isNotNull())
-    return q, _bound_tasks(c, max_tasks)
-
-
-def _bound_tasks(c: DataFrame, max_tasks: int | None) -> DataFrame:
-    """Each scan task emits one partial top-k list per query, so the merge
-    shuffles ``tasks x queries x k`` rows.  Cap the task count (default: twice
-    the cluster's parallelism) by coalescing input splits -- no shuffle, every
-    core still busy, and the partial volume no longer grows with the number
-    of input files."""
-    limit = max_tasks or 2 * c.sparkSession.sparkContext.defaultParallelism
-    n = c.rdd.getNumPartitions()
-    return c.coalesce(limit) if n > limit else c
-
-
-def _collect_wave(wave: DataFrame, dim: int, metric: str, extra_cols=()):
-    tbl = wave.select("qid", "qvec", *extra_cols).toArrow()
-    qids = tbl.column("qid").to_numpy()
-    qm = _matrix(tbl.column("qvec"), dim)
-    if metric == "cosine":
-        qm = _normalize_rows(qm)
-    extras = {c: tbl.column(c).to_numpy(zero_copy_only=False) for c in extra_cols}
-    return qids, qm, extras
+def _ids(col) -> np.ndarray:
+    return np.asarray(col.combine_chunks().to_numpy(zero_copy_only=False) if isinstance(col, pa.ChunkedArray)
+                      else col.to_numpy(zero_copy_only=False))
+
+
+def _vectors(df: DataFrame, name: str, **columns: str) -> DataFrame:
+    """Stored columns under their new names; the one called ``vec`` as doubles."""
+    picked = [F.col(c).cast("array<double>").alias("vec") if new == "vec" else F.col(c).alias(new) for new, c in columns.items()]
+    return materialize(df.select(*picked), name)
+
+
+def _dimension(*tables: DataFrame) -> int:
+    """The common vector length; raises where there is none."""
+    sizes = set()
+    for t in tables:
+        odd = F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        row = t.agg(F.count_if(odd).alias("odd"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high")).first()
+        if row["odd"]:
+            raise ValueError(f"{row['odd']} vectors are null or hold a component that is null or not finite")
+        sizes |= {row["low"], row["high"]} - {None}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors must all have the same dimension, not {sorted(sizes)}")
+    return sizes.pop() if sizes else 0
+
+
+def _paired(q: DataFrame, c: DataFrame, pair, schema: str, dim: int, max_block_bytes: int) -> DataFrame:
+    """``pair(queries, corpus)`` (Arrow tables) over every block and chunk of
+    equal ``cell``.  Chunks and blocks per cell come from the cells' counts."""
+    rows = max(1, min(BLOCK_ROWS, max_block_bytes // (dim * 8 + 64)))
+
+    def per_cell(t: DataFrame, size: int) -> dict[int, int]:  # one entry for each cell
+        return {r["cell"]: -(-r["count"] // size) for r in t.groupBy("cell").count().collect()}
+
+    chunks, blocks = per_cell(c, CHUNK_ROWS), per_cell(q, rows)
+    cells = sorted(set(chunks) & set(blocks))
+    if not cells:
+        return q.sparkSession.createDataFrame([], schema)
+    n_chunks = F.create_map(*[F.lit(x) for cell in cells for x in (cell, chunks[cell])])[F.col("cell")]
+    n_blocks = F.create_map(*[F.lit(x) for cell in cells for x in (cell, blocks[cell])])[F.col("cell")]
+    both = F.col("cell").isin(cells)
+    left = q.where(both).withColumn("block", F.pmod(F.xxhash64("qid"), n_blocks).cast("int")) \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
+    right = c.where(both).withColumn("chunk", F.pmod(F.xxhash64("doc_id"), n_chunks).cast("int")) \
+        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    keys = ["cell", "chunk", "block"]
+    empty = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string()))
+                       for f in T.StructType.fromDDL(schema)]).empty_table()
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pair(a, b) if a.num_rows and b.num_rows else empty
+
+    return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, schema)
+
+
+def _id_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _scorer(dim: int, metric: str, exclude_self: bool, k: int):
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        qids, ids = _ids(left.column("qid")), _ids(right.column("doc_id"))
+        qm, cm = _matrix(left.column("vec"), dim), _matrix(right.column("vec"), dim)
+        if metric == "cosine":
+            qm, cm = _normalize_rows(qm), _normalize_rows(cm)
+        s = qm @ cm.T
+        if exclude_self:
+            place: dict = {}
+            for j, d in enumerate(ids):
+                place.setdefault(d, []).append(j)
+            for i, d in enumerate(qids):
+                s[i, place.get(d, [])] = -np.inf
+        kk = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+        # what may be among the best k; their scores then come from one formula,
+        # which does not hang on the shape of the block as a matrix product does
+        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+        row, col = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
+        score = np.concatenate([np.einsum("ij,ij->i", qm[row[i:i + 65536]], cm[col[i:i + 65536]])
+                                for i in range(0, max(len(row), 1), 65536)])
+        by_id = np.empty(len(ids), dtype=np.int64)
+        by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        order = np.lexsort((by_id[col], -score, row))
+        row, col, score = row[order], col[order], score[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col, score = row[keep], col[keep], score[keep]
+        return pa.table({"qid": left.column("qid").take(pa.array(row)), "doc_id": right.column("doc_id").take(pa.array(col)),
+                         "score": pa.array(score, pa.float64())})
+    return pair
+
+
+def _merged(parts: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
+    return (parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", "rank", "doc_id", "score"))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, *, qid: str = "qid",
         qvec: str = "vec", did: str = "doc_id", dvec: str = "vec", metric: str = "dot",
-        exclude_self: bool = False, max_tasks: int | None = None,
-        max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+        exclude_self: bool = False, max_broadcast_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
     """Exact top-k by inner product (or cosine).  Returns ``qid, rank, doc_id, score``.
 
     ``rank`` is 1-based, ordered by score descending then doc id ascending.
     ``exclude_self`` drops pairs whose query id equals the document id
     (leave-one-out retrieval when queries are drawn from the corpus).
+    ``max_broadcast_bytes`` bounds a block of queries.
     """
     if metric not in ("dot", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    spark = queries.sparkSession
-    q, c = _prepare(queries, corpus, qid, qvec, did, dvec, max_tasks)
-    dim, waves = _query_waves(q, max_broadcast_bytes)
-    parts = []
-    for wave in waves:
-        qids, qm, _ = _collect_wave(wave, dim, metric)
-        bc = spark.sparkContext.broadcast((qids, qm))
-
-        def score(batches, bc=bc):
-            w_ids, w_q = bc.value
-            nq = len(w_ids)
-            best_s = np.full((nq, 0), -np.inf)
-            best_i = np.zeros((nq, 0), dtype=np.int64)
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                cm = _matrix(b.column(1), dim)
-                if metric == "cosine":
-                    cm = _normalize_rows(cm)
-                s = w_q @ cm.T
-                if exclude_self:
-                    s[w_ids[:, None] == ids[None, :]] = -np.inf
-                best_s, best_i = _topk_merge(best_s, best_i, s, ids, k)
-            if best_s.shape[1] == 0:
-                return
-            keep = np.isfinite(best_s)
-            qcol = np.broadcast_to(w_ids[:, None], best_s.shape)[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qcol, pa.int64()), pa.array(best_i[keep], pa.int64()),
-                 pa.array(best_s[keep], pa.float64())], names=["qid", "doc_id", "score"])
-
-        parts.append(c.mapInArrow(score, HITS_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], HITS_SCHEMA.add("rank", T.IntegerType())) \
-            .select("qid", "rank", "doc_id", "score")
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (allp.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select("qid", "rank", "doc_id", "score"))
+    q = _vectors(queries, "knn-queries", qid=qid, vec=qvec).withColumn("cell", F.lit(0))
+    c = _vectors(corpus, "knn-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
+    dim = _dimension(q, c)
+    schema = f"qid {_id_type(q, 'qid')}, doc_id {_id_type(c, 'doc_id')}, score double"
+    return _merged(_paired(q, c, _scorer(dim, metric, exclude_self, k), schema, dim, max_broadcast_bytes), k)
 
 
 def gold_rank(queries: DataFrame, corpus: DataFrame, *, qid: str = "qid", qvec: str = "vec",
               gold_id: str = "gold_id", did: str = "doc_id", dvec: str = "vec",
-              metric: str = "dot",
-              max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+              metric: str = "dot", max_broadcast_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
     """0-based position of each query's gold context in the descending
     score order over the whole context pool, without sorting the pool.
 
     rank = #contexts scoring higher + #contexts scoring equal with a smaller id.
-    Returns ``qid, gold_id, gold_rank``; queries whose gold id is absent from
-    the pool are dropped.
+    Returns ``qid, gold_id, gold_rank``; a query whose gold id is absent from
+    the pool has a null rank.
     """
-    spark = queries.sparkSession
-    q0 = queries.select(F.col(qid).cast("long").alias("qid"), F.col(qvec).alias("qvec"),
-                        F.col(gold_id).cast("long").alias("gold_id"))
-    c = corpus.select(F.col(did).cast("long").alias("doc_id"), F.col(dvec).alias("dvec")) \
-        .where(F.col("dvec").isNotNull())
-    from rivulet.functions.vector import cosine, dot
-    sim = cosine if metric == "cosine" else dot
-    # gold score per query: equi-join on the gold id (no pair expansion)
-    q = (q0.join(c.withColumnRenamed("doc_id", "gold_id"), "gold_id")
-         .select("qid", "qvec", "gold_id", sim("qvec", "dvec").alias("gold_score")))
-    dim, waves = _query_waves(q.select("qid", "qvec"), max_broadcast_bytes)
-    schema = T.StructType([T.StructField("qid", T.LongType()),
-                           T.StructField("n_before", T.LongType())])
-    parts = []
-    for wave in waves:
-        wq = q.join(wave.select("qid"), "qid", "left_semi") if len(waves) > 1 else q
-        qids, qm, ex = _collect_wave(wq, dim, metric, ("gold_id", "gold_score"))
-        gid = ex["gold_id"].astype(np.int64)
-        gs = ex["gold_score"].astype(np.float64)
-        bc = spark.sparkContext.broadcast((qids, qm, gid, gs))
-
-        def count(batches, bc=bc):
-            w_ids, w_q, w_gid, w_gs = bc.value
-            cnt = np.zeros(len(w_ids), dtype=np.int64)
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                cm = _matrix(b.column(1), dim)
-                if metric == "cosine":
-                    cm = _normalize_rows(cm)
-                s = w_q @ cm.T
-                # recompute the gold score with the same arithmetic as the pool
-                hit = w_gid[:, None] == ids[None, :]
-                rows, cols = np.nonzero(hit)
-                g = w_gs.copy()
-                g[rows] = s[rows, cols]
-                before = (s > g[:, None]) | ((s == g[:, None]) & (ids[None, :] < w_gid[:, None]))
-                cnt += before.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(w_ids, pa.int64()), pa.array(cnt, pa.int64())],
-                                             names=["qid", "n_before"])
-
-        parts.append(c.mapInArrow(count, schema))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    return (allp.groupBy("qid").agg(F.sum("n_before").alias("gold_rank"))
-            .join(q.select("qid", "gold_id"), "qid")
-            .select("qid", "gold_id", F.col("gold_rank").cast("long").alias("gold_rank")))
+    q = _vectors(queries, "rank-queries", qid=qid, vec=qvec, gold_id=gold_id)
+    c = _vectors(corpus, "rank-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
+    dim = _dimension(q, c)
+    # the gold vector travels with its query (equi-join on the gold id)
+    gold = c.select(F.col("doc_id").alias("gold_id"), F.col("vec").alias("gold_vec"))
+    known = q.join(gold, "gold_id").withColumn("cell", F.lit(0))
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, gids = _ids(right.column("doc_id")), _ids(left.column("gold_id"))
+        qm, gm, cm = _matrix(left.column("vec"), dim), _matrix(left.column("gold_vec"), dim), _matrix(right.column("vec"), dim)
+        if metric == "cosine":
+            qm, gm, cm = _normalize_rows(qm), _normalize_rows(gm), _normalize_rows(cm)
+        g = np.einsum("ij,ij->i", qm, gm)
+        s = qm @ cm.T
+        higher = s > g[:, None]
+        # scores that differ by rounding alone are compared by one formula
+        row, col = np.nonzero(np.abs(s - g[:, None]) <= 1e-9 * (1 + np.abs(g))[:, None])
+        same = np.einsum("ij,ij->i", qm[row], cm[col])
+        higher[row, col] = (same > g[row]) | ((same == g[row]) & (ids[col] < gids[row]))
+        return pa.table({"qid": left.column("qid"), "n_before": pa.array(higher.sum(axis=1), pa.int64())})
+
+    counts = _paired(known, c, pair, f"qid {_id_type(q, 'qid')}, n_before long", dim, max_broadcast_bytes)
+    ranks = counts.groupBy("qid").agg(F.sum("n_before").cast("long").alias("gold_rank"))
+    return q.select("qid", "gold_id").join(ranks, "qid", "left").select("qid", "gold_id", "gold_rank")
 
 
 # ---------------------------------------------------------------- J4 / X15 / A8
@@ -259,71 +222,50 @@ def train_ivf(corpus: DataFrame, n_cells: int, *, dvec: str = "vec", seed: int =
     return phi, np.array([c for c in model.clusterCenters()], dtype=np.float64)
 
 
+def _cells(t: DataFrame, dim: int, phi: float, centroids: np.ndarray, nprobe: int | None) -> DataFrame:
+    """``t`` with the cell of each corpus vector, or a row for each of the
+    ``nprobe`` nearest cells of a query.  Centroids are bounded by n_cells."""
+    schema = T.StructType([*t.schema.fields, T.StructField("cell", T.IntegerType())])
+    squares = (centroids * centroids).sum(axis=1)
+
+    def run(batches):
+        for b in batches:
+            m = _matrix(b.column(b.schema.get_field_index("vec")), dim)
+            extra = np.zeros(len(m)) if nprobe else np.sqrt(np.maximum(phi - (m * m).sum(axis=1), 0.0))
+            distance = squares - 2 * np.concatenate([m, extra[:, None]], axis=1) @ centroids.T
+            near = np.argsort(distance, axis=1, kind="stable")[:, :nprobe or 1]
+            rows = b.take(pa.array(np.repeat(np.arange(len(m)), near.shape[1])))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], names=[*b.schema.names, "cell"])
+
+    return t.mapInArrow(run, schema)
+
+
 def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, *, n_cells: int = 16,
             nprobe: int = 4, qid: str = "qid", qvec: str = "vec", did: str = "doc_id",
-            dvec: str = "vec", exclude_self: bool = False, seed: int = 7,
-            max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+            dvec: str = "vec", exclude_self: bool = False, seed: int = 7, index=None,
+            max_broadcast_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
     """Approximate top-k by inner product, IVF style.
 
     Corpus vectors are assigned to their nearest k-means cell; each query
     probes its ``nprobe`` nearest cells and only (query, vector) pairs in a
     probed cell are scored, with the exact inner product (Q13: scores are
     always inner products).  ``nprobe == n_cells`` equals :func:`knn`.
-    Same streaming / broadcast-wave / partial top-k design as :func:`knn`.
+    ``index`` is what :func:`load_ivf` returns: nothing is trained or assigned
+    then, corpus cells are joined by id.
     """
-    spark = queries.sparkSession
-    q, c = _prepare(queries, corpus, qid, qvec, did, dvec)
-    phi, cents = train_ivf(c.select(F.col("dvec").alias("vec")), n_cells, seed=seed)
-    nc = len(cents)
-    nprobe = min(nprobe, nc)
-    dim, waves = _query_waves(q, max_broadcast_bytes)
-    parts = []
-    for wave in waves:
-        qids, qm, _ = _collect_wave(wave, dim, "dot")
-        qa = np.concatenate([qm, np.zeros((len(qm), 1))], axis=1)
-        d2 = ((qa[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)
-        probes = np.argsort(d2, axis=1, kind="stable")[:, :nprobe]
-        probe_mask = np.zeros((len(qm), nc), dtype=bool)
-        np.put_along_axis(probe_mask, probes, True, axis=1)
-        bc = spark.sparkContext.broadcast((qids, qm, probe_mask, cents, phi))
-
-        def score(batches, bc=bc):
-            w_ids, w_q, w_probe, w_c, w_phi = bc.value
-            nq = len(w_ids)
-            best_s = np.full((nq, 0), -np.inf)
-            best_i = np.zeros((nq, 0), dtype=np.int64)
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                cm = _matrix(b.column(1), dim)
-                extra = np.sqrt(np.maximum(w_phi - (cm * cm).sum(axis=1), 0.0))
-                ca = np.concatenate([cm, extra[:, None]], axis=1)
-                cell = (((ca[:, None, :] - w_c[None, :, :]) ** 2).sum(axis=2)).argmin(axis=1)
-                s = np.full((nq, len(ids)), -np.inf)
-                for cl in np.unique(cell):
-                    qsel = np.nonzero(w_probe[:, cl])[0]
-                    csel = np.nonzero(cell == cl)[0]
-                    if len(qsel) and len(csel):
-                        s[np.ix_(qsel, csel)] = w_q[qsel] @ cm[csel].T
-                if exclude_self:
-                    s[w_ids[:, None] == ids[None, :]] = -np.inf
-                best_s, best_i = _topk_merge(best_s, best_i, s, ids, k)
-            if best_s.shape[1] == 0:
-                return
-            keep = np.isfinite(best_s)
-            qcol = np.broadcast_to(w_ids[:, None], best_s.shape)[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(qcol, pa.int64()), pa.array(best_i[keep], pa.int64()),
-                 pa.array(best_s[keep], pa.float64())], names=["qid", "doc_id", "score"])
-
-        parts.append(c.mapInArrow(score, HITS_SCHEMA))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    return (allp.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("qid", "rank", "doc_id", "score"))
+    q = _vectors(queries, "ivf-queries", qid=qid, vec=qvec)
+    c = _vectors(corpus, "ivf-corpus", doc_id=did, vec=dvec)
+    dim = _dimension(q, c)
+    if index is None:
+        phi, centroids = train_ivf(c, n_cells, seed=seed)
+        celled = _cells(c, dim, phi, centroids, None)
+    else:
+        phi, centroids, assigned = index
+        celled = c.join(assigned, "doc_id")
+    probing = materialize(_cells(q, dim, phi, centroids, min(nprobe, len(centroids))), "ivf-probes")
+    schema = f"qid {_id_type(q, 'qid')}, doc_id {_id_type(c, 'doc_id')}, score double"
+    parts = _paired(probing, materialize(celled, "ivf-cells"), _scorer(dim, "dot", exclude_self, k), schema, dim, max_broadcast_bytes)
+    return _merged(parts, k)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
@@ -343,7 +285,7 @@ def save_ivf(path: str, spark, phi: float, centroids: np.ndarray, corpus: DataFr
     model.write.mode("overwrite").parquet(f"{path}/model")
     from rivulet.functions.vector import mips_augment_doc, norm2
     cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-    aug = corpus.select(F.col(did).cast("long").alias("doc_id"),
+    aug = corpus.select(F.col(did).alias("doc_id"),
                         mips_augment_doc(F.col(dvec), F.lit(float(phi))).alias("__a"))
     d2 = F.transform(cents, lambda c: norm2(F.zip_with(c, F.col("__a"), lambda x, y: x - y)))
     cell = F.array_position(d2, F.array_min(d2)) - 1
@@ -359,7 +301,7 @@ def load_ivf(path: str, spark, corpus: DataFrame | None = None, did: str = "doc_
     cents = np.array([r.centroid for r in rows], dtype=np.float64)
     assign = spark.read.parquet(f"{path}/assign")
     if corpus is not None:
-        c = corpus.select(F.col(did).cast("long").alias("doc_id"))
+        c = corpus.select(F.col(did).alias("doc_id"))
         bad = c.join(assign, "doc_id", "full_outer").agg(
             F.count_if(F.col("cell").isNull()).alias("missing")).first()
         n_ids, n_assign = c.count(), assign.count()

@@ -13,8 +13,7 @@ postings on ``term`` followed by a partially-aggregated BM25 sum per
 
 Skew: very frequent terms have huge posting lists.  The question-term side is
 small and gets broadcast when AQE measures it under the threshold; otherwise
-AQE's skew-join splitting applies.  ``max_df`` optionally drops terms present
-in more than that fraction of passages (off by default: exact BM25).
+AQE's skew-join splitting applies.  No term is dropped: scores are exact BM25.
 """
 from __future__ import annotations
 
@@ -92,22 +91,19 @@ def query_terms(questions: DataFrame, *, qid: str = "qid", text_col: str = "ques
             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(index: LexicalIndex, qterms: DataFrame, *, k1: float = K1, b: float = B,
-                max_df: float | None = None) -> DataFrame:
+def bm25_scores(index: LexicalIndex, qterms: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """Every (qid, doc_id) sharing a term, with its BM25 score."""
     # idf per query term: df joined onto the (small) question-term side
     qt = qterms.join(index.term_stats, "term")
-    return _score(index, qt, index.corpus_stats, k1, b, max_df)
+    return _score(index, qt, index.corpus_stats, k1, b)
 
 
-def _score(index, qt, stats, k1, b, max_df):
+def _score(index, qt, stats, k1, b):
     # corpus statistics are one row: attach them as scalar subqueries
     # (evaluated once, no join)
     n_docs = stats.select("n_docs").scalar()
     avgdl = stats.select("avgdl").scalar()
     qt = qt.withColumn("n_docs", n_docs).withColumn("avgdl", avgdl)
-    if max_df is not None:
-        qt = qt.where(F.col("df") <= F.col("n_docs") * max_df)
     qt = qt.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     j = qt.join(index.postings, "term").join(index.doc_stats, "doc_id")
     tf = F.col("tf")
@@ -128,13 +124,13 @@ def top_k(scores: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id",
 
 
 def search(index: LexicalIndex, questions: DataFrame, k: int = 10, *, qid: str = "qid",
-           text_col: str = "question", analyzer=analyze, max_df: float | None = None,
+           text_col: str = "question", analyzer=analyze,
            k1: float = K1, b: float = B) -> DataFrame:
     """BM25 ``match`` query, top ``k`` passages per question.
     Returns ``qid, rank, doc_id, score``."""
     qt = query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)
     st = index.corpus_stats
-    s = _score(index, qt.join(index.term_stats, "term"), st, k1, b, max_df)
+    s = _score(index, qt.join(index.term_stats, "term"), st, k1, b)
     return top_k(s, k).select("qid", "rank", "doc_id", "score")
 
 

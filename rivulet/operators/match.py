@@ -14,9 +14,8 @@ match types
 """
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,30 +23,21 @@ from pyspark.sql import types as T
 from rivulet.functions.text import nfkc, tokenize
 
 
+def _compiled(pattern: str | None):
+    """The pattern ready to search, or None where it is null or not valid."""
+    if pattern is None:
+        return None
+    try:
+        return regex.compile(pattern, regex.IGNORECASE | regex.MULTILINE)
+    except regex.error:
+        return None
+
+
 def _regex_any_series(text: pd.Series, patterns: pd.Series) -> pd.Series:
-    cache: dict[str, re.Pattern | None] = {}
-
-    def comp(p):
-        if p not in cache:
-            try:
-                cache[p] = re.compile(p, flags=re.IGNORECASE | re.UNICODE | re.MULTILINE)
-            except BaseException:  # noqa: BLE001 - the reference swallows every error
-                cache[p] = None
-        return cache[p]
-
-    out = []
-    for t, ps in zip(text, patterns):
-        if t is None or ps is None:
-            out.append(False)
-            continue
-        hit = False
-        for p in ps:
-            c = None if p is None else comp(p)
-            if c is not None and c.search(t) is not None:
-                hit = True
-                break
-        out.append(hit)
-    return pd.Series(out, dtype=bool)
+    """Whether any of a row's patterns is found in its text."""
+    ready = {p: _compiled(p) for p in {p for ps in patterns if ps is not None for p in ps}}
+    return pd.Series([t is not None and ps is not None and any(ready[p] and ready[p].search(t) for p in ps)
+                      for t, ps in zip(text, patterns)], dtype=bool)
 
 
 _regex_any_udf = F.pandas_udf(_regex_any_series, T.BooleanType())

@@ -175,35 +175,37 @@ def best_span(start: Column, end: Column, max_answer_length: int) -> Column:
     return let(body, start, end)
 
 
-def suppress_nested(cands, top_n):
-    """Greedy non-nested selection over (score, s, e) candidates already in
-    enumeration order: stable sort by score desc, skip a span containing or
-    contained in a chosen one.  Yields (rank, s, e, score)."""
-    chosen = []
-    for score, s, e in sorted(cands, key=lambda c: -c[0]):
-        if any(s <= ps <= pe <= e or ps <= s <= e <= pe for ps, pe in chosen):
-            continue
-        chosen.append((s, e))
-        yield len(chosen), s, e, score
-        if len(chosen) == top_n:
-            break
-
+def top_spans_of(start, end, max_length: int, top_n: int) -> list[tuple[int, int, float]]:
+    """The best ``top_n`` spans (first, last, score) of at most ``max_length``
+    tokens, none of which lies within another.
 
-def _topn_spans(start, end, L, top_n):
-    start = np.asarray(start, dtype=np.float64)
-    end = np.asarray(end, dtype=np.float64)
+    All spans stand in one matrix, first token by length; the best is taken
+    (ties: the smaller first token, then the shorter span) and everything that
+    holds it or that it holds is struck out by a mask.
+    """
+    start, end = np.asarray(start, dtype=np.float64), np.asarray(end, dtype=np.float64)
     n = len(start)
-    cands = [(start[i] + end[j], i, j) for i in range(n) for j in range(i, min(n, i + L))]
-    return suppress_nested(cands, top_n)
+    if n == 0:
+        return []
+    first = np.arange(n)[:, None]
+    last = first + np.arange(min(max_length, n))[None, :]
+    score = np.where(last < n, start[:, None] + end[np.minimum(last, n - 1)], -np.inf)
+    out: list[tuple[int, int, float]] = []
+    while len(out) < top_n:
+        i, d = np.unravel_index(int(np.argmax(score)), score.shape)
+        if score[i, d] == -np.inf:
+            break
+        s, e = int(i), int(last[i, d])
+        out.append((s, e, float(score[i, d])))
+        score[((first <= s) & (last >= e)) | ((first >= s) & (last <= e))] = -np.inf
+    return out
 
 
 def decode_spans(logits: DataFrame, *, max_answer_length: int = 10, top_spans: int = 3,
                  key=("qid", "passage_idx"), start: str = "start_logits",
                  end: str = "end_logits") -> DataFrame:
-    """Top-N non-nested spans per passage (greedy by score; a span that
-    contains or is contained in a chosen one is skipped, partial overlaps
-    allowed).  Order-dependent, so a vectorized per-passage helper over
-    Arrow batches; returns ``*key, span_rank, s, e, score``."""
+    """Top-N non-nested spans per passage (partial overlaps allowed), a
+    matrix per passage over Arrow batches; ``*key, span_rank, s, e, score``."""
     keys = list(key)
     schema = T.StructType([logits.select(*keys).schema[k] for k in keys] + [
         T.StructField("span_rank", T.IntegerType()), T.StructField("s", T.IntegerType()),
@@ -211,26 +213,26 @@ def decode_spans(logits: DataFrame, *, max_answer_length: int = 10, top_spans: i
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                st, en = d[start], d[end]
-                if st is None or en is None:
-                    continue
-                for r, s, e, sc in _topn_spans(st, en, max_answer_length, top_spans):
-                    rows.append(tuple(d[k] for k in keys) + (r, s, e, float(sc)))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+            found = [[] if st is None or en is None else top_spans_of(st, en, max_answer_length, top_spans)
+                     for st, en in zip(pdf[start], pdf[end])]
+            out = pdf[keys].loc[pdf.index.repeat([len(f) for f in found])].reset_index(drop=True)
+            out["span_rank"] = np.array([r + 1 for f in found for r in range(len(f))], dtype=np.int32)
+            for i, name in enumerate(("s", "e", "score")):
+                out[name] = np.array([x[i] for f in found for x in f], dtype=np.float64 if name == "score" else np.int32)
+            yield out
 
     return logits.select(*keys, start, end).mapInPandas(run, schema)
 
 
 def best_prediction(spans: DataFrame, thresholds=(1,), *, qid: str = "qid",
-                    passage_idx: str = "passage_idx", relevance: str = "relevance") -> DataFrame:
+                    passage_idx: str = "passage_idx", relevance: str = "relevance",
+                    questions: DataFrame | None = None) -> DataFrame:
     """T7 + T8 + Q20: per threshold n, the best span among passages whose
     retrieval index is < n (passages ordered by relevance, then span rank);
-    a question with no candidate gets the empty prediction (-1 indices)."""
+    a question of ``questions`` (default: those with a span) that has no
+    candidate gets the empty prediction (-1 indices)."""
     ths = F.array(*[F.lit(int(t)) for t in thresholds])  # fixed parameter list
-    grid = spans.select(qid).distinct().withColumn("top_k", F.explode(ths))
+    grid = (spans if questions is None else questions).select(qid).distinct().withColumn("top_k", F.explode(ths))
     cand = spans.withColumn("top_k", F.explode(ths)).where(F.col(passage_idx) < F.col("top_k"))
     w = Window.partitionBy(qid, "top_k").orderBy(F.col(relevance).desc(), F.col("span_rank"),
                                                  F.col(passage_idx))

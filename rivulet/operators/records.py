@@ -47,11 +47,15 @@ def gold_page_flags(labelled_hits: DataFrame, passages: DataFrame, gold: DataFra
 def canonical_questions(questions: DataFrame, gold: DataFrame, *, question: str = "question",
                         tokenized: str = "question_tokens") -> DataFrame:
     """J10 + S10: map a question (or its tokenized form) to the gold file's
-    canonical question; unknown questions keep their own text."""
-    keys = (gold.select(F.col(question).alias("__k"), F.col(question).alias("__canon"))
-            .unionByName(gold.where(F.col(tokenized).isNotNull())
-                         .select(F.col(tokenized).alias("__k"), F.col(question).alias("__canon")))
-            .dropDuplicates(["__k"]))
+    canonical question; unknown questions keep their own text.  Of several gold
+    rows with one key the last by ``ord`` wins (without such a column the
+    greatest question, so that the result is the same on every run); the
+    question itself wins over its tokenized form."""
+    ord_ = F.col("ord") if "ord" in gold.columns else F.lit(0)
+    forms = (gold.select(F.col(question).alias("__k"), F.col(question).alias("__canon"), F.lit(1).alias("__own"), ord_.alias("__o"))
+             .unionByName(gold.where(F.col(tokenized).isNotNull())
+                          .select(F.col(tokenized).alias("__k"), F.col(question).alias("__canon"), F.lit(0).alias("__own"), ord_.alias("__o"))))
+    keys = forms.groupBy("__k").agg(F.max(F.struct("__own", "__o", "__canon")).getField("__canon").alias("__canon"))
     j = questions.join(keys, questions[question] == F.col("__k"), "left")
     return j.withColumn(question, F.coalesce("__canon", F.col(question))).drop("__k", "__canon")
 

@@ -83,11 +83,13 @@ def from_document_indices(items: DataFrame, *, documents: str = "documents",
 
 # ---------------------------------------------------------------- U1 / U2 / F7
 def upsample(df: DataFrame, rates: dict, *, source: str = "source") -> DataFrame:
-    """Repeat the rows of source i ``rates[i]`` times (rate 0 drops).
+    """Repeat the rows of source i ``rates[i]`` times (only an explicit
+    rate 0 drops; a source without a rate raises when its row is met).
 
     The rate map is a parameter (one entry per input file), not data."""
     rate = F.create_map(*[x for k, v in rates.items() for x in (F.lit(k), F.lit(int(v)))])
-    r = F.coalesce(rate[F.col(source)], F.lit(0))
+    r = F.coalesce(rate[F.col(source)], F.raise_error(F.concat(
+        F.lit("no rate for source "), F.coalesce(F.col(source).cast("string"), F.lit("null")))).cast("int"))
     return (df.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.greatest(r, F.lit(1)))))
             .where(r > 0).withColumnRenamed("__rep", "copy"))
 

@@ -39,7 +39,7 @@ def encode_passages(spark, sf_dir):
 @register("dense_qa_acc", f"""
 WITH {_BUCKETS.strip()},
 dn AS (SELECT doc_id, sqrt(sum(c * c)) AS n FROM db GROUP BY doc_id),
-qt AS (SELECT item_id AS qid, unnest({S.terms("split_part(text, chr(10), 1)")}) AS term FROM benchmark),
+qt AS (SELECT item_id AS qid, unnest({S.terms("text")}) AS term FROM benchmark),
 qb AS (SELECT qid, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS b, count(*) AS c FROM qt GROUP BY ALL),
 qn AS (SELECT qid, sqrt(sum(c * c)) AS n FROM qb GROUP BY qid),
 sc AS (SELECT qb.qid, db.doc_id, sum(qb.c * db.c) / (qn.n * dn.n) AS score
@@ -73,7 +73,7 @@ _VOCAB_SQL = f"""
 WITH dtok AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
 dfs AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM dtok) GROUP BY token),
 vocab AS (SELECT token, row_number() OVER (ORDER BY df DESC, token) + 4 AS id FROM dfs),
-q AS (SELECT item_id AS qid, {S.tokens("split_part(text, chr(10), 1)")} AS t FROM benchmark),
+q AS (SELECT item_id AS qid, {S.tokens("text")} AS t FROM benchmark),
 qe AS (SELECT qid, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM q),
 qi AS (SELECT qe.qid, qe.p, qe.token, vocab.id FROM qe LEFT JOIN vocab USING (token))
 """

@@ -127,7 +127,7 @@ def best_prediction(spark, sf_dir):
     lg = _logits(spark, sf_dir)
     sp = rd.decode_spans(lg, max_answer_length=MAX_ANSWER_LEN, top_spans=1)
     sp = sp.join(lg.select("qid", "passage_idx", "relevance"), ["qid", "passage_idx"])
-    return rd.best_prediction(sp, thresholds=(1, 3))
+    return rd.best_prediction(sp, thresholds=(1, 3), questions=_logits(spark, sf_dir))
 
 
 @register("retrieval_records", f"""
@@ -203,13 +203,13 @@ def reader_inputs(spark, sf_dir):
 
 
 @register("canonical_question", f"""
-WITH g AS (SELECT split_part(text, chr(10), 1) AS question,
-                  array_to_string({S.tokens("split_part(text, chr(10), 1)")}, ' ') AS question_tokens FROM benchmark),
+WITH g AS (SELECT text AS question,
+                  array_to_string({S.tokens("text")}, ' ') AS question_tokens FROM benchmark),
 k AS (SELECT question AS k, question AS canon FROM g
       UNION SELECT question_tokens AS k, question AS canon FROM g),
 q AS (SELECT item_id AS qid,
-             CASE WHEN NOT contains(split_part(text, chr(10), 1), ',') THEN split_part(text, chr(10), 1)
-                  ELSE array_to_string({S.tokens("split_part(text, chr(10), 1)")}, ' ') END AS asked
+             CASE WHEN NOT contains(text, ',') THEN text
+                  ELSE array_to_string({S.tokens("text")}, ' ') END AS asked
       FROM benchmark)
 SELECT q.qid, coalesce(k.canon, q.asked) AS question FROM q LEFT JOIN k ON k.k = q.asked
 """)
@@ -220,7 +220,7 @@ def canonical_question(spark, sf_dir):
     questions containing a comma are asked in their tokenized form."""
     from rivulet.operators.records import canonical_questions
     b = table(spark, sf_dir, "benchmark")
-    first = F.split("text", "\n")[0]
+    first = F.col("text")
     gold = b.select(first.alias("question"), F.array_join(tokenize(first), " ").alias("question_tokens"))
     asked = b.select(F.col("item_id").alias("qid"),
                      F.when(~first.contains(","), first)

@@ -45,7 +45,7 @@ post AS (SELECT term, doc_id, count(*) AS tf
          FROM (SELECT doc_id, unnest(terms) AS term FROM docs) GROUP BY term, doc_id),
 tstat AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 cs AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl),
-qs AS (SELECT item_id AS qid, split_part(text, chr(10), 1) AS question, [text] AS answers
+qs AS (SELECT item_id AS qid, text AS question, [text] AS answers
        FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qtf
        FROM (SELECT qid, unnest({terms('question')}) AS term FROM qs) GROUP BY qid, term),

@@ -7,6 +7,7 @@ local runs: it fills in local defaults *only where a setting is unset*.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,13 +48,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we create a scratch folder.
+    is.  Only when it is unset and the master is local (tests) do we create a
+    scratch folder; on a cluster a folder of one machine would be of no use to
+    the others, so that raises.
     """
     cur = spark.conf.get("spark.checkpoint.dir", None)
     if not cur:
         cur = spark.sparkContext._jsc.sc().getCheckpointDir()
         cur = cur.get() if cur.isDefined() else None
     if not cur:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         cur = tempfile.mkdtemp(prefix="rivulet-ckpt-")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)

@@ -45,22 +45,24 @@ def schema(name: str) -> T.StructType:
 def read_training_files(spark: SparkSession, paths, *, json_array: bool = True) -> DataFrame:
     """S1 + S13 + U1: JSON-array (or JSONL) training files, plain or gzip;
     ``source`` = input file, for up-sampling (U2)."""
-    r = spark.read.schema(schema("training_sample")).option("multiLine", json_array)
+    r = spark.read.schema(schema("training_sample")).option("multiLine", json_array).option("mode", "FAILFAST")
     return r.json(list(paths) if not isinstance(paths, str) else paths) \
         .withColumn("source", F.input_file_name())
 
 
 def read_qas(spark: SparkSession, path: str, *, json_array: bool = False) -> DataFrame:
     """Questions from JSON / JSONL; a missing ``answers`` becomes []."""
-    df = spark.read.schema(schema("qa")).option("multiLine", json_array).json(path)
+    df = spark.read.schema(schema("qa")).option("multiLine", json_array).option("mode", "FAILFAST").json(path)
     return df.withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
 
 
 def read_passages_tsv(spark: SparkSession, path: str, *, compat: bool = False) -> DataFrame:
-    """S3: passage TSV with header ``id text title``; ``text`` is a JSON string
-    literal.  Default decodes it (Q6); ``compat=True`` only strips quotes."""
+    """S3: passage TSV whose header names ``id``, ``text`` and ``title`` in any
+    order; ``text`` is a JSON string literal.  Default decodes it (Q6);
+    ``compat=True`` only strips quotes.  A missing column or a line of another
+    number of fields raises."""
     df = (spark.read.option("sep", "\t").option("header", True).option("quote", "")
-          .option("escape", "").schema("id STRING, text STRING, title STRING").csv(path))
+          .option("escape", "").option("mode", "FAILFAST").csv(path))
     text = strip_quotes("text") if compat else F.coalesce(json_unquote("text"), F.col("text"))
     return df.select("id", text.alias("text"), "title")
 
@@ -74,13 +76,14 @@ def read_qa_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
     """Alternating action / document dump lines with a line order key."""
-    df = spark.read.schema(schema("dump_line")).json(path)
+    df = spark.read.schema(schema("dump_line")).option("mode", "FAILFAST").json(path)
     return df.withColumn("line_ord", F.monotonically_increasing_id())
 
 
-def read_jsonl(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """JSONL (gzip ok) with a named fixed schema."""
-    return spark.read.schema(schema(kind)).json(path)
+def read_jsonl(spark: SparkSession, path: str, kind: str, *, json_array: bool = False) -> DataFrame:
+    """JSONL (gzip ok) with a named fixed schema;
+    ``json_array=True`` reads a file that is one JSON array."""
+    return spark.read.schema(schema(kind)).option("multiLine", json_array).option("mode", "FAILFAST").json(path)
 
 
 def read_embeddings(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -91,8 +94,10 @@ def read_embeddings(spark: SparkSession, path_glob: str) -> DataFrame:
 def read_gold_file(spark: SparkSession, path: str) -> DataFrame:
     """``{"data": [...]}`` gold-passage file exploded to rows, last
     duplicate question wins (A14 by file position)."""
-    df = spark.read.schema(schema("gold_file")).option("multiLine", True).json(path)
-    return df.select(F.posexplode("data").alias("ord", "g")).select("ord", "g.*")
+    df = spark.read.schema(schema("gold_file")).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    rows = df.select(F.posexplode("data").alias("ord", "g")).select("ord", "g.*")
+    columns = rows.columns
+    return rows.groupBy("question").agg(F.max_by(F.struct(*columns), "ord").alias("r")).select("r.*")
 
 
 def read_reader_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -147,9 +152,16 @@ def write_acc_tsv(acc: DataFrame, path: str) -> None:
 
 
 def write_partitioned_results(df: DataFrame, path: str, split_col: str = "split") -> None:
-    """All splits in one job, one folder per split; an existing output
-    is kept (``ignore``), like the reference's skip-if-exists loop."""
-    df.write.mode("ignore").partitionBy(split_col).json(path)
+    """One folder per split; a split that is there already is kept, like
+    the reference's skip-if-exists loop, and a new one is written beside it."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(folder) and len(fs.listStatus(folder)):
+        there = spark.read.option("recursiveFileLookup", False).json(path)
+        if split_col in there.columns:
+            df = df.join(there.select(F.col(split_col).cast(df.schema[split_col].dataType)).distinct(), split_col, "left_anti")
+    df.write.mode("append").partitionBy(split_col).json(path)
 
 
 def submission(predictions: DataFrame) -> DataFrame:

@@ -38,12 +38,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as QA items (M6 proxy).
 
-    question = the item's first line, answers = [whole item text]; the answer
-    occurs verbatim in some documents, so matching has both outcomes.
+    question = the whole item text, answers = [the same]; the answer occurs
+    verbatim in some documents, so matching has both outcomes.
     """
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("qid"),
-                    F.split("text", "\n")[0].alias("question"),
+                    F.col("text").alias("question"),
                     F.array(F.col("text")).alias("answers"))
 
 

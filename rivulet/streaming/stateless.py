@@ -1,10 +1,8 @@
 """Stateless operators on streaming DataFrames.
 
 The reference has no streaming operators (SURVEY §2.12).  Its per-record
-stages -- text normalization, paragraph filtering, answer matching of a new
-hit against a static passage table (stream-static equi-join) -- are plain
-DataFrame code and run unchanged on a ``readStream`` source; this module
-wires them into a Structured Streaming query with a checkpointed sink.
+stages -- text normalization, paragraph filtering -- are plain DataFrame code
+and run unchanged on a ``readStream`` source.
 Operators that need a total order or the whole corpus (dense ids, BM25
 statistics) stay batch.
 """
@@ -14,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import normalize_text
-from rivulet.operators.match import has_answer
 
 
 def paragraph_stream(spark: SparkSession, path: str, schema, *, min_len: int = 10,
@@ -25,19 +22,3 @@ def paragraph_stream(spark: SparkSession, path: str, schema, *, min_len: int = 1
     p = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     p = p.withColumn("text", normalize_text("raw")).drop("raw")
     return p.where(F.length("text").between(min_len, max_len))
-
-
-def label_hit_stream(hits: DataFrame, passages: DataFrame, questions: DataFrame,
-                     match_type: str = "raw") -> DataFrame:
-    """J1 + J7/J8 on a stream of hits against static passage / question tables
-    (stream-static joins)."""
-    return has_answer(hits, passages, questions, match_type=match_type)
-
-
-def run_to_table(df: DataFrame, checkpoint: str, query_name: str, trigger_once: bool = True):
-    """Start the stream into an in-memory table (tests) with a checkpoint."""
-    w = df.writeStream.format("memory").queryName(query_name).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_once else w
-    q = w.outputMode("append").start()
-    q.awaitTermination()
-    return q

@@ -154,12 +154,13 @@ def test_writers_roundtrip(spark):
 
 
 def test_streaming_paragraphs(spark):
-    from rivulet.streaming.stateless import paragraph_stream, run_to_table
+    from rivulet.streaming.stateless import paragraph_stream
     d = tmpdir()
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs.write.parquet(f"{d}/in")
     s = paragraph_stream(spark, f"{d}/in", docs.schema)
-    run_to_table(s, f"{d}/ckpt", "para_stream_test")
+    (s.writeStream.format("memory").queryName("para_stream_test").option("checkpointLocation", f"{d}/ckpt")
+     .trigger(availableNow=True).outputMode("append").start().awaitTermination())
     n_stream = spark.sql("SELECT count(*) FROM para_stream_test").first()[0]
     from rivulet.functions.text import normalize_text
     batch = docs.select(F.posexplode(F.split("text", "\n")).alias("l", "raw")).select(

@@ -111,9 +111,17 @@ def test_reader_helpers(spark):
 
 
 def test_nested_span_suppression():
-    cands = [(9, 2, 4), (8, 3, 3), (7, 4, 6), (6, 1, 5)]
-    got = [(s, e) for _, s, e, _ in reader.suppress_nested(cands, 2)]
-    assert got == [(2, 4), (4, 6)]
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        n, length = int(rng.integers(0, 12)), int(rng.integers(1, 6))
+        st, en = rng.integers(0, 5, n).astype(float), rng.integers(0, 5, n).astype(float)
+        spans = sorted((-(st[i] + en[j]), i, j) for i in range(n) for j in range(i, min(n, i + length)))
+        want = []
+        for neg, i, j in spans:
+            if len(want) < 3 and all(not ({*range(i, j + 1)} <= {*range(a, b + 1)} or {*range(a, b + 1)} <= {*range(i, j + 1)})
+                                     for a, b, _ in want):
+                want.append((i, j, -neg))
+        assert reader.top_spans_of(st, en, length, 3) == want
 
 
 def test_empty_decode(spark):
