@@ -144,7 +144,7 @@ def search_with_phrase(index: LexicalIndex, passages: DataFrame, questions: Data
     sequence; top-k is taken after the restriction, then the reference's raw
     substring re-check is applied (so a question may return fewer than k)."""
     qt = query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)
-    s = _score(index, qt.join(index.term_stats, "term"), index.corpus_stats, K1, B, None)
+    s = _score(index, qt.join(index.term_stats, "term"), index.corpus_stats, K1, B)
     ph = questions.select(F.col(qid).alias("qid"), F.col(phrase_col).alias("phrase"),
                           F.array_join(analyzer(F.col(phrase_col)), " ").alias("ph_terms"))
     docs = passages.select(F.col(id_col).alias("doc_id"), F.col(passage_text).alias("ptext"),
