@@ -127,7 +127,11 @@ def redact_live(docs: DataFrame, owner: str = "source", repository: tuple[str, .
                 s["start"].alias("start"), s["end"].alias("end"), F.lit("[SECRET]").alias("mask")))).alias("masks")))
     a_id, a_key, masks = fresh(docs, "a_id"), fresh(docs, "a_key"), fresh(docs, "masks")
     live = live.toDF(a_id, a_key, masks)
-    doc_id = docs["doc_id"].cast("long")
-    joined = docs.join(live, (key_of(doc_id, docs["text"].cast("string")) == F.col(a_key)) & doc_id.eqNullSafe(F.col(a_id)), "left")
+    # only texts that can hold a credential are dealt out for the join
+    may = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(f"{ASSIGN_PATTERN}|{ACCESS_PATTERN}|{HEX_PATTERN}")), F.lit(False))
+    some = docs.where(may)
+    joined = some.join(live, (key_of(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col(a_key))
+                       & F.col("doc_id").cast("long").eqNullSafe(F.col(a_id)), "left")
     text = F.when(F.col(masks).isNotNull(), replace(F.col("text"), F.col(masks))).otherwise(F.col("text"))
-    return joined.select(*[text.alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])
+    masked = joined.select(*[text.alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~may).unionByName(masked)
