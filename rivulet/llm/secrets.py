@@ -43,6 +43,13 @@ def base_spans(text: Column) -> Column:
     return let(lambda spans: F.when(F.size(spans) > 1, by_start(spans)).otherwise(spans), found)
 
 
+def may_hold(text: Column) -> Column:
+    """True wherever a base pattern matches in a text that is not null (and for
+    texts with ``AKIA``); the slow pattern is tried only where ``:`` or ``=`` occurs."""
+    assigns = (F.contains(text, F.lit(":")) | F.contains(text, F.lit("="))) & F.regexp_like(text, F.lit(ASSIGN_PATTERN))
+    return assigns | F.contains(text, F.lit("AKIA")) | F.regexp_like(text, F.lit(HEX_PATTERN))
+
+
 def by_start(spans: Column) -> Column:
     """Sorted by start, then kind."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
@@ -128,7 +135,7 @@ def redact_live(docs: DataFrame, owner: str = "source", repository: tuple[str, .
     a_id, a_key, masks = fresh(docs, "a_id"), fresh(docs, "a_key"), fresh(docs, "masks")
     live = live.toDF(a_id, a_key, masks)
     # only texts that can hold a credential are dealt out for the join
-    may = F.coalesce(F.regexp_like(F.col("text").cast("string"), F.lit(f"{ASSIGN_PATTERN}|{ACCESS_PATTERN}|{HEX_PATTERN}")), F.lit(False))
+    may = may_hold(F.coalesce(F.col("text").cast("string"), F.lit("")))
     some = docs.where(may)
     joined = some.join(live, (key_of(F.col("doc_id").cast("long"), F.col("text").cast("string")) == F.col(a_key))
                        & F.col("doc_id").cast("long").eqNullSafe(F.col(a_id)), "left")
