@@ -374,7 +374,8 @@ class Scorer:
 def sample_documents(docs: DataFrame, labels: DataFrame, learn: "F.Column") -> tuple[list[list[list[bytes]]], list[int]]:
     """Windows and labels of the bounded sample.  ``learn``: condition on doc_id
     of the rows that may be learned from.  A label that is null or neither 0
-    nor 1 is not one; of several labels of a doc_id the highest counts."""
+    nor 1 is not one; of several labels of a doc_id the highest counts, of
+    several texts of a doc_id the one whose windows come first in order."""
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
               .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learn)
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
@@ -383,7 +384,7 @@ def sample_documents(docs: DataFrame, labels: DataFrame, learn: "F.Column") -> t
         part = marked.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = part if picked is None else picked.union(part)
     few = F.broadcast(picked.withColumnRenamed("doc_id", "label_id"))  # at most sum(SAMPLE) rows
-    texts = documents_only(docs).join(few, F.col("doc_id") == F.col("label_id")).select("toxic", "text")
+    texts = documents_only(docs).join(few, F.col("doc_id") == F.col("label_id")).select("label_id", "toxic", "text")
 
     def cut(raw: list[bytes]) -> list[pa.Array]:
         out = []
@@ -396,8 +397,10 @@ def sample_documents(docs: DataFrame, labels: DataFrame, learn: "F.Column") -> t
         return [pa.array(out, pa.list_(pa.binary()))]
 
     field = T.StructField("windows", T.ArrayType(T.BinaryType()))
-    rows = with_text_columns(texts, "text", [field], lambda: cut).select("toxic", "windows").collect()
-    rows = sorted((r.toxic, [bytes(w) for w in r.windows]) for r in rows if r.windows)[:sum(SAMPLE.values())]
+    # one row for each sampled doc_id, however often its row is repeated
+    rows = (with_text_columns(texts, "text", [field], lambda: cut).where(F.size("windows") > 0)
+            .groupBy("label_id").agg(F.first("toxic").alias("toxic"), F.min("windows").alias("windows")).collect())
+    rows = sorted((r.toxic, [bytes(w) for w in r.windows]) for r in rows)
     one: dict[bytes, bytes] = {}  # of equal words one object is enough
     return [[[one.setdefault(w, w) for w in win.split()] for win in ws] for _, ws in rows], [y for y, _ in rows]
 

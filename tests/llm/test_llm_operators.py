@@ -166,6 +166,13 @@ def test_toxicity_learns_words_and_characters(spark):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) >= 0.9 * len(held)
 
 
+def test_toxicity_sample_takes_a_repeated_row_once(spark):
+    docs = docs_of(spark, [(1, "bad words here"), (3, "b text"), (3, "a text"), (4, ""), (5, None)] + [(2, "some kind words")] * 40)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0), (4, 0), (5, 1), (9, 1), (None, 1)], "doc_id long, toxic int")
+    windows, label = toxicity.sample_documents(docs, labels, F.lit(True))
+    assert sorted(zip(label, windows)) == [(0, [[b"a", b"text"]]), (0, [[b"some", b"kind", b"words"]]), (1, [[b"bad", b"words", b"here"]])]
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(5)
     net = toxicity._start([[b"aa", b"bb", b"cc"], [b"aa", b"bb", b"cc"]], [0, 1], rng)
