@@ -1,27 +1,38 @@
 """Token annotation grouping (X7d): consecutive tokens with the same tag form
-one entity; the non-entity tag is skipped.  Gaps-and-islands over the
-token positions of one row (window per row key, bounded by the row length).
+one entity; the non-entity tag is skipped.  Tokens and tags lie in one row, so
+the groups are found by array functions in that row, without a shuffle.
 Tags come from an external annotator column (the reference never populates
 them itself)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.bind import let
+
+
+def tag_runs(tokens: Column, tags: Column, outside: str = "O") -> Column:
+    """Array of ``(tag, text)``, one per run of equal tags; the tokens of a run
+    are joined by spaces.  Outside and null tags are in no run."""
+    def runs(toks: Column, marks: Column) -> Column:
+        def begins(i: Column) -> Column:
+            return (i == 0) | F.coalesce(F.get(marks, i - 1) != F.get(marks, i), F.lit(True))
+
+        def cut(starts: Column) -> Column:
+            spans = F.transform(starts, lambda s, k: F.struct(
+                s.alias("s"), F.coalesce(F.get(starts, k + 1), F.size(marks)).alias("e"), F.get(marks, s).alias("tag")))
+            return F.transform(F.filter(spans, lambda r: r["tag"] != outside), lambda r: F.struct(
+                r["tag"].alias("tag"), F.array_join(F.slice(toks, r["s"] + 1, r["e"] - r["s"]), " ").alias("text")))
+
+        every = F.when(F.size(marks) > 0, F.sequence(F.lit(0), F.size(marks) - 1)).otherwise(F.array().cast("array<int>"))
+        return let(cut, F.filter(every, begins))
+    return let(runs, tokens, tags)
+
 
 def entity_groups(df: DataFrame, key, tokens: str = "tokens", tags: str = "tags",
                   outside: str = "O") -> DataFrame:
     """-> ``*key, group_idx, tag, text`` (tokens of a group joined by spaces)."""
     keys = key if isinstance(key, (list, tuple)) else [key]
-    ex = df.select(*keys, F.posexplode(F.arrays_zip(F.col(tokens).alias("tok"),
-                                                    F.col(tags).alias("tag"))).alias("pos", "z"))
-    ex = ex.select(*keys, "pos", F.col("z.tok").alias("tok"), F.col("z.tag").alias("tag"))
-    w = Window.partitionBy(*keys).orderBy("pos")
-    ex = ex.withColumn("__new", F.coalesce(F.lag("tag").over(w) != F.col("tag"), F.lit(True)).cast("int"))
-    ex = ex.withColumn("__grp", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = (ex.where(F.col("tag") != outside)
-         .groupBy(*keys, "__grp", "tag")
-         .agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("__t")))
-    wg = Window.partitionBy(*keys).orderBy("__grp")
-    return g.select(*keys, (F.row_number().over(wg) - 1).cast("int").alias("group_idx"), "tag",
-                    F.array_join(F.transform("__t", lambda x: x["tok"]), " ").alias("text"))
+    runs = tag_runs(F.col(tokens), F.col(tags), outside)
+    return (df.select(*keys, F.posexplode(runs).alias("group_idx", "__r"))
+            .select(*keys, "group_idx", F.col("__r.tag").alias("tag"), F.col("__r.text").alias("text")))

@@ -30,6 +30,8 @@ class ReaderConfig:
     min_negatives: int = 150     # used as the upper bound of the negative limit
     eval_passages: int = 100
     skip_no_positives: bool = True
+    gold_page_only_positives: bool = True   # both act only where gold passages are given
+    include_gold_passage: bool = False
 
 
 SPAN = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
@@ -66,15 +68,29 @@ def attention_mask(ids: Column, pad="[PAD]") -> Column:
     return F.transform(ids, lambda x: (x != F.lit(pad)).cast("int"))
 
 
+def _one_gold(gold: DataFrame, questions: DataFrame) -> DataFrame:
+    """One gold passage (``qid, doc_id, title, text``) per asked question,
+    the last by ``ord`` (without such a column the greatest doc_id)."""
+    last = F.col("ord") if "ord" in gold.columns else F.col("doc_id")
+    asked = gold.join(questions.select("qid"), "qid", "left_semi")
+    return (asked.groupBy("qid").agg(F.max(F.struct(last.alias("o"), "doc_id", "title", "text")).alias("g"))
+            .select("qid", "g.doc_id", "g.title", "g.text"))
+
+
 def reader_select(hits: DataFrame, passages: DataFrame, questions: DataFrame,
-                  cfg: ReaderConfig = ReaderConfig(), train: bool = True, *,
+                  cfg: ReaderConfig = ReaderConfig(), train: bool = True, *, gold: DataFrame | None = None,
                   id_col: str = "id", title: str = "title", text: str = "text") -> DataFrame:
     """Retrieval hits (``qid, rank, doc_id, has_answer``) -> reader passages.
 
     T3 cut at ``max_retriever_passages``; F13 split by ``has_answer`` (eval:
     everything is a candidate); X16 answer spans on the token sequence; Q15
-    positives without a span are dropped; T4 first ``max_positives``; T5 the
-    data-dependent negative limit; F8 questions without positives skipped.
+    positives without a span are dropped.  J9: where ``gold`` (``qid, doc_id,
+    title, text``) is given and positives come from the gold passage's page,
+    these are taken, all of them; else T4 the first ``max_positives``.  J11:
+    with ``include_gold_passage`` the gold passage itself joins the positives
+    (rank -1) unless it is among them or holds no answer.  T5: the negative
+    limit follows from the positives taken, the gold passage counted; F8
+    questions without positives skipped.
     X18: sequence = [CLS] question [SEP] title [SEP] passage, so spans shift by
     ``passage_offset`` = len(question) + len(title) + 3 (X17).
 
@@ -87,33 +103,53 @@ def reader_select(hits: DataFrame, passages: DataFrame, questions: DataFrame,
           .withColumn("a_tok", tokenize(nfkc("a")))
           .groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("ai", "a_tok"))).alias("__a")))
     qt = q.select("qid", F.size(tokenize(nfkc("question"))).alias("q_len"))
-    h = hits.where(F.col("rank") <= cfg.max_retriever_passages)
-    docs = passages.select(F.col(id_col).alias("doc_id"),
-                           F.size(tokenize(nfkc(F.col(title)))).alias("t_len"),
-                           tokenize(nfkc(F.col(text))).alias("p_tok"))
-    docs = docs.join(h.select("doc_id").distinct(), "doc_id", "left_semi")
-    j = h.join(docs, "doc_id", "left").join(qa, "qid", "left").join(qt, "qid", "left")
+    h = hits.where(F.col("rank") <= cfg.max_retriever_passages).select("qid", "rank", "doc_id", "has_answer")
+
+    def tokenized(of: DataFrame, key: str, doc_id, name: str, body: str) -> DataFrame:
+        return of.select(*([key] if key else []), F.col(doc_id).alias("doc_id"), F.lower(name).alias("__title"),
+                         F.size(tokenize(nfkc(F.col(name)))).alias("t_len"), tokenize(nfkc(F.col(body))).alias("p_tok"))
+
+    docs = tokenized(passages, "", id_col, title, text).join(h.select("doc_id").distinct(), "doc_id", "left_semi")
+    j = h.join(docs, "doc_id", "left").withColumn("__gold", F.lit(False))
+    with_gold = gold is not None and train
+    if with_gold:
+        one = _one_gold(gold, questions)
+        if cfg.include_gold_passage:
+            own = tokenized(one, "qid", "doc_id", "title", "text").withColumns({
+                "rank": F.lit(-1).cast(h.schema["rank"].dataType), "has_answer": F.lit(True), "__gold": F.lit(True)})
+            j = j.unionByName(own)
+        j = j.join(one.select("qid", F.lower("title").alias("__gold_title"), F.col("doc_id").alias("__gold_id")), "qid", "left")
+    j = j.join(qa, "qid", "left").join(qt, "qid", "left")
     is_pos = F.col("has_answer") if train else F.lit(False)
     spans = F.flatten(F.transform(F.coalesce("__a", F.array()),
                                   lambda x: answer_positions(F.col("p_tok"), x["a_tok"])))
     j = j.withColumn("cand_pos", is_pos)
     j = j.withColumn("spans", F.when(F.col("cand_pos"), spans).otherwise(F.array().cast(T.ArrayType(SPAN))))
     j = j.withColumn("passage_offset", (F.col("q_len") + F.coalesce("t_len", F.lit(0)) + 3).cast("int"))
-    # one pass, one window per question (bounded by the retrieval depth):
-    # running counts pick the first positives / negatives, no self-joins
-    is_p = F.col("cand_pos") & (F.size("spans") > 0)
+    # one pass, windows per question (bounded by the retrieval depth): running
+    # counts pick the first positives / negatives, no self-joins
+    is_p = F.col("cand_pos") & (F.size("spans") > 0) & ~F.col("__gold")
     is_n = ~F.col("cand_pos")
-    w = Window.partitionBy("qid").orderBy("rank")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    per_q = Window.partitionBy("qid")
+    run = per_q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     j = (j.withColumn("__ip", is_p.cast("int")).withColumn("__in", is_n.cast("int"))
-         .withColumn("__pr", F.sum("__ip").over(run)).withColumn("__nr", F.sum("__in").over(run))
-         .withColumn("__np", F.least(F.sum("__ip").over(Window.partitionBy("qid")),
-                                     F.lit(cfg.max_positives))))
+         .withColumn("__pr", F.sum("__ip").over(run)).withColumn("__nr", F.sum("__in").over(run)))
+    first = (F.col("__ip") == 1) & (F.col("__pr") <= cfg.max_positives)
+    if with_gold:
+        on_page = F.lit(False) if not cfg.gold_page_only_positives else F.coalesce(F.col("__title") == F.col("__gold_title"), F.lit(False))
+        j = j.withColumn("__page", (F.col("__ip") == 1) & on_page)
+        j = j.withColumn("__keep", F.when(F.max("__page").over(per_q), F.col("__page")).otherwise(first))
+        there = F.max(F.col("__keep") & (F.col("doc_id") == F.col("__gold_id"))).over(per_q)
+        j = j.withColumn("__there", there).withColumn(
+            "__keep", F.col("__keep") | (F.col("__gold") & (F.size("spans") > 0) & ~F.col("__there")))
+    else:
+        j = j.withColumn("__keep", first)
+    j = j.withColumn("__np", F.sum(F.col("__keep").cast("int")).over(per_q))
     if train:
         limit = F.least(F.greatest(10 * F.col("__np"), F.lit(cfg.max_negatives)), F.lit(cfg.min_negatives))
     else:
         limit = F.lit(cfg.eval_passages)
-    keep_p = (F.col("__ip") == 1) & (F.col("__pr") <= cfg.max_positives)
+    keep_p = F.col("__keep")
     keep_n = (F.col("__in") == 1) & (F.col("__nr") <= limit)
     if train and cfg.skip_no_positives:
         keep_n = keep_n & (F.col("__np") > 0)

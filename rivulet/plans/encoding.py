@@ -139,12 +139,9 @@ def tag_groups(spark, sf_dir):
     tag = lambda t: (F.when(t.rlike(r"^\p{N}+$"), "NUM").when(t.rlike(r"^\p{Lu}"), "CAP")
                      .when(t.rlike(r"^[^\p{L}\p{N}]$"), "PUNCT").otherwise("O"))
     d = d.withColumn("tags", F.transform("tokens", tag))
-    g = annotate.entity_groups(d, "doc_id")
-    return (g.groupBy("doc_id").agg(
-        F.count(F.lit(1)).cast("int").alias("n_groups"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_idx", "tag", "text"))),
-                                       lambda x: F.concat(x["tag"], F.lit(":"), x["text"])), "|"))
-        .alias("groups_md5")))
+    d = d.select("doc_id", annotate.tag_runs(F.col("tokens"), F.col("tags")).alias("runs")).where(F.size("runs") > 0)
+    return d.select("doc_id", F.size("runs").alias("n_groups"), F.md5(F.array_join(
+        F.transform("runs", lambda r: F.concat(r["tag"], F.lit(":"), r["text"])), "|")).alias("groups_md5"))
 
 
 @register("reader_span_loss", """

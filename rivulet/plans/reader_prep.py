@@ -62,6 +62,69 @@ def reader_select(spark, sf_dir):
     return s.select("qid", "role", "rank", "doc_id", "passage_offset", _spans_str(F.col("spans")).alias("spans"))
 
 
+#: Small limits, so that retrieval at depth K reaches each of them.
+GOLD_CFG = rd.ReaderConfig(max_retriever_passages=6, max_positives=2, max_negatives=3, min_negatives=4, eval_passages=5,
+                           include_gold_passage=True)
+_LABELLED_SQL = _SELECT_SQL[:_SELECT_SQL.index("qtok AS")]
+_GOLD_SQL = f"""{_LABELLED_SQL}
+gold AS (SELECT qid, arg_max(doc_id, rank) AS gold_id FROM lab WHERE h GROUP BY qid),
+qtok AS (SELECT qid, len({S.tokens('question')}) AS q_len, {S.tokens('answers[1]')} AS a_tok FROM qs),
+dtok AS (SELECT doc_id, lower(title) AS title, len({S.tokens('title')}) AS t_len, {S.tokens('text')} AS p_tok FROM docs),
+cand AS (SELECT qid, rank, doc_id, h, false AS g FROM lab WHERE rank <= {GOLD_CFG.max_retriever_passages}
+         UNION ALL SELECT qid, -1, gold_id, true, true FROM gold),
+j AS (SELECT cand.*, dtok.title, q_len + t_len + 3 AS off, len(a_tok) AS alen, gold_id,
+             CASE WHEN h THEN list_filter(range(0, len(p_tok) - len(a_tok) + 1),
+                                          lambda i: p_tok[i + 1:i + len(a_tok)] = a_tok)
+                  ELSE [] END AS starts
+      FROM cand JOIN qtok USING (qid) JOIN dtok USING (doc_id) LEFT JOIN gold USING (qid)),
+found AS (SELECT j.*, coalesce(j.title = gd.title, false) AS page, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r
+          FROM j LEFT JOIN dtok gd ON gd.doc_id = j.gold_id WHERE h AND NOT g AND len(starts) > 0),
+chosen AS (SELECT * FROM (SELECT *, bool_or(page) OVER (PARTITION BY qid) AS any_page FROM found)
+           WHERE CASE WHEN any_page THEN page ELSE r <= {GOLD_CFG.max_positives} END),
+pos AS (SELECT qid, rank, doc_id, off, alen, starts FROM chosen
+        UNION ALL
+        SELECT qid, rank, doc_id, off, alen, starts FROM j
+        WHERE g AND len(starts) > 0
+          AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.qid = j.qid AND c.doc_id = j.doc_id)),
+np AS (SELECT qid, count(*) AS n_pos FROM pos GROUP BY qid),
+neg AS (SELECT * FROM (SELECT j.*, np.n_pos, row_number() OVER (PARTITION BY j.qid ORDER BY rank) AS r
+                       FROM j JOIN np USING (qid) WHERE NOT h)
+        WHERE r <= least(greatest(10 * n_pos, {GOLD_CFG.max_negatives}), {GOLD_CFG.min_negatives})),
+sel AS (SELECT qid, 'positive' AS role, rank, doc_id, off, alen, starts FROM pos
+        UNION ALL SELECT qid, 'negative', rank, doc_id, off, alen, [] FROM neg)
+SELECT qid, role, CAST(rank AS INTEGER) AS rank, doc_id, CAST(off AS INTEGER) AS passage_offset,
+       array_to_string(list_transform(starts, lambda s: CAST(s + off AS VARCHAR) || '-' ||
+                                                        CAST(s + off + alen - 1 AS VARCHAR)), ',') AS spans
+FROM sel
+"""
+
+
+@register("reader_select_gold", _GOLD_SQL)
+def reader_select_gold(spark, sf_dir):
+    """G2 with gold passages (J9, J11, T3-T5): positives from the gold page
+    first, the gold passage added, the negative limit taken afterwards.  The
+    deepest labelled hit plays the gold passage."""
+    h = labelled_hits(spark, sf_dir, "string")
+    best = h.where("has_answer").groupBy("qid").agg(F.max_by("doc_id", "rank").alias("doc_id"))
+    docs = passages(spark, sf_dir)
+    gold = best.join(docs.select(F.col("id").alias("doc_id"), "title", "text"), "doc_id")
+    s = rd.reader_select(h, docs, questions(spark, sf_dir), GOLD_CFG, gold=gold)
+    return s.select("qid", "role", "rank", "doc_id", "passage_offset", _spans_str(F.col("spans")).alias("spans"))
+
+
+@register("reader_select_eval", f"""{_LABELLED_SQL}
+qtok AS (SELECT qid, len({S.tokens('question')}) AS q_len FROM qs),
+dtok AS (SELECT doc_id, len({S.tokens('title')}) AS t_len FROM docs)
+SELECT qid, 'negative' AS role, CAST(rank AS INTEGER) AS rank, doc_id, CAST(q_len + t_len + 3 AS INTEGER) AS passage_offset
+FROM lab JOIN qtok USING (qid) JOIN dtok USING (doc_id) WHERE rank <= {GOLD_CFG.eval_passages}
+""")
+def reader_select_eval(spark, sf_dir):
+    """G2 + F13, evaluation form: the first passages, whatever they hold."""
+    h = labelled_hits(spark, sf_dir, "string")
+    s = rd.reader_select(h, passages(spark, sf_dir), questions(spark, sf_dir), GOLD_CFG, train=False)
+    return s.select("qid", "role", "rank", "doc_id", "passage_offset")
+
+
 @register("reader_batch_slots", _SELECT_SQL + """,
 ok AS (SELECT qid, rank, doc_id,
               len(list_filter(starts, lambda s: s + off < 256 AND s + off + alen - 1 < 256)) AS n_ok

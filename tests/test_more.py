@@ -70,6 +70,41 @@ def test_vocab_roundtrip(spark):
     assert cut == [2, 5, 3]
 
 
+def test_tag_runs_of_odd_rows(spark):
+    rows = [(1, ["a", "b", "c", "d", "e"], ["X", "X", "Y", "O", "Y"]), (2, [], []), (3, None, None),
+            (4, ["a", "b"], [None, "X"]), (5, ["a"], ["X", "X", "Z"])]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, tags array<string>")
+    got = sorted((r.id, r.group_idx, r.tag, r.text) for r in annotate.entity_groups(df, "id").collect())
+    assert got == [(1, 0, "X", "a b"), (1, 1, "Y", "c"), (1, 2, "Y", "e"), (4, 0, "X", "b"), (5, 0, "X", "a"), (5, 1, "Z", "")]
+
+
+def test_reader_select_with_gold_passages(spark):
+    passages = spark.createDataFrame(
+        [(1, "Page", "x ans"), (2, "Other", "ans y"), (3, "page", "ans ans"), (4, "Other", "none"), (5, "Other", "no"), (6, "Q", "nope")],
+        "id long, title string, text string")
+    questions = spark.createDataFrame([(1, "who", ["ans"]), (2, "what", ["ans"]), (3, "why", ["ans"]), (4, "how", ["zzz"])],
+                                      "qid long, question string, answers array<string>")
+    hits = [(q, r, d, d <= 3) for q in (1, 2, 4) for r, d in enumerate((2, 1, 4, 3, 5, 6), 1)]
+    hits = spark.createDataFrame(hits, "qid long, rank int, doc_id long, has_answer boolean")
+    gold = spark.createDataFrame([(1, 0, 9, "old", "ans"), (1, 1, 3, "PAGE", "ans ans"), (2, 0, 7, "none such", "the ans"),
+                                  (3, 0, 8, "t", "ans"), (4, 0, 8, "t", "ans"), (99, 0, 8, "t", "ans")],
+                                 "qid long, ord int, doc_id long, title string, text string")
+
+    def chosen(**kw):
+        cfg = reader.ReaderConfig(max_positives=1, max_negatives=1, min_negatives=2, **kw)
+        out = reader.reader_select(hits, passages, questions, cfg, gold=gold).collect()
+        return {(q, role): [r.doc_id for r in sorted(out, key=lambda r: r.rank) if (r.qid, r.role) == (q, role)]
+                for q, role in {(r.qid, r.role) for r in out}}
+
+    # question 1: both positives of the gold page, over max_positives; 2: the first one; 3 has no hits; 4 no span
+    assert chosen() == {(1, "positive"): [1, 3], (1, "negative"): [4, 5], (2, "positive"): [2], (2, "negative"): [4, 5]}
+    assert chosen(include_gold_passage=True) == {(1, "positive"): [1, 3], (1, "negative"): [4, 5], (2, "positive"): [7, 2],
+                                                 (2, "negative"): [4, 5], (3, "positive"): [8]}
+    assert chosen(gold_page_only_positives=False)[1, "positive"] == [2]
+    evaluated = reader.reader_select(hits, passages, questions, reader.ReaderConfig(eval_passages=2), False, gold=gold).collect()
+    assert sorted((r.qid, r.role, r.doc_id) for r in evaluated) == [(q, "negative", d) for q in (1, 2, 4) for d in (1, 2)]
+
+
 def test_include_gold(spark):
     sel = spark.createDataFrame([(1, "positive", 1, 10, 5, [(6, 7)])],
                                 "qid long, role string, rank int, doc_id long, passage_offset int, spans array<struct<s:int,e:int>>")
