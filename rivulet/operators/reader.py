@@ -10,6 +10,7 @@ exploded into one row per (start, end) pair.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,22 @@ def attention_mask(ids: Column, pad="[PAD]") -> Column:
     return F.transform(ids, lambda x: (x != F.lit(pad)).cast("int"))
 
 
+def pair_sequence(question: Column, title: Column, passage: Column, tailing_sep: bool = False,
+                  cls: str = "[CLS]", sep: str = "[SEP]") -> Column:
+    """[CLS] question [SEP] title [SEP] passage, with another separator at
+    the end if asked for; a null part is empty."""
+    def part(c: Column) -> Column:
+        return F.coalesce(c, F.array().cast("array<string>"))
+
+    mark = F.array(F.lit(sep))
+    return F.concat(F.array(F.lit(cls)), part(question), mark, part(title), mark, part(passage), *([mark] if tailing_sep else []))
+
+
+def _place() -> Column:
+    """Order of a question's passages: by rank, an added gold passage last."""
+    return F.struct((F.col("rank") < 0).alias("added"), F.col("rank").alias("rank"))
+
+
 def _one_gold(gold: DataFrame, questions: DataFrame) -> DataFrame:
     """One gold passage (``qid, doc_id, title, text``) per asked question,
     the last by ``ord`` (without such a column the greatest doc_id)."""
@@ -168,7 +185,7 @@ def reader_batch(selected: DataFrame, *, passages_per_question: int = 4, max_len
     first negatives, then empty slots.  Questions without such a positive are
     dropped.  Returns ``qid, slot, doc_id (null = empty), n_answers``."""
     in_range = F.filter("spans", lambda x: (x["s"] < max_length) & (x["e"] < max_length))
-    w = Window.partitionBy("qid").orderBy("rank")
+    w = Window.partitionBy("qid").orderBy(_place())
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     s = selected.withColumn("ok_spans", in_range)
     okp = ((F.col("role") == "positive") & (F.size("ok_spans") > 0)).cast("int")
@@ -191,6 +208,63 @@ def reader_batch(selected: DataFrame, *, passages_per_question: int = 4, max_len
                       F.coalesce(F.col("c.x.n"), F.lit(0)).cast("int").alias("n_answers"))
 
 
+def _answers_of(name: str, row: Column) -> Column:
+    return row["a"][name]
+
+
+def reader_tensors(selected: DataFrame, sequences: DataFrame, *, passages_per_question: int = 4, max_length: int = 256,
+                   max_n_answers: int = 10, pad="[PAD]", train: bool = True, seed: int | None = None) -> DataFrame:
+    """G3 + D7 + D8 + X19 + X27: one row per question with ``passages_per_question``
+    rows of ``max_length`` ids (``input_ids``) and, in training, the
+    ``start_positions``, ``end_positions`` and ``answer_mask`` of each row.
+
+    ``selected``: output of :func:`reader_select`; ``sequences``: ``qid, doc_id,
+    ids``.  Row 0 is a positive: the first one with a span inside ``max_length``,
+    or with ``seed`` a drawn one, if that has such a span.  Then come the first
+    negatives, with ``seed`` drawn ones, then rows of ``pad``.  Questions without
+    such a positive have no row (F18).  In evaluation all rows are passages in
+    order.  Draws hang on (seed, qid, doc_id) alone.
+
+    Passages are chosen on their ids and spans; the sequences of the chosen
+    alone are joined.  A group holds at most the passages of one question.
+    """
+    m = passages_per_question
+    ok = F.filter("spans", lambda x: (x["s"] < max_length) & (x["e"] < max_length)).alias("ok")
+    draw = (F.lit("") if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), "qid", "doc_id"))).alias("draw")
+    entry = F.struct(draw, _place().alias("place"), "doc_id", ok)
+    per_q = selected.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("role") == "positive", entry))).alias("p"),
+                                        F.array_sort(F.collect_list(F.when(F.col("role") == "negative", entry))).alias("n"))
+    no_spans = F.array().cast(T.ArrayType(SPAN))
+
+    def others(n: int) -> Column:
+        return F.transform(F.slice("n", 1, n), lambda x: F.struct(x["doc_id"].alias("doc_id"), no_spans.alias("ok")))
+
+    if train:
+        by_place = F.array_min(F.transform(F.filter("p", lambda x: F.size(x["ok"]) > 0), lambda x: F.struct(
+            x["place"].alias("place"), x["doc_id"].alias("doc_id"), x["ok"].alias("ok"))))
+        drawn = F.get("p", F.lit(0))  # sorted by draw; without a seed by place
+        chosen = per_q.withColumn("first", F.when(F.size(drawn["ok"]) > 0, F.struct(drawn["doc_id"].alias("doc_id"), drawn["ok"].alias("ok")))
+                                  .otherwise(F.struct(by_place["doc_id"].alias("doc_id"), by_place["ok"].alias("ok"))))
+        chosen = chosen.where(F.exists("p", lambda x: F.size(x["ok"]) > 0)).select(
+            "qid", F.concat(F.array("first"), others(m - 1)).alias("rows"))
+    else:
+        chosen = per_q.select("qid", others(m).alias("rows"))
+    rows = chosen.select("qid", F.posexplode_outer("rows").alias("slot", "x")).select("qid", "slot", "x.doc_id", "x.ok")
+    ids = F.coalesce("ids", F.array().cast(sequences.schema["ids"].dataType))
+    rows = rows.join(sequences.select("qid", "doc_id", "ids"), ["qid", "doc_id"], "left").select(
+        "qid", F.struct("slot", pad_ids(ids, max_length, pad).alias("ids"), answer_matrices(F.col("ok"), max_n_answers).alias("a")).alias("row"))
+    got = rows.groupBy("qid").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+
+    def matrix(of, empty: Column) -> Column:
+        return F.slice(F.concat(F.transform("rows", lambda r: of(r)), F.array_repeat(empty, m)), 1, m)
+
+    zeros = F.array_repeat(F.lit(0), max_n_answers)
+    out = [matrix(lambda r: r["ids"], F.array_repeat(F.lit(pad), max_length)).alias("input_ids")]
+    if train:
+        out += [matrix(partial(_answers_of, name), zeros).alias(name) for name in ("start_positions", "end_positions", "answer_mask")]
+    return got.select("qid", *out)
+
+
 def best_span(start: Column, end: Column, max_answer_length: int) -> Column:
     """W8 + T6 (top 1): the (s, e), e - s < L, maximizing start[s] + end[e];
     ties -> smallest s, then smallest e.  O(n * L) inside one array
@@ -321,5 +395,5 @@ def pick_positive(selected: DataFrame, max_length: int, seed: int | None = None)
     positive get no row (F18)."""
     in_range = F.filter("spans", lambda x: (x["s"] < max_length) & (x["e"] < max_length))
     c = selected.where((F.col("role") == "positive") & (F.size(in_range) > 0))
-    key = F.col("rank") if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    key = _place() if seed is None else F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     return c.groupBy("qid").agg(F.min_by("doc_id", key).alias("doc_id"))

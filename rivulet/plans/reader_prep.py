@@ -10,6 +10,7 @@ from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
 from rivulet.plans.text_search import K, labelled_hits
 from rivulet.functions.text import nfkc, tokenize
+from rivulet.session import materialize
 from rivulet.sources.tables import passages, questions, table
 
 MAX_ANSWER_LEN = 10
@@ -256,15 +257,78 @@ def reader_inputs(spark, sf_dir):
     d = passages(spark, sf_dir).select(F.col("id").alias("doc_id"), tokenize(nfkc("title")).alias("t_tok"),
                                        tokenize(nfkc("text")).alias("p_tok"))
     j = s.join(q, "qid").join(d, "doc_id")
-    seq = F.concat(F.array(F.lit("[CLS]")), "q_tok", F.array(F.lit("[SEP]")), "t_tok",
-                   F.array(F.lit("[SEP]")), "p_tok")
-    p = j.select("qid", "doc_id", rd.pad_ids(seq, L_MAX).alias("p"))
+    p = j.select("qid", "doc_id", rd.pad_ids(rd.pair_sequence(F.col("q_tok"), F.col("t_tok"), F.col("p_tok")), L_MAX).alias("p"))
     mask = rd.attention_mask(F.col("p"))
     return p.select("qid", "doc_id",
                     F.aggregate(mask, F.lit(0), lambda a, x: a + x).cast("int").alias("n_attended"),
                     F.md5(F.array_join("p", " ")).alias("ids_md5"))
 
 
+M_ROWS, N_ANSWERS = 4, 10
+
+
+def _sequences(spark, sf_dir, pairs):
+    q = questions(spark, sf_dir).select("qid", tokenize(nfkc("question")).alias("q_tok"))
+    d = passages(spark, sf_dir).select(F.col("id").alias("doc_id"), tokenize(nfkc("title")).alias("t_tok"),
+                                       tokenize(nfkc("text")).alias("p_tok"))
+    return pairs.select("qid", "doc_id").join(q, "qid").join(d, "doc_id").select(
+        "qid", "doc_id", rd.pair_sequence(F.col("q_tok"), F.col("t_tok"), F.col("p_tok")).alias("ids"))
+
+
+def _ids_md5():
+    return F.md5(F.array_join(F.transform("input_ids", lambda r: F.array_join(r, " ")), "|")).alias("ids_md5")
+
+
+_ROWS_SQL = f"""
+seq AS (SELECT slots.qid, slot, list_concat(['[CLS]'], {S.tokens('qs.question')}, ['[SEP]'], {S.tokens('docs.title')}, ['[SEP]'],
+                                            {S.tokens('docs.text')}) AS s
+        FROM slots JOIN qs USING (qid) JOIN docs USING (doc_id)),
+grid AS (SELECT qid, unnest(range(0, {M_ROWS})) AS slot FROM (SELECT DISTINCT qid FROM slots)),
+ids AS (SELECT grid.qid, grid.slot, list_concat(coalesce(s, CAST([] AS VARCHAR[])),
+                                                list_transform(range({L_MAX}), lambda i: '[PAD]'))[1:{L_MAX}] AS ids
+        FROM grid LEFT JOIN seq USING (qid, slot)),
+md AS (SELECT qid, md5(string_agg(array_to_string(ids, ' '), '|' ORDER BY slot)) AS ids_md5 FROM ids GROUP BY qid)
+"""
+_TEN = f"list_transform(range({N_ANSWERS}), lambda i: 0)"
+
+
+@register("reader_tensors", _SELECT_SQL + f""",
+ok AS (SELECT sel.*, list_filter(starts, lambda s: s + off + alen - 1 < {L_MAX}) AS ok FROM sel),
+p0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM ok
+                      WHERE role = 'positive' AND len(ok) > 0) WHERE r = 1),
+n0 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS r FROM ok
+                      WHERE role = 'negative' AND qid IN (SELECT qid FROM p0)) WHERE r < {M_ROWS}),
+slots AS (SELECT qid, 0 AS slot, doc_id FROM p0 UNION ALL SELECT qid, r AS slot, doc_id FROM n0),
+{_ROWS_SQL}
+SELECT md.qid, md.ids_md5,
+       array_to_string(list_concat(list_transform(ok, lambda s: s + off), {_TEN})[1:{N_ANSWERS}], ',') AS starts,
+       array_to_string(list_concat(list_transform(ok, lambda s: s + off + alen - 1), {_TEN})[1:{N_ANSWERS}], ',') AS ends,
+       CAST(least(len(ok), {N_ANSWERS}) AS INTEGER) AS n_masked
+FROM md JOIN p0 USING (qid)
+""")
+def reader_tensors(spark, sf_dir):
+    """G3 + D7 + D8 + X18-X20 + X27: 4 x 256 ids with answer positions and mask
+    per question, digested for the check."""
+    s = materialize(selected(spark, sf_dir), "reader-selected")
+    t = rd.reader_tensors(s, _sequences(spark, sf_dir, s), passages_per_question=M_ROWS, max_length=L_MAX, max_n_answers=N_ANSWERS)
+    total = F.aggregate(F.flatten("answer_mask"), F.lit(0), lambda a, x: a + x)
+    return t.select("qid", _ids_md5(), F.array_join(F.get("start_positions", F.lit(0)), ",").alias("starts"),
+                    F.array_join(F.get("end_positions", F.lit(0)), ",").alias("ends"), total.alias("n_masked"))
+
+
+@register("reader_tensors_eval", f"""{_LABELLED_SQL}
+slots AS (SELECT qid, rank - 1 AS slot, doc_id FROM lab WHERE rank <= {M_ROWS}),
+{_ROWS_SQL}
+SELECT qid, ids_md5 FROM md
+""")
+def reader_tensors_eval(spark, sf_dir):
+    """G3, evaluation form: the first passages, no positions."""
+    h = labelled_hits(spark, sf_dir, "string")
+    s = materialize(rd.reader_select(h, passages(spark, sf_dir), questions(spark, sf_dir), train=False), "reader-selected")
+    t = rd.reader_tensors(s, _sequences(spark, sf_dir, s), passages_per_question=M_ROWS, max_length=L_MAX, train=False)
+    return t.select("qid", _ids_md5())
+
+
 @register("canonical_question", f"""
 WITH g AS (SELECT text AS question,
                   array_to_string({S.tokens("text")}, ' ') AS question_tokens FROM benchmark),

@@ -105,6 +105,39 @@ def test_reader_select_with_gold_passages(spark):
     assert sorted((r.qid, r.role, r.doc_id) for r in evaluated) == [(q, "negative", d) for q in (1, 2, 4) for d in (1, 2)]
 
 
+def test_reader_tensors(spark):
+    sel = spark.createDataFrame(
+        [(1, "positive", -1, 9, [(1, 1)]), (1, "positive", 1, 10, [(7, 9)]), (1, "positive", 2, 11, [(2, 3), (6, 8), (4, 4)]),
+         (1, "negative", 3, 12, []), (1, "negative", 4, 13, []), (1, "negative", 5, 14, []),
+         (2, "positive", 1, 10, [(8, 9)]), (2, "negative", 2, 12, []), (3, "positive", 1, 11, [(0, 0)])],
+        "qid long, role string, rank int, doc_id long, spans array<struct<s:int,e:int>>")
+    seq = spark.createDataFrame([(q, d, [d] * n) for q in (1, 2, 3) for d, n in ((9, 2), (10, 9), (11, 3), (12, 5), (13, 1))],
+                                "qid long, doc_id long, ids array<int>")
+    kw = dict(passages_per_question=3, max_length=4, max_n_answers=2, pad=0)
+    out = {r.qid: r for r in reader.reader_tensors(sel, seq, **kw).collect()}
+    assert sorted(out) == [1, 3]  # no span of question 2 is within the length
+    assert out[1].input_ids == [[11, 11, 11, 0], [12] * 4, [13, 0, 0, 0]]
+    assert out[1].start_positions == [[2, 0], [0, 0], [0, 0]] and out[1].end_positions == [[3, 0], [0, 0], [0, 0]]
+    assert out[1].answer_mask == [[1, 0], [0, 0], [0, 0]]
+    assert out[3].input_ids == [[11, 11, 11, 0], [0] * 4, [0] * 4]
+    firsts, seconds = set(), set()
+    for seed in range(20):
+        one = reader.reader_tensors(sel, seq, seed=seed, **kw).where("qid = 1").select("input_ids")
+        ids = one.first().input_ids
+        firsts.add(ids[0][0])
+        seconds.add(ids[1][0])
+    assert firsts == {9, 11} and seconds == {0, 12, 13}  # document 14 has no sequence
+    ev = {r.qid: r.input_ids for r in reader.reader_tensors(sel, seq, train=False, **kw).collect()}
+    assert ev[1] == [[12] * 4, [13, 0, 0, 0], [0] * 4] and ev[3] == [[0] * 4] * 3
+
+
+def test_pair_sequence(spark):
+    df = spark.createDataFrame([(["q"], None, ["p", "r"])], "q array<string>, t array<string>, p array<string>")
+    cols = [F.col(c) for c in "qtp"]
+    got = df.select(reader.pair_sequence(*cols).alias("a"), reader.pair_sequence(*cols, tailing_sep=True).alias("b")).first()
+    assert got.a == ["[CLS]", "q", "[SEP]", "[SEP]", "p", "r"] and got.b == got.a + ["[SEP]"]
+
+
 def test_include_gold(spark):
     sel = spark.createDataFrame([(1, "positive", 1, 10, 5, [(6, 7)])],
                                 "qid long, role string, rank int, doc_id long, passage_offset int, spans array<struct<s:int,e:int>>")
