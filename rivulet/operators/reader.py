@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from rivulet.functions.bind import let
 from rivulet.functions.text import nfkc, tokenize
+from rivulet.functions.tokens import extend_span_to_words
 
 
 @dataclass(frozen=True)
@@ -353,6 +354,49 @@ def best_prediction(spans: DataFrame, thresholds=(1,), *, qid: str = "qid",
                       F.coalesce("score", F.lit(-1.0)).alias("score"))
 
 
+def decode_answers(logits: DataFrame, *, max_answer_length: int = 10, thresholds: tuple[int, ...] | None = None,
+                   questions: DataFrame | None = None) -> DataFrame:
+    """G6 + T6-T8 + X21 + X23: logits of whole sequences -> answer texts.
+
+    ``logits``: ``qid, passage_idx, relevance, start_logits, end_logits, ids,
+    passage_offset``; only the part of a sequence from ``passage_offset`` on can
+    hold the answer.  Each passage gives its best span, moved out to whole words.
+    Per threshold n the prediction is that of the most relevant passage with
+    ``passage_idx`` < n (ties: the smaller index); without thresholds that of the
+    most relevant of all, ``top_k`` being how many there are.  A question (of
+    ``questions``, default: those with logits) without one gets the empty text.
+
+    Returns ``qid, top_k, text, score, relevance_score, passage_idx, passage``.
+    """
+    n = F.greatest(F.size("ids") - F.col("passage_offset"), F.lit(0))
+
+    def part(name: str) -> Column:
+        return F.slice(name, F.col("passage_offset") + 1, n)
+
+    cut = logits.select("qid", "passage_idx", "relevance", part("ids").alias("ids"),
+                        best_span(part("start_logits"), part("end_logits"), max_answer_length).alias("b"))
+    cut = cut.where(F.col("b").isNotNull()).withColumn("w", extend_span_to_words(F.col("ids"), F.col("b.s"), F.col("b.e")))
+
+    def words(tokens: Column) -> Column:
+        return F.regexp_replace(F.array_join(tokens, " "), " +##", "")
+
+    found = cut.select("qid", "passage_idx", words(F.slice("ids", F.col("w.s") + 1, F.col("w.e") - F.col("w.s") + 1)).alias("text"),
+                       F.col("b.score").alias("score"), F.col("relevance").cast("double").alias("relevance_score"),
+                       words(F.col("ids")).alias("passage"))
+    asked = (logits if questions is None else questions).select("qid").distinct()
+    best = F.max_by(F.struct("text", "score", "relevance_score", "passage_idx", "passage"),
+                    F.struct("relevance_score", -F.col("passage_idx"))).alias("p")
+    if thresholds is None:
+        got = asked.join(found.groupBy("qid").agg(best, F.count(F.lit(1)).cast("int").alias("top_k")), "qid", "left")
+    else:
+        ths = F.array(*[F.lit(int(t)) for t in thresholds])  # fixed parameter list
+        per = found.withColumn("top_k", F.explode(F.filter(ths, lambda t: F.col("passage_idx") < t))).groupBy("qid", "top_k").agg(best)
+        got = asked.withColumn("top_k", F.explode(ths)).join(per, ["qid", "top_k"], "left")
+    empty = {"text": "", "score": -1.0, "relevance_score": -1.0, "passage_idx": -1, "passage": ""}
+    return got.select("qid", F.coalesce("top_k", F.lit(0)).alias("top_k"),
+                      *[F.coalesce(F.col("p")[k], F.lit(v)).alias(k) for k, v in empty.items()])
+
+
 def include_gold_passages(selected: DataFrame, gold: DataFrame) -> DataFrame:
     """Append each question's gold passage as a positive when it is not
     already among the positives and it has an answer span.

@@ -176,22 +176,93 @@ def best_spans_top1(spark, sf_dir):
     return b.select("qid", "b.s", "b.e", F.round("b.score", 4).alias("score"))
 
 
-@register("best_spans_topn")
+_CLEAR = "WHERE NOT ((i <= bi AND j >= bj) OR (i >= bi AND j <= bj))"
+
+
+@register("best_spans_topn", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS st, list_reverse(CAST(embedding AS DOUBLE[])) AS en
+           FROM embeddings),
+i AS (SELECT vec_id, st, en, unnest(range(0, len(st))) AS i FROM e),
+c AS (SELECT vec_id, i, unnest(range(i, least(i + {MAX_ANSWER_LEN}, len(st)))) AS j, st, en FROM i),
+s1 AS (SELECT vec_id, i, j, st[i + 1] + en[j + 1] AS score FROM c),
+b1 AS (SELECT *, i AS bi, j AS bj FROM s1 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, j) = 1),
+s2 AS (SELECT s1.* FROM s1 JOIN (SELECT vec_id, bi, bj FROM b1) USING (vec_id) {_CLEAR}),
+b2 AS (SELECT *, i AS bi, j AS bj FROM s2 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, j) = 1),
+s3 AS (SELECT s2.* FROM s2 JOIN (SELECT vec_id, bi, bj FROM b2) USING (vec_id) {_CLEAR}),
+b3 AS (SELECT *, i AS bi, j AS bj FROM s3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, i, j) = 1),
+b AS (SELECT 1 AS k, * FROM b1 UNION ALL SELECT 2, * FROM b2 UNION ALL SELECT 3, * FROM b3)
+SELECT vec_id AS qid, CAST(0 AS INTEGER) AS passage_idx, CAST(k AS INTEGER) AS span_rank, CAST(i AS INTEGER) AS s,
+       CAST(j AS INTEGER) AS e, round(score, 4) AS score FROM b
+""")
 def best_spans_topn(spark, sf_dir):
-    """T6 (top 3, non-nested greedy suppression): order-dependent, checked
-    against brute force in tests; rows-only here."""
+    """T6 (top 3, non-nested greedy suppression)."""
     sp = rd.decode_spans(_logits(spark, sf_dir), max_answer_length=MAX_ANSWER_LEN, top_spans=3)
     return sp.select("qid", "passage_idx", "span_rank", "s", "e", F.round("score", 4).alias("score"))
 
 
-@register("best_prediction")
+def _sequence_logits(spark, sf_dir):
+    """Four passages a question: every embedding row is the logits of a
+    sequence whose tokens are its scaled components."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
+    return e.select(F.expr("vec_id div 4").alias("qid"), F.expr("vec_id % 4").cast("int").alias("passage_idx"),
+                    F.expr("vec_id % 5").cast("int").alias("passage_offset"),
+                    F.col("embedding").alias("start_logits"), F.reverse("embedding").alias("end_logits"),
+                    F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("bigint").cast("string")).alias("ids"),
+                    F.col("embedding")[0].cast("double").alias("relevance"))
+
+
+def _predicted_sql(offset: str) -> str:
+    return f"""
+WITH e AS (SELECT vec_id // 4 AS qid, vec_id % 4 AS p, {offset} AS off, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT qid, p, v[1] AS rel, list_transform(v, lambda x: CAST(CAST(floor(64 * x) AS BIGINT) AS VARCHAR))[off + 1:] AS toks,
+             v[off + 1:] AS st, list_reverse(v)[off + 1:] AS en FROM e),
+i AS (SELECT *, unnest(range(0, len(st))) AS i FROM l),
+c AS (SELECT *, unnest(range(i, least(i + {MAX_ANSWER_LEN}, len(st)))) AS j FROM i),
+one AS (SELECT qid, p, rel, toks, i, j, st[i + 1] + en[j + 1] AS score FROM c
+        QUALIFY row_number() OVER (PARTITION BY qid, p ORDER BY st[i + 1] + en[j + 1] DESC, i, j) = 1),
+th AS (SELECT unnest([1, 3]) AS top_k),
+r AS (SELECT one.*, top_k FROM one CROSS JOIN th WHERE p < top_k
+      QUALIFY row_number() OVER (PARTITION BY qid, top_k ORDER BY rel DESC, p) = 1),
+q AS (SELECT DISTINCT qid, top_k FROM e CROSS JOIN th),
+b AS (SELECT q.qid, q.top_k, p, rel, toks, i, j, score FROM q LEFT JOIN r USING (qid, top_k))
+"""
+
+
+@register("best_prediction", _predicted_sql("0") + """
+SELECT qid, CAST(top_k AS INTEGER) AS top_k, CAST(coalesce(p, -1) AS INTEGER) AS passage_idx, CAST(coalesce(i, -1) AS INTEGER) AS s,
+       CAST(coalesce(j, -1) AS INTEGER) AS e, round(coalesce(score, -1.0), 4) AS score FROM b
+""")
 def best_prediction(spark, sf_dir):
-    """T7 + T8 + G6 + Q20: per threshold (1, 3), best span among passages
-    with retrieval index below the threshold; rows-only."""
-    lg = _logits(spark, sf_dir)
+    """T7 + T8 + Q20: per threshold (1, 3), best span among passages with
+    retrieval index below the threshold."""
+    lg = _sequence_logits(spark, sf_dir)
     sp = rd.decode_spans(lg, max_answer_length=MAX_ANSWER_LEN, top_spans=1)
     sp = sp.join(lg.select("qid", "passage_idx", "relevance"), ["qid", "passage_idx"])
-    return rd.best_prediction(sp, thresholds=(1, 3), questions=_logits(spark, sf_dir))
+    return rd.best_prediction(sp, thresholds=(1, 3), questions=lg).withColumn("score", F.round("score", 4))
+
+
+@register("answer_texts", _predicted_sql("vec_id % 5") + """
+SELECT qid, CAST(top_k AS INTEGER) AS top_k, coalesce(array_to_string(toks[i + 1:j + 1], ' '), '') AS text,
+       round(coalesce(score, -1.0), 4) AS score, round(coalesce(rel, -1.0), 4) AS relevance_score,
+       CAST(coalesce(p, -1) AS INTEGER) AS passage_idx, md5(coalesce(array_to_string(toks, ' '), '')) AS passage_md5 FROM b
+""")
+def answer_texts(spark, sf_dir):
+    """G6 + T6-T8 + F17: answer texts per threshold, from the passage's part of
+    each sequence."""
+    a = rd.decode_answers(_sequence_logits(spark, sf_dir), max_answer_length=MAX_ANSWER_LEN, thresholds=(1, 3))
+    return a.select("qid", "top_k", "text", F.round("score", 4).alias("score"), F.round("relevance_score", 4).alias("relevance_score"),
+                    "passage_idx", F.md5("passage").alias("passage_md5"))
+
+
+@register("submission", _predicted_sql("vec_id % 5") + """
+SELECT qid, 'question ' || qid AS question, coalesce(array_to_string(toks[i + 1:j + 1], ' '), '') AS prediction FROM b WHERE top_k = 1
+""")
+def submission(spark, sf_dir):
+    """Question and answer text of the first threshold."""
+    from rivulet.sources import io
+    a = rd.decode_answers(_sequence_logits(spark, sf_dir), max_answer_length=MAX_ANSWER_LEN, thresholds=(1, 3))
+    return io.submission(a.withColumn("question", F.concat(F.lit("question "), F.col("qid").cast("string"))))
 
 
 @register("retrieval_records", f"""

@@ -166,9 +166,8 @@ def write_partitioned_results(df: DataFrame, path: str, split_col: str = "split"
 
 def submission(predictions: DataFrame) -> DataFrame:
     """``qid, question, prediction`` from the first threshold."""
-    first = predictions.groupBy("qid").agg(F.min("top_k").alias("top_k"))
-    return predictions.join(first, ["qid", "top_k"]).select("qid", "question",
-                                                             F.col("text").alias("prediction"))
+    return (predictions.groupBy("qid").agg(F.min_by(F.struct("question", "text"), "top_k").alias("p"))
+            .select("qid", F.col("p.question").alias("question"), F.col("p.text").alias("prediction")))
 
 
 def write_reader_samples(df: DataFrame, path: str, prefix: str = "samples") -> None:

@@ -138,6 +138,24 @@ def test_pair_sequence(spark):
     assert got.a == ["[CLS]", "q", "[SEP]", "[SEP]", "p", "r"] and got.b == got.a + ["[SEP]"]
 
 
+def test_decode_answers(spark):
+    ids = ["[CLS]", "q", "[SEP]", "new", "##port", "is", "a", "town"]
+    logits = [(1, 0, 0.5, [9.0, 9, 9, 0, 5, 1, 0, 0], [9.0, 9, 9, 0, 4, 0, 1, 0], ids, 3),
+              (1, 1, 0.9, [0.0] * 7 + [2], [0.0] * 7 + [3], ids, 3), (1, 2, 0.9, [0.0] * 3, [0.0] * 3, ids[:3], 3)]
+    logits = [(q, p, r, [float(x) for x in st], [float(x) for x in en], t, o) for q, p, r, st, en, t, o in logits]
+    df = spark.createDataFrame(logits, "qid long, passage_idx int, relevance double, start_logits array<double>, "
+                                       "end_logits array<double>, ids array<string>, passage_offset int")
+    asked = spark.createDataFrame([(1,), (2,)], "qid long")
+    out = {(r.qid, r.top_k): r for r in reader.decode_answers(df, thresholds=(1, 2, 3), questions=asked).collect()}
+    assert len(out) == 6 and out[1, 1].text == "newport" and out[1, 1].score == 9 and out[1, 1].passage == "newport is a town"
+    assert out[1, 2].text == out[1, 3].text == "town" and out[1, 3].passage_idx == 1  # passage 2 ends before its offset
+    assert all((out[2, n].text, out[2, n].score, out[2, n].passage_idx, out[2, n].passage) == ("", -1, -1, "") for n in (1, 2, 3))
+    every = {r.qid: r for r in reader.decode_answers(df, questions=asked).collect()}
+    assert (every[1].text, every[1].top_k, every[2].text, every[2].top_k) == ("town", 2, "", 0)
+    named = reader.decode_answers(df, thresholds=(1, 2), questions=asked).withColumn("question", F.lit("who"))
+    assert {tuple(r) for r in io.submission(named).collect()} == {(1, "who", "newport"), (2, "who", "")}
+
+
 def test_include_gold(spark):
     sel = spark.createDataFrame([(1, "positive", 1, 10, 5, [(6, 7)])],
                                 "qid long, role string, rank int, doc_id long, passage_offset int, spans array<struct<s:int,e:int>>")
