@@ -167,6 +167,23 @@ def assign_batches(df: DataFrame, batch_size: int, *, pos_in_shard: str = "pos_i
             .where(F.col("batch_id") >= offset))
 
 
+def shard_iterations(n_rows: int, num_shards: int, batch_size: int, strict: bool = True) -> int:
+    """D3: batches every (ceil-sized) shard runs in an epoch; without ``strict``
+    a last batch that the full shard cannot fill does not count."""
+    size = -(-n_rows // max(num_shards, 1))
+    return -(-size // batch_size) if strict else size // batch_size
+
+
+def fill_short_shards(batches: DataFrame, iterations: int, batch_size: int, *, shard: str = "shard_id") -> DataFrame:
+    """Shards that are through before ``iterations`` batches run their first
+    batch again until all are equally long.  ``batches``: output of
+    :func:`assign_batches`; a shard without rows stays empty."""
+    done = batches.groupBy(shard).agg((F.max("batch_id") + 1).alias("__done")).where(F.col("__done") < iterations)
+    again = (batches.where((F.col("batch_id") == 0) & (F.col("sample_pos") < batch_size)).join(done, shard)
+             .withColumn("batch_id", F.explode(F.sequence(F.col("__done"), F.lit(iterations - 1).cast("long")))).drop("__done"))
+    return batches.unionByName(again)
+
+
 def fill_last_batch(df: DataFrame, batch_size: int, *, shard: str = "shard_id",
                     pos_in_shard: str = "pos_in_shard") -> DataFrame:
     """U6 + D4: strict batch size -- a short last batch of a shard is extended

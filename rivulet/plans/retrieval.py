@@ -157,6 +157,15 @@ def knn_ivf_topk(spark, sf_dir):
     return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
+@register("knn_ivf_all_cells", _KNN_SQL.format(score="list_inner_product(q.v, d.v)"))
+def knn_ivf_all_cells(spark, sf_dir):
+    """J4 with every cell probed: equal to the exact search."""
+    e = _emb(spark, sf_dir)
+    h = knn_ops.knn_ivf(e, e, K, n_cells=8, nprobe=8, qid="vec_id", qvec="embedding",
+                        did="vec_id", dvec="embedding", exclude_self=True)
+    return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
+
+
 @register("knn_ivf_recall")
 def knn_ivf_recall(spark, sf_dir):
     """J4 quality: recall@10 of the IVF search against the exact search."""

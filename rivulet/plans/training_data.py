@@ -139,6 +139,32 @@ def batch_fill(spark, sf_dir):
     return b.select("conv_id", "turn", "shard_id", "batch_id", "sample_pos")
 
 
+MANY_SHARDS, SMALL_BATCH = 40, 4
+
+
+@register("shard_iterations", _ORDER_SQL + f""",
+z AS (SELECT CAST(ceil(n.n / {MANY_SHARDS}) AS BIGINT) AS size FROM n),
+b AS (SELECT o.conv_id, o.turn, CAST(o.pos // z.size AS INTEGER) AS shard_id, o.pos % z.size AS p FROM o, z),
+c AS (SELECT shard_id, count(*) AS cnt FROM b GROUP BY shard_id),
+f AS (SELECT conv_id, turn, shard_id, p FROM b
+      UNION ALL SELECT conv_id, turn, shard_id, cnt + p FROM b JOIN c USING (shard_id)
+      WHERE p < ({SMALL_BATCH} - cnt % {SMALL_BATCH}) % {SMALL_BATCH}),
+a AS (SELECT conv_id, turn, shard_id, p // {SMALL_BATCH} AS batch_id, p % {SMALL_BATCH} AS sample_pos FROM f),
+d AS (SELECT shard_id, max(batch_id) + 1 AS done FROM a GROUP BY shard_id),
+e AS (SELECT conv_id, turn, shard_id, batch_id, sample_pos FROM a
+      UNION ALL SELECT conv_id, turn, shard_id, unnest(range(done, CAST(ceil(size / {SMALL_BATCH}) AS BIGINT))), sample_pos
+      FROM a JOIN d USING (shard_id), z WHERE batch_id = 0)
+SELECT conv_id, turn, shard_id, CAST(batch_id AS BIGINT) AS batch_id, CAST(sample_pos AS INTEGER) AS sample_pos FROM e
+""")
+def shard_iterations(spark, sf_dir):
+    """D3 + D4: every shard that has rows runs the same number of full batches."""
+    o = _ordered(spark, sf_dir)
+    n = o.count()
+    filled = tr.fill_last_batch(tr.assign_shards(o, n, MANY_SHARDS), SMALL_BATCH)
+    b = tr.fill_short_shards(tr.assign_batches(filled, SMALL_BATCH), tr.shard_iterations(n, MANY_SHARDS, SMALL_BATCH), SMALL_BATCH)
+    return b.select("conv_id", "turn", "shard_id", "batch_id", "sample_pos")
+
+
 # ------------------------------------------------------------ J12 / G1 / D6
 def _samples(spark, sf_dir):
     """(user turn -> next assistant turn) samples in (conv, turn) order,

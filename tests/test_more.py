@@ -138,6 +138,16 @@ def test_pair_sequence(spark):
     assert got.a == ["[CLS]", "q", "[SEP]", "[SEP]", "p", "r"] and got.b == got.a + ["[SEP]"]
 
 
+def test_short_shards_run_their_first_batch_again(spark):
+    rows = spark.createDataFrame([(i,) for i in range(13)], "pos long")  # shards of 5, 5, 3
+    b = training.assign_batches(training.fill_last_batch(training.assign_shards(rows, 13, 3), 1), 1)
+    n = training.shard_iterations(13, 3, 1)
+    out = training.fill_short_shards(b, n, 1).collect()
+    per = {s: [r.pos for r in sorted(out, key=lambda r: r.batch_id) if r.shard_id == s] for s in range(3)}
+    assert n == 5 and per == {0: [0, 1, 2, 3, 4], 1: [5, 6, 7, 8, 9], 2: [10, 11, 12, 10, 10]}
+    assert (training.shard_iterations(13, 3, 2), training.shard_iterations(13, 3, 2, strict=False)) == (3, 2)
+
+
 def test_decode_answers(spark):
     ids = ["[CLS]", "q", "[SEP]", "new", "##port", "is", "a", "town"]
     logits = [(1, 0, 0.5, [9.0, 9, 9, 0, 5, 1, 0, 0], [9.0, 9, 9, 0, 4, 0, 1, 0], ids, 3),
