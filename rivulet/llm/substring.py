@@ -3,7 +3,8 @@
 A text is cut in sentences.  A span is a run of consecutive sentences: from
 each sentence on the shortest run of at least ``MIN_SENTENCES`` sentences and
 ``MIN_WORDS`` words, so runs of very short sentences grow until they say
-something.  Equal passages have equal spans wherever they stand.  Every span is
+something.  A text of fewer sentences, but that many words, is one span as a
+whole.  Equal passages have equal spans wherever they stand.  Every span is
 hashed (96 bits); hashes are joined over the corpus; the first occurrence, in
 the order of doc_id and then of place, stays, and every sentence that another
 occurrence covers is removed.
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import store, with_text_columns
 from rivulet.llm.spans import key_of
 
-MIN_SENTENCES, MIN_WORDS = 3, 12
+MIN_SENTENCES, MIN_WORDS = 2, 12
 #: A sentence with the white space after it.
 SENTENCE = re.compile(rb"\s*(?:[^.!?\n]++|[.!?](?!\s|$))*+(?:[.!?]+|\n|$)\s*")
 
@@ -42,14 +43,15 @@ def spans(pieces: list[bytes]) -> list[tuple[int, int, int, int]]:
     words = [p.split() for p in pieces]
     plain = [b" ".join(w) for w in words]
     sizes = [len(w) for w in words]
+    least = min(MIN_SENTENCES, len(pieces))
     out, end, n = [], 0, 0
     for i in range(len(pieces)):
         if i:
             n -= sizes[i - 1]
-        while end < len(pieces) and (end - i < MIN_SENTENCES or n < MIN_WORDS):
+        while end < len(pieces) and (end - i < least or n < MIN_WORDS):
             n += sizes[end]
             end += 1
-        if end - i < MIN_SENTENCES or n < MIN_WORDS:
+        if end - i < least or n < MIN_WORDS:
             break
         digest = xxhash.xxh3_128_intdigest(b"\n".join(plain[i:end]))
         out.append(((digest & (1 << 64) - 1) - (1 << 63), (digest >> 64 & (1 << 32) - 1) - (1 << 31), i, end))

@@ -70,6 +70,16 @@ def test_substring_dedup_keeps_the_first(spark):
     assert out[5].text == "" and out[5].n_removed == 8
 
 
+def test_substring_dedup_of_two_sentences_and_of_short_texts(spark):
+    pair = "Alpha beta gamma delta epsilon zeta eta. Theta iota kappa lambda mu nu xi."
+    single = "one text without any end of a sentence but with enough words to be compared"
+    docs = docs_of(spark, [(1, f"Head of one. {pair} Tail of one."), (2, f"Begin of two. {pair} Finish of two."),
+                           (3, single), (4, single), (5, pair), (6, "too few words"), (7, "too few words")])
+    out = {r.doc_id: r for r in substring.substring_dedup(docs).collect()}
+    assert {d: (r.text, r.n_removed, r.first_doc_ids) for d, r in out.items()} == {
+        2: ("Begin of two. Finish of two.", 2, [1]), 4: ("", 1, [3]), 5: ("", 2, [1])}
+
+
 def test_sentences_make_up_the_text():
     rng = np.random.default_rng(0)
     for _ in range(300):
