@@ -1,13 +1,15 @@
 """Secret scans by corpus-wide ownership frequency.
 
 Patterns give candidates.  The hash of each candidate's value is aggregated
-over the corpus by distinct repositories and owners.  A value that several
-owners share is a widely copied example; a value that one owner alone has, and
-that looks like a live credential (length, letters and digits, entropy, no
-placeholder), is flagged.  DataFrame functions only.
-
-Aggregation runs on hashes with partial counts, first by (value, owner,
-repository), so an example in a third of all rows is no hot group.
+over the corpus by distinct owners, repositories and contexts (the text near
+it, so copies of one text count once).  A value that several owners share is a
+widely copied example; one that looks like a live credential (length, letters
+and digits, entropy, no placeholder) must also have been met in several
+contexts, or in more repositories than copies of one text would explain.  Every
+other value that looks live is flagged.  DataFrame functions only.
+
+Aggregation runs on hashes with partial distinct counts, so an example in a
+third of all rows is no hot group.
 """
 from __future__ import annotations
 
@@ -25,8 +27,11 @@ ASSIGN, ACCESS, HEX, LIVE, EXAMPLE = range(5)
 ASSIGN_PATTERN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS_PATTERN = r"AKIA[A-Z0-9]{16,}"
 HEX_PATTERN = r"[0-9a-f]{24,}"
-#: A value of as many owners is an example; one of a single owner can be live.
-EXAMPLE_OWNERS = 3
+#: A value of fewer owners is no example.  One that looks live is an example only
+#: with as many contexts or repositories, too.
+EXAMPLE_OWNERS, EXAMPLE_CONTEXTS, EXAMPLE_REPOSITORIES = 3, 3, 4
+#: Code points on each side of a value that make up its context.
+NEAR = 64
 LIVE_LENGTH, LIVE_ENTROPY = 12, 3.0
 PLACEHOLDERS = r"(?i)example|sample|dummy|changeme|placeholder|your|test|xxxx|1234567|abcdef|(.)\1{5}"
 
@@ -74,32 +79,42 @@ def looks_live(value: Column) -> Column:
             & ~F.regexp_like(value, F.lit(PLACEHOLDERS)) & (let(entropy, F.split(value, "")) >= LIVE_ENTROPY))
 
 
+def _contexts(text: Column, spans: Column) -> Column:
+    """For each span a hash of the text on both sides of its credential."""
+    def of(s: Column) -> Column:
+        return let(lambda c: F.xxhash64(F.substring(text, F.greatest(c["start"] - NEAR, F.lit(0)) + 1, F.least(c["start"], F.lit(NEAR))),
+                                        F.substring(text, c["end"] + 1, F.lit(NEAR))), secret_of(s))
+    return F.transform(spans, of)
+
+
 def scanned(docs: DataFrame, owner: str, repository: list[str]) -> DataFrame:
-    """Stored ``(doc_id, row_key, owner, repository, spans)`` of every row."""
+    """Stored ``(doc_id, row_key, owner, repository, spans, contexts)`` of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
 
     def held(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")) if name in docs.columns else F.lit("")
 
-    return store(docs.select(doc_id.alias("doc_id"), key_of(doc_id, text).alias("row_key"), held(owner).alias("owner"),
-                             F.xxhash64(*[held(c) for c in repository]).alias("repository"),
-                             base_spans(text).alias("spans")), "secret-spans")
+    spans = docs.select(doc_id.alias("doc_id"), text.alias("text"), held(owner).alias("owner"),
+                        F.xxhash64(*[held(c) for c in repository]).alias("repository"), base_spans(text).alias("spans"))
+    contexts = F.when(F.size("spans") > 0, let(_contexts, F.col("text"), F.col("spans"))).otherwise(F.array().cast("array<bigint>"))
+    return store(spans.select("doc_id", key_of(F.col("doc_id"), F.col("text")).alias("row_key"), "owner", "repository", "spans",
+                              contexts.alias("contexts")), "secret-spans")
 
 
 def judged(found: DataFrame) -> DataFrame:
     """``(doc_id, row_key, added)``: spans of live and example values, for the
     rows that have any.  The verdict hangs on the value's hash alone."""
-    each = (found.where(F.size("spans") > 0).select("doc_id", "row_key", "owner", "repository", F.explode("spans").alias("s"))
-            .select("doc_id", "row_key", "owner", "repository", secret_of(F.col("s")).alias("c"))
+    each = (found.where(F.size("spans") > 0)
+            .select("doc_id", "row_key", "owner", "repository", F.explode(F.arrays_zip("spans", "contexts")).alias("s"))
+            .select("doc_id", "row_key", "owner", "repository", F.col("s.contexts").alias("context"), secret_of(F.col("s.spans")).alias("c"))
             .select("*", F.sha2(F.col("c.value").cast("binary"), 256).alias("hash")))
-    each = store(each.select("doc_id", "row_key", "owner", "repository", "hash", "c.start", "c.end",
+    each = store(each.select("doc_id", "row_key", "owner", "repository", "context", "hash", "c.start", "c.end",
                              looks_live(F.col("c.value")).alias("live")), "secrets")
-    owned = (each.groupBy("hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
-             .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n")))
-    kind = (F.when(F.col("owners") >= EXAMPLE_OWNERS, EXAMPLE)
-            .when(F.col("live") & (F.col("owners") == 1), LIVE))
+    owned = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("owner", "repository").alias("repositories"),
+                                     F.count_distinct("context").alias("contexts"))
+    copied = (F.col("contexts") >= EXAMPLE_CONTEXTS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    kind = F.when((F.col("owners") >= EXAMPLE_OWNERS) & (~F.col("live") | copied), EXAMPLE).when(F.col("live"), LIVE)
     span = F.struct(kind.alias("kind"), "start", "end", F.lit("").alias("value"))
     return (each.join(owned, "hash").where(kind.isNotNull()).groupBy("doc_id", "row_key")
             .agg(F.collect_set(span).alias("added")))

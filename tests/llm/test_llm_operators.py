@@ -389,3 +389,15 @@ def test_secrets_ownership(spark):
     assert out[10].spans == "assign:7:27,live:13:27"
     text = {r.doc_id: r.text for r in secrets.redact_live(docs).collect()}
     assert text[10] == "é live token=[SECRET] end" and text[0] == rows[0][1] and text[12] == rows[6][1]
+
+
+def test_secrets_verdict_from_owners_and_contexts(spark):
+    two, copied, example = "token=Qa72mWv19xRp5T", "secret=4f1c9be27ad0538e6b1f0c92", "token=Lk38vTz64cNy7D"
+    rows = [(1, f"mine {two}", "s1"), (2, f"yours {two}", "s2")] + [(10 + i, f"one text {copied} copied", f"s{i}") for i in range(3)]
+    rows += [(20 + i, f"text {i} shows {example}", f"s{i}") for i in range(3)]
+    docs = docs_of(spark, rows)
+    out = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    assert all(out[d].n_live > 0 and out[d].n_example == 0 for d in (1, 2, 10, 11, 12))
+    assert all(out[d].n_live == 0 and out[d].n_example == 1 for d in (20, 21, 22))
+    text = {r.doc_id: r.text for r in secrets.redact_live(docs).collect()}
+    assert text[1] == "mine token=[SECRET]" and text[10] == "one text secret=[SECRET] copied" and text[20] == rows[5][1]
