@@ -6,8 +6,9 @@ term t, with entity e, and with both near each other, the pointwise mutual
 information of t and e is set against the entity's information content
 log2(N / df(e)).  The share is 1 for a term that occurs nowhere else.  Terms
 from ``GENERALISE`` on are generalised, from ``REMOVE`` on removed, near the
-entity they reveal.  Pairs met in fewer than ``SUPPORT`` different contexts
-carry no estimate: copies of one text are one context.
+entity they reveal.  Every pair is estimated.  What few contexts say is smoothed:
+the ratio of a pair's documents to those expected by chance is drawn towards 1
+with the weight of ``PRIOR`` contexts; copies of one text are one context.
 
 DataFrame functions only.  Entities are hashed before they are counted; counts
 are partial sums, so a frequent entity or word is no hot group.
@@ -29,10 +30,10 @@ EMAIL_PATTERN = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(
 IP_PATTERN = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD_PATTERN = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE_PATTERN = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD_PATTERN = r"\p{L}[\p{L}\p{N}]{2,}"
+WORD_PATTERN = r"\p{L}[\p{L}\p{N}]+"
 #: Code points on each side of an entity in which words count as near.
 NEAR = 64
-SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.8
+PRIOR, GENERALISE, REMOVE = 3, 0.6, 0.8
 MASKS = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]"]
 
 
@@ -110,8 +111,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         .select("doc_id", "row_key", "n.entity", "n.term", "n.context")
     met = store(each.groupBy("entity", "term", "doc_id", "row_key").agg(F.min("context").alias("context"))
                 .groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
-                .where(F.col("contexts") >= SUPPORT), "pii-pairs")
+                .groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts")), "pii-pairs")
     entities = (found.where(F.size("spans") > 0)
                 .select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
                 .groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")))
@@ -120,7 +120,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     total = found.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n = F.lit(float(total))
     content = F.log2(n / F.col("df_entity"))
-    mutual = F.log2(F.col("both") * n / (F.col("df_term") * F.col("df_entity")))
+    ratio = F.col("both") * n / (F.col("df_term") * F.col("df_entity"))
+    mutual = F.log2((F.col("contexts") * ratio + PRIOR) / (F.col("contexts") + PRIOR))
     share = F.when(content > 0, mutual / content).otherwise(F.lit(0.0))
     return (met.join(entities, "entity").join(terms, "term").select("entity", "term", share.alias("share"))
             .where(F.col("share") >= GENERALISE))

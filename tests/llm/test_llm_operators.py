@@ -362,6 +362,12 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert clean[0] == "note 0   writes from [EMAIL] about thing0 common words" and clean[100] == rows[6][1]
 
 
+def test_pii_terms_of_an_entity_seen_once(spark):
+    docs = docs_of(spark, [(1, "contact Xu Qorvane at xq@rare.org today")] + [(100 + i, f"contact number{i} at noon today") for i in range(200)])
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == "contact [TERM] [TERM] at [EMAIL] today" and clean[100] == "contact number0 at noon today"
+
+
 # 10 secrets
 def base_secrets(t):
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(
