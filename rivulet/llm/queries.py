@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, decontaminate, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
+from rivulet.llm import align, bpe, decontaminate, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
 from rivulet.sources.tables import table
 
 
-def tokenizer_path() -> str:
-    """The public word-end BPE file, installed on every executor."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer file, installed on every executor."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                                 tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_bpe_roundtrip, op3_lm_scores, op4_exact_topk, op5_toxicity, op6_license_scan,
-    op7_decontamination, op8_simhash_near_dedup, op9_pii, op10_secrets)}
+    op7_decontamination, op8_simhash_near_dedup, op9_pii, op10_secrets, op11_tokenizer_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
