@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import align, bpe, decontaminate, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
+from rivulet.llm import align, bpe, chat, decontaminate, interactions, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
 from rivulet.sources.tables import table
 
 
@@ -62,9 +62,21 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return chat.chat_digests(table(spark, sf_dir, "conversations"), tokenizer_path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substring_dedup, op2_bpe_roundtrip, op3_lm_scores, op4_exact_topk, op5_toxicity, op6_license_scan,
-    op7_decontamination, op8_simhash_near_dedup, op9_pii, op10_secrets, op11_tokenizer_alignment)}
+    op7_decontamination, op8_simhash_near_dedup, op9_pii, op10_secrets, op11_tokenizer_alignment,
+    op12_filter_interactions, op13_chat_format)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_topk": """
@@ -83,4 +95,60 @@ ORACLE_SQL: dict[str, str] = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
             FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op12_filter_interactions": r"""
+        WITH copies AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+            FROM documents),
+        words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM copies),
+        marks AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+            FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        judged AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+                   + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+                   + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+                   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+                   + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS fails
+            FROM words w LEFT JOIN marks m ON w.doc_id = m.doc_id),
+        counted AS (
+            SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, bit)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+                   [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+              AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        steps AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS before
+            FROM orders, range(1, 6) AS t(step)),
+        found AS (
+            SELECT part, filter_order, step, bit,
+                   sum(CASE WHEN fails & CAST(before + bit AS BIGINT) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN fails & CAST(before AS BIGINT) <> 0 AND fails & bit <> 0 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN fails & CAST(before AS BIGINT) = 0 AND fails & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM counted, steps GROUP BY part, filter_order, step, bit)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM found""",
+    "op13_chat_format": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        written AS (
+            SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS plain_role FROM said)
+        SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length('<|im_start|><|im_end|>') + 2 + length(plain_role) + length(text)
+                   + len(regexp_extract_all(plain_role || chr(10) || text, '<\\*\|(im_start|im_end)\|>'))) AS BIGINT) AS formatted_chars
+        FROM written GROUP BY conv_id""",
 }
