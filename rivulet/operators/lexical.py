@@ -1,85 +1,132 @@
-"""Lexical index as plain tables and BM25 ranking.
+"""Lexical index as stored tables, and ranked search that scores only passages
+which can reach the top k (K15, A9, J5, J6, T2, U5).
 
-The reference sends passages to an external search server; here the index is
-three tables built by ordinary aggregations:
+An index is a folder of tables, written once and opened by its path:
 
-* ``postings(term, doc_id, tf)``  -- one row per (term, passage)
-* ``doc_stats(doc_id, dl)``       -- passage length in terms
-* ``term_stats(term, df)``        -- document frequency
+* ``forward(doc_id, dl, terms)``    -- a passage's terms in order
+* ``postings(doc_id, term, block, tf, impact, positions)`` -- bucketed by
+  ``doc_id``, sorted by term; ``impact`` is the term's BM25 factor there
+* ``blocks(term, block, df, cf, best, best_doc)`` -- a block is a hash range of
+  passages; ``best`` is the highest impact of the term in it
+* ``terms(term, df, cf, best)`` and ``corpus(n_docs, avgdl, ...)``
 
-and a ``match`` query is an equi-join of the question's terms with the
-postings on ``term`` followed by a partially-aggregated BM25 sum per
-(question, passage) and a per-question top-k (``WindowGroupLimit``).
-
-Skew: very frequent terms have huge posting lists.  The question-term side is
-small and gets broadcast when AQE measures it under the threshold; otherwise
-AQE's skew-join splitting applies.  No term is dropped: scores are exact BM25.
+A search runs in three steps.  (1) Threshold: the passages with the best impact
+in their block, for the question's most telling terms, are scored exactly; the
+k-th best of them is a score that the k-th hit has at least.  (2) Candidates: in
+each block the question's terms are ordered by their bound there; terms whose
+bounds do not add up to the threshold cannot lift a passage over it by
+themselves, so only postings of the other (essential) terms are read, and a
+passage stays if its score so far and the bounds of the rest reach the
+threshold.  (3) What stays is scored exactly.  No score is approximate and no
+term is dropped: common words, with their long postings, are rarely essential.
 """
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from rivulet.functions.text import analyze
+from rivulet.session import ensure_checkpoint_dir, materialize
 
 K1 = 1.2
 B = 0.75
+#: Passages a block, and the least and greatest number of blocks.
+BLOCK_DOCS, MIN_BLOCKS, MAX_BLOCKS = 4096, 16, 256
+#: For the threshold, best passages of (term, block) scored for each hit asked for.
+SEEDS = 8
+#: Scores that differ by less are taken as equal when something is left out.
+SLACK = 1e-5
+#: Columns of the stored postings beside doc_id, whose type is the passages'.
+POSTING = "term string, block int, tf bigint, impact double, positions array<int>"
 
 
 @dataclass
 class LexicalIndex:
+    path: str
+    forward: DataFrame
     postings: DataFrame
-    doc_stats: DataFrame
+    blocks: DataFrame
     term_stats: DataFrame
-    corpus_stats: DataFrame  # one row: n_docs, avgdl
-
-
-def _write_bucketed(df: DataFrame, key: str, num_buckets: int | None) -> DataFrame:
-    """Write ``df`` once as a table bucketed by ``key`` under the session's
-    checkpoint folder and read it back with its bucket spec, so later joins /
-    aggregations that include ``key`` run without a shuffle."""
-    import uuid
-
-    from rivulet.session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    n = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"rivulet_{key}_{uuid.uuid4().hex[:12]}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    (df.repartition(n, key).write.mode("overwrite").bucketBy(n, key).sortBy(key)
-     .option("path", path).saveAsTable(name))
-    return spark.table(name)
-
-
-def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                analyzer=analyze, materialize: bool = True,
-                num_buckets: int | None = None) -> LexicalIndex:
-    """K15 + A9: postings, per-doc lengths, df per term and corpus stats.
-
-    Tokenization runs once: doc lengths (sum of tf), document frequencies and
-    the total term count all derive from the single postings aggregation
-    (its exchange is reused); N counts every passage, including ones without
-    terms, from an id-only scan.
-
-    ``materialize`` writes the postings once, bucketed by ``doc_id``, under the
-    session's checkpoint folder (the index *is* a persisted table; it also cuts the lineage, so
-    the three statistics never re-run the analyzer).  ``explode_outer`` +
-    null filter keeps the optimizer from inferring a ``size(terms) > 0``
-    filter below the analyzer, which would evaluate it twice.
+    corpus_stats: DataFrame  # one row: n_docs, avgdl, n_blocks, n_buckets, k1, b
+
+    @property
+    def doc_stats(self) -> DataFrame:
+        return self.forward.select("doc_id", "dl")
+
+
+def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "text", analyzer=analyze,
+                path: str | None = None, num_buckets: int | None = None, k1: float = K1, b: float = B) -> LexicalIndex:
+    """K15 + A9: write an index to ``path`` (a new folder under the session's
+    checkpoint folder by default) and open it.
+
+    The analyzer runs once.  The postings are dealt by ``doc_id`` once, which is
+    also their bucketing: a term that stands in every passage is spread over all
+    buckets.  Statistics are partial aggregates of the stored postings.  N counts
+    every passage, also one without terms.  ``corpus`` is written last: an index
+    cut off before that does not open.
     """
-    toks = passages.select(F.col(id_col).alias("doc_id"), analyzer(F.col(text_col)).alias("terms"))
-    postings = (toks.select("doc_id", F.explode_outer("terms").alias("term"))
-                .where(F.col("term").isNotNull())
-                .groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")))
-    if materialize:
-        postings = _write_bucketed(postings, "doc_id", num_buckets)
-    doc_stats = postings.groupBy("doc_id").agg(F.sum("tf").cast("long").alias("dl"))
-    term_stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = passages.select(F.col(id_col)).agg(F.count(F.lit(1)).alias("n_docs"))
-    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("__tt")).scalar()
-    corpus_stats = n_docs.select("n_docs", (total / F.col("n_docs")).alias("avgdl"))
-    return LexicalIndex(postings, doc_stats, term_stats, corpus_stats)
+    spark = passages.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-lexical-{uuid.uuid4().hex}"
+    buckets = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    toks = passages.select(F.col(id_col).alias("doc_id"), F.coalesce(analyzer(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
+    toks.select("doc_id", F.size("terms").cast("long").alias("dl"), "terms").write.mode("overwrite").parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")
+    total = forward.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("terms")).first()
+    avgdl = total["terms"] / total["n"] if total["n"] else None
+    n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, total["n"] // BLOCK_DOCS))
+    norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0))
+    postings = (forward.repartition(buckets, "doc_id").select("doc_id", "dl", F.posexplode("terms").alias("pos", "term"))
+                .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+                .select("doc_id", "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "tf",
+                        (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("impact"), "positions"))
+    name = f"rivulet_postings_{uuid.uuid4().hex[:12]}"
+    (postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("term").option("path", f"{path}/postings").saveAsTable(name))
+    top = F.max(F.struct("impact", "doc_id"))
+    (spark.table(name).groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), top.alias("top"))
+     .select("term", "block", "df", "cf", F.col("top.impact").alias("best"), F.col("top.doc_id").alias("best_doc"))
+     .write.mode("overwrite").parquet(f"{path}/blocks"))
+    (spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("best").alias("best"))
+     .write.mode("overwrite").parquet(f"{path}/terms"))
+    (spark.range(1).select(F.lit(total["n"]).cast("long").alias("n_docs"), F.lit(avgdl).cast("double").alias("avgdl"),
+                           F.lit(n_blocks).alias("n_blocks"), F.lit(buckets).alias("n_buckets"),
+                           F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"))
+     .coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus"))
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """Open a stored index.  Its postings become a table of the session again,
+    so that joins and sums on ``doc_id`` need no shuffle."""
+    corpus = spark.read.parquet(f"{path}/corpus")
+    buckets = corpus.first()["n_buckets"]
+    read = {t: spark.read.parquet(f"{path}/{t}") for t in ("forward", "blocks", "terms")}
+    doc_id = read["forward"].schema["doc_id"].dataType.simpleString()
+    name = f"rivulet_postings_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {name} (doc_id {doc_id}, {POSTING}) USING parquet "
+              f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    return LexicalIndex(path, read["forward"], spark.table(name), read["blocks"], read["terms"], corpus)
+
+
+def index_for(passages: DataFrame, path: str, **options) -> LexicalIndex:
+    """The index stored at ``path``; built there first if there is none."""
+    try:
+        return open_index(passages.sparkSession, path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return build_index(passages, path=path, **options)
+
+
+def files_key(passages: DataFrame) -> str:
+    """A name for the data that ``passages`` reads: its files, their sizes and
+    times of change.  Changed data has another key."""
+    files = passages.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}-{int(row['h'] or 0) % (1 << 64):016x}"
 
 
 def query_terms(questions: DataFrame, *, qid: str = "qid", text_col: str = "question",
@@ -91,25 +138,60 @@ def query_terms(questions: DataFrame, *, qid: str = "qid", text_col: str = "ques
             .groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def bm25_scores(index: LexicalIndex, qterms: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+def weighted_terms(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
+    """(qid, term, weight): query multiplicity times inverse document frequency,
+    of the terms that the index has."""
+    n_docs = index.corpus_stats.select("n_docs").scalar()
+    df = F.col("df")
+    return (qterms.join(index.term_stats.select("term", "df"), "term").withColumn("n_docs", n_docs)
+            .select("qid", "term", (F.col("qtf") * F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))).alias("weight")))
+
+
+def _sum(contrib: Column) -> Column:
+    return F.sum(contrib).alias("score")
+
+
+def score_pairs(index: LexicalIndex, weights: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Exact scores of given (qid, doc_id) pairs that share a term.  What is
+    looked up is stored first: its size is then known when Spark plans, and
+    while it is small the postings stay where they are."""
+    wanted = materialize(pairs.join(weights, "qid"), "lexical-wanted")
+    return (index.postings.select("doc_id", "term", "impact").join(wanted, ["doc_id", "term"])
+            .groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact"))))
+
+
+def bm25_scores(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
     """Every (qid, doc_id) sharing a term, with its BM25 score."""
-    # idf per query term: df joined onto the (small) question-term side
-    qt = qterms.join(index.term_stats, "term")
-    return _score(index, qt, index.corpus_stats, k1, b)
+    weights = weighted_terms(index, qterms)
+    return (weights.join(index.postings.select("doc_id", "term", "impact"), "term")
+            .groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact"))))
+
 
+def thresholds(index: LexicalIndex, weights: DataFrame, bounds: DataFrame, k: int, excluded: DataFrame | None) -> DataFrame:
+    """(qid, least): a score that the question's k-th hit has at least; none
+    for a question with fewer passages scored."""
+    by_bound = Window.partitionBy("qid").orderBy(F.col("bound").desc(), "term", "block")
+    seeds = (bounds.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= SEEDS * k)
+             .select("qid", F.col("best_doc").alias("doc_id")).distinct())
+    if excluded is not None:
+        seeds = seeds.join(excluded, ["qid", "doc_id"], "left_anti")
+    best_first = Window.partitionBy("qid").orderBy(F.col("score").desc())
+    scored = score_pairs(index, weights, seeds).withColumn("n", F.row_number().over(best_first))
+    return scored.where(F.col("n") == k).select("qid", (F.col("score") - SLACK).alias("least"))
 
-def _score(index, qt, stats, k1, b):
-    # corpus statistics are one row: attach them as scalar subqueries
-    # (evaluated once, no join)
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    qt = qt.withColumn("n_docs", n_docs).withColumn("avgdl", avgdl)
-    qt = qt.withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    j = qt.join(index.postings, "term").join(index.doc_stats, "doc_id")
-    tf = F.col("tf")
-    norm = tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    contrib = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / norm
-    return j.groupBy("qid", "doc_id").agg(F.sum(contrib).alias("score"))
+
+def candidates(index: LexicalIndex, bounds: DataFrame, least: DataFrame) -> DataFrame:
+    """(qid, doc_id) of every passage whose score can reach the threshold."""
+    rising = Window.partitionBy("qid", "block").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+    cut = F.coalesce("least", F.lit(0.0))
+    marked = bounds.join(least, "qid", "left").withColumn("upto", F.sum("bound").over(rising)) \
+        .withColumn("essential", F.col("upto") >= cut)
+    rest = F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("qid", "block"))
+    need = materialize(marked.withColumn("need", cut - rest).where("essential")
+                       .select("qid", "term", "block", "weight", "need"), "lexical-need")
+    found = index.postings.select("doc_id", "term", "block", "impact").join(need, ["term", "block"])
+    return (found.groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact")), F.first("need").alias("need"))
+            .where(F.col("score") >= F.col("need")).select("qid", "doc_id"))
 
 
 def top_k(scores: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id",
@@ -123,15 +205,46 @@ def top_k(scores: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id",
     return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
+def _ranked(index: LexicalIndex, weights: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
+    bounds = materialize(weights.join(index.blocks.select("term", "block", "best", "best_doc"), "term")
+                         .withColumn("bound", F.col("weight") * F.col("best")), "lexical-bounds")
+    least = materialize(thresholds(index, weights, bounds, k, excluded), "lexical-least")
+    pairs = candidates(index, bounds, least)
+    if excluded is not None:
+        pairs = pairs.join(excluded, ["qid", "doc_id"], "left_anti")
+    return top_k(score_pairs(index, weights, pairs), k)
+
+
 def search(index: LexicalIndex, questions: DataFrame, k: int = 10, *, qid: str = "qid",
-           text_col: str = "question", analyzer=analyze,
-           k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 ``match`` query, top ``k`` passages per question.
+           text_col: str = "question", analyzer=analyze) -> DataFrame:
+    """J5 + T2: BM25 ``match`` query, top ``k`` passages per question.
     Returns ``qid, rank, doc_id, score``."""
-    qt = query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)
-    st = index.corpus_stats
-    s = _score(index, qt.join(index.term_stats, "term"), st, k1, b)
-    return top_k(s, k).select("qid", "rank", "doc_id", "score")
+    weights = materialize(weighted_terms(index, query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)), "lexical-weights")
+    return _ranked(index, weights, k).select("qid", "rank", "doc_id", "score")
+
+
+def phrase_passages(index: LexicalIndex, questions: DataFrame, *, qid: str = "qid", phrase_col: str = "phrase",
+                    analyzer=analyze) -> DataFrame:
+    """(qid, doc_id) of the passages that hold the question's phrase as a run of
+    terms, by positions: places of the phrase's rarest term give beginnings, and
+    every other term must stand at its distance from one of them.  A phrase
+    without terms is in no passage."""
+    ph = questions.select(F.col(qid).alias("qid"), analyzer(F.col(phrase_col)).alias("terms")).where(F.size("terms") > 0)
+    place = ph.select("qid", F.size("terms").alias("length"), F.posexplode("terms").alias("at", "term"))
+    rare = Window.partitionBy("qid").orderBy("df", "term", "at")
+    place = materialize(place.join(index.term_stats.select("term", "df"), "term", "left")
+                        .withColumn("df", F.coalesce("df", F.lit(0))).withColumn("n", F.row_number().over(rare)), "phrase-terms")
+    postings = index.postings.select("doc_id", "term", "positions")
+    begins = (postings.join(place.where("n = 1").select("qid", "length", "at", "term"), "term")
+              .select("qid", "length", "doc_id", F.explode("positions").alias("pos"), "at")
+              .select("qid", "length", "doc_id", (F.col("pos") - F.col("at")).alias("begin")).where("begin >= 0"))
+    begins = materialize(begins.groupBy("qid", "length", "doc_id").agg(F.collect_set("begin").alias("begins")), "phrase-begins")
+    wanted = begins.join(place.where("n > 1").select("qid", "at", "term"), "qid")
+    meets = F.array_intersect("begins", F.transform("positions", lambda p: p - F.col("at")))
+    others = (postings.join(wanted, ["doc_id", "term"]).select("qid", "length", "doc_id", F.explode(meets).alias("begin"))
+              .groupBy("qid", "doc_id", "begin").agg(F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
+              .where("n = length - 1").select("qid", "doc_id"))
+    return others.unionByName(begins.where("length = 1").select("qid", "doc_id")).distinct()
 
 
 def search_with_phrase(index: LexicalIndex, passages: DataFrame, questions: DataFrame,
@@ -142,19 +255,16 @@ def search_with_phrase(index: LexicalIndex, passages: DataFrame, questions: Data
     """BM25 query restricted to passages that contain (``must_not=False``)
     or do not contain (``must_not=True``) the question's phrase as a term
     sequence; top-k is taken after the restriction, then the reference's raw
-    substring re-check is applied (so a question may return fewer than k)."""
-    qt = query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)
-    s = _score(index, qt.join(index.term_stats, "term"), index.corpus_stats, K1, B)
-    ph = questions.select(F.col(qid).alias("qid"), F.col(phrase_col).alias("phrase"),
-                          F.array_join(analyzer(F.col(phrase_col)), " ").alias("ph_terms"))
-    docs = passages.select(F.col(id_col).alias("doc_id"), F.col(passage_text).alias("ptext"),
-                           F.array_join(analyzer(F.col(passage_text)), " ").alias("doc_terms"))
-    cand = s.join(ph, "qid").join(docs, "doc_id")
-    spaced = F.concat(F.lit(" "), F.col("doc_terms"), F.lit(" "))
-    needle = F.concat(F.lit(" "), F.col("ph_terms"), F.lit(" "))
-    has_phrase = (F.length("ph_terms") > 0) & F.contains(spaced, needle)
-    cand = cand.where(~has_phrase if must_not else has_phrase)
-    top = top_k(cand, k)
+    substring re-check is applied (so a question may return fewer than k).
+    Texts are read for the hits alone, after the cut."""
+    weights = materialize(weighted_terms(index, query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)), "lexical-weights")
+    holding = materialize(phrase_passages(index, questions, qid=qid, phrase_col=phrase_col, analyzer=analyzer), "phrase-passages")
+    if must_not:
+        top = _ranked(index, weights, k, holding)
+    else:
+        top = top_k(score_pairs(index, weights, holding), k)
+    texts = passages.select(F.col(id_col).alias("doc_id"), F.col(passage_text).alias("ptext"))
+    hits = materialize(top.select("qid", "rank", "doc_id", "score"), "phrase-hits") \
+        .join(questions.select(F.col(qid).alias("qid"), F.col(phrase_col).alias("phrase")), "qid").join(texts, "doc_id")
     raw = F.contains(F.col("ptext"), F.col("phrase"))
-    top = top.where(~raw if must_not else raw)
-    return top.select("qid", "rank", "doc_id", "score")
+    return hits.where(~raw if must_not else raw).select("qid", "rank", "doc_id", "score")

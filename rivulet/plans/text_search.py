@@ -9,6 +9,7 @@ from rivulet.functions import text as tx
 from rivulet.operators import evaluate, lexical, match, training
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
+from rivulet.session import ensure_checkpoint_dir
 from rivulet.sources.tables import passages, questions, table
 
 K = 10
@@ -95,16 +96,13 @@ def exact_match_at_n(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- K15 / A9
-_INDEXES: dict = {}
-
-
 def _index(spark, sf_dir):
-    """The lexical index of a corpus is a build-once artifact (K15): built and
-    written on first use in an application, then reused by later queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        _INDEXES[key] = lexical.build_index(passages(spark, sf_dir))
-    return _INDEXES[key]
+    """The index of a corpus is a stored artifact.  Its folder is named by
+    the files it was built from, so it is opened again while they are the same
+    and built anew when they change."""
+    ps = passages(spark, sf_dir)
+    key = lexical.files_key(table(spark, sf_dir, "documents"))
+    return lexical.index_for(ps, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-lexical-{key}")
 
 
 @register("lexical_index_stats", f"""
@@ -113,10 +111,9 @@ SELECT t.term, t.df, CAST(sum(p.tf) AS BIGINT) AS cf
 FROM tstat t JOIN post p USING (term) GROUP BY t.term, t.df
 """)
 def lexical_index_stats(spark, sf_dir):
-    """K15 + A9: per term document frequency and collection frequency."""
+    """K15 + A9: per term document frequency and collection frequency, stored."""
     ix = _index(spark, sf_dir)
-    cf = ix.postings.groupBy("term").agg(F.sum("tf").cast("long").alias("cf"))
-    return ix.term_stats.join(cf, "term").select("term", "df", "cf")
+    return ix.term_stats.select("term", "df", "cf")
 
 
 @register("lexical_corpus_stats", f"""
