@@ -20,8 +20,10 @@ holds besides goes to the pair's key range, is looked up there and summed back.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -48,6 +50,10 @@ FLUSH_PAIRS = 1 << 20
 STORED_PIECES, STORED_LINKS = 400_000, 4_000_000
 #: Where neither tokenizer can have a token on both sides.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Fixed value of the byte-level format: how it cuts a text before merging.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that are encoded at once.
+JOINED = 2_000
 
 
 # --- minimal perfect hashing ---------------------------------------------------
@@ -141,10 +147,12 @@ class PairTable:
 
 class Aligner:
     """Both tokenizers, and the pieces aligned so far: numbered, with their
-    sizes (tokens of A and of B, groups, links), groups in writing, and keys of
-    their links one after the other.  Between calls the store is bounded."""
+    sizes (tokens of A and of B, groups, links), with ``written`` their groups in
+    writing, and keys of their links one after the other.  Between calls the
+    store is bounded."""
 
-    def __init__(self, a_path: str, b_path: str):
+    def __init__(self, a_path: str, b_path: str, written: bool = True):
+        self.written = written
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
@@ -157,6 +165,7 @@ class Aligner:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, i in self.a.get_vocab().items():
             self.a_bytes[i] = bytes(byte_at[x] for x in token) if all(x in byte_at for x in token) else token.encode()
+        self.ascii = self._ascii_encoder(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
@@ -169,12 +178,31 @@ class Aligner:
         self.b_written = np.array([f"{i}{end}" for end in ",;" for i in range(len(pieces))], object)
         self._clear()
 
+    def _ascii_encoder(self, path: str):
+        """The same merges by rank, four times as fast; for ASCII, where no two
+        libraries can differ about classes of characters.  Only for byte-level
+        files whose ids are the ranks of their merges.  (A token that its own
+        text gives is merged at the same moment by either way.)"""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            j = json.load(file)
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in j["model"]["merges"]]
+        pre, vocab = j["pre_tokenizer"] or {}, j["model"]["vocab"]
+        if j["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) \
+                or [vocab[m] for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        ranks = {token: i for i, token in enumerate(self.a_bytes[:256 + len(merges)])}
+        return tiktoken.Encoding("ascii", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}  # -1: the piece's tokens do not give it back
+        self.number: dict[str | tuple[str], int] = {}  # -1: not to be used
+        self.stored = 0
         self.groups: list[str] = []
         self.sizes = np.zeros((0, 4), np.int64)
         self.keys = np.zeros(0, np.uint32)
         self.calls = np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _trim(self) -> None:
         """Of a full store the pieces stay that came in more than one call."""
@@ -184,76 +212,126 @@ class Aligner:
             return self._clear()
         starts = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
         self.keys = self.keys[np.repeat(starts[kept] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        now = np.full(len(self.groups), -1)
+        now = np.full(self.stored, -1)
         now[kept] = np.arange(len(kept))
-        self.number = {p: int(now[i]) for p, i in self.number.items() if i >= 0 and now[i] >= 0}
-        self.groups = [self.groups[i] for i in kept]
+        now = now.tolist()
+        self.number = {p: now[i] for p, i in self.number.items() if i >= 0 and now[i] >= 0}
+        self.groups = [self.groups[i] for i in kept.tolist()] if self.written else []
+        self.stored = len(kept)
         self.sizes, self.calls = self.sizes[kept], np.ones(len(kept), np.int64)
 
-    def _checked(self, pieces: list[str]) -> tuple[list[bool], list[list[int]], list[list[int]]]:
-        """Whether the tokens of each piece give a space and the piece; tokens."""
+    def _tokens(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and B for each piece on its own; None where they do not
+        give a space and the piece."""
         raw = [f" {p}" for p in pieces]
-        a = [x.ids for x in self.a.encode_batch_fast(raw, add_special_tokens=False)]
+        if self.ascii is not None and all(map(str.isascii, raw)):
+            a = list(map(self.ascii.encode_ordinary, raw))
+        else:
+            a = [x.ids for x in self.a.encode_batch_fast(raw, add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1)
-        raw = [r.encode() for r in raw]
-        return [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y])
-                for r, x, y in zip(raw, a, b, strict=True)], a, b
-
-    def _add(self, names: list, pieces: list[str]) -> None:
-        """Align pieces and number them; ``names`` are their keys in the store."""
-        good, a, b = self._checked(pieces)
-        self.number.update(dict.fromkeys([n for n, g in zip(names, good) if not g], -1))
-        names, a, b = ([x for x, g in zip(xs, good) if g] for xs in (names, a, b))
-        if not names:
-            return
-        n_a, n_b = (np.array([len(x) for x in xs]) for xs in (a, b))
-        a, b = (np.fromiter(chain.from_iterable(xs), np.int64) for xs in (a, b))
+        return [(np.array(x, np.int64), np.array(y, np.int64))
+                if self._bytes(x, self.a_bytes) == r.encode() == self._bytes(y, self.b_bytes) else None
+                for r, x, y in zip(raw, a, b, strict=True)]
+
+    @staticmethod
+    def _bytes(ids: list[int], entries: list[bytes]) -> bytes:
+        return b"".join(map(entries.__getitem__, ids))
+
+    def _add(self, pieces: list[str]) -> None:
+        """Align pieces and number them; -1 for one that its tokens do not give.
+        The pieces have no white space at their ends: they are written after one
+        another and encoded at once, tokens end at their borders as in any text."""
+        pieces = sorted(pieces, key=str.isascii)
+        first = bisect(pieces, False, key=str.isascii)
+        for start, end in [*((i, min(i + JOINED, first)) for i in range(0, first, JOINED)),
+                           *((i, i + JOINED) for i in range(first, len(pieces), JOINED))]:
+            part = pieces[start:end]
+            tokens = self._tokens([" ".join(part)])[0]
+            if tokens is None:
+                self._add_alone([(p,) for p in part])
+                self.number.update((p, self.number[p,]) for p in part)
+            else:
+                self._align(part, *tokens, np.cumsum([len(p.encode()) + 1 for p in part]))
+
+    def _add_alone(self, pieces: list[tuple[str]]) -> None:
+        tokens = self._tokens([p for p, in pieces]) if pieces else []
+        self.number.update((p, -1) for p, t in zip(pieces, tokens) if t is None)
+        good = [(p, t) for p, t in zip(pieces, tokens) if t is not None]
+        if good:
+            self._align([p for p, _ in good], *(np.concatenate([t[i] for _, t in good]) for i in (0, 1)),
+                        np.cumsum([len(p.encode()) + 1 for (p,), _ in good]))
+
+    def _align(self, pieces: list[str], a: np.ndarray, b: np.ndarray, borders: np.ndarray) -> None:
+        """Store pieces whose tokens stand one after the other in ``a`` and
+        ``b``; ``borders`` are the ends of the pieces in bytes."""
         end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         # the ranges between neighbouring ends of either are the links
         ends = np.union1d(end_a, end_b)
         at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        whole = (end_a[at_a] == ends) & (end_b[at_b] == ends)
-        group_ends = ends[whole]
-        last = np.cumsum(n_a) - 1  # the last token of each piece, where links and groups end too
-        n_links, n_groups = (np.diff(np.searchsorted(e, end_a[last], "right"), prepend=0) for e in (ends, group_ends))
-        # within a group its tokens of A, then those of B
-        group = np.r_[np.searchsorted(group_ends, end_a), np.searchsorted(group_ends, end_b)]
-        order = np.argsort(group, kind="stable")
-        written = np.concatenate([self.a_written[a + len(self.a_bytes) * np.isin(end_a, group_ends)],
-                                  self.b_written[b + len(self.b_bytes) * np.isin(end_b, group_ends)]])[order].tolist()
-        edges = np.r_[0, np.cumsum(n_a + n_b)].tolist()
-        self.number.update(zip(names, range(len(self.groups), len(self.groups) + len(names))))
-        self.groups += ["".join(written[s:e])[:-1] for s, e in zip(edges, edges[1:])]
-        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links], 1)])
-        self.keys = np.concatenate([self.keys, (a[at_a] << 16 | b[at_b]).astype(np.uint32)])
-        self.calls = np.r_[self.calls, np.zeros(len(names), np.int64)]
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        """The pieces of each text, by number; none for one without tokens."""
-        if len(self.groups) > STORED_PIECES or len(self.keys) > STORED_LINKS:
+        last_a, last_b = end_a[at_a] == ends, end_b[at_b] == ends
+        group_ends = ends[last_a & last_b]
+        n_a, n_b, n_links, n_groups = (np.diff(np.searchsorted(e, borders, "right"), prepend=0)
+                                       for e in (end_a, end_b, ends, group_ends))
+        first = self.stored
+        self.stored += len(borders)
+        self.number.update(zip(pieces, range(first, self.stored)))
+        self.new.append((np.stack([n_a, n_b, n_groups, n_links], 1), (a[at_a] << 16 | b[at_b]).astype(np.uint32)))
+        if self.written:
+            # within a group its tokens of A, then those of B
+            group_a, group_b = np.searchsorted(group_ends, end_a), np.searchsorted(group_ends, end_b)
+            order = np.argsort(np.r_[group_a, group_b], kind="stable")
+            ids = np.concatenate([self.a_written[a + len(self.a_bytes) * (group_ends[group_a] == end_a)],
+                                  self.b_written[b + len(self.b_bytes) * (group_ends[group_b] == end_b)]])[order].tolist()
+            edges = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+            self.groups += ["".join(ids[s:e])[:-1] for s, e in zip(edges, edges[1:])]
+
+    def _settle(self) -> None:
+        """What was stored since the last call, beside what was there."""
+        self.sizes = np.concatenate([self.sizes, *[s for s, _ in self.new]])
+        self.keys = np.concatenate([self.keys, *[k for _, k in self.new]])
+        self.calls = np.r_[self.calls, np.zeros(len(self.sizes) - len(self.calls), np.int64)]
+        self.new = []
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts, and how many each text has: none
+        for one without tokens."""
+        if self.stored > STORED_PIECES or len(self.keys) > STORED_LINKS:
             self._trim()
-        cut = [CUT.split(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in self.number))
-        for start in range(0, len(new), 50_000):
-            self._add(new[start:start + 50_000], new[start:start + 50_000])
-        out = []
-        for text, parts in zip(texts, cut):
-            found = [self.number[p] for p in parts]
+        cut = [t.split(" ") if t else [] for t in texts]
+        # in most texts every space can be cut; in the others some piece is empty or has white space at an end
+        new = set(chain.from_iterable(cut)) - self.number.keys()
+        uneven = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        self.number.update(dict.fromkeys(uneven, -1))
+        self._add(list(new - uneven))
+        numbers = [list(map(self.number.__getitem__, parts)) for parts in cut]
+        for i, found in enumerate(numbers):
             if -1 in found:
-                self._add([(text,)], [text])
-                found = [self.number.pop((text,))]
-            out.append([i for i in found if i >= 0])
-        self.calls[np.unique(np.fromiter(chain.from_iterable(out), np.int64))] += 1
-        return out
-
-    def links(self, documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                numbers[i] = self._uneven(texts[i])
+        self._settle()
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64)
+        self.calls += np.bincount(flat, minlength=self.stored) > 0
+        return flat, np.array([len(n) for n in numbers], np.int64)
+
+    def _uneven(self, text: str) -> list[int]:
+        """Numbers of a text's pieces, cut where that is safe; as a whole if
+        the tokens of a piece do not give it back."""
+        parts = [(p,) for p in CUT.split(text)]  # named apart from pieces between any two spaces
+        self._add_alone([p for p in dict.fromkeys(parts) if p not in self.number])
+        numbers = [self.number[p] for p in parts]
+        if -1 in numbers:
+            tokens = self._tokens([text])[0]
+            numbers = [] if tokens is None else [self.stored]
+            if tokens is not None:
+                self._align([], *tokens, np.array([len(text.encode()) + 1]))
+        return numbers
+
+    def links(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, key, links) of each document's distinct pairs, in order."""
-        flat = np.fromiter(chain.from_iterable(documents), np.int64)
         if not len(flat):
             return np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        doc = np.repeat(np.arange(len(documents), dtype=np.int64), [len(d) for d in documents])
-        at, held = np.unique(doc * len(self.groups) + flat, return_counts=True)
-        doc, piece = at // len(self.groups), at % len(self.groups)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        at, held = np.unique(doc * self.stored + flat, return_counts=True)
+        doc, piece = at // self.stored, at % self.stored
         n = self.sizes[piece, 3]
         starts = np.cumsum(self.sizes[:, 3]) - self.sizes[:, 3]
         take = np.repeat(starts[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -266,9 +344,9 @@ class Aligner:
 
 
 @lru_cache(maxsize=1)
-def aligner(a_path: str, b_path: str) -> Aligner:
-    """One for all tasks of a worker."""
-    return Aligner(a_path, b_path)
+def aligner(a_path: str, b_path: str, written: bool) -> Aligner:
+    """One for all tasks of a worker and pass."""
+    return Aligner(a_path, b_path, written)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -293,7 +371,7 @@ def partial_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """First pass: distinct keys of a task's documents with the number of these
     documents that hold them, by key range (piece, keys, counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(a_path, b_path)
+        align = aligner(a_path, b_path, False)
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
@@ -307,7 +385,7 @@ def partial_counts(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                         pa.array([r[i] for r in part], pa.binary()) for i in (1, 2)]], names=["piece", "keys", "counts"])
 
         for _, raw in text_slices(batches, "text"):
-            _, key, _ = align.links(align([r.decode() for r in raw]))
+            _, key, _ = align.links(*align([r.decode() for r in raw]))
             k, c = np.unique(key, return_counts=True)
             keys.append(k)
             counts.append(c)
@@ -501,12 +579,12 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, hot: PairTable, best: np
     shared = docs.sparkSession.sparkContext.broadcast((hot, best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align = aligner(a_path, b_path)
+        align = aligner(a_path, b_path, True)
         hot, best = shared.value
         row = TaskContext.get().partitionId() << 40
         for batch, raw in text_slices(batches, "text"):
-            documents = align([r.decode() for r in raw])
-            doc, key, links = align.links(documents)
+            flat, lengths = align([r.decode() for r in raw])
+            doc, key, links = align.links(flat, lengths)
             distinct, at = np.unique(key, return_inverse=True)
             count = hot.lookup(distinct)
             top = (count == best[distinct >> 16]) & (count > 0)
@@ -515,12 +593,13 @@ def _aligned(docs: DataFrame, a_path: str, b_path: str, hot: PairTable, best: np
             np.add.at(n_best, doc, links * top)
             np.add.at(count_sum, doc, links * count)
             cold = np.flatnonzero(count == 0)
-            edges = np.searchsorted(doc[cold], np.arange(len(raw) + 1))
-            cuts = [cold[s:e] for s, e in zip(edges[:-1], edges[1:])]
+            starts = np.searchsorted(doc[cold], np.arange(len(raw) + 1))
+            cuts = [cold[s:e] for s, e in zip(starts[:-1], starts[1:])]
             sizes = np.zeros((len(raw), 4), np.int64)
-            np.add.at(sizes, np.repeat(np.arange(len(raw)), [len(d) for d in documents]),
-                      align.sizes[np.fromiter(chain.from_iterable(documents), np.int64)])
-            digests = [hashlib.sha256(";".join([align.groups[i] for i in d]).encode()).hexdigest() if d else "" for d in documents]
+            np.add.at(sizes, np.repeat(np.arange(len(raw)), lengths), align.sizes[flat])
+            edges = np.r_[0, np.cumsum(lengths)].tolist()
+            groups = list(map(align.groups.__getitem__, flat.tolist()))
+            digests = [hashlib.sha256(";".join(groups[s:e]).encode()).hexdigest() if e > s else "" for s, e in zip(edges, edges[1:])]
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row, row + len(raw)), pa.int64()), ids, *[pa.array(sizes[:, i]) for i in range(4)],
