@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.bind import let
 from rivulet.llm.common import fresh, store
-from rivulet.llm.spans import count_of, described, find, key_of, no_spans, replace
+from rivulet.llm.spans import by_start, count_of, described, find, key_of, no_spans, part, pieces_of, replace
 
 KINDS = ["assign", "access", "hex", "live", "example"]
 ASSIGN, ACCESS, HEX, LIVE, EXAMPLE = range(5)
@@ -55,14 +55,6 @@ def may_hold(text: Column) -> Column:
     return assigns | F.contains(text, F.lit("AKIA")) | F.regexp_like(text, F.lit(HEX_PATTERN))
 
 
-def by_start(spans: Column) -> Column:
-    """Sorted by start, then kind."""
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"),
-                                                  s["end"].alias("end"), s["value"].alias("value")))
-    return F.transform(F.array_sort(keyed), lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-
-
 def secret_of(span: Column) -> Column:
     """The span of the credential alone: group 2 of an assignment, else all."""
     value = F.when(span["kind"] == ASSIGN, F.regexp_extract(span["value"], ASSIGN_PATTERN, 2)).otherwise(span["value"])
@@ -81,10 +73,12 @@ def looks_live(value: Column) -> Column:
 
 def _contexts(text: Column, spans: Column) -> Column:
     """For each span a hash of the text on both sides of its credential."""
-    def of(s: Column) -> Column:
-        return let(lambda c: F.xxhash64(F.substring(text, F.greatest(c["start"] - NEAR, F.lit(0)) + 1, F.least(c["start"], F.lit(NEAR))),
-                                        F.substring(text, c["end"] + 1, F.lit(NEAR))), secret_of(s))
-    return F.transform(spans, of)
+    def hashes(pieces: Column, size: Column) -> Column:
+        def of(s: Column) -> Column:
+            return let(lambda c: F.xxhash64(part(pieces, F.greatest(c["start"] - NEAR, F.lit(0)), c["start"]),
+                                            part(pieces, c["end"], F.least(c["end"] + NEAR, size))), secret_of(s))
+        return F.transform(spans, of)
+    return let(hashes, pieces_of(text), F.length(text))
 
 
 def scanned(docs: DataFrame, owner: str, repository: list[str]) -> DataFrame:

@@ -269,8 +269,69 @@ def test_decontamination_equals_brute_force(spark):
 
 
 def test_simhash_blocks_cover_all_bits(spark):
-    row = spark.range(1).select(decontaminate.blocks(F.lit(-1).cast("bigint")).alias("b")).first()
-    assert sum(int(x).bit_count() for x in row.b) == 64 and len(row.b) == decontaminate.RADIUS + 1
+    row = spark.range(1).select(decontaminate.blocks(F.array(F.lit(-1).cast("bigint"), F.lit(-1).cast("bigint"))).alias("b")).first()
+    assert sum(int(x).bit_count() for x in row.b) == 128 and len(row.b) == decontaminate.RADIUS + 1
+
+
+def best_windows(items, rows, least=0.8):
+    """{(doc_id, item_id): similarity of the best window}, over every window."""
+    def shingles(w, k):
+        return Counter(tuple(w[j:j + k]) for j in range(len(w) - k + 1))
+
+    out = {}
+    for d, text in rows:
+        words = text.split()
+        for item, t in items:
+            iw = t.split()
+            k, n = min(5, len(iw)), len(iw)
+            whole = shingles(iw, k)
+            for a in range(max(1, len(words) - n + 1) if len(words) >= k else 0):
+                s = shingles(words[a:a + n], k)
+                similar = sum((whole & s).values()) / sum((whole | s).values())
+                if similar >= least - 1e-12:
+                    out[d, item] = max(similar, out.get((d, item), 0))
+    return out
+
+
+def test_decontamination_of_shifted_and_shared_windows(spark):
+    """Words put in before and dropped after the only rare part of an item;
+    items that share heads and tails; blocks of an item in another order."""
+    rng = np.random.default_rng(16)
+    fresh = lambda n: [f"u{rng.integers(0, 10**9)}" for _ in range(n)]
+    head, tail = fresh(45), fresh(45)
+    items = [(i, " ".join([*head, *fresh(10), *tail])) for i in range(4)]
+    items += [(10 + i, " ".join([*head[i:], *fresh(40)])) for i in range(3)] + [(20, " ".join(["same"] * 60)), (21, "only four words here")]
+    rows = []
+    for i in range(60):
+        words = items[rng.integers(0, len(items))][1].split()
+        for _ in range(rng.integers(0, 3)):
+            words[rng.integers(0, len(words)):0] = []
+            at = int(rng.integers(0, len(words)))
+            words[at:at + int(rng.integers(0, 3))] = fresh(int(rng.integers(0, 3)))
+        if i % 5 == 0:
+            words = words[len(words) // 2:] + words[:len(words) // 2]
+        rows.append((i, " ".join([*fresh(int(rng.integers(0, 30))), *words, *fresh(int(rng.integers(0, 30)))])))
+    middle = items[0][1].split()
+    rows.append((100, " ".join([*fresh(20), *middle[:30], *fresh(2), *middle[30:98], *fresh(20)])))  # shifted by the two words
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(
+        docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = best_windows(items, rows)
+    assert set(got) == set(want) and len(want) > 40 and (100, 0) in want
+    assert all(got[key] == pytest.approx(best) for key, best in want.items())
+
+
+def test_decontamination_of_long_texts(spark):
+    """A text of 2 MB with an item at some places, and one that is all items:
+    every start there is a window of the item's shingles, in some order."""
+    rng = np.random.default_rng(17)
+    item = [f"v{i}" for i in rng.integers(0, 10**6, 80)]
+    filler = [f"f{i}" for i in rng.integers(0, 10**6, 300_000)]
+    for at in (0, 50_000, 299_000):
+        filler[at:at] = item
+    rows = [(1, " ".join(filler)), (2, " ".join(" ".join([*item, f"gap{i}"]) for i in range(60)))]
+    out = decontaminate.leaks(docs_of(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    found = {r.doc_id: (r.similarity, r.start_word) for r in out}
+    assert found == {1: (1.0, 0), 2: (1.0, 0)} and next(r.n_windows for r in out if r.doc_id == 2) > 4000
 
 
 # 8 near-dedup
@@ -407,3 +468,35 @@ def test_secrets_verdict_from_owners_and_contexts(spark):
     assert all(out[d].n_live == 0 and out[d].n_example == 1 for d in (20, 21, 22))
     text = {r.doc_id: r.text for r in secrets.redact_live(docs).collect()}
     assert text[1] == "mine token=[SECRET]" and text[10] == "one text secret=[SECRET] copied" and text[20] == rows[5][1]
+
+
+# long texts full of matches: time must grow with the text, not with its square
+def test_long_texts_of_personal_data_and_secrets(spark):
+    mails = "".join(f"write to user{i}@host{i % 97}.example.org today about word{i % 13} " for i in range(90_000))  # 5 MB
+    keys = "".join(f"token = k{i}Zq8vXw2LpR{i} and some more words here " for i in range(90_000))
+    row = pii.pii_scan(docs_of(spark, [(1, mails)])).first()
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (90_000, 0, 0, 0)
+    at = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", mails)]
+    assert row.base_sha256 == hashlib.sha256(",".join(f"email:{s}:{e}" for s, e in at).encode()).hexdigest()
+    row = secrets.secret_scan(docs_of(spark, [(1, keys)])).first()
+    assert row.n_assign == 90_000 and row.n_live > 89_000
+    text = secrets.redact_live(docs_of(spark, [(1, keys)])).first().text
+    assert text.count("[SECRET]") == row.n_live and text.startswith("token = ") and text.endswith(" and some more words here ")
+
+
+def test_spans_and_masks_of_odd_texts(spark):
+    from rivulet.llm import spans
+
+    rng = np.random.default_rng(18)
+    texts = ["".join(rng.choice(["a1", "b", " ", "é", "\U0001f389", "77"], rng.integers(0, 3000))) for _ in range(40)] + ["", "a1", "x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    masks = F.transform(spans.find(F.col("text"), "a1|77+"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("<M>").alias("mask")))
+    # each span twice, the second one longer: the first gives the mask, the longer one is left out
+    twice = F.array_sort(F.flatten(F.transform(masks, lambda s: F.array(s, F.struct(s["start"].alias("start"), (s["end"] + 1).alias("end"), F.lit("<N>").alias("mask"))))))
+    for r in frame.select("i", spans.find(F.col("text"), "a1|77+").alias("s"), spans.replace(F.col("text"), masks).alias("m"),
+                          spans.replace(F.col("text"), twice).alias("t"),
+                          F.transform(spans.find(F.col("text"), "a1"), lambda s: spans.part(spans.pieces_of(F.col("text")), s["start"], s["end"] + 5)).alias("p")).collect():
+        text = texts[r.i]
+        assert [(s.start, s.end, s.value) for s in r.s] == [(m.start(), m.end(), m[0]) for m in re.finditer("a1|77+", text)]
+        assert r.m == re.sub("a1|77+", "<M>", text)
+        assert r.p == [text[m.start():m.end() + 5] for m in re.finditer("a1", text)]
