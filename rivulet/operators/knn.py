@@ -7,9 +7,11 @@ Design:
   and every (chunk, block) pair is one cogroup: the pairing is an equi-join on
   (cell, chunk, block) in the data plane.  Nothing is collected or broadcast,
   and no task holds more than one chunk, one block and their score matrix.
-* Exact search has one cell.  IVF search assigns every corpus vector to its
-  nearest centroid and every query to its ``nprobe`` nearest; only equal cells
-  meet.  A large cell has more chunks, so it is no hot group.
+* Exact search has one cell.  IVF search (``vector_index``) stores vectors by
+  cell; a query meets the cells it probes.  A large cell has more chunks, so it
+  is no hot group.
+* A vector is copied once for each block it meets, so chunks and blocks are as
+  large as a task's memory allows; scores are computed a slice at a time.
 * A pair is scored with one matrix product and emits at most k rows a query;
   they are merged by ``row_number() <= k``, which Spark limits before the
   shuffle.  Ties go to the smaller document id, whatever the partitioning.
@@ -29,12 +31,13 @@ from pyspark.sql import types as T
 
 from rivulet.session import materialize
 
-#: Corpus vectors of a chunk, and bounds of a block of queries.
-CHUNK_ROWS, BLOCK_ROWS = 8192, 2048
-DEFAULT_MAX_BLOCK_BYTES = 8 << 20
+#: Most corpus vectors of a chunk, queries of a block, and queries scored at a time.
+CHUNK_ROWS, BLOCK_ROWS, SLICE_ROWS = 16384, 16384, 512
+#: Most bytes of a chunk's or a block's vectors.
+DEFAULT_MAX_BLOCK_BYTES = 64 << 20
 
 
-def _matrix(col, dim: int) -> np.ndarray:
+def matrix(col, dim: int) -> np.ndarray:
     """List column -> (n, dim) float64 matrix without per-row Python."""
     chunks = col.chunks if isinstance(col, pa.ChunkedArray) else [col]
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in chunks]
@@ -45,8 +48,10 @@ def _matrix(col, dim: int) -> np.ndarray:
 
 
 def _normalize_rows(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a row of zeros has no direction and becomes NaN, as
+    :func:`rivulet.functions.vector.cosine` gives null for it."""
     n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    n[n == 0] = 1.0
+    n[n == 0] = np.nan
     return m / n
 
 
@@ -55,36 +60,37 @@ def _ids(col) -> np.ndarray:
                       else col.to_numpy(zero_copy_only=False))
 
 
-def _vectors(df: DataFrame, name: str, **columns: str) -> DataFrame:
+def stored_vectors(df: DataFrame, name: str, **columns: str) -> DataFrame:
     """Stored columns under their new names; the one called ``vec`` as doubles."""
     picked = [F.col(c).cast("array<double>").alias("vec") if new == "vec" else F.col(c).alias(new) for new, c in columns.items()]
     return materialize(df.select(*picked), name)
 
 
-def _dimension(*tables: DataFrame) -> int:
-    """The common vector length; raises where there is none."""
-    sizes = set()
+def checked(*tables: DataFrame) -> tuple[int, list[int]]:
+    """The common vector length, and the rows of each table; raises where there
+    is no common length or a vector cannot be searched."""
+    sizes, rows = set(), []
     for t in tables:
         odd = F.col("vec").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        row = t.agg(F.count_if(odd).alias("odd"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high")).first()
+        row = t.agg(F.count_if(odd).alias("odd"), F.min(F.size("vec")).alias("low"), F.max(F.size("vec")).alias("high"),
+                    F.count(F.lit(1)).alias("n")).first()
         if row["odd"]:
             raise ValueError(f"{row['odd']} vectors are null or hold a component that is null or not finite")
         sizes |= {row["low"], row["high"]} - {None}
+        rows.append(row["n"])
     if len(sizes) > 1:
         raise ValueError(f"vectors must all have the same dimension, not {sorted(sizes)}")
-    return sizes.pop() if sizes else 0
+    return sizes.pop() if sizes else 0, rows
 
 
-def _paired(q: DataFrame, c: DataFrame, pair, schema: str, dim: int, max_block_bytes: int) -> DataFrame:
+def paired(q: DataFrame, c: DataFrame, in_q: dict[int, int], in_c: dict[int, int], pair, schema: str, dim: int,
+           max_block_bytes: int) -> DataFrame:
     """``pair(queries, corpus)`` (Arrow tables) over every block and chunk of
-    equal ``cell``.  Chunks and blocks per cell come from the cells' counts."""
-    rows = max(1, min(BLOCK_ROWS, max_block_bytes // (dim * 8 + 64)))
-
-    def per_cell(t: DataFrame, size: int) -> dict[int, int]:  # one entry for each cell
-        return {r["cell"]: -(-r["count"] // size) for r in t.groupBy("cell").count().collect()}
-
-    chunks, blocks = per_cell(c, CHUNK_ROWS), per_cell(q, rows)
-    cells = sorted(set(chunks) & set(blocks))
+    equal ``cell``; ``in_q`` and ``in_c`` are the rows of each cell."""
+    most = max(1, max_block_bytes // (dim * 8 + 64))
+    blocks = {cell: -(-n // min(BLOCK_ROWS, most)) for cell, n in in_q.items()}
+    chunks = {cell: -(-n // min(CHUNK_ROWS, max(1, DEFAULT_MAX_BLOCK_BYTES // (dim * 8 + 64)))) for cell, n in in_c.items()}
+    cells = sorted(cell for cell in set(chunks) & set(blocks) if chunks[cell] and blocks[cell])
     if not cells:
         return q.sparkSession.createDataFrame([], schema)
     n_chunks = F.create_map(*[F.lit(x) for cell in cells for x in (cell, chunks[cell])])[F.col("cell")]
@@ -99,22 +105,25 @@ def _paired(q: DataFrame, c: DataFrame, pair, schema: str, dim: int, max_block_b
                        for f in T.StructType.fromDDL(schema)]).empty_table()
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return pair(a, b) if a.num_rows and b.num_rows else empty
+        if not a.num_rows or not b.num_rows:
+            return empty
+        return pa.concat_tables([pair(a.slice(i, SLICE_ROWS), b) for i in range(0, a.num_rows, SLICE_ROWS)])
 
     return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, schema)
 
 
-def _id_type(df: DataFrame, column: str) -> str:
+def id_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _scorer(dim: int, metric: str, exclude_self: bool, k: int):
+def scorer(dim: int, metric: str, exclude_self: bool, k: int):
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         qids, ids = _ids(left.column("qid")), _ids(right.column("doc_id"))
-        qm, cm = _matrix(left.column("vec"), dim), _matrix(right.column("vec"), dim)
+        qm, cm = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
         if metric == "cosine":
             qm, cm = _normalize_rows(qm), _normalize_rows(cm)
         s = qm @ cm.T
+        s[np.isnan(s)] = -np.inf  # no direction, no neighbour
         if exclude_self:
             place: dict = {}
             for j, d in enumerate(ids):
@@ -140,7 +149,7 @@ def _scorer(dim: int, metric: str, exclude_self: bool, k: int):
     return pair
 
 
-def _merged(parts: DataFrame, k: int) -> DataFrame:
+def merged(parts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (parts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("qid", "rank", "doc_id", "score"))
@@ -158,11 +167,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 10, *, qid: str = "qid",
     """
     if metric not in ("dot", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    q = _vectors(queries, "knn-queries", qid=qid, vec=qvec).withColumn("cell", F.lit(0))
-    c = _vectors(corpus, "knn-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
-    dim = _dimension(q, c)
-    schema = f"qid {_id_type(q, 'qid')}, doc_id {_id_type(c, 'doc_id')}, score double"
-    return _merged(_paired(q, c, _scorer(dim, metric, exclude_self, k), schema, dim, max_broadcast_bytes), k)
+    q = stored_vectors(queries, "knn-queries", qid=qid, vec=qvec).withColumn("cell", F.lit(0))
+    c = stored_vectors(corpus, "knn-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
+    dim, (n_q, n_c) = checked(q, c)
+    schema = f"qid {id_type(q, 'qid')}, doc_id {id_type(c, 'doc_id')}, score double"
+    return merged(paired(q, c, {0: n_q}, {0: n_c}, scorer(dim, metric, exclude_self, k), schema, dim, max_broadcast_bytes), k)
 
 
 def gold_rank(queries: DataFrame, corpus: DataFrame, *, qid: str = "qid", qvec: str = "vec",
@@ -175,28 +184,30 @@ def gold_rank(queries: DataFrame, corpus: DataFrame, *, qid: str = "qid", qvec:
     Returns ``qid, gold_id, gold_rank``; a query whose gold id is absent from
     the pool has a null rank.
     """
-    q = _vectors(queries, "rank-queries", qid=qid, vec=qvec, gold_id=gold_id)
-    c = _vectors(corpus, "rank-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
-    dim = _dimension(q, c)
+    q = stored_vectors(queries, "rank-queries", qid=qid, vec=qvec, gold_id=gold_id)
+    c = stored_vectors(corpus, "rank-corpus", doc_id=did, vec=dvec).withColumn("cell", F.lit(0))
+    dim, (n_q, n_c) = checked(q, c)
     # the gold vector travels with its query (equi-join on the gold id)
     gold = c.select(F.col("doc_id").alias("gold_id"), F.col("vec").alias("gold_vec"))
     known = q.join(gold, "gold_id").withColumn("cell", F.lit(0))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, gids = _ids(right.column("doc_id")), _ids(left.column("gold_id"))
-        qm, gm, cm = _matrix(left.column("vec"), dim), _matrix(left.column("gold_vec"), dim), _matrix(right.column("vec"), dim)
+        qm, gm, cm = matrix(left.column("vec"), dim), matrix(left.column("gold_vec"), dim), matrix(right.column("vec"), dim)
         if metric == "cosine":
             qm, gm, cm = _normalize_rows(qm), _normalize_rows(gm), _normalize_rows(cm)
         g = np.einsum("ij,ij->i", qm, gm)
         s = qm @ cm.T
+        g[np.isnan(g)], s[np.isnan(s)] = -np.inf, -np.inf  # without direction: after all others
         higher = s > g[:, None]
         # scores that differ by rounding alone are compared by one formula
-        row, col = np.nonzero(np.abs(s - g[:, None]) <= 1e-9 * (1 + np.abs(g))[:, None])
+        with np.errstate(invalid="ignore"):
+            row, col = np.nonzero(np.abs(s - g[:, None]) <= 1e-9 * (1 + np.abs(g))[:, None])
         same = np.einsum("ij,ij->i", qm[row], cm[col])
         higher[row, col] = (same > g[row]) | ((same == g[row]) & (ids[col] < gids[row]))
         return pa.table({"qid": left.column("qid"), "n_before": pa.array(higher.sum(axis=1), pa.int64())})
 
-    counts = _paired(known, c, pair, f"qid {_id_type(q, 'qid')}, n_before long", dim, max_broadcast_bytes)
+    counts = paired(known, c, {0: n_q}, {0: n_c}, pair, f"qid {id_type(q, 'qid')}, n_before long", dim, max_broadcast_bytes)
     ranks = counts.groupBy("qid").agg(F.sum("n_before").cast("long").alias("gold_rank"))
     return q.select("qid", "gold_id").join(ranks, "qid", "left").select("qid", "gold_id", "gold_rank")
 
@@ -222,89 +233,9 @@ def train_ivf(corpus: DataFrame, n_cells: int, *, dvec: str = "vec", seed: int =
     return phi, np.array([c for c in model.clusterCenters()], dtype=np.float64)
 
 
-def _cells(t: DataFrame, dim: int, phi: float, centroids: np.ndarray, nprobe: int | None) -> DataFrame:
-    """``t`` with the cell of each corpus vector, or a row for each of the
-    ``nprobe`` nearest cells of a query.  Centroids are bounded by n_cells."""
-    schema = T.StructType([*t.schema.fields, T.StructField("cell", T.IntegerType())])
-    squares = (centroids * centroids).sum(axis=1)
-
-    def run(batches):
-        for b in batches:
-            m = _matrix(b.column(b.schema.get_field_index("vec")), dim)
-            extra = np.zeros(len(m)) if nprobe else np.sqrt(np.maximum(phi - (m * m).sum(axis=1), 0.0))
-            distance = squares - 2 * np.concatenate([m, extra[:, None]], axis=1) @ centroids.T
-            near = np.argsort(distance, axis=1, kind="stable")[:, :nprobe or 1]
-            rows = b.take(pa.array(np.repeat(np.arange(len(m)), near.shape[1])))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], names=[*b.schema.names, "cell"])
-
-    return t.mapInArrow(run, schema)
-
-
-def knn_ivf(queries: DataFrame, corpus: DataFrame, k: int = 10, *, n_cells: int = 16,
-            nprobe: int = 4, qid: str = "qid", qvec: str = "vec", did: str = "doc_id",
-            dvec: str = "vec", exclude_self: bool = False, seed: int = 7, index=None,
-            max_broadcast_bytes: int = DEFAULT_MAX_BLOCK_BYTES) -> DataFrame:
-    """Approximate top-k by inner product, IVF style.
-
-    Corpus vectors are assigned to their nearest k-means cell; each query
-    probes its ``nprobe`` nearest cells and only (query, vector) pairs in a
-    probed cell are scored, with the exact inner product (Q13: scores are
-    always inner products).  ``nprobe == n_cells`` equals :func:`knn`.
-    ``index`` is what :func:`load_ivf` returns: nothing is trained or assigned
-    then, corpus cells are joined by id.
-    """
-    q = _vectors(queries, "ivf-queries", qid=qid, vec=qvec)
-    c = _vectors(corpus, "ivf-corpus", doc_id=did, vec=dvec)
-    dim = _dimension(q, c)
-    if index is None:
-        phi, centroids = train_ivf(c, n_cells, seed=seed)
-        celled = _cells(c, dim, phi, centroids, None)
-    else:
-        phi, centroids, assigned = index
-        celled = c.join(assigned, "doc_id")
-    probing = materialize(_cells(q, dim, phi, centroids, min(nprobe, len(centroids))), "ivf-probes")
-    schema = f"qid {_id_type(q, 'qid')}, doc_id {_id_type(c, 'doc_id')}, score double"
-    parts = _paired(probing, materialize(celled, "ivf-cells"), _scorer(dim, "dot", exclude_self, k), schema, dim, max_broadcast_bytes)
-    return _merged(parts, k)
-
-
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact top-k ids that the approximate search returned."""
     j = exact.select("qid", "doc_id").join(approx.select("qid", "doc_id", F.lit(1).alias("__f")),
                                            ["qid", "doc_id"], "left")
     return j.agg(F.round(F.avg(F.coalesce("__f", F.lit(0))), 4).alias("recall"),
                  F.count(F.lit(1)).alias("n_pairs"))
-
-
-def save_ivf(path: str, spark, phi: float, centroids: np.ndarray, corpus: DataFrame,
-             did: str = "doc_id", dvec: str = "vec") -> None:
-    """Persist an IVF index -- the model (phi + centroids, bounded by the
-    cell count) and the cell assignment of every corpus id (a table)."""
-    model = spark.createDataFrame([(i, float(phi), [float(x) for x in c]) for i, c in enumerate(centroids)],
-                                  "cell int, phi double, centroid array<double>")
-    model.write.mode("overwrite").parquet(f"{path}/model")
-    from rivulet.functions.vector import mips_augment_doc, norm2
-    cents = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centroids])
-    aug = corpus.select(F.col(did).alias("doc_id"),
-                        mips_augment_doc(F.col(dvec), F.lit(float(phi))).alias("__a"))
-    d2 = F.transform(cents, lambda c: norm2(F.zip_with(c, F.col("__a"), lambda x, y: x - y)))
-    cell = F.array_position(d2, F.array_min(d2)) - 1
-    aug.select("doc_id", cell.cast("int").alias("cell")).write.mode("overwrite").parquet(f"{path}/assign")
-
-
-def load_ivf(path: str, spark, corpus: DataFrame | None = None, did: str = "doc_id"):
-    """K16 reload: returns (phi, centroids, assignments); when the corpus is
-    given, asserts that every corpus id has exactly one assignment (the
-    reference's index-size == id-map-size check, done as one aggregate)."""
-    rows = sorted(spark.read.parquet(f"{path}/model").collect(), key=lambda r: r.cell)
-    phi = rows[0].phi if rows else 0.0
-    cents = np.array([r.centroid for r in rows], dtype=np.float64)
-    assign = spark.read.parquet(f"{path}/assign")
-    if corpus is not None:
-        c = corpus.select(F.col(did).alias("doc_id"))
-        bad = c.join(assign, "doc_id", "full_outer").agg(
-            F.count_if(F.col("cell").isNull()).alias("missing")).first()
-        n_ids, n_assign = c.count(), assign.count()
-        if bad["missing"] or n_ids != n_assign:
-            raise ValueError(f"index / id map size mismatch: {n_assign} assignments for {n_ids} ids")
-    return phi, cents, assign

@@ -121,14 +121,6 @@ def index_for(passages: DataFrame, path: str, **options) -> LexicalIndex:
         return build_index(passages, path=path, **options)
 
 
-def files_key(passages: DataFrame) -> str:
-    """A name for the data that ``passages`` reads: its files, their sizes and
-    times of change.  Changed data has another key."""
-    files = passages.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
-    return f"{row['n']}-{int(row['h'] or 0) % (1 << 64):016x}"
-
-
 def query_terms(questions: DataFrame, *, qid: str = "qid", text_col: str = "question",
                 analyzer=analyze) -> DataFrame:
     """Question -> (qid, term, qtf): query term multiplicities."""

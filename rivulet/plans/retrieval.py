@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from rivulet.operators import evaluate, knn as knn_ops
+from rivulet.operators import evaluate, knn as knn_ops, vector_index
 from rivulet.operators.order import add_dense_id
 from rivulet.plans.registry import register
+from rivulet.session import ensure_checkpoint_dir, files_key
 from rivulet.sources.tables import table
 
 K = 10
@@ -146,34 +148,48 @@ def inbatch_nll(spark, sf_dir):
     return evaluate.nll_summary(per_q)
 
 
+def _vector_index(spark, sf_dir, n_cells):
+    """K16 + E5: the index of a corpus is stored by cell, under a name for the
+    corpus' files; opened again while they are the same.  Built in two batches,
+    as embeddings arrive: the even ids train it, the others are added."""
+    e = _emb(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-vectors-{n_cells}-{files_key(table(spark, sf_dir, 'embeddings'))}"
+    try:
+        return vector_index.open_index(spark, path)
+    except AnalysisException as why:
+        if "PATH_NOT_FOUND" not in str(why):
+            raise
+    columns = {"did": "vec_id", "dvec": "embedding"}
+    index = vector_index.build(e.where("vec_id % 2 = 0"), path, n_cells=n_cells, batch="even", **columns)
+    vector_index.append(index, e.where("vec_id % 2 <> 0"), "odd", **columns)
+    return index
+
+
+def _ivf(spark, sf_dir, n_cells, nprobe):
+    return vector_index.search(_vector_index(spark, sf_dir, n_cells), _emb(spark, sf_dir), K, nprobe=nprobe, qid="vec_id",
+                               qvec="embedding", exclude_self=True)
+
+
 @register("knn_ivf_topk")
 def knn_ivf_topk(spark, sf_dir):
     """IVF approximate top-10 (16 k-means cells over MIPS->L2 augmented
     vectors, 4 probes), scores are exact inner products.  Rows-only; recall
     against the exact search is a test."""
-    e = _emb(spark, sf_dir)
-    h = knn_ops.knn_ivf(e, e, K, n_cells=16, nprobe=4, qid="vec_id", qvec="embedding",
-                        did="vec_id", dvec="embedding", exclude_self=True)
-    return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
+    return _ivf(spark, sf_dir, 16, 4).select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 @register("knn_ivf_all_cells", _KNN_SQL.format(score="list_inner_product(q.v, d.v)"))
 def knn_ivf_all_cells(spark, sf_dir):
-    """J4 with every cell probed: equal to the exact search."""
-    e = _emb(spark, sf_dir)
-    h = knn_ops.knn_ivf(e, e, K, n_cells=8, nprobe=8, qid="vec_id", qvec="embedding",
-                        did="vec_id", dvec="embedding", exclude_self=True)
-    return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
+    """J4 + E5 with every cell of an appended index probed: equal to the exact search."""
+    return _ivf(spark, sf_dir, 16, 16).select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
 @register("knn_ivf_recall")
 def knn_ivf_recall(spark, sf_dir):
     """J4 quality: recall@10 of the IVF search against the exact search."""
     e = _emb(spark, sf_dir)
-    kw = dict(qid="vec_id", qvec="embedding", did="vec_id", dvec="embedding", exclude_self=True)
-    approx = knn_ops.knn_ivf(e, e, K, n_cells=16, nprobe=4, **kw)
-    exact = knn_ops.knn(e, e, K, **kw)
-    return knn_ops.recall_at_k(approx, exact)
+    exact = knn_ops.knn(e, e, K, qid="vec_id", qvec="embedding", did="vec_id", dvec="embedding", exclude_self=True)
+    return knn_ops.recall_at_k(_ivf(spark, sf_dir, 16, 4), exact)
 
 
 @register("mips_to_l2", """

@@ -9,7 +9,7 @@ from rivulet.functions import text as tx
 from rivulet.operators import evaluate, lexical, match, training
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
-from rivulet.session import ensure_checkpoint_dir
+from rivulet.session import ensure_checkpoint_dir, files_key
 from rivulet.sources.tables import passages, questions, table
 
 K = 10
@@ -101,7 +101,7 @@ def _index(spark, sf_dir):
     the files it was built from, so it is opened again while they are the same
     and built anew when they change."""
     ps = passages(spark, sf_dir)
-    key = lexical.files_key(table(spark, sf_dir, "documents"))
+    key = files_key(table(spark, sf_dir, "documents"))
     return lexical.index_for(ps, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-lexical-{key}")
 
 

@@ -83,6 +83,17 @@ def materialize(df, name: str = "table"):
     return spark.read.parquet(path)
 
 
+def files_key(df) -> str:
+    """A name for the data that ``df`` reads: its files, their sizes and times
+    of change.  Changed data has another name, so what is stored under it is
+    never stale."""
+    from pyspark.sql import functions as F
+
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
+    return f"{row['n']}-{int(row['h'] or 0) % (1 << 64):016x}"
+
+
 _SHIPPED: set[str] = set()
 _ZIP: list[str] = []
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rivulet.operators import lexical
+from rivulet.session import files_key
 
 
 @pytest.fixture(scope="module")
@@ -52,10 +53,10 @@ def test_index_is_opened_by_path_and_keyed_by_files(spark, corpus, tmp_path):
     assert key(opened) == key(built)
     files = f"{tmp_path}/files"
     ps.write.parquet(files)
-    first = lexical.files_key(spark.read.parquet(files))
-    assert first == lexical.files_key(spark.read.parquet(files))
+    first = files_key(spark.read.parquet(files))
+    assert first == files_key(spark.read.parquet(files))
     ps.limit(3).write.mode("append").parquet(files)
-    assert first != lexical.files_key(spark.read.parquet(files))
+    assert first != files_key(spark.read.parquet(files))
 
 
 def test_index_cut_off_before_its_end_is_built_again(spark, corpus, tmp_path):

@@ -194,21 +194,6 @@ def test_pooling_projection(spark):
     assert r == [1.0, 3.0]
 
 
-def test_ivf_persist_reload(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "doc_id long, vec array<double>")
-    phi, cents = knn.train_ivf(df, 3)
-    p = tmpdir()
-    knn.save_ivf(p, spark, phi, cents, df)
-    phi2, c2, assign = knn.load_ivf(p, spark, df)
-    assert phi2 == phi and np.allclose(c2, cents) and assign.count() == 50
-    try:
-        knn.load_ivf(p, spark, df.union(spark.createDataFrame([(99, [0.0] * 4)], df.schema)))
-        raise AssertionError
-    except ValueError:
-        pass
-
-
 def test_readers(spark):
     d = tmpdir()
     # Gzip JSON array of training samples

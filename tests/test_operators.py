@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rivulet.functions.html import extract
-from rivulet.operators import corpus, evaluate, knn, match, reader, training
+from rivulet.operators import corpus, evaluate, knn, match, reader, training, vector_index
 from rivulet.operators.order import add_dense_id, running_sum
 
 
@@ -85,7 +85,7 @@ def test_gold_rank_and_nll(spark):
     assert abs(r.loss - math.log(4 / 3)) < 1e-9 and r.correct
 
 
-def test_knn_exact_and_ivf_full_probe(spark):
+def test_knn_exact_and_ivf_full_probe(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, vec array<float>")
@@ -98,7 +98,7 @@ def test_knn_exact_and_ivf_full_probe(spark):
         assert r.doc_id == int(np.argsort(-s[17], kind="stable")[r.rank - 1])
     small_bc = knn.knn(df, df, 5, max_broadcast_bytes=4096, **kw)   # forces many query waves
     assert exact.exceptAll(small_bc).count() == 0
-    ivf = knn.knn_ivf(df, df, 5, n_cells=4, nprobe=4, **kw)
+    ivf = vector_index.knn_ivf(df, df, 5, path=str(tmp_path), n_cells=4, nprobe=4, **kw)
     assert exact.select("qid", "doc_id").exceptAll(ivf.select("qid", "doc_id")).count() == 0
 
 

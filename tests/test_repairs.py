@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from rivulet.functions.html import extract
-from rivulet.operators import knn, match, quality, reader, records, training
+from rivulet.operators import knn, match, quality, reader, records, training, vector_index
 from rivulet.sources import io
 
 
@@ -70,7 +70,7 @@ def test_empty_prediction_of_a_question_without_spans(spark):
     assert (row.qid, row.passage_idx, row.s, row.e) == (7, -1, -1, -1)
 
 
-def test_vector_search_with_string_ids_and_many_blocks(spark, monkeypatch):
+def test_vector_search_with_string_ids_and_many_blocks(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(120, 4)).round(1)
     m[50:60] = m[50]
@@ -85,7 +85,7 @@ def test_vector_search_with_string_ids_and_many_blocks(spark, monkeypatch):
     for q in range(120):
         best = s[q, got[q]]
         assert len(got[q]) == 3 and np.allclose(best, np.sort(s[q])[::-1][:3])
-    full = knn.knn_ivf(df, df, 3, n_cells=4, nprobe=4, qid="id", did="id", exclude_self=True)
+    full = vector_index.knn_ivf(df, df, 3, path=str(tmp_path), n_cells=4, nprobe=4, qid="id", did="id", exclude_self=True)
     assert full.select("qid", "doc_id").exceptAll(out.select("qid", "doc_id")).count() == 0
 
 
