@@ -94,68 +94,3 @@ def encode(df: DataFrame, text: str, *, title: str | None = None, encoder: str =
     if title is not None:
         terms = F.concat(analyzer(F.col(title)), terms)
     return df.withColumn(out, _enc(terms))
-
-
-# ---------------------------------------------------------------- X22 / X23
-# Special tokens and their ids (BERT-style layout).
-SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
-
-
-def build_vocab(token_arrays: DataFrame, tokens: str = "tokens",
-                num_partitions: int | None = None) -> DataFrame:
-    """Vocabulary ``token, id``: special tokens first, then tokens by
-    document frequency desc, token asc (dense ids, no single-partition window)."""
-    from rivulet.operators.order import add_dense_id
-    df = (token_arrays.select(F.explode_outer(F.array_distinct(tokens)).alias("token"))
-          .where(F.col("token").isNotNull())
-          .groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-          .withColumn("neg_df", -F.col("df")))
-    v = add_dense_id(df, ["neg_df", "token"], name="id", start=len(SPECIALS),
-                     num_partitions=num_partitions)
-    sp = token_arrays.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(SPECIALS)], "token string, id long")
-    return sp.unionByName(v.select("token", "id"))
-
-
-def to_ids(df: DataFrame, key, tokens: str, vocab: DataFrame, *, out: str = "ids",
-           title_tokens: str | None = None, max_length: int | None = None,
-           add_special_tokens: bool = True) -> DataFrame:
-    """Token arrays -> id arrays via an equi-join with the vocabulary
-    (unknown -> [UNK]); layout ``[CLS] title [SEP] text [SEP]`` (or
-    ``[CLS] text [SEP]``); truncation keeps ``max_length`` ids and forces the
-    last one to [SEP].  The per-row regroup is bounded by the row's length."""
-    keys = key if isinstance(key, (list, tuple)) else [key]
-    cls, sep = F.array(F.lit(SPECIALS[2])), F.array(F.lit(SPECIALS[3]))
-    if add_special_tokens and title_tokens:
-        seq = F.concat(cls, F.col(title_tokens), sep, F.col(tokens), sep)
-    elif add_special_tokens:
-        seq = F.concat(cls, F.col(tokens), sep)
-    else:
-        seq = F.col(tokens)
-    ex = df.select(*keys, F.posexplode_outer(seq).alias("__p", "__t"))
-    unk = F.lit(1).cast("long")
-    j = ex.join(vocab.select(F.col("token").alias("__t"), F.col("id").alias("__id")), "__t", "left")
-    j = j.withColumn("__id", F.when(F.col("__t").isNull(), None).otherwise(F.coalesce("__id", unk)))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.when(F.col("__p").isNotNull(), F.struct("__p", "__id")))).alias("__s"))
-    ids = F.transform("__s", lambda s: s["__id"])
-    if max_length is not None:
-        cut = F.slice(ids, 1, max_length)
-        ids = F.when(F.size(ids) > max_length,
-                     F.concat(F.slice(cut, 1, max_length - 1), F.array(F.lit(3).cast("long"))) if add_special_tokens
-                     else cut).otherwise(ids)
-    return df.join(g.select(*keys, ids.alias(out)), keys, "left")
-
-
-def to_string(df: DataFrame, key, ids: str, vocab: DataFrame, *, out: str = "text",
-              skip_special_tokens: bool = True) -> DataFrame:
-    """Ids -> tokens joined by spaces, special tokens skipped."""
-    keys = key if isinstance(key, (list, tuple)) else [key]
-    ex = df.select(*keys, F.posexplode_outer(ids).alias("__p", "__id"))
-    j = ex.join(vocab.select(F.col("id").alias("__id"), F.col("token").alias("__t")), "__id", "left")
-    if skip_special_tokens:
-        j = j.where(~F.coalesce(F.col("__t").isin(list(SPECIALS)), F.lit(False)))
-    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.when(F.col("__t").isNotNull(), F.struct("__p", "__t")))).alias("__s"))
-    txt = F.array_join(F.transform("__s", lambda s: s["__t"]), " ")
-    return df.join(g.select(*keys, txt.alias(out)), keys, "left")

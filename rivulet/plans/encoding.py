@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import tokenize
-from rivulet.operators import annotate, encode, evaluate, knn, match
+from rivulet.operators import annotate, encode, evaluate, knn, match, subword
 from rivulet.operators.order import add_dense_id
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
@@ -69,48 +69,60 @@ def dense_qa_acc(spark, sf_dir):
     return evaluate.acc_at_k(lab, K, questions(spark, sf_dir).select("qid"))
 
 
-_VOCAB_SQL = f"""
-WITH dtok AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
+PIECES = 1000
+# longest match first: all pieces at all places of each distinct word, then a walk along the longest ones
+_PIECES_SQL = f"""
+WITH RECURSIVE dtok AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
 dfs AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS token FROM dtok) GROUP BY token),
-vocab AS (SELECT token, row_number() OVER (ORDER BY df DESC, token) + 4 AS id FROM dfs),
-q AS (SELECT item_id AS qid, {S.tokens("text")} AS t FROM benchmark),
-qe AS (SELECT qid, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM q),
-qi AS (SELECT qe.qid, qe.p, qe.token, vocab.id FROM qe LEFT JOIN vocab USING (token))
+top AS (SELECT token FROM dfs ORDER BY df DESC, token LIMIT {PIECES}),
+plain AS (SELECT token FROM top UNION SELECT unnest(regexp_extract_all(token, '(?s).')) FROM top),
+pieces AS (SELECT token, row_number() OVER (ORDER BY token) + 4 AS id, count(*) OVER () AS n FROM plain),
+words AS (SELECT token AS word, length(token) AS size FROM dfs),
+longest AS (SELECT max(length(token)) AS most FROM plain),
+parts AS (SELECT word, size, p, l, substring(word, p, l) AS part
+          FROM words, longest, range(1, size + 1) AS a(p), range(1, least(most, size - p + 1) + 1) AS b(l)),
+best AS (SELECT word, size, p, max(l) AS l, arg_max(CASE WHEN p = 1 THEN id ELSE id + n END, l) AS id,
+                arg_max(CASE WHEN p = 1 THEN token ELSE '##' || token END, l) AS piece
+         FROM parts JOIN pieces ON part = token GROUP BY word, size, p),
+walk AS (SELECT word, size, p + l AS next, [id] AS ids, [piece] AS found FROM best WHERE p = 1
+         UNION ALL
+         SELECT w.word, w.size, w.next + b.l, list_append(w.ids, b.id), list_append(w.found, b.piece)
+         FROM walk w JOIN best b ON b.word = w.word AND b.p = w.next),
+whole AS (SELECT word, ids, found FROM walk WHERE next = size + 1),
+each AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM dtok),
+found AS (SELECT doc_id, pos, coalesce(ids, [1]) AS ids, CASE WHEN ids IS NULL THEN [] ELSE found END AS found
+          FROM each LEFT JOIN whole USING (word)),
+rows AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids, flatten(list(found ORDER BY pos)) AS found FROM found GROUP BY doc_id)
 """
 
 
-@register("text_to_ids", _VOCAB_SQL + """
-SELECT q.qid, CAST(len(q.t) + 2 AS INTEGER) AS n_ids,
-       CAST((SELECT count(*) FROM qi WHERE qi.qid = q.qid AND qi.id IS NULL) AS INTEGER) AS n_unk,
-       '2,' || coalesce((SELECT string_agg(CAST(coalesce(qi.id, 1) AS VARCHAR), ',' ORDER BY qi.p)
-                         FROM qi WHERE qi.qid = q.qid) || ',', '') || '3' AS ids
-FROM q
+def _document_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
+    vocab = subword.build_pieces(d, PIECES)
+    return subword.encode_pieces(d, "tokens", vocab).select("doc_id", "ids"), vocab
+
+
+@register("text_to_ids", _PIECES_SQL + """
+SELECT d.doc_id, CAST(coalesce(len(r.ids), 0) + 2 AS INTEGER) AS n_ids, CAST(coalesce(len(list_filter(r.ids, lambda x: x = 1)), 0) AS INTEGER) AS n_unk,
+       md5('2,' || coalesce(array_to_string(r.ids, ',') || ',', '') || '3') AS ids_md5
+FROM dtok d LEFT JOIN rows r USING (doc_id)
 """)
 def text_to_ids(spark, sf_dir):
-    """Question tokens -> ids with a vocabulary built from the documents
-    (specials first, then by document frequency), layout [CLS] text [SEP]."""
-    d = table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
-    vocab = encode.build_vocab(d)
-    q = questions(spark, sf_dir).select("qid", tokenize("question").alias("tokens"))
-    ids = encode.to_ids(q, "qid", "tokens", vocab)
-    return ids.select("qid", F.size("ids").cast("int").alias("n_ids"),
+    """Sub-word ids of every document, layout [CLS] text [SEP]; pieces from
+    the most frequent words and their characters."""
+    ids, _ = _document_ids(spark, sf_dir)
+    return ids.select("doc_id", F.size("ids").cast("int").alias("n_ids"),
                       F.size(F.filter("ids", lambda x: x == 1)).cast("int").alias("n_unk"),
-                      F.array_join("ids", ",").alias("ids"))
+                      F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
-@register("ids_to_text", _VOCAB_SQL + """
-SELECT q.qid, coalesce((SELECT string_agg(qi.token, ' ' ORDER BY qi.p) FROM qi
-                        WHERE qi.qid = q.qid AND qi.id IS NOT NULL), '') AS text
-FROM q
+@register("ids_to_text", _PIECES_SQL + """
+SELECT d.doc_id, md5(replace(coalesce(array_to_string(r.found, ' '), ''), ' ##', '')) AS text_md5 FROM dtok d LEFT JOIN rows r USING (doc_id)
 """)
 def ids_to_text(spark, sf_dir):
-    """Ids back to text (special and unknown tokens skipped)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", tokenize("text").alias("tokens"))
-    vocab = encode.build_vocab(d)
-    q = questions(spark, sf_dir).select("qid", tokenize("question").alias("tokens"))
-    ids = encode.to_ids(q, "qid", "tokens", vocab)
-    out = encode.to_string(ids, "qid", "ids", vocab)
-    return out.select("qid", F.coalesce("text", F.lit("")).alias("text"))
+    """Ids back to text, continuations joined (special and unknown tokens skipped)."""
+    ids, vocab = _document_ids(spark, sf_dir)
+    return subword.decode_pieces(ids, "ids", vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 _TAG = r"""CASE WHEN regexp_matches(tok, '^\p{N}+$') THEN 'NUM'

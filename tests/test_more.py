@@ -57,19 +57,6 @@ def test_encoder_registry_and_shape(spark):
     assert got == [1.0, 1.0, 1.0]
 
 
-def test_vocab_roundtrip(spark):
-    docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["a"])], "id long, tokens array<string>")
-    v = {r.token: r.id for r in encode.build_vocab(docs).collect()}
-    assert v["[PAD]"] == 0 and v["a"] == 5 and v["b"] == 6
-    q = spark.createDataFrame([(1, ["a", "zz", "b"])], "qid long, tokens array<string>")
-    ids = encode.to_ids(q, "qid", "tokens", encode.build_vocab(docs))
-    assert ids.first().ids == [2, 5, 1, 6, 3]
-    back = encode.to_string(ids, "qid", "ids", encode.build_vocab(docs)).first().text
-    assert back == "a b"
-    cut = encode.to_ids(q, "qid", "tokens", encode.build_vocab(docs), max_length=3).first().ids
-    assert cut == [2, 5, 3]
-
-
 def test_tag_runs_of_odd_rows(spark):
     rows = [(1, ["a", "b", "c", "d", "e"], ["X", "X", "Y", "O", "Y"]), (2, [], []), (3, None, None),
             (4, ["a", "b"], [None, "X"]), (5, ["a"], ["X", "X", "Z"])]
