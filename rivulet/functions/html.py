@@ -131,15 +131,13 @@ class _Walker(HTMLParser):
 
 
 def extract(html: str | None, container: str = "section"):
-    """-> (page_title, [(sec_ord, h2_title_or_None, p_ord, raw_text), ...])."""
+    """-> (page_title, [(sec_ord, h2_title_or_None, p_ord, raw_text), ...]).
+    Raises what the parser raises."""
     if not html:
         return None, []
     w = _Walker(container)
-    try:
-        w.feed(html)
-        w.close()
-    except Exception:  # noqa: BLE001 - malformed markup yields what was read
-        pass
+    w.feed(html)
+    w.close()
     if w.depth > 0:
         w._end_section()
     return "".join(w.page_title).strip() or None, w.out

@@ -26,8 +26,8 @@ PY_WHITESPACE = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
 ARTICLES = ("a", "an", "the")
 # ASCII punctuation (Python's string.punctuation) as a Java character class.
 ASCII_PUNCT = r"[!-/:-@\[-`{-~]"
-# Characters that count as "word" characters for Python's \b.
-WORD_CHAR = r"[\p{L}\p{N}_]"
+# Characters that count as "word" characters for \b, combining marks among them.
+WORD_CHAR = r"[\p{L}\p{N}\p{M}_]"
 # ---------------------------------------------------------------------------
 
 
@@ -168,11 +168,6 @@ def _interleave(w, n: int) -> Column:
     return F.array_compact(F.flatten(acc))
 
 
-def untokenize(tokens) -> Column:
-    """Join tokens back with single spaces (whitespace is not kept)."""
-    return F.trim(F.array_join(_c(tokens), " "))
-
-
 def strip_quotes(col) -> Column:
     """Strip every leading / trailing double quote."""
     return F.regexp_replace(_c(col), r'^"+|"+$', "")

@@ -1,7 +1,7 @@
 """Token-array helpers (X7c, X7e, X21): Column -> Column, built-ins only."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,13 @@ def slice_tokens(tokens, i: int | None = None, j: int | None = None) -> Column:
     return F.slice(t, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def annotation(tokens, field: str) -> Column:
+def annotation(df: DataFrame, tokens: str, field: str) -> Column:
     """X7e ``pos()`` / ``lemmas()`` / ``entities()``: a field of every token
-    struct; null when the annotation field is absent from the struct."""
-    t = _c(tokens)
-    return F.transform(t, lambda x: x[field])
+    struct of ``df``'s column; null when the struct does not have that field."""
+    token = df.schema[tokens].dataType.elementType
+    if field not in token.fieldNames():
+        return F.lit(None).cast("array<string>")
+    return F.transform(F.col(tokens), lambda x: x[field])
 
 
 def is_subword(tok: Column) -> Column:
@@ -43,18 +45,41 @@ def extend_span_to_words(tokens, s, e) -> Column:
     return let(body, _c(tokens), _c(s), _c(e))
 
 
-def _offsets_series(texts):
+def _tokens_of(texts):
     import pandas as pd
     import regex
-    pat = regex.compile(r"([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])")
-    return pd.Series([None if t is None else [[m.start(), m.end()] for m in pat.finditer(t)]
-                      for t in texts])
-
-
-def token_offsets(col) -> Column:
-    """X7c ``offsets()``: [start, end) character offsets of every simple-
-    tokenizer token (match positions are not exposed by Spark's regex
-    built-ins, so this is a small Arrow-batched helper)."""
-    from pyspark.sql import types as T
-    udf = F.pandas_udf(_offsets_series, T.ArrayType(T.ArrayType(T.IntegerType())))
-    return udf(_c(col))
+
+    from rivulet.functions.text import TOKEN_PATTERN
+
+    pattern = regex.compile(TOKEN_PATTERN)
+
+    def of(text):
+        if text is None:
+            return None
+        found = list(pattern.finditer(text))
+        ends = [m.start() for m in found[1:]] + [len(text)]
+        return [{"text": m[0], "start": m.start(), "end": m.end(), "after": text[m.end():nxt]} for m, nxt in zip(found, ends)]
+
+    return pd.Series([of(t) for t in texts])
+
+
+TOKEN = "array<struct<text:string,start:int,end:int,after:string>>"
+
+
+def tokens_with_offsets(col) -> Column:
+    """Every token with its place in the text (code points, end exclusive)
+    and what stands between it and the next one.  Spark's patterns do not tell
+    where they match, so this is a small helper over Arrow batches."""
+    return F.pandas_udf(_tokens_of, TOKEN)(_c(col))
+
+
+def token_offsets(tokens) -> Column:
+    """X7c ``offsets()``: [start, end) of every token."""
+    return F.transform(_c(tokens), lambda t: F.array(t["start"], t["end"]))
+
+
+def untokenize(tokens) -> Column:
+    """X7c ``untokenize()``: the text from the first token to the last, as it was
+    written, without white space after it."""
+    t = _c(tokens)
+    return F.regexp_replace(F.array_join(F.transform(t, lambda x: F.concat(x["text"], x["after"])), ""), r"[\s\p{Z}\p{C}]+\z", "")

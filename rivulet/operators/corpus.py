@@ -9,7 +9,7 @@ order; those use the bucketed per-bucket-offset helpers in
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,16 +44,24 @@ def page_url(base: str, title: str = "title", rev: str = "revid"):
 
 
 # ---------------------------------------------------------------- W5
-def pair_dump_lines(lines: DataFrame, *, order: str = "line_ord") -> DataFrame:
+def pair_dump_lines(lines: DataFrame, *, file: str = "file", split: str = "split", order: str = "line_ord") -> DataFrame:
     """An action line ``{"index": {"_id": ...}}`` gives its id to the next
-    document line.  Returns the document lines with ``pageid``.
-
-    Pairs are adjacent lines: the action line at ``p`` meets the document
-    line at ``p + 1`` by an equi-join on position (no ordered window)."""
-    acts = lines.where(F.col("index").isNotNull()).select(
-        (F.col(order) + 1).alias(order), F.col("index._id").alias("pageid"))
-    docs = lines.where(F.col("index").isNull()).drop("index")
-    return docs.join(acts, order, "left")
+    document line.  Returns the document lines with ``pageid``; null where the
+    line before is no action line.
+
+    A line's next one has the following number in its split; the last line of a
+    split is followed by the first of the file's next split that has lines.  The
+    table of splits (one row each) tells where that is, and ids meet their
+    document lines by an equi-join: no ordered window over lines."""
+    place = [file, split, order]
+    ends = lines.groupBy(file, split).agg(F.min(order).alias("__low"), F.max(order).alias("__high"))
+    by_file = Window.partitionBy(file).orderBy(split)  # splits of one file
+    ends = ends.withColumn("__next", F.lead(F.struct(F.col(split).alias("split"), F.col("__low").alias("ord"))).over(by_file))
+    actions = lines.where(F.col("index").isNotNull()).select(*place, F.col("index._id").alias("pageid")).join(ends, [file, split])
+    at_end = F.col(order) == F.col("__high")
+    actions = actions.select(file, F.when(at_end, F.col("__next.split")).otherwise(F.col(split)).alias(split),
+                             F.when(at_end, F.col("__next.ord")).otherwise(F.col(order) + 1).alias(order), "pageid")
+    return lines.where(F.col("index").isNull()).drop("index").join(actions, place, "left").drop(*place)
 
 
 # ---------------------------------------------------------------- F3-F5 / W1 / W2
@@ -61,7 +69,7 @@ _PARA = T.StructType([T.StructField("section", T.StringType()), T.StructField("r
 _PAGE = T.StructType([
     T.StructField("page_key", T.LongType()), T.StructField("rev_id", T.LongType()),
     T.StructField("meta_title", T.StringType()), T.StructField("page_title", T.StringType()),
-    T.StructField("paras", T.ArrayType(_PARA))])
+    T.StructField("paras", T.ArrayType(_PARA)), T.StructField("error", T.StringType())])
 
 
 def _walk_pages(container: str):
@@ -74,9 +82,14 @@ def _walk_pages(container: str):
     def run(batches):
         for b in batches:
             d = b.to_pydict()
-            titles, paras = [], []
+            titles, paras, errors = [], [], []
             for html in d["html"]:
-                title, rows = extract(html, container)
+                try:
+                    title, rows = extract(html, container)
+                    errors.append(None)
+                except Exception as why:  # noqa: BLE001 - whatever a page does, the others go on; see unreadable_pages
+                    title, rows = None, []
+                    errors.append(f"{type(why).__name__}: {why}")
                 out, carried, last_sec = [], LEAD_TITLE, None
                 for sec_ord, h2, _p_ord, raw in rows:
                     if sec_ord != last_sec:          # W1: carry the title forward
@@ -89,11 +102,27 @@ def _walk_pages(container: str):
                 paras.append(out)
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_key"), b.column("rev_id"), b.column("meta_title"),
-                 pa.array(titles, pa.string()), pa.array(paras, para_type)],
+                 pa.array(titles, pa.string()), pa.array(paras, para_type), pa.array(errors, pa.string())],
                 names=[f.name for f in _PAGE.fields])
     return run
 
 
+def _walked(pages: DataFrame, container: str, page_id: str, rev_id: str | None, title: str | None, html: str) -> DataFrame:
+    src = pages.select(F.col(page_id).cast("long").alias("page_key"),
+                       (F.col(rev_id).cast("long") if rev_id else F.lit(None).cast("long")).alias("rev_id"),
+                       (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("meta_title"),
+                       F.col(html).cast("string").alias("html"))
+    return src.mapInArrow(_walk_pages(container), _PAGE)
+
+
+def unreadable_pages(pages: DataFrame, *, container: str = "section", page_id: str = "pageid",
+                     rev_id: str | None = "revid", html: str = "html") -> DataFrame:
+    """``page_id, rev_id, error`` of the pages that cannot be parsed.  They
+    give no paragraph at all, instead of those before the fault."""
+    return _walked(pages, container, page_id, rev_id, None, html).where(F.col("error").isNotNull()) \
+        .select(F.col("page_key").alias("page_id"), "rev_id", "error")
+
+
 def extract_paragraphs(pages: DataFrame, *, container: str = "section", min_len: int = 10,
                        max_len: int = 1000, ignore_sections=SECTIONS_TO_IGNORE,
                        page_id: str = "pageid", rev_id: str | None = "revid",
@@ -109,11 +138,7 @@ def extract_paragraphs(pages: DataFrame, *, container: str = "section", min_len:
     (X1), the section / length filters and the numbering are array built-ins
     on that row, so there is no shuffle and no window.
     """
-    src = pages.select(F.col(page_id).cast("long").alias("page_key"),
-                       (F.col(rev_id).cast("long") if rev_id else F.lit(None).cast("long")).alias("rev_id"),
-                       (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("meta_title"),
-                       F.col(html).cast("string").alias("html"))
-    walked = src.mapInArrow(_walk_pages(container), _PAGE)
+    walked = _walked(pages, container, page_id, rev_id, title, html)
     cleaned = F.transform("paras", lambda p: F.struct(p["section"].alias("section"),
                                                       clean_text(p["raw"]).alias("text")))
     ignore = list(ignore_sections or [])

@@ -10,6 +10,7 @@ deterministic hashed bag of terms, L2-normalized (no model files needed).
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,14 +42,9 @@ def get_encoder(name: str, **kwargs):
 @register_encoder("hashed_bow")
 def hashed_bow(dim: int = 64):
     """Terms -> md5 bucket (first 32 bits mod dim) counts -> L2-normalized."""
-    cache: dict[str, int] = {}
-
+    @lru_cache(maxsize=1 << 18)
     def bucket(t: str) -> int:
-        b = cache.get(t)
-        if b is None:
-            b = int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
-            cache[t] = b
-        return b
+        return int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16) % dim
 
     def encode(terms: pd.Series) -> np.ndarray:
         # vectorized: flatten the batch, hash each distinct term once,

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.text import nfkc, tokenize
+from rivulet.session import materialize
 
 
 def _compiled(pattern: str | None):
@@ -86,11 +87,16 @@ def has_answer(hits: DataFrame, passages: DataFrame, questions: DataFrame, *,
                match_type: str = "string", boundary: bool = False,
                qid: str = "qid", doc_id: str = "doc_id", id_col: str = "id",
                text_col: str = "text", answers_col: str = "answers",
-               keep_text: bool = False) -> DataFrame:
+               keep_text: bool = False, stored: bool = False) -> DataFrame:
     """Label every hit row with ``has_answer``.
 
     A hit whose passage is missing (or has null text) is labelled False (F14).
+    Hits are read twice, for the passages that are needed and for the labels, so
+    they are written first, unless ``stored`` says that they are a stored table:
+    a search in front of this runs once.
     """
+    if not stored:
+        hits = materialize(hits, "hits")
     if match_type not in ("raw", "string", "regex"):
         raise ValueError(f"unknown match_type {match_type!r}")
     qa = normalized_answers(questions, match_type, qid=qid, answers_col=answers_col)

@@ -13,14 +13,14 @@ from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.bind import let
 from rivulet.functions.text import nfkc, tokenize
-from rivulet.functions.tokens import extend_span_to_words
+from rivulet.functions.tokens import extend_span_to_words, is_subword
 
 
 @dataclass(frozen=True)
@@ -286,53 +286,80 @@ def best_span(start: Column, end: Column, max_answer_length: int) -> Column:
     return let(body, start, end)
 
 
-def top_spans_of(start, end, max_length: int, top_n: int) -> list[tuple[int, int, float]]:
-    """The best ``top_n`` spans (first, last, score) of at most ``max_length``
-    tokens, none of which lies within another.
+def word_edges(sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the word of each token begins and ends, for rows of flags that tell
+    which tokens go on with the word before them."""
+    n = sub.shape[1]
+    at = np.broadcast_to(np.arange(n), sub.shape)
+    first = np.maximum.accumulate(np.where(sub, 0, at), axis=1)
+    following = np.concatenate([np.where(sub, n, at)[:, 1:], np.full((len(sub), 1), n)], axis=1)
+    return first, np.minimum.accumulate(following[:, ::-1], axis=1)[:, ::-1] - 1
 
-    All spans stand in one matrix, first token by length; the best is taken
-    (ties: the smaller first token, then the shorter span) and everything that
-    holds it or that it holds is struck out by a mask.
+
+def top_spans_of(start: np.ndarray, end: np.ndarray, max_length: int, top_n: int, sub: np.ndarray | None = None):
+    """The best ``top_n`` spans of each of many passages of one length: (passage,
+    rank, first token, last token, score).  ``start``, ``end`` and ``sub`` have a
+    row for each passage.
+
+    All spans of a passage stand in one matrix, first token by length.  The best
+    is taken in all passages at once (ties: the smaller first token, then the
+    shorter span), moved out to whole words, and every span that holds it or
+    that it holds is struck out by a mask.
     """
-    start, end = np.asarray(start, dtype=np.float64), np.asarray(end, dtype=np.float64)
-    n = len(start)
+    rows, n = start.shape
     if n == 0:
-        return []
-    first = np.arange(n)[:, None]
-    last = first + np.arange(min(max_length, n))[None, :]
-    score = np.where(last < n, start[:, None] + end[np.minimum(last, n - 1)], -np.inf)
-    out: list[tuple[int, int, float]] = []
-    while len(out) < top_n:
-        i, d = np.unravel_index(int(np.argmax(score)), score.shape)
-        if score[i, d] == -np.inf:
-            break
-        s, e = int(i), int(last[i, d])
-        out.append((s, e, float(score[i, d])))
-        score[((first <= s) & (last >= e)) | ((first >= s) & (last <= e))] = -np.inf
-    return out
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.int32, np.int32, np.float64))
+    first = np.arange(n)[None, :, None]
+    last = first + np.arange(min(max_length, n))[None, None, :]
+    score = np.where(last < n, start[:, :, None] + end[:, np.minimum(last[0], n - 1)], -np.inf)
+    begins, ends = word_edges(np.zeros(start.shape, bool) if sub is None else sub)
+    found, open_ = [], np.arange(rows)
+    for rank in range(1, top_n + 1):
+        best = score[open_].reshape(len(open_), score.shape[1] * score.shape[2]).argmax(axis=1)
+        i, length = np.unravel_index(best, score.shape[1:])
+        value = score[open_, i, length]
+        open_, i, length, value = (x[value > -np.inf] for x in (open_, i, length, value))
+        s, e = begins[open_, i], ends[open_, i + length]
+        found.append((open_, np.full(len(open_), rank), s, e, value))
+        s, e = s[:, None, None], e[:, None, None]
+        left = score[open_]
+        left[((first <= s) & (last >= e)) | ((first >= s) & (last <= e))] = -np.inf
+        score[open_] = left
+    passage, rank, s, e, value = (np.concatenate(x) for x in zip(*found))
+    return passage, rank.astype(np.int32), s.astype(np.int32), e.astype(np.int32), value
 
 
 def decode_spans(logits: DataFrame, *, max_answer_length: int = 10, top_spans: int = 3,
                  key=("qid", "passage_idx"), start: str = "start_logits",
-                 end: str = "end_logits") -> DataFrame:
-    """Top-N non-nested spans per passage (partial overlaps allowed), a
-    matrix per passage over Arrow batches; ``*key, span_rank, s, e, score``."""
+                 end: str = "end_logits", tokens: str | None = None) -> DataFrame:
+    """T6 + X21: top-N non-nested spans per passage (partial overlaps allowed);
+    ``*key, span_rank, s, e, score``.  With ``tokens`` spans are moved out to
+    whole words, and what lies within a span so moved is left out.  All passages
+    of one length in an Arrow batch are done together; a passage without logits
+    has no span."""
     keys = list(key)
-    schema = T.StructType([logits.select(*keys).schema[k] for k in keys] + [
-        T.StructField("span_rank", T.IntegerType()), T.StructField("s", T.IntegerType()),
-        T.StructField("e", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    kinds = {"span_rank": T.IntegerType(), "s": T.IntegerType(), "e": T.IntegerType(), "score": T.DoubleType()}
+    schema = T.StructType([logits.select(*keys).schema[k] for k in keys] + [T.StructField(k, t) for k, t in kinds.items()])
+    sub = F.transform(F.col(tokens), is_subword) if tokens else F.transform(F.col(start), lambda x: F.lit(False))
+
+    def values(column: pa.Array, rows: np.ndarray, n: int) -> np.ndarray:
+        return column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
 
     def run(batches):
-        for pdf in batches:
-            found = [[] if st is None or en is None else top_spans_of(st, en, max_answer_length, top_spans)
-                     for st, en in zip(pdf[start], pdf[end])]
-            out = pdf[keys].loc[pdf.index.repeat([len(f) for f in found])].reset_index(drop=True)
-            out["span_rank"] = np.array([r + 1 for f in found for r in range(len(f))], dtype=np.int32)
-            for i, name in enumerate(("s", "e", "score")):
-                out[name] = np.array([x[i] for f in found for x in f], dtype=np.float64 if name == "score" else np.int32)
-            yield out
-
-    return logits.select(*keys, start, end).mapInPandas(run, schema)
+        for b in batches:
+            by_name = {c: b.column(b.schema.get_field_index(c)) for c in ("__start", "__end", "__sub")}
+            sizes = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in by_name.values()]
+            good = (sizes[0] == sizes[1]) & (sizes[0] == sizes[2]) & (sizes[0] > 0)
+            for n in np.unique(sizes[0][good]):
+                rows = np.flatnonzero(good & (sizes[0] == n))
+                st, en = (values(by_name[c], rows, n).astype(np.float64) for c in ("__start", "__end"))
+                passage, *found = top_spans_of(st, en, max_answer_length, top_spans, values(by_name["__sub"], rows, n).astype(bool))
+                order = np.lexsort((found[0], passage))
+                picked = b.select(keys).take(pa.array(rows[passage[order]]))
+                yield pa.RecordBatch.from_arrays([*picked.columns, *[pa.array(f[order]) for f in found]], names=[*keys, *kinds])
+
+    return logits.select(*keys, F.col(start).cast("array<double>").alias("__start"), F.col(end).cast("array<double>").alias("__end"),
+                         F.coalesce(sub, F.array().cast("array<boolean>")).alias("__sub")).mapInArrow(run, schema)
 
 
 def best_prediction(spans: DataFrame, thresholds=(1,), *, qid: str = "qid",

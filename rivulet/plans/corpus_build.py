@@ -2,12 +2,16 @@
 page URLs and the fetch retry frontier (whole ``pages`` / ``documents``)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rivulet.functions.text import split_paragraphs
 from rivulet.operators import corpus
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
+from rivulet.session import ensure_checkpoint_dir
+from rivulet.sources import io
 from rivulet.sources.tables import table
 
 MAX_PASSAGE = 400
@@ -150,28 +154,35 @@ def page_url(spark, sf_dir):
 
 
 @register("fetch_retry_frontier", """
-WITH r AS (SELECT page_id, url FROM pages)
-SELECT page_id,
-       CASE WHEN url LIKE '%page=2%' THEN 'failed' ELSE 'fetched' END AS status,
-       CASE WHEN url LIKE '%?%' THEN 2 ELSE 1 END AS attempt
-FROM r
+SELECT page_id, CASE WHEN coalesce(trim(html), '') = '' THEN 'failed' ELSE 'fetched' END AS status,
+       CASE WHEN coalesce(trim(html), '') = '' OR NOT contains(lower(html), '</html>') THEN 2 ELSE 1 END AS attempt
+FROM pages
 """)
 def fetch_retry_frontier(spark, sf_dir):
-    """F11 + J13: two fetch rounds.  Simulated outcome by URL: a query string
-    fails the first attempt; a second-page URL fails every attempt and ends
-    in the failed (quarantine) set."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pageid"),
-                                                 F.col("page_id").alias("revid"), "url", "html")
-    req1 = pages.select("pageid", "revid", F.lit(1).alias("attempt"))
-    ok1 = pages.where(~F.col("url").contains("?")).select("pageid", "revid", F.lit(1).alias("attempt"),
-                                                            "html")
-    r1 = corpus.fetch_frontier(req1, ok1)
-    retry = r1["retry"]
-    req2 = req1.unionByName(retry)
-    ok2 = (retry.join(pages, ["pageid", "revid"])
-           .where(~F.col("url").contains("page=2")).select("pageid", "revid", "attempt", "html"))
-    r2 = corpus.fetch_frontier(req2, ok1.unionByName(ok2))
-    fetched = r2["fetched"].select("pageid", F.lit("fetched").alias("status"), "attempt")
-    failed = r2["failed"].select("pageid", F.lit("failed").alias("status"), "attempt")
-    return fetched.unionByName(failed).select(F.col("pageid").alias("page_id"), "status",
-                                              F.col("attempt").cast("int").alias("attempt"))
+    """F11 + J13: two rounds over the pages as they are.  A body that is there and
+    whole (it has its end tag) is fetched in the first round.  The others are
+    asked for again; the second round takes any body, so one that is cut off is
+    fetched then, and a page without one ends in the failed set."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("pageid"), F.col("page_id").alias("revid"), "html")
+    body = F.coalesce(F.trim("html"), F.lit("")) != ""
+    first = pages.select("pageid", "revid", F.lit(1).alias("attempt"))
+    whole = pages.where(body & F.contains(F.lower("html"), F.lit("</html>"))).select("pageid", "revid", F.lit(1).alias("attempt"), "html")
+    retry = corpus.fetch_frontier(first, whole)["retry"]
+    again = retry.join(pages.where(body), ["pageid", "revid"]).select("pageid", "revid", "attempt", "html")
+    done = corpus.fetch_frontier(first.unionByName(retry), whole.unionByName(again))
+    rows = [done[k].select("pageid", F.lit(k).alias("status"), "attempt") for k in ("fetched", "failed")]
+    return rows[0].unionByName(rows[1]).select(F.col("pageid").alias("page_id"), "status", F.col("attempt").cast("int").alias("attempt"))
+
+
+@register("dump_line_pairs", """
+SELECT CAST(page_id AS VARCHAR) AS pageid, url AS title, CAST(length(html) AS BIGINT) AS version FROM pages
+""")
+def dump_line_pairs(spark, sf_dir):
+    """S5 + W5: the pages written as alternating action and document lines, in
+    files that many tasks read, and paired again."""
+    pages = table(spark, sf_dir, "pages")
+    action = F.to_json(F.struct(F.struct(F.col("page_id").cast("string").alias("_id")).alias("index")))
+    document = F.to_json(F.struct(F.col("url").alias("title"), F.length("html").cast("long").alias("version")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-dump-{uuid.uuid4().hex}"
+    pages.select(F.concat(action, F.lit("\n"), document).alias("value")).write.text(path)
+    return corpus.pair_dump_lines(io.read_dump_lines(spark, path)).select("pageid", "title", "version")

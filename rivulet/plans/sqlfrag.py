@@ -6,10 +6,12 @@ uses the boundary emulation ``(^|B)(a|an|the)(B|$)`` applied twice.
 """
 from __future__ import annotations
 
-TOKEN_RE = r"[\p{L}\p{N}\p{M}]+|[^\p{Z}\p{C}]"
-TERM_RE = r"[\p{L}\p{N}\p{M}]+"
-WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x85\p{Z}]"
-NOT_WORD = r"[^\p{L}\p{N}_]"
+from rivulet.functions.text import ALPHA_NUM as TERM_RE
+from rivulet.functions.text import PY_WHITESPACE as WS_CLASS
+from rivulet.functions.text import TOKEN_PATTERN as TOKEN_RE
+from rivulet.functions.text import WORD_CHAR
+
+NOT_WORD = WORD_CHAR.replace("[", "[^", 1)
 
 
 def normalize_answer(expr: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions import text as tx
+from rivulet.functions import text as tx, tokens as tk
 from rivulet.operators import evaluate, lexical, match, training
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
@@ -45,6 +45,21 @@ def token_ngrams(spark, sf_dir):
                     F.md5(F.array_join("g", "|")).alias("ngrams_md5"))
 
 
+@register("token_roundtrip", f"""
+WITH t AS (SELECT doc_id, text, {S.tokens('text')} AS t FROM documents)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(regexp_replace(text, '^[\\p{{Z}}\\p{{C}}]+|[\\p{{Z}}\\p{{C}}]+$', '', 'g')) AS text_md5,
+       CASE WHEN len(t) > 0 THEN CAST(length(text) - length(regexp_replace(text, '^[\\p{{Z}}\\p{{C}}]+', '')) AS INTEGER) END AS first_start,
+       CASE WHEN len(t) > 0 THEN CAST(length(regexp_replace(text, '[\\p{{Z}}\\p{{C}}]+$', '')) AS INTEGER) END AS last_end
+FROM t
+""")
+def token_roundtrip(spark, sf_dir):
+    """X6 + X7c: tokens with offsets and what stands between them give every
+    document's text back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tk.tokens_with_offsets("text").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(tk.untokenize("t")).alias("text_md5"),
+                    F.get("t", F.lit(0))["start"].alias("first_start"), F.get("t", F.size("t") - 1)["end"].alias("last_end"))
+
+
 # ----------------------------------------------------------------- X1 / X2
 @register("normalize_text", f"""
 SELECT doc_id, CAST(length(n) AS INTEGER) AS text_len, md5(n) AS text_md5
@@ -186,7 +201,7 @@ def bm25_phrase_exclude(spark, sf_dir):
 def labelled_hits(spark, sf_dir, match_type, boundary=False):
     h = bm25_hits(spark, sf_dir)
     return match.has_answer(h, passages(spark, sf_dir), questions(spark, sf_dir),
-                            match_type=match_type, boundary=boundary)
+                            match_type=match_type, boundary=boundary, stored=True)
 
 
 @register("answer_contains_raw", f"""

@@ -63,7 +63,8 @@ def read_passages_tsv(spark: SparkSession, path: str, *, compat: bool = False) -
     number of fields raises."""
     df = (spark.read.option("sep", "\t").option("header", True).option("quote", "")
           .option("escape", "").option("mode", "FAILFAST").csv(path))
-    text = strip_quotes("text") if compat else F.coalesce(json_unquote("text"), F.col("text"))
+    decoded = F.when(F.col("text") != "null", F.coalesce(json_unquote("text"), F.col("text")))
+    text = strip_quotes("text") if compat else decoded
     return df.select("id", text.alias("text"), "title")
 
 
@@ -75,9 +76,12 @@ def read_qa_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Alternating action / document dump lines with a line order key."""
+    """Alternating action / document dump lines.  ``file``, ``split`` (the
+    first byte of the piece of the file that a task reads) and ``line_ord``
+    (rising within a split, without gaps) give their order."""
     df = spark.read.schema(schema("dump_line")).option("mode", "FAILFAST").json(path)
-    return df.withColumn("line_ord", F.monotonically_increasing_id())
+    return df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                     F.monotonically_increasing_id().alias("line_ord"))
 
 
 def read_jsonl(spark: SparkSession, path: str, kind: str, *, json_array: bool = False) -> DataFrame:
@@ -115,23 +119,18 @@ def write_jsonl(df: DataFrame, path: str, *, gzip: bool = True, mode: str = "ove
 
 
 def write_passages_tsv(df: DataFrame, path: str, *, gzip: bool = True) -> None:
-    """K4 + F15: ``id \\t json(text) \\t title`` with a header; a TAB in a
-    field fails the job (checked in the same pass)."""
-    bad = F.col("title").contains("\t")
-    line = F.when(bad, F.raise_error(F.lit("TAB in passage title"))).otherwise(
-        F.concat_ws("\t", F.col("id").cast("string"), json_quote("text"), F.col("title")))
-    body = df.select(line.alias("value"))
-
-    def with_header(batches):  # one header per part file, no global sort
-        import pandas as pd
-        yield pd.DataFrame({"value": ["id\ttext\ttitle"]})
-        yield from batches
-
-    out = body.mapInPandas(with_header, "value STRING")
-    w = out.write.mode("overwrite")
+    """K4 + F15: ``id \\t text \\t title`` with a header in each file, the text as
+    a JSON string literal; a null id or title is an empty field.  A TAB or a line
+    break in a title fails the job (checked in the same pass)."""
+    title = F.when(F.col("title").rlike("[\t\r\n]"), F.raise_error(F.lit("TAB or line break in passage title"))).otherwise(F.col("title"))
+    w = df.select(F.col("id").cast("string").alias("id"), F.coalesce(json_quote("text"), F.lit("null")).alias("text"),
+                  title.cast("string").alias("title")).write.mode("overwrite")
+    for k, v in {"sep": "\t", "header": True, "quote": "", "escape": "", "nullValue": "", "emptyValue": "",
+                 "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}.items():
+        w = w.option(k, v)
     if gzip:
         w = w.option("compression", "gzip")
-    w.text(path)
+    w.csv(path)
 
 
 def write_qa_tsv(df: DataFrame, path: str) -> None:
@@ -151,17 +150,25 @@ def write_acc_tsv(acc: DataFrame, path: str) -> None:
     acc.coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def _split_folders(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values that folders ``column=value`` of ``path`` stand for."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    return [unescape(n[len(column) + 1:]) for n in names if n.startswith(f"{column}=")]
+
+
 def write_partitioned_results(df: DataFrame, path: str, split_col: str = "split") -> None:
     """One folder per split; a split that is there already is kept, like
-    the reference's skip-if-exists loop, and a new one is written beside it."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(folder) and len(fs.listStatus(folder)):
-        there = spark.read.option("recursiveFileLookup", False).json(path)
-        if split_col in there.columns:
-            df = df.join(there.select(F.col(split_col).cast(df.schema[split_col].dataType)).distinct(), split_col, "left_anti")
-    df.write.mode("append").partitionBy(split_col).json(path)
+    the reference's skip-if-exists loop, and a new one is written beside it.
+    Which splits are there is read from the folders' names alone.  The folders
+    appear when the whole job is done: one that fails leaves no half split."""
+    there = _split_folders(df.sparkSession, path, split_col)
+    value = F.coalesce(F.col(split_col).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    new = df.where(~value.isin(there)) if there else df
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(split_col).json(path)
 
 
 def submission(predictions: DataFrame) -> DataFrame:

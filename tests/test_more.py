@@ -2,6 +2,8 @@
 batches, index persistence, readers / writers and the streaming path."""
 import gzip
 import json
+
+import pytest
 import tempfile
 
 import numpy as np
@@ -26,7 +28,21 @@ def test_extend_span_and_slices(spark):
 
 def test_token_offsets(spark):
     df = spark.createDataFrame([("Hi, you",)], "x string")
-    assert df.select(tk.token_offsets("x")).first()[0] == [[0, 2], [2, 3], [4, 7]]
+    assert df.select(tk.token_offsets(tk.tokens_with_offsets("x"))).first()[0] == [[0, 2], [2, 3], [4, 7]]
+
+
+def test_tokens_give_the_text_back(spark):
+    texts = ["Hi,  you\n\tthere ", " \u3000lead é́x  😀a  b", "", "   ", None, "one", "a\x00b . "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").withColumn("t", tk.tokens_with_offsets("x"))
+    for r in df.select("i", "t", tk.untokenize("t").alias("u"), tk.token_offsets("t").alias("o")).collect():
+        text = texts[r.i]
+        if text is None:
+            assert r.t is None and r.u is None
+            continue
+        strip = "".join(chr(c) for c in [*range(33), 0x3000])
+        assert r.u == text.strip(strip)
+        assert [text[s:e] for s, e in r.o] == [t.text for t in r.t]
+        assert all(text[t.end:t.end + len(t.after)] == t.after for t in r.t)
 
 
 def test_annotation_accessor_and_groups(spark):
@@ -35,7 +51,8 @@ def test_annotation_accessor_and_groups(spark):
     g = annotate.entity_groups(df, "id").collect()
     assert [(r.tag, r.text) for r in g] == [("LOC", "New York")]
     ann = spark.createDataFrame([([{"text": "a", "pos": "DT"}],)], "t array<struct<text:string,pos:string>>")
-    assert ann.select(tk.annotation("t", "pos")).first()[0] == ["DT"]
+    assert ann.select(tk.annotation(ann, "t", "pos")).first()[0] == ["DT"]
+    assert ann.select(tk.annotation(ann, "t", "lemma")).first()[0] is None  # no such annotation
 
 
 def test_encoder_registry_and_shape(spark):
@@ -210,10 +227,16 @@ def test_readers(spark):
 
 def test_writers_roundtrip(spark):
     d = tmpdir()
-    ps = spark.createDataFrame([(1, 'a "b"\nc', "T1")], "id long, text string, title string")
-    io.write_passages_tsv(ps, f"{d}/tsv", gzip=False)
-    back = io.read_passages_tsv(spark, f"{d}/tsv").collect()
-    assert [(r.id, r.text, r.title) for r in back] == [("1", 'a "b"\nc', "T1")]
+    rows = [(1, 'a "b"\nc', "T1"), (2, " spaced\t ", None), (3, None, ' "q\\ '), (4, "", ""), (None, "é\u2028", "t")]
+    ps = spark.createDataFrame(rows, "id long, text string, title string")
+    for gzip_ in (False, True):
+        io.write_passages_tsv(ps.repartition(3), f"{d}/tsv", gzip=gzip_)
+        back = {r.id: (r.text, r.title) for r in io.read_passages_tsv(spark, f"{d}/tsv").collect()}
+        assert back == {None if i is None else str(i): (x, t or None) for i, x, t in rows}
+    for bad in ("a\tb", "a\nb"):
+        with pytest.raises(Exception, match="TAB or line break"):
+            io.write_passages_tsv(spark.createDataFrame([(1, "x", bad)], ps.schema), f"{d}/bad")
+    ps = ps.limit(1)
     qa = spark.createDataFrame([("who", ["a"])], "question string, answers array<string>")
     io.write_qa_tsv(qa, f"{d}/qa")
     assert io.read_qa_tsv(spark, f"{d}/qa").first().answers == ["a"]

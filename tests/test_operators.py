@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions.html import extract
 from rivulet.operators import corpus, evaluate, knn, match, reader, training, vector_index
+from rivulet.sources import io
 from rivulet.operators.order import add_dense_id, running_sum
 
 
@@ -53,9 +54,28 @@ def test_dense_id_partition_invariance(spark):
 
 
 def test_dump_pairing(spark):
-    lines = spark.createDataFrame([(0, {"_id": "7"}, None), (1, None, "t")],
-                                  "line_ord long, index struct<_id:string>, title string")
-    assert [(r.pageid, r.title) for r in corpus.pair_dump_lines(lines).collect()] == [("7", "t")]
+    rows = [("f", 0, 0, {"_id": "7"}, None), ("f", 0, 1, None, "t"), ("f", 0, 2, {"_id": "8"}, None), ("f", 90, 500, None, "u"),
+            ("g", 0, 3, None, "no action before"), ("g", 0, 4, {"_id": "9"}, None)]
+    lines = spark.createDataFrame(rows, "file string, split long, line_ord long, index struct<_id:string>, title string")
+    assert sorted((r.title, r.pageid) for r in corpus.pair_dump_lines(lines).collect()) == [("no action before", None), ("t", "7"), ("u", "8")]
+
+
+def test_dump_pairing_over_many_splits(spark, tmp_path):
+    """4,000 documents in files that are read in a dozen pieces: no id is lost."""
+    import json
+    for f in range(2):
+        with open(f"{tmp_path}/dump{f}.json", "w") as out:
+            for i in range(f * 2000, f * 2000 + 2000):
+                out.write(json.dumps({"index": {"_id": str(i)}}) + "\n" + json.dumps({"title": f"t{i}", "version": i}) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        lines = io.read_dump_lines(spark, str(tmp_path))
+        assert lines.select("file", "split").distinct().count() >= 12
+        got = corpus.pair_dump_lines(lines).select("pageid", "title", "version").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.pageid, r.title, r.version) for r in got) == sorted((str(i), f"t{i}", i) for i in range(4000))
 
 
 def test_matchers(spark):
@@ -111,17 +131,34 @@ def test_reader_helpers(spark):
 
 
 def test_nested_span_suppression():
+    """Against the plain greedy loop, spans moved out to whole words."""
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        n, length = int(rng.integers(0, 12)), int(rng.integers(1, 6))
-        st, en = rng.integers(0, 5, n).astype(float), rng.integers(0, 5, n).astype(float)
-        spans = sorted((-(st[i] + en[j]), i, j) for i in range(n) for j in range(i, min(n, i + length)))
+    for _ in range(60):
+        p, n, length = int(rng.integers(1, 5)), int(rng.integers(0, 12)), int(rng.integers(1, 6))
+        st, en = rng.integers(0, 5, (p, n)).astype(float), rng.integers(0, 5, (p, n)).astype(float)
+        sub = rng.random((p, n)) < 0.3
         want = []
-        for neg, i, j in spans:
-            if len(want) < 3 and all(not ({*range(i, j + 1)} <= {*range(a, b + 1)} or {*range(a, b + 1)} <= {*range(i, j + 1)})
-                                     for a, b, _ in want):
-                want.append((i, j, -neg))
-        assert reader.top_spans_of(st, en, length, 3) == want
+        for q in range(p):
+            chosen = []
+            for neg, i, j in sorted((-(st[q, i] + en[q, j]), i, j) for i in range(n) for j in range(i, min(n, i + length))):
+                if len(chosen) < 3 and not any((i <= a and b <= j) or (a <= i and j <= b) for a, b, _ in chosen):
+                    while i > 0 and sub[q, i]:
+                        i -= 1
+                    while j + 1 < n and sub[q, j + 1]:
+                        j += 1
+                    chosen.append((i, j, -neg))
+            want += [(q, r + 1, *c) for r, c in enumerate(chosen)]
+        got = sorted(zip(*(x.tolist() for x in reader.top_spans_of(st, en, length, 3, sub))))
+        assert got == want
+
+
+def test_decode_spans_of_passages_of_any_length(spark):
+    rows = [(1, 0, [1.0, 5.0, 0.0], [0.0, 1.0, 4.0], ["a", "b", "##c"]), (1, 1, [], [], []), (1, 2, None, None, None),
+            (2, 0, [3.0], [1.0], ["x"]), (2, 1, [0.0, 9.0, 0.0], [0.0, 9.0, 0.0], ["##q", "##r", "##s"])]
+    df = spark.createDataFrame(rows, "qid long, passage_idx int, start_logits array<double>, end_logits array<double>, toks array<string>").repartition(2)
+    got = sorted(map(tuple, reader.decode_spans(df, max_answer_length=2, top_spans=2, tokens="toks").collect()))
+    assert got == [(1, 0, 1, 1, 2, 9.0), (1, 0, 2, 0, 2, 2.0), (2, 0, 1, 0, 0, 4.0), (2, 1, 1, 0, 2, 18.0)]
+    assert [r.e for r in reader.decode_spans(df.where("qid = 1"), max_answer_length=2, top_spans=1).collect()] == [2]
 
 
 def test_empty_decode(spark):

@@ -50,6 +50,39 @@ def test_new_split_is_written_beside_an_old_one(spark, tmp_path):
     assert sorted((r.split, r.x) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("dev", 1), ("test", 2)]
 
 
+def test_a_job_that_fails_leaves_no_half_split(spark, tmp_path):
+    df = spark.range(100).selectExpr("if(id % 2 = 0, 'a b/c', 'dev') split", "id x")
+    bad = df.selectExpr("split", "if(x = 77, raise_error('no'), x) x").repartition(4)
+    with pytest.raises(Exception, match="no"):
+        io.write_partitioned_results(bad, str(tmp_path / "out"))
+    assert io._split_folders(spark, str(tmp_path / "out"), "split") == []
+    io.write_partitioned_results(df.where("split <> 'dev'"), str(tmp_path / "out"))
+    io.write_partitioned_results(df.withColumn("x", F.lit(-1).cast("long")), str(tmp_path / "out"))
+    rows = spark.read.json(str(tmp_path / "out"))
+    assert rows.where("split = 'a b/c' and x >= 0").count() == 50 == rows.where("split = 'dev' and x = -1").count()
+
+
+def test_pages_that_cannot_be_parsed_are_told(spark, monkeypatch):
+    from rivulet.functions import html
+    from rivulet.operators import corpus
+
+    pages = spark.createDataFrame([(1, 1, "T", "<section><p>a paragraph long enough</p></section>"), (2, 1, "U", "x" * 10), (3, 1, None, None)],
+                                  "pageid long, revid long, title string, html string")
+    assert corpus.unreadable_pages(pages).collect() == [] and corpus.extract_paragraphs(pages).count() == 1
+    monkeypatch.setattr(html._Walker, "feed", lambda self, text: 1 / 0)
+    rows = list(corpus._walk_pages("section")([__import__("pyarrow").RecordBatch.from_pydict(
+        {"page_key": [5], "rev_id": [6], "meta_title": ["t"], "html": ["<p>"]})]))[0].to_pylist()
+    assert rows[0]["error"].startswith("ZeroDivisionError") and rows[0]["paras"] == []
+
+
+def test_articles_beside_combining_marks_stay(spark):
+    from rivulet.functions.text import normalize_answer
+
+    texts = ["a\u0301 b", "the a\u0301", "a b", "\u0301a c"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(normalize_answer("t")).collect()]
+    assert got == ["a\u0301b", "a\u0301", "b", "\u0301ac"]
+
+
 def test_regex_answers_know_scripts_and_bad_patterns():
     import pandas as pd
 
