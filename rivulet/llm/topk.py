@@ -1,15 +1,19 @@
 """Exact top-k inner products by no-random-access aggregation (NRA).
 
 Candidates are cut in chunks, queries in blocks, and every block meets every
-chunk in a task of its own.  Within a task each dimension is a sorted list,
-read from the end that the sign of the query's component favours.  After
-reading the lists to a depth, a candidate's score lies between a lower bound
-(its unread components at their list's far end) and an upper bound (unread
-components at the reading frontier).  Candidates whose upper bound is under
-the k-th best lower bound cannot qualify and are left; reading goes deeper
-until few remain, whose scores are then resolved.  Bounds of a whole block are
-one matrix product.  The best k of each pair of block and chunk are merged by
-a ranking that Spark limits before the shuffle.
+chunk in a task of its own.  Within a task each dimension is a list sorted by
+component.  For every query the lists are read in steps, from the end that the
+sign of the query's component favours, and each entry read is added to its
+candidate's sum.  A candidate's score lies between its sum with the far ends of
+the lists it was not yet met in, and its sum with the frontiers of these lists.
+A candidate whose upper bound is under the k-th best lower bound cannot qualify.
+When few are left to a query it reads no further, and their scores are resolved;
+a candidate that is out for all open queries is no longer added to.  The best k
+of each pair of block and chunk are merged by a ranking that Spark limits before
+the shuffle.
+
+How much is never read hangs on the vectors: where few components carry a score
+the lists end early; where all weigh alike bounds close late (see README).
 """
 from __future__ import annotations
 
@@ -21,9 +25,11 @@ from pyspark.sql import functions as F
 from rivulet.llm.common import store
 
 K, SCALE, QUERY_MODULUS = 20, 64, 20
-CHUNK_ROWS, BLOCK_ROWS = 8192, 1024
-#: Shares of the lists that are read before bounds are compared.
-DEPTHS = (0.3, 0.55, 1.0)
+#: Candidates of a chunk, queries of a block, and queries that read at a time.
+#: A candidate is copied once for each block, so blocks are large.
+CHUNK_ROWS, BLOCK_ROWS, SLICE_ROWS = 8192, 16384, 512
+#: Steps in which a list is read to its end.
+STEPS = 16
 #: With at most so many candidates left to a query, scores are resolved.
 FEW = 96
 
@@ -48,58 +54,98 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(sums, -(1 << 63), (1 << 63) - 1).astype(np.int64)
 
 
+def _everything(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, ...]:
+    rows = [(np.full(len(ids), i), np.arange(len(ids)), _exact(np.broadcast_to(q, vectors.shape), vectors)) for i, q in enumerate(queries)]
+    out = tuple(np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+    keep = ids[out[1]] != query_ids[out[0]]
+    return tuple(c[keep] for c in out)
+
+
+class Lists:
+    """A chunk's components, sorted in each dimension, and how far they are read."""
+
+    def __init__(self, whole: np.ndarray, kind: type):
+        self.whole, vectors = whole, whole.astype(kind)  # sums of kind are exact
+        self.vectors = vectors
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.arange(len(vectors))[:, None], axis=0)
+
+    def unread(self, read: int, of_top: np.ndarray, of_bottom: np.ndarray) -> np.ndarray:
+        """For each candidate what stands for its unread entries, read from the
+        top and read from the bottom."""
+        n = len(self.vectors)
+        return np.concatenate([np.where(self.rank < n - read, of_top, 0), np.where(self.rank >= read, of_bottom, 0)], axis=1)
+
+    def bounds(self, read: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the unread entries: the most (the frontier), and the least (the far end)."""
+        n = len(self.vectors)
+        if read >= n:
+            return (np.zeros((n, 2 * self.vectors.shape[1]), self.vectors.dtype),) * 2
+        return (self.unread(read, self.sorted[n - read - 1], self.sorted[read]), self.unread(read, self.sorted[0], self.sorted[-1]))
+
+
 def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query row, candidate row, score) of what may be in each query's best k."""
+    """(query row, candidate row, score) of what may be in each query's best k,
+    and how many list entries were read and how many there are."""
     n, dims = vectors.shape
     bound = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
-    if bound >= 2.0 ** 52:  # bounds would round: compare everything exactly
-        rows = [(np.full(n, i), np.arange(n), _exact(np.broadcast_to(q, vectors.shape), vectors)) for i, q in enumerate(queries)]
-        out = tuple(np.concatenate(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-        keep = ids[out[1]] != query_ids[out[0]]
-        return tuple(c[keep] for c in out)
-    kind = np.float32 if bound < 2.0 ** 23 else np.float64
-    lists = np.sort(vectors, axis=0)
-    x, q = vectors.astype(kind), queries.astype(kind)
-    signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+    if bound >= 2.0 ** 52:  # sums would round: compare everything exactly
+        return *_everything(ids, vectors, query_ids, queries), queries.size * n, queries.size * n
+    lists = Lists(vectors, np.float32 if bound < 2.0 ** 23 else np.float64)
+    cuts = sorted({min(n, max(1, -(-n * step // STEPS))) for step in range(1, STEPS + 1)})
     order = np.argsort(ids, kind="stable")
     at = order[np.minimum(np.searchsorted(ids, query_ids, sorter=order), n - 1)]
     own = np.where(ids[at] == query_ids, at, -1)
-    open_rows, found = np.arange(len(queries)), []
-    for depth in DEPTHS:
-        if len(open_rows) == 0:
-            break
-        read = min(n, max(k + 1, int(np.ceil(depth * n))))
-        top, bottom = lists[n - read], lists[read - 1]  # the frontiers
-        upper = signed[open_rows] @ np.concatenate([np.maximum(vectors, top), np.minimum(vectors, bottom)], axis=1).astype(kind).T
-        if read < n:
-            seen = np.concatenate([np.where(vectors >= top, vectors, lists[0]), np.where(vectors <= bottom, vectors, lists[-1])], axis=1)
-            lower = signed[open_rows] @ seen.astype(kind).T
-        else:
-            lower = upper.copy()
-        mine = np.flatnonzero(own[open_rows] >= 0)
+    found, used = [], 0
+    for start in range(0, len(queries), SLICE_ROWS):
+        rows = np.arange(start, min(start + SLICE_ROWS, len(queries)))
+        used += _read(lists, cuts, queries, own, rows, k, found)
+    empty = (np.zeros(0, np.int64),) * 3
+    return *(tuple(np.concatenate(c) for c in zip(*found)) if found else empty), used, queries.size * n
+
+
+def _read(lists: Lists, cuts: list[int], queries: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, found: list) -> int:
+    """Read the lists for some queries; adds what is left of them to ``found``,
+    gives the number of entries read."""
+    vectors, (n, dims) = lists.vectors, lists.vectors.shape
+    kind = vectors.dtype
+    sums = np.zeros((n, len(rows)), kind)  # of every candidate, for every open query
+    wanted = np.ones(n, bool)  # candidates that some open query may still need
+    used = before = 0
+    for read in cuts:
+        up, down = np.maximum(queries[rows], 0).astype(kind), np.minimum(queries[rows], 0).astype(kind)
+        for i in range(dims):
+            for part, weight in ((lists.order[n - read:n - before, i], up[:, i]), (lists.order[before:read, i], down[:, i])):
+                if weight.any():
+                    part = part[wanted[part]]
+                    sums[part] += vectors[part, i, None] * weight
+        used += int(np.count_nonzero(queries[rows])) * (read - before)
+        before = read
+        signed = np.concatenate([up, down], axis=1).T
+        most, least = lists.bounds(read)
+        upper, lower = sums + most @ signed, sums + least @ signed
+        mine = np.flatnonzero(own[rows] >= 0)
         for m in (upper, lower):
-            m[mine, own[open_rows[mine]]] = -np.inf
-        # the k-th best of group maxima is reached by k candidates at least
-        groups = min(n, 4 * k)
-        edges = np.linspace(0, n, groups, endpoint=False).astype(np.int64)
-        best = np.maximum.reduceat(lower, edges, axis=1)
-        kth = np.partition(best, groups - k, axis=1)[:, groups - k] if groups >= k else np.full(len(open_rows), -np.inf)
-        alive = (upper >= kth[:, None]) & (upper > -np.inf)
-        done = (alive.sum(axis=1) <= FEW) | (read == n)
-        rows, cands = np.nonzero(alive[done])
-        rows = open_rows[done][rows]
-        for i in range(0, len(rows), 1 << 17):
-            r, c = rows[i:i + (1 << 17)], cands[i:i + (1 << 17)]
-            found.append((r, c, _exact(queries[r], vectors[c])))
-        open_rows = open_rows[~done]
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*found))
+            m[own[rows[mine]], mine] = -np.inf
+            m[~wanted] = -np.inf
+        kth = np.partition(lower, n - k, axis=0)[n - k] if n >= k else np.full(len(rows), -np.inf)
+        alive = (upper >= kth) & (upper > -np.inf)
+        done = (alive.sum(axis=0) <= FEW) | (read == n)
+        for j in np.flatnonzero(done):
+            left = np.flatnonzero(alive[:, j])
+            found.append((np.full(len(left), rows[j]), left, _exact(np.broadcast_to(queries[rows[j]], (len(left), dims)), lists.whole[left])))
+        rows, sums = rows[~done], sums[:, ~done]
+        if not len(rows):
+            break
+        wanted = alive[:, ~done].any(axis=1)
+    return used
 
 
 def best_of(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
     """The best k of each query, ties to the smaller id."""
-    row, cand, score = nra(ids, vectors, query_ids, queries, k)
+    row, cand, score, _, _ = nra(ids, vectors, query_ids, queries, k)
     order = np.lexsort((ids[cand], -score.astype(np.float64), row)) if len(score) and np.abs(score.astype(float)).max() < 2.0 ** 52 \
         else np.array(sorted(range(len(score)), key=lambda i: (row[i], -int(score[i]), ids[cand[i]])), dtype=np.int64)
     row, cand, score = row[order], cand[order], score[order]
