@@ -11,7 +11,7 @@ from rivulet.operators import corpus
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
 from rivulet.session import ensure_checkpoint_dir
-from rivulet.sources import io
+from rivulet.sources import io, json_array
 from rivulet.sources.tables import table
 
 MAX_PASSAGE = 400
@@ -186,3 +186,15 @@ def dump_line_pairs(spark, sf_dir):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-dump-{uuid.uuid4().hex}"
     pages.select(F.concat(action, F.lit("\n"), document).alias("value")).write.text(path)
     return corpus.pair_dump_lines(io.read_dump_lines(spark, path)).select("pageid", "title", "version")
+
+
+@register("json_array_roundtrip", """
+SELECT doc_id, source, md5(text) AS text_md5, n_chars FROM documents
+""")
+def json_array_roundtrip(spark, sf_dir):
+    """K6 + S1: the documents written as JSON arrays, which are read again by
+    byte ranges."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rivulet-arrays-{uuid.uuid4().hex}"
+    json_array.write_array(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), path)
+    rows = json_array.read_records(spark, path, "doc_id BIGINT, source STRING, text STRING, n_chars BIGINT")
+    return rows.select("doc_id", "source", F.md5("text").alias("text_md5"), "n_chars")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rivulet.functions.text import json_quote, json_unquote, strip_quotes
+from rivulet.sources.json_array import read_records
 
 CTX = "STRUCT<id: STRING, title: STRING, text: STRING>"
 
@@ -42,20 +43,39 @@ def schema(name: str) -> T.StructType:
 
 
 # ---------------------------------------------------------------- sources
+def _records(spark: SparkSession, paths, kind: str, json_array: bool) -> DataFrame:
+    """JSON lines, or files that are one JSON array each, which many tasks read."""
+    if json_array:
+        return read_records(spark, paths, schema(kind)).withColumnRenamed("file", "source").drop("place")
+    df = spark.read.schema(schema(kind)).option("mode", "FAILFAST").json(paths)
+    return df.withColumn("source", F.input_file_name())
+
+
 def read_training_files(spark: SparkSession, paths, *, json_array: bool = True) -> DataFrame:
     """S1 + S13 + U1: JSON-array (or JSONL) training files, plain or gzip;
     ``source`` = input file, for up-sampling (U2)."""
-    r = spark.read.schema(schema("training_sample")).option("multiLine", json_array).option("mode", "FAILFAST")
-    return r.json(list(paths) if not isinstance(paths, str) else paths) \
-        .withColumn("source", F.input_file_name())
+    return _records(spark, list(paths) if not isinstance(paths, str) else paths, "training_sample", json_array)
 
 
 def read_qas(spark: SparkSession, path: str, *, json_array: bool = False) -> DataFrame:
     """Questions from JSON / JSONL; a missing ``answers`` becomes []."""
-    df = spark.read.schema(schema("qa")).option("multiLine", json_array).option("mode", "FAILFAST").json(path)
+    df = _records(spark, path, "qa", json_array).drop("source")
     return df.withColumn("answers", F.coalesce("answers", F.array().cast("array<string>")))
 
 
+def read_passages(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """S3 in its other forms: ``csv`` (header and quotes), ``jsonl`` and ``json``
+    (one array of records): ``id, text, title``."""
+    if kind == "csv":
+        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    elif kind in ("json", "jsonl"):
+        fields = "id STRING, text STRING, title STRING"
+        df = read_records(spark, path, fields) if kind == "json" else spark.read.schema(fields).option("mode", "FAILFAST").json(path)
+    else:
+        raise ValueError(f"unknown form {kind!r}")
+    return df.select("id", "text", "title")
+
+
 def read_passages_tsv(spark: SparkSession, path: str, *, compat: bool = False) -> DataFrame:
     """S3: passage TSV whose header names ``id``, ``text`` and ``title`` in any
     order; ``text`` is a JSON string literal.  Default decodes it (Q6);
@@ -87,7 +107,7 @@ def read_dump_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str, kind: str, *, json_array: bool = False) -> DataFrame:
     """JSONL (gzip ok) with a named fixed schema;
     ``json_array=True`` reads a file that is one JSON array."""
-    return spark.read.schema(schema(kind)).option("multiLine", json_array).option("mode", "FAILFAST").json(path)
+    return _records(spark, path, kind, json_array).drop("source")
 
 
 def read_embeddings(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -96,12 +116,12 @@ def read_embeddings(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def read_gold_file(spark: SparkSession, path: str) -> DataFrame:
-    """``{"data": [...]}`` gold-passage file exploded to rows, last
-    duplicate question wins (A14 by file position)."""
-    df = spark.read.schema(schema("gold_file")).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    rows = df.select(F.posexplode("data").alias("ord", "g")).select("ord", "g.*")
-    columns = rows.columns
-    return rows.groupBy("question").agg(F.max_by(F.struct(*columns), "ord").alias("r")).select("r.*")
+    """The entries of a ``{"data": [...]}`` gold-passage file, read by many
+    tasks; the last duplicate question wins (A14 by file position)."""
+    entry = schema("gold_file")["data"].dataType.elementType
+    rows = read_records(spark, path, entry, level=2)
+    last = F.max_by(F.struct(*entry.fieldNames()), F.struct("file", "place")).alias("r")
+    return rows.groupBy("question").agg(last).select("r.*")
 
 
 def read_reader_samples(spark: SparkSession, path: str) -> DataFrame:
