@@ -3,9 +3,10 @@
 Every word belongs to a class; a text's probability is the product of class
 transitions P(class | class before) and emissions P(word | class).  Exchange
 clustering assigns the classes: a unit moves to the class that raises the
-corpus likelihood most.  Units are the words with at least 1 / ``UNIT_SHARE``
-of all tokens (so there are at most ``UNIT_SHARE``), and groups of rarer words
-by their endings; a group moves as one.
+corpus likelihood most.  Units are the words with at least 1 / ``WORD_SHARE``
+of all tokens (so there are at most ``WORD_SHARE``; in prose some 25,000, with
+three quarters of all tokens), and groups of rarer words by their endings; a
+group moves as one.
 
 Counting is distributed: word counts, and in each exchange round how often
 every unit stands before and after every class.  That table has at most
@@ -13,9 +14,8 @@ units x classes cells, whatever the corpus, and the exchange works on it with
 class counts that follow every move.
 
 The corpus is encoded once: a table in the shared folder holds each text as
-unit numbers, and the rare words with their counts.  Counts of words with at
-least 1 / ``WORD_SHARE`` of all tokens travel to the tasks (at most
-``WORD_SHARE`` words); rarer ones, of which none can be hot, are joined.
+unit numbers, and the rare words with their counts.  Units' counts travel to the
+tasks; those of rarer words, of which none can be hot, are joined.
 
 Smoothing: emissions (c + 1) / (n + v + 1), with c the word's and n the class's
 tokens and v its distinct words, the 1 for a word unseen; transitions are drawn
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from rivulet.llm.common import documents_only, store, text_slices
 
 CLASSES, ROUNDS, KAPPA = 64, 3, 50.0
-UNIT_SHARE, ENDINGS, WORD_SHARE = 1 << 13, 1 << 10, 1 << 18
+ENDINGS, WORD_SHARE = 1 << 10, 1 << 18
 #: Distinct words a task counts before it hands them on.
 COUNTED = 300_000
 END = b""  # the end token; no word is empty
@@ -84,7 +84,7 @@ class Units:
 
 
 def encode(docs: DataFrame, units: Units, frequent: dict[bytes, int], least: int) -> DataFrame:
-    """doc_id, held_out, units (binary, 16 bits each), log_counts and n_known of
+    """doc_id, held_out, units (binary, 32 bits each), log_counts and n_known of
     the frequent words, rare (words of fewer than ``least`` tokens, with how
     often they occur).  Frequent words that were never seen cannot be."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, units: Units, frequent: dict[bytes, int], least: int
                         line.append(found[0])
                         total += found[1]
                         hits += 1
-                cells.append(np.array(line, dtype="<u2").tobytes())
+                cells.append(np.array(line, dtype="<u4").tobytes())
                 log_counts.append(total)
                 known.append(hits)
                 per = Counter(rare)
@@ -135,11 +135,11 @@ def _lines(batches):
         at = 0
         while at < len(raw):
             end, size = at, 0
-            while end < len(raw) and (end == at or size < 1 << 21):
+            while end < len(raw) and (end == at or size < 1 << 22):
                 size += len(raw[end])
                 end += 1
-            flat = np.frombuffer(b"".join(raw[at:end]), dtype="<u2").astype(np.int64)
-            sizes = np.array([len(r) // 2 for r in raw[at:end]])
+            flat = np.frombuffer(b"".join(raw[at:end]), dtype="<u4").astype(np.int64)
+            sizes = np.array([len(r) // 4 for r in raw[at:end]])
             yield batch.slice(at, end - at), flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])
             at = end
 
@@ -221,7 +221,7 @@ def lm_scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -
     top = counts.where(F.col("n") >= max(least, 1)).toArrow()  # at most WORD_SHARE words
     frequent = dict(zip([bytes(w) for w in top.column("word").to_pylist()], top.column("n").to_pylist()))
     frequent.setdefault(END, 0)
-    of_unit = sorted((w for w, n in frequent.items() if w != END and n * UNIT_SHARE >= n_train), key=lambda w: (-frequent[w], w))
+    of_unit = sorted((w for w in frequent if w != END), key=lambda w: (-frequent[w], w))
     units = Units([END, *of_unit])  # the end is unit 0
 
     encoded = encode(docs, units, {w: n for w, n in frequent.items() if n}, least)

@@ -129,12 +129,53 @@ def test_lm_base_score_and_gain(spark):
     assert held and all(r.score > r.base_score + 10 for r in held)  # classes alternate: about 0.3 a token
 
 
-def test_lm_is_a_distribution():
-    """Emissions of a class, with one unseen word each, and transitions sum to 1."""
-    tokens, words = np.array([50.0, 7.0]), np.array([5, 2])
-    counts = [[20, 15, 10, 4, 1], [5, 2]]
-    for c in (0, 1):
-        assert sum((k + 1) / (tokens[c] + words[c] + 1) for k in [*counts[c], 0]) == pytest.approx(1)
+def test_lm_score_equals_brute_force(spark):
+    """The whole model again, token by token: classes by one exchange round,
+    transitions drawn to the classes' shares, emissions with one unseen word."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"{a}{b}" for a in ("th", "and", "of", "run", "blu", "zz") for b in ("", "e", "ing", "ed")]
+    rows = [(i, " ".join(rng.choice(vocabulary[: rng.choice([6, 24])], rng.integers(0, 15)))) for i in range(90)] + [(95, None), (300, "never seenword the")]
+    k = 5
+    learnt = [lm.tokens((t or "").encode()) for d, t in rows if zlib.crc32(str(d).encode()) % 7 != 2]
+    count = Counter(w for t in learnt for w in t)
+    unit = {w: i + 1 for i, w in enumerate(sorted((w for w in count if w != lm.END), key=lambda w: (-count[w], w)))} | {lm.END: 0}
+    size = len(unit) + lm.ENDINGS
+
+    def of(word):
+        return unit.get(word, len(unit) + xxhash.xxh32_intdigest(word[-3:]) % lm.ENDINGS)
+
+    tokens = np.zeros(size)
+    for w, n in count.items():
+        tokens[of(w)] += n
+    classes = np.empty(size, np.int64)
+    classes[np.argsort(-tokens, kind="stable")] = np.arange(size) % k
+    for moved in (True, False):
+        before, after = np.zeros((size, k), np.int64), np.zeros((size, k), np.int64)
+        for t in learnt:
+            for left, right in zip([lm.END, *t], t):
+                before[of(right), classes[of(left)]] += 1
+                after[of(left), classes[of(right)]] += 1
+        if moved:
+            classes = lm.exchange(classes, before.ravel(), after.ravel(), k)
+    pairs, n_class, v_class = Counter(), Counter(), Counter()
+    for t in learnt:
+        pairs.update((classes[of(left)], classes[of(right)]) for left, right in zip([lm.END, *t], t))
+    for w, n in count.items():
+        n_class[classes[of(w)]] += n
+        v_class[classes[of(w)]] += 1
+
+    def probability(left, word):
+        a, c = classes[of(left)], classes[of(word)]
+        share = (n_class[c] + 1) / (sum(n_class.values()) + k)
+        move = (pairs[a, c] + lm.KAPPA * share) / (sum(pairs[a, d] for d in range(k)) + lm.KAPPA)
+        return move * (count[word] + 1) / (n_class[c] + v_class[c] + 1)
+
+    for r in lm.lm_scores(docs_of(spark, rows), n_classes=k, rounds=1).collect():
+        t = lm.tokens((dict(rows)[r.doc_id] or "").encode())
+        assert r.score == pytest.approx(sum(math.log10(probability(left, w)) for left, w in zip([lm.END, *t], t)))
+    # of each class the words it has and one unseen share its probability
+    for c in range(k):
+        assert sum(count[w] + 1 for w in count if classes[of(w)] == c) + 1 == n_class[c] + v_class[c] + 1
 
 
 # 4 top-k
