@@ -29,6 +29,8 @@ from rivulet.llm.common import store, with_text_columns
 from rivulet.llm.spans import key_of
 
 MIN_SENTENCES, MIN_WORDS = 2, 12
+#: Where the order of texts without a doc_id begins; doc_ids are below.
+NO_ID = 1 << 62
 #: A sentence with the white space after it.
 SENTENCE = re.compile(rb"\s*(?:[^.!?\n]++|[.!?](?!\s|$))*+(?:[.!?]+|\n|$)\s*")
 
@@ -94,10 +96,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, row_key, start, end, first_doc)`` of every non-first repeated
-    span; a null doc_id comes last in order."""
-    last = F.lit((1 << 63) - 1)
+    span.  Texts without a doc_id come last, in the order of their row_key, each
+    a document of its own."""
+    last = F.lit(NO_ID).cast("bigint")
     each = _with_spans(_keyed(docs))
-    order = F.coalesce("doc_id", last)
+    order = F.coalesce(F.col("doc_id"), last + F.col("row_key").bitwiseAND(F.lit(NO_ID - 1)))
     global_ = each.where("not again").select("h", "g", order.alias("o"))
     shared = (global_.groupBy("h", "g").agg(F.min("o").alias("first"), F.max("o").alias("latest"))
               .where("first < latest").select("h", "g", "first"))
@@ -114,7 +117,9 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     left, the remaining pieces as they were).
 
     Null and empty texts lose nothing.  Rows with one doc_id and text are one
-    document; different texts of one doc_id do not take from each other.
+    document; different texts of one doc_id do not take from each other.  Texts
+    without a doc_id are documents of their own after all others; a first one
+    among them is in no ``first_doc_ids``.
     """
     found = repeated_spans(docs)
     per_row = (found.groupBy("doc_id", "row_key", "start", "end").agg(F.min("first_doc").alias("first_doc"))

@@ -2,15 +2,16 @@
 
 Candidates are cut in chunks, queries in blocks, and every block meets every
 chunk in a task of its own.  Within a task each dimension is a list sorted by
-component.  For every query the lists are read in steps, from the end that the
-sign of the query's component favours, and each entry read is added to its
-candidate's sum.  A candidate's score lies between its sum with the far ends of
-the lists it was not yet met in, and its sum with the frontiers of these lists.
-A candidate whose upper bound is under the k-th best lower bound cannot qualify.
-When few are left to a query it reads no further, and their scores are resolved;
-a candidate that is out for all open queries is no longer added to.  The best k
-of each pair of block and chunk are merged by a ranking that Spark limits before
-the shuffle.
+component.  The lists are read in steps, for each query from the end that the
+sign of its component favours, and the entries read in a step are added to their
+candidates' sums (for many queries at once, as a product with a matrix that
+holds the step's entries and is 0 elsewhere).  A candidate's score lies between
+its sum with the far ends of the lists it was not yet met in, and its sum with
+the frontiers of these lists.  A candidate whose upper bound is under the k-th
+best lower bound cannot qualify.  When few are left to a query it reads no
+further, and their scores are resolved; a candidate that is out for all open
+queries is left out.  The best k of each pair of block and chunk are merged by a
+ranking that Spark limits before the shuffle.
 
 How much is never read hangs on the vectors: where few components carry a score
 the lists end early; where all weigh alike bounds close late (see README).
@@ -28,8 +29,8 @@ K, SCALE, QUERY_MODULUS = 20, 64, 20
 #: Candidates of a chunk, queries of a block, and queries that read at a time.
 #: A candidate is copied once for each block, so blocks are large.
 CHUNK_ROWS, BLOCK_ROWS, SLICE_ROWS = 8192, 16384, 512
-#: Steps in which a list is read to its end.
-STEPS = 16
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (0.25, 0.5, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0)
 #: With at most so many candidates left to a query, scores are resolved.
 FEW = 96
 
@@ -62,28 +63,31 @@ def _everything(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
 
 
 class Lists:
-    """A chunk's components, sorted in each dimension, and how far they are read."""
-
-    def __init__(self, whole: np.ndarray, kind: type):
-        self.whole, vectors = whole, whole.astype(kind)  # sums of kind are exact
-        self.vectors = vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(vectors, self.order, axis=0)
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(len(vectors))[:, None], axis=0)
-
-    def unread(self, read: int, of_top: np.ndarray, of_bottom: np.ndarray) -> np.ndarray:
-        """For each candidate what stands for its unread entries, read from the
-        top and read from the bottom."""
-        n = len(self.vectors)
-        return np.concatenate([np.where(self.rank < n - read, of_top, 0), np.where(self.rank >= read, of_bottom, 0)], axis=1)
-
-    def bounds(self, read: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the unread entries: the most (the frontier), and the least (the far end)."""
-        n = len(self.vectors)
+    """A chunk's components, sorted in each dimension, and what a step reads."""
+
+    def __init__(self, vectors: np.ndarray, kind: type):
+        self.vectors, self.kind = vectors, kind  # sums of kind are exact
+        order = np.argsort(vectors, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(vectors, order, axis=0)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.arange(len(vectors))[:, None], axis=0)
+
+    def _two(self, top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+        """For lists read from the top, and beside them from the bottom."""
+        return np.concatenate([top, bottom], axis=1).astype(self.kind)
+
+    def step(self, before: int, read: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries from ``before`` to ``read``; of the entries then unread the
+        most they can be (the frontier), and the least (the far end)."""
+        n, rank = len(self.vectors), self.rank
+        new = self._two(np.where((rank >= n - read) & (rank < n - before), self.vectors, 0),
+                        np.where((rank >= before) & (rank < read), self.vectors, 0))
         if read >= n:
-            return (np.zeros((n, 2 * self.vectors.shape[1]), self.vectors.dtype),) * 2
-        return (self.unread(read, self.sorted[n - read - 1], self.sorted[read]), self.unread(read, self.sorted[0], self.sorted[-1]))
+            none = np.zeros_like(new)
+            return new, none, none
+        top, bottom = rank < n - read, rank >= read
+        return (new, self._two(np.where(top, self.sorted[n - read - 1], 0), np.where(bottom, self.sorted[read], 0)),
+                self._two(np.where(top, self.sorted[0], 0), np.where(bottom, self.sorted[-1], 0)))
 
 
 def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -94,52 +98,53 @@ def nra(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np
     if bound >= 2.0 ** 52:  # sums would round: compare everything exactly
         return *_everything(ids, vectors, query_ids, queries), queries.size * n, queries.size * n
     lists = Lists(vectors, np.float32 if bound < 2.0 ** 23 else np.float64)
-    cuts = sorted({min(n, max(1, -(-n * step // STEPS))) for step in range(1, STEPS + 1)})
+    cuts = sorted({min(n, max(k + 1, int(np.ceil(n * depth)))) for depth in DEPTHS})
+    steps = [lists.step(before, read) for before, read in zip([0, *cuts], cuts)]
     order = np.argsort(ids, kind="stable")
     at = order[np.minimum(np.searchsorted(ids, query_ids, sorter=order), n - 1)]
     own = np.where(ids[at] == query_ids, at, -1)
     found, used = [], 0
     for start in range(0, len(queries), SLICE_ROWS):
         rows = np.arange(start, min(start + SLICE_ROWS, len(queries)))
-        used += _read(lists, cuts, queries, own, rows, k, found)
+        used += _read(lists, cuts, steps, queries, own, rows, k, found)
     empty = (np.zeros(0, np.int64),) * 3
     return *(tuple(np.concatenate(c) for c in zip(*found)) if found else empty), used, queries.size * n
 
 
-def _read(lists: Lists, cuts: list[int], queries: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, found: list) -> int:
+def _read(lists: Lists, cuts: list[int], steps: list, queries: np.ndarray, own: np.ndarray, rows: np.ndarray, k: int, found: list) -> int:
     """Read the lists for some queries; adds what is left of them to ``found``,
     gives the number of entries read."""
-    vectors, (n, dims) = lists.vectors, lists.vectors.shape
-    kind = vectors.dtype
-    sums = np.zeros((n, len(rows)), kind)  # of every candidate, for every open query
-    wanted = np.ones(n, bool)  # candidates that some open query may still need
+    n = len(lists.vectors)
+    kept = np.arange(n)  # candidates that some open query may still need
+    sums = np.zeros((len(rows), n), lists.kind)
     used = before = 0
-    for read in cuts:
-        up, down = np.maximum(queries[rows], 0).astype(kind), np.minimum(queries[rows], 0).astype(kind)
-        for i in range(dims):
-            for part, weight in ((lists.order[n - read:n - before, i], up[:, i]), (lists.order[before:read, i], down[:, i])):
-                if weight.any():
-                    part = part[wanted[part]]
-                    sums[part] += vectors[part, i, None] * weight
-        used += int(np.count_nonzero(queries[rows])) * (read - before)
+    for read, step in zip(cuts, steps):
+        q = queries[rows].astype(lists.kind)
+        signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+        new, most, least = (m if len(kept) == n else m[kept] for m in step)
+        sums += signed @ new.T
+        used += int(np.count_nonzero(q)) * (read - before)
         before = read
-        signed = np.concatenate([up, down], axis=1).T
-        most, least = lists.bounds(read)
-        upper, lower = sums + most @ signed, sums + least @ signed
-        mine = np.flatnonzero(own[rows] >= 0)
+        upper, lower = (sums.copy(), sums.copy()) if read >= n else (sums + signed @ most.T, sums + signed @ least.T)
+        place = np.searchsorted(kept, own[rows])
+        mine = np.flatnonzero((own[rows] >= 0) & (kept[np.minimum(place, len(kept) - 1)] == own[rows]))
         for m in (upper, lower):
-            m[own[rows[mine]], mine] = -np.inf
-            m[~wanted] = -np.inf
-        kth = np.partition(lower, n - k, axis=0)[n - k] if n >= k else np.full(len(rows), -np.inf)
-        alive = (upper >= kth) & (upper > -np.inf)
-        done = (alive.sum(axis=0) <= FEW) | (read == n)
+            m[mine, place[mine]] = -np.inf
+        # the k-th best of group maxima is reached by k candidates at least
+        groups = min(len(kept), 4 * k)
+        best = np.maximum.reduceat(lower, np.linspace(0, len(kept), groups, endpoint=False).astype(np.int64), axis=1)
+        kth = np.partition(best, groups - k, axis=1)[:, groups - k] if groups >= k else np.full(len(rows), -np.inf)
+        alive = (upper >= kth[:, None]) & (upper > -np.inf)
+        done = (np.count_nonzero(alive, axis=1) <= FEW) | (read >= n)
         for j in np.flatnonzero(done):
-            left = np.flatnonzero(alive[:, j])
-            found.append((np.full(len(left), rows[j]), left, _exact(np.broadcast_to(queries[rows[j]], (len(left), dims)), lists.whole[left])))
-        rows, sums = rows[~done], sums[:, ~done]
+            left = kept[alive[j]]
+            found.append((np.full(len(left), rows[j]), left, _exact(np.broadcast_to(queries[rows[j]], (len(left), queries.shape[1])), lists.vectors[left])))
+        rows, sums = rows[~done], sums[~done]
         if not len(rows):
             break
-        wanted = alive[:, ~done].any(axis=1)
+        wanted = alive[~done].any(axis=0)
+        if np.count_nonzero(wanted) < 0.7 * len(kept):
+            kept, sums = kept[wanted], sums[:, wanted]
     return used
 
 

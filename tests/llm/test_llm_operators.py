@@ -80,6 +80,46 @@ def test_substring_dedup_of_two_sentences_and_of_short_texts(spark):
         2: ("Begin of two. Finish of two.", 2, [1]), 4: ("", 1, [3]), 5: ("", 2, [1])}
 
 
+def test_substring_dedup_of_texts_without_ids(spark):
+    pair = "Alpha beta gamma delta epsilon zeta eta. Theta iota kappa lambda mu nu xi."
+    other = "Omicron pi rho sigma tau upsilon phi. Chi psi omega one two three four."
+    docs = docs_of(spark, [(None, f"Head of one. {pair}"), (None, f"Head of two. {pair}"), (None, f"Head three. {pair}"),
+                           (None, f"Fourth. {other}"), (8, f"{other} Tail of eight."), (None, f"Head of one. {pair}")])
+    out = substring.substring_dedup(docs).collect()
+    assert len(out) == 3 and all(r.doc_id is None for r in out)  # two of the three with the pair, and the fourth
+    assert sorted((r.first_doc_ids, r.n_removed) for r in out) == [([], 2), ([], 2), ([8], 2)]
+
+
+def brute_substring(rows):
+    """Spans by a plain scan: every sentence of a span that an earlier document,
+    or an earlier place of the same one, has."""
+    first, texts = {}, {}
+    for d, t in sorted((d, t or "") for d, t in rows):
+        pieces = substring.sentences(t.encode())
+        words = [p.split() for p in pieces]
+        least, gone, at = min(substring.MIN_SENTENCES, len(pieces)), set(), {}
+        for i in range(len(pieces)):
+            j = next((j for j in range(i + 1, len(pieces) + 1) if j - i >= least and sum(map(len, words[i:j])) >= substring.MIN_WORDS), None)
+            if j is not None:
+                key = b"\n".join(b" ".join(w) for w in words[i:j])
+                if key in at or first.get(key, d) != d:
+                    gone |= set(range(i, j))
+                at[key] = i
+        for key in at:
+            first.setdefault(key, d)
+        if gone:
+            texts[d] = (len(gone), b"".join(p for i, p in enumerate(pieces) if i not in gone).decode())
+    return texts
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(20)
+    pool = [" ".join(rng.choice(["ab", "cd", "ef", "gh"], rng.integers(1, 9))) + rng.choice([".", "!", "\n", "?"]) for _ in range(25)]
+    rows = [(int(i), " ".join(rng.choice(pool, rng.integers(0, 14)))) for i in rng.permutation(200)] + [(500, None), (501, "")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in substring.substring_dedup(docs_of(spark, rows)).collect()}
+    assert got == brute_substring(rows) and len(got) > 50
+
+
 def test_sentences_make_up_the_text():
     rng = np.random.default_rng(0)
     for _ in range(300):
