@@ -93,7 +93,7 @@ def normalize_question(spark, sf_dir):
 @register("exact_match_at_n", f"""
 WITH g AS (SELECT conv_id, list(text) AS golds FROM conversations WHERE role = 'user' GROUP BY conv_id),
 p AS (SELECT c.conv_id, c.turn AS top_k, c.text AS prediction, g.golds
-      FROM conversations c JOIN g USING (conv_id)),
+      FROM conversations c LEFT JOIN g USING (conv_id)),
 e AS (SELECT top_k, CASE WHEN len(list_filter(golds, lambda x: {S.normalize_answer('x')} =
                                    {S.normalize_answer('prediction')})) > 0 THEN 1 ELSE 0 END AS h
       FROM p)
@@ -101,11 +101,12 @@ SELECT top_k, count(*) AS n_questions, round(avg(h) * 100, 2) AS em FROM e GROUP
 """)
 def exact_match_at_n(spark, sf_dir):
     """A2 + X4: per threshold n (= turn index), EM of the turn-n text against
-    the conversation's user turns (max over golds, mean over conversations)."""
+    the conversation's user turns (max over golds, mean over all conversations;
+    one without a user turn has no gold and scores 0)."""
     c = table(spark, sf_dir, "conversations")
     golds = (c.where(F.col("role") == "user").groupBy("conv_id")
              .agg(F.collect_list("text").alias("gold_answers")))
-    preds = c.join(golds, "conv_id").select("conv_id", F.col("turn").alias("top_k"),
+    preds = c.join(golds, "conv_id", "left").select("conv_id", F.col("turn").alias("top_k"),
                                              F.col("text").alias("prediction"), "gold_answers")
     return evaluate.em_at_n(preds)
 

@@ -9,7 +9,7 @@ from rivulet.operators import training as tr
 from rivulet.operators.training import ids_string
 from rivulet.plans.registry import register
 from rivulet.plans.text_search import _TS_SQL, training_set
-from rivulet.sources.tables import conversation_pairs, table
+from rivulet.sources.tables import conversation_turns, table
 
 SEED = 42
 SHARDS = 3
@@ -37,7 +37,7 @@ n AS (SELECT count(*) AS n FROM conversations)
 
 @register("upsample_union", """
 WITH u AS (SELECT 'conv' AS source, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid
-           FROM conversations WHERE role = 'user'
+           FROM conversations
            UNION ALL
            SELECT 'bench' AS source, CAST(item_id AS VARCHAR) AS qid FROM benchmark),
 r AS (SELECT * FROM (VALUES ('conv', 1), ('bench', 3)) t(source, rate))
@@ -45,8 +45,9 @@ SELECT u.source, u.qid, CAST(c.copy AS INTEGER) AS copy
 FROM u JOIN r USING (source), LATERAL (SELECT unnest(range(1, r.rate + 1)) AS copy) c
 """)
 def upsample_union(spark, sf_dir):
-    """U1 + U2: two QA sources unioned by name; 'bench' is up-sampled 3x."""
-    c = _turns(spark, sf_dir).where(F.col("role") == "user").select(
+    """U1 + U2: two sources, all turns and all items, unioned by name; 'bench'
+    is up-sampled 3x."""
+    c = _turns(spark, sf_dir).select(
         F.lit("conv").alias("source"), F.concat_ws("-", "conv_id", "turn").alias("qid"))
     b = table(spark, sf_dir, "benchmark").select(F.lit("bench").alias("source"),
                                                  F.col("item_id").cast("string").alias("qid"))
@@ -167,22 +168,28 @@ def shard_iterations(spark, sf_dir):
 
 # ------------------------------------------------------------ J12 / G1 / D6
 def _samples(spark, sf_dir):
-    """(user turn -> next assistant turn) samples in (conv, turn) order,
-    batches of 4; the positive context is the assistant reply."""
-    p = conversation_pairs(spark, sf_dir)
-    p = p.withColumn("positive_ctxs", F.array(tr.ctx_struct(
-        F.concat_ws("-", "conv_id", F.col("turn") + 1), F.lit("assistant"), "answer")))
+    """Every turn is a sample, in (conv, turn) order and batches of 4; an
+    assistant's reply to it is its positive context (a turn without one has
+    none), the turn before it a hard negative."""
+    p = conversation_turns(spark, sf_dir)
+
+    def ctx(turn, role, text):
+        one = F.array(tr.ctx_struct(F.concat_ws("-", "conv_id", turn), role, text))
+        return F.when(F.col(text).isNotNull(), one).otherwise(F.array().cast(tr.CTX_ARRAY))
+
+    p = p.withColumn("positive_ctxs", ctx(F.col("turn") + 1, F.lit("assistant"), "answer")) \
+        .withColumn("hard_negative_ctxs", ctx(F.col("turn") - 1, F.lit("turn"), "said_before"))
     o = tr.assign_positions(p, ["conv_id", "turn"])
     return (o.withColumn("batch_id", F.floor(F.col("pos") / SMALL_BATCH).cast("long"))
             .withColumn("sample_pos", (F.col("pos") % SMALL_BATCH).cast("int")))
 
 
 _PAIRS_SQL = """
-WITH p AS (SELECT u.conv_id, u.turn, u.text AS question,
-                  CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS pos_id
-           FROM conversations u JOIN conversations a
-             ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
-           WHERE u.role = 'user'),
+WITH p AS (SELECT u.conv_id, u.turn, CAST(a.conv_id AS VARCHAR) || '-' || CAST(a.turn AS VARCHAR) AS pos_id,
+                  CAST(h.conv_id AS VARCHAR) || '-' || CAST(h.turn AS VARCHAR) AS hard_id
+           FROM conversations u
+           LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
+           LEFT JOIN conversations h ON h.conv_id = u.conv_id AND h.turn = u.turn - 1),
 o AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM p),
 b AS (SELECT *, pos // 4 AS batch_id, pos % 4 AS sample_pos FROM o),
 neg AS (SELECT x.conv_id, x.turn,
@@ -203,27 +210,25 @@ def inbatch_negatives(spark, sf_dir):
 
 
 @register("biencoder_batch", _PAIRS_SQL + """,
-s AS (SELECT b.batch_id, b.sample_pos, b.pos_id, neg.negs[1:2] AS others FROM b JOIN neg USING (conv_id, turn)),
-c AS (SELECT *, len(others) + 1 AS n_ctx FROM s),
-off AS (SELECT *, coalesce(sum(n_ctx) OVER (PARTITION BY batch_id ORDER BY sample_pos
+s AS (SELECT b.batch_id, b.sample_pos, b.pos_id, neg.negs[1:2] AS others,
+             CASE WHEN b.hard_id IS NULL THEN [] ELSE [b.hard_id] END AS hards
+      FROM b JOIN neg USING (conv_id, turn) WHERE b.pos_id IS NOT NULL),
+c AS (SELECT *, list_concat(list_prepend(pos_id, others), hards) AS ctxs, len(others) AS n_other, len(hards) AS n_hard FROM s),
+off AS (SELECT *, coalesce(sum(len(ctxs)) OVER (PARTITION BY batch_id ORDER BY sample_pos
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ctx_offset FROM c),
-x AS (SELECT batch_id, sample_pos, ctx_offset, len(others) AS n_other,
-             unnest(list_prepend(pos_id, others)) AS ctx_id,
-             generate_subscripts(list_prepend(pos_id, others), 1) - 1 AS ctx_i FROM off)
+x AS (SELECT batch_id, sample_pos, ctx_offset, n_other, n_hard, unnest(ctxs) AS ctx_id, generate_subscripts(ctxs, 1) - 1 AS ctx_i FROM off)
 SELECT batch_id, CAST(sample_pos AS INTEGER) AS sample_pos, CAST(ctx_offset + ctx_i AS BIGINT) AS ctx_pos,
-       CASE WHEN ctx_i = 0 THEN 'positive' ELSE 'other_negative' END AS role, ctx_id,
+       CASE WHEN ctx_i = 0 THEN 'positive' WHEN ctx_i <= n_other THEN 'other_negative' ELSE 'hard_negative' END AS role, ctx_id,
        CAST(ctx_offset AS BIGINT) AS gold_ctx_pos,
        CAST(ctx_offset + 1 + n_other AS BIGINT) AS hard_neg_start,
-       CAST(ctx_offset + 1 + n_other AS BIGINT) AS hard_neg_end
+       CAST(ctx_offset + 1 + n_other + n_hard AS BIGINT) AS hard_neg_end
 FROM x
 """)
 def biencoder_batch(spark, sf_dir):
     """G1 + W9 + U3 + T9: long-form two-tower batches -- 1 positive + the
-    first 2 in-batch negatives per sample, running context offsets, gold
-    index and the (empty) hard-negative index range."""
-    s = tr.inbatch_negatives(_samples(spark, sf_dir))
-    s = s.withColumn("hard_negative_ctxs", F.array().cast(tr.CTX_ARRAY))
-    b = tr.biencoder_batch(s, num_hard_negatives=1, num_other_negatives=2)
+    first 2 in-batch negatives + 1 hard negative per sample, running context
+    offsets, gold index and the hard-negative index range."""
+    b = tr.biencoder_batch(tr.inbatch_negatives(_samples(spark, sf_dir)), num_hard_negatives=1, num_other_negatives=2)
     return b.select("batch_id", "sample_pos", "ctx_pos", "role", "ctx_id", "gold_ctx_pos",
                     "hard_neg_start", "hard_neg_end")
 

@@ -47,11 +47,12 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array(F.col("text")).alias("answers"))
 
 
-def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user turn, next assistant turn) pairs -> (question, positive text)."""
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the assistant's reply to it (``answer``) and the turn
+    before it (``said_before``), null where there is none."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    u = c.where(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("question"))
-    a = c.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return u.join(a, ["conv_id", "turn"], "inner")
+    said = F.coalesce("text", F.lit(""))
+    reply = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), said.alias("answer"))
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), said.alias("said_before"))
+    return c.select("conv_id", "turn", F.col("text").alias("question")) \
+        .join(reply, ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
