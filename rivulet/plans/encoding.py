@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rivulet.functions.text import tokenize
-from rivulet.operators import annotate, encode, evaluate, knn, match, subword
+from rivulet.functions.text import analyze, tokenize
+from rivulet.operators import annotate, encode, evaluate, knn, match, segment, subword
 from rivulet.operators.order import add_dense_id
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
@@ -125,6 +125,41 @@ def ids_to_text(spark, sf_dir):
     return subword.decode_pieces(ids, "ids", vocab).select("doc_id", F.md5("text").alias("text_md5"))
 
 
+WORDS, STOPWORDS = 300, ("the", "la", "die")
+# the cheapest path by dynamic programming: costs of all places so far are carried along, then the path is walked back
+_SEGMENT_SQL = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, {S.terms('text')} AS terms FROM documents),
+each AS (SELECT doc_id, unnest(terms) AS run, generate_subscripts(terms, 1) AS pos FROM runs),
+dfs AS (SELECT run AS surface, count(DISTINCT doc_id) AS df FROM each WHERE length(run) <= 20 GROUP BY run),
+words AS (SELECT surface, row_number() OVER (ORDER BY df DESC, surface) + 99 AS cost FROM dfs QUALIFY cost < {100 + WORDS}),
+dictionary AS (SELECT map(list(surface), list(cost)) AS m, max(length(surface)) AS longest FROM words),
+walk AS (SELECT DISTINCT run, 0 AS place, [CAST(0 AS BIGINT)] AS costs, [CAST(0 AS BIGINT)] AS lengths FROM each
+         UNION ALL
+         SELECT run, place + 1, list_append(costs, best.cost), list_append(lengths, -best.size)
+         FROM (SELECT run, place, costs, lengths, list_sort(list_filter(list_transform(range(1, least(longest, place + 1) + 1), lambda l:
+                   {{'cost': costs[place + 2 - l] + coalesce(m[substring(run, place + 2 - l, l)], CASE WHEN l = 1 THEN 10000 END), 'size': -l}}),
+                   lambda s: s.cost IS NOT NULL))[1] AS best
+               FROM walk, dictionary WHERE place < length(run))),
+back AS (SELECT run, place, lengths, CAST([] AS VARCHAR[]) AS found FROM walk WHERE place = length(run)
+         UNION ALL
+         SELECT run, place - lengths[place + 1], lengths, list_prepend(substring(run, place - lengths[place + 1] + 1, lengths[place + 1]), found)
+         FROM back WHERE place > 0),
+whole AS (SELECT run, list_filter(found, lambda w: w NOT IN {STOPWORDS}) AS found FROM back WHERE place = 0),
+texts AS (SELECT doc_id, flatten(list(found ORDER BY pos)) AS found FROM each JOIN whole USING (run) GROUP BY doc_id)
+SELECT r.doc_id, CAST(coalesce(len(found), 0) AS INTEGER) AS n_words, md5(coalesce(array_to_string(found, ' '), '')) AS words_md5
+FROM runs r LEFT JOIN texts USING (doc_id)
+"""
+
+
+@register("segmented_terms", _SEGMENT_SQL)
+def segmented_terms(spark, sf_dir):
+    """Every run of letters cut into words of a dictionary of the most
+    frequent ones, without stop words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", analyze("text").alias("terms"))
+    words = segment.segment(d, "terms", segment.build_dictionary(d, WORDS), stopwords=STOPWORDS)
+    return words.select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words_md5"))
+
+
 _TAG = r"""CASE WHEN regexp_matches(tok, '^\p{N}+$') THEN 'NUM'
              WHEN regexp_matches(tok, '^\p{Lu}') THEN 'CAP'
              WHEN regexp_matches(tok, '^[^\p{L}\p{N}]$') THEN 'PUNCT' ELSE 'O' END"""
