@@ -3,9 +3,11 @@ aggregate pass that counts violations per rule (partial aggregation, no
 collection of offending rows); ``enforce`` raises when any count is non-zero."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from rivulet.session import materialize
+
 
 def check(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row: ``n_rows`` and ``bad_<rule>`` counts for boolean rule columns
@@ -31,3 +33,20 @@ def enforce(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def tsv_field_rules(cols) -> dict[str, Column]:
     """no TAB inside fields written to a TSV."""
     return {f"tab_in_{c}": F.col(c).contains("\t") for c in cols}
+
+
+def counted(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``df`` stored, and aggregates of its rows that are taken while they are
+    written: there is no second pass over what made them."""
+    seen = Observation()
+    stored = materialize(df.observe(seen, *[c.alias(k) for k, c in metrics.items()]), name)
+    return stored, seen.get
+
+
+def stored(df: DataFrame, name: str, rules: dict[str, Column]) -> DataFrame:
+    """``df`` stored; raises if a row violates a rule, which is counted in
+    the same pass."""
+    kept, bad = counted(df, name, {rule: F.count_if(F.coalesce(c, F.lit(False))) for rule, c in rules.items()})
+    if any(bad.values()):
+        raise ValueError(f"data-quality check failed: {({k: n for k, n in bad.items() if n})}")
+    return kept

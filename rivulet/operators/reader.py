@@ -437,15 +437,24 @@ def include_gold_passages(selected: DataFrame, gold: DataFrame) -> DataFrame:
     return selected.unionByName(add)
 
 
-def selection_counters(selected: DataFrame, questions: DataFrame) -> DataFrame:
-    """A10: questions without any positive passage, and positives that came
-    from gold insertion (``rank = -1``, see :func:`include_gold_passages`)."""
-    pos = selected.where(F.col("role") == "positive")
-    per_q = questions.select("qid").join(
-        pos.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"),
-                               F.count_if(F.col("rank") == -1).alias("__g")), "qid", "left")
-    return per_q.agg(F.count_if(F.coalesce("__n", F.lit(0)) == 0).alias("no_positive_questions"),
-                     F.coalesce(F.sum("__g"), F.lit(0)).cast("long").alias("positives_from_gold"))
+def nested_selection(selected: DataFrame, questions: DataFrame) -> DataFrame:
+    """One row a question: ``qid, passages`` (its selected rows by role and rank;
+    none for a question without any)."""
+    row = F.struct("role", "rank", *[c for c in selected.columns if c not in ("qid", "role", "rank")])
+    got = selected.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("passages"))
+    empty = F.array().cast(got.schema["passages"].dataType)
+    return questions.select("qid").join(got, "qid", "left").withColumn("passages", F.coalesce("passages", empty))
+
+
+def selection_counters() -> dict[str, Column]:
+    """A10: questions without any positive passage, and positives that came from
+    gold insertion (``rank = -1``, see :func:`include_gold_passages`): aggregates
+    of :func:`nested_selection` for :func:`rivulet.operators.quality.counted`,
+    which takes them while the samples are written."""
+    positive = F.filter("passages", lambda p: p["role"] == "positive")
+    gold = F.size(F.filter(positive, lambda p: p["rank"] == -1))
+    return {"no_positive_questions": F.count_if(F.size(positive) == 0),
+            "positives_from_gold": F.coalesce(F.sum(gold), F.lit(0)).cast("long")}
 
 
 def answer_matrices(spans: Column, max_n_answers: int) -> Column:

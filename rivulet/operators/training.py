@@ -53,11 +53,11 @@ def build_training_set(labelled_hits: DataFrame, passages: DataFrame, questions:
             .drop("__p", "__n"))
 
 
-def positive_counts(samples: DataFrame) -> DataFrame:
-    """A3: questions with >=1 positive, with none, and the total (must agree)."""
-    return samples.agg(F.count_if(F.size("positive_ctxs") > 0).alias("n_with_positive"),
-                       F.count_if(F.size("positive_ctxs") == 0).alias("n_without_positive"),
-                       F.count(F.lit(1)).alias("n_total"))
+def positive_counts() -> dict[str, Column]:
+    """A3: questions with >=1 positive, with none, and the total (must agree),
+    as aggregates for :func:`rivulet.operators.quality.counted`."""
+    n = F.size(F.coalesce("positive_ctxs", F.array().cast(CTX_ARRAY)))
+    return {"n_with_positive": F.count_if(n > 0), "n_without_positive": F.count_if(n == 0), "n_total": F.count(F.lit(1))}
 
 
 def ids_string(arr_col: str) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.functions import text as tx, tokens as tk
-from rivulet.operators import evaluate, lexical, match, training
+from rivulet.operators import evaluate, lexical, match, quality, training
 from rivulet.plans import sqlfrag as S
 from rivulet.plans.registry import register
 from rivulet.session import ensure_checkpoint_dir, files_key
@@ -279,5 +279,7 @@ SELECT CAST(count_if(positive_ids <> '') AS BIGINT) AS n_with_positive,
        CAST(count_if(positive_ids = '') AS BIGINT) AS n_without_positive, count(*) AS n_total FROM ts
 """)
 def positive_counts(spark, sf_dir):
-    """A3: questions with / without a positive context, and the total."""
-    return training.positive_counts(training_set(spark, sf_dir))
+    """A3: questions with / without a positive context, and the total, counted
+    while the training set is written."""
+    _, counts = quality.counted(training_set(spark, sf_dir), "training-set", training.positive_counts())
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import tokens as tk
 from rivulet.functions.vector import first_token_pool, project
-from rivulet.operators import annotate, encode, knn, reader, training
+from rivulet.operators import annotate, encode, knn, quality, reader, training
 from rivulet.sources import io
 
 
@@ -279,5 +279,27 @@ def test_answer_matrices_and_pick(spark):
     m = sel.where("doc_id = 11").select(reader.answer_matrices(F.col("spans"), 3).alias("m")).first().m
     assert (m.start_positions, m.end_positions, m.answer_mask) == ([5, 7, 0], [6, 9, 0], [1, 1, 0])
     qs = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
-    c = reader.selection_counters(sel, qs).first()
-    assert (c.no_positive_questions, c.positives_from_gold) == (1, 0)
+    gold = spark.createDataFrame([(2, "positive", -1, 21, [(1, 1)]), (2, "negative", -1, 22, [])], sel.schema)
+    nested = reader.nested_selection(sel.unionByName(gold), qs)
+    kept, counts = quality.counted(nested, "samples", reader.selection_counters())
+    assert counts == {"no_positive_questions": 1, "positives_from_gold": 1}
+    second = kept.agg(*[c.alias(k) for k, c in reader.selection_counters().items()]).first().asDict()
+    assert counts == second and {r.qid: len(r.passages) for r in kept.collect()} == {1: 2, 2: 3, 3: 0}
+
+
+def test_counters_are_taken_while_rows_are_written(spark):
+    """The rows are made once: a counter of calls sees each of them one time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(1000).repartition(4).mapInArrow(run, "id long")
+    kept, counts = quality.counted(df, "counted", {"n": F.count(F.lit(1)), "even": F.count_if(F.col("id") % 2 == 0)})
+    assert counts == {"n": 1000, "even": 500} and made.value == 1000 and kept.count() == 1000 and made.value == 1000
+    assert quality.stored(df, "stored", {"negative": F.col("id") < 0}).count() == 1000
+    with pytest.raises(ValueError, match="'big': 10"):
+        quality.stored(df, "stored", {"negative": F.col("id") < 0, "big": F.col("id") >= 990})
+    assert quality.counted(df.limit(0), "none", {"n": F.count(F.lit(1))})[1] == {"n": 0}
