@@ -78,13 +78,18 @@ class Units:
         self.own = {w: i for i, w in enumerate(frequent)}
         self.size = len(frequent) + ENDINGS
 
+    @property
+    def kind(self) -> str:
+        """How a unit's number is stored."""
+        return "<u2" if self.size <= 1 << 16 else "<u4"
+
     def __call__(self, word: bytes) -> int:
         i = self.own.get(word)
         return len(self.own) + xxhash.xxh32_intdigest(word[-3:]) % ENDINGS if i is None else i
 
 
 def encode(docs: DataFrame, units: Units, frequent: dict[bytes, int], least: int) -> DataFrame:
-    """doc_id, held_out, units (binary, 32 bits each), log_counts and n_known of
+    """doc_id, held_out, units (binary, 16 or 32 bits each), log_counts and n_known of
     the frequent words, rare (words of fewer than ``least`` tokens, with how
     often they occur).  Frequent words that were never seen cannot be."""
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
@@ -114,7 +119,7 @@ def encode(docs: DataFrame, units: Units, frequent: dict[bytes, int], least: int
                         line.append(found[0])
                         total += found[1]
                         hits += 1
-                cells.append(np.array(line, dtype="<u4").tobytes())
+                cells.append(np.array(line, dtype=units.kind).tobytes())
                 log_counts.append(total)
                 known.append(hits)
                 per = Counter(rare)
@@ -128,7 +133,7 @@ def encode(docs: DataFrame, units: Units, frequent: dict[bytes, int], least: int
     return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema)
 
 
-def _lines(batches):
+def _lines(batches, kind: str):
     """Unit numbers of the texts of a batch, end to end, and where each begins."""
     for batch in batches:
         raw = batch.column(0).to_pylist()
@@ -138,20 +143,20 @@ def _lines(batches):
             while end < len(raw) and (end == at or size < 1 << 22):
                 size += len(raw[end])
                 end += 1
-            flat = np.frombuffer(b"".join(raw[at:end]), dtype="<u4").astype(np.int64)
-            sizes = np.array([len(r) // 4 for r in raw[at:end]])
+            flat = np.frombuffer(b"".join(raw[at:end]), dtype=kind).astype(np.int64)
+            sizes = np.array([len(r) // np.dtype(kind).itemsize for r in raw[at:end]])
             yield batch.slice(at, end - at), flat, np.concatenate([[0], np.cumsum(sizes)[:-1]])
             at = end
 
 
-def neighbours(encoded: DataFrame, classes: np.ndarray, n_classes: int) -> DataFrame:
+def neighbours(encoded: DataFrame, kind: str, classes: np.ndarray, n_classes: int) -> DataFrame:
     """``(cell, before, after)``: cell = unit * n_classes + class; how often the
     class stands before and after the unit.  An end stands before each text."""
     size = len(classes) * n_classes
 
     def run(batches):
         before, after = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        for _, unit, first in _lines(batches):
+        for _, unit, first in _lines(batches, kind):
             left = np.concatenate([[0], unit[:-1]])
             left[first] = 0
             before += np.bincount(unit * n_classes + classes[left], minlength=size)
@@ -243,8 +248,8 @@ def lm_scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -
     classes = np.empty(units.size, dtype=np.int64)
     classes[np.argsort(-unit_tokens, kind="stable")] = np.arange(units.size) % n_classes
     for _ in range(rounds):
-        classes = exchange(classes, *_gathered(neighbours(encoded, classes, n_classes), units.size * n_classes), n_classes)
-    followed, _ = _gathered(neighbours(encoded, classes, n_classes), units.size * n_classes)
+        classes = exchange(classes, *_gathered(neighbours(encoded, units.kind, classes, n_classes), units.size * n_classes), n_classes)
+    followed, _ = _gathered(neighbours(encoded, units.kind, classes, n_classes), units.size * n_classes)
     pairs = np.zeros((n_classes, n_classes))
     np.add.at(pairs.T, classes, followed.reshape(-1, n_classes))
     class_tokens, class_words = np.bincount(classes, unit_tokens, n_classes), np.bincount(classes, unit_words, n_classes)
@@ -253,7 +258,7 @@ def lm_scores(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -
     step = (np.log10(move) - np.log10(class_tokens + class_words + 1)).ravel()
 
     def score(batches):
-        for batch, unit, first in _lines(batches):
+        for batch, unit, first in _lines(batches, units.kind):
             c = classes[unit]
             left = np.concatenate([[0], c[:-1]])
             left[first] = classes[0]
