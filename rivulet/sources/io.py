@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from rivulet.functions.text import json_quote, json_unquote, strip_quotes
 from rivulet.sources.json_array import read_records
+from rivulet.sources.shards import read_shards, write_shards
 
 CTX = "STRUCT<id: STRING, title: STRING, text: STRING>"
 
@@ -110,9 +111,9 @@ def read_jsonl(spark: SparkSession, path: str, kind: str, *, json_array: bool =
     return _records(spark, path, kind, json_array).drop("source")
 
 
-def read_embeddings(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Embedding shards (Parquet, ``id, vec``) from a glob."""
-    return spark.read.schema(schema("embedding")).parquet(path_glob)
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """The whole shards of stored embeddings (``id, vec``)."""
+    return read_shards(spark, path).select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
 
 
 def read_gold_file(spark: SparkSession, path: str) -> DataFrame:
@@ -159,10 +160,14 @@ def write_qa_tsv(df: DataFrame, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def write_embeddings(df: DataFrame, path: str, model: str) -> None:
-    """K7: one directory per model, Parquet ``id, vec``."""
-    df.select(F.col("id").cast("string"), F.col("vec").cast("array<float>")) \
-        .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{model}")
+def write_embeddings(df: DataFrame, path: str, model: str, *, num_shards: int = 1, encoder=None) -> list[int]:
+    """K7: one folder per model, Parquet ``id, vec`` in shards.  ``encoder`` makes
+    ``id, vec`` of a shard's rows (default: they are that); a run that was
+    stopped is taken up again, shards that are there are not encoded twice."""
+    def made(part: DataFrame) -> DataFrame:
+        out = part if encoder is None else encoder(part)
+        return out.select(F.col("id").cast("string").alias("id"), F.col("vec").cast("array<float>").alias("vec"))
+    return write_shards(df, f"{path.rstrip('/')}/{model}", "id", num_shards, made)
 
 
 def write_acc_tsv(acc: DataFrame, path: str) -> None:

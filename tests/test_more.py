@@ -82,6 +82,22 @@ def test_tag_runs_of_odd_rows(spark):
     assert got == [(1, 0, "X", "a b"), (1, 1, "Y", "c"), (1, 2, "Y", "e"), (4, 0, "X", "b"), (5, 0, "X", "a"), (5, 1, "Z", "")]
 
 
+def test_tag_runs_equal_a_plain_grouping(spark):
+    import itertools
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, [rng.choice(["a", "b c", "", "é"]) for _ in range(n)], [rng.choice(["X", "Y", "O", "O"]) for _ in range(n)])
+            for i, n in enumerate(rng.choice([0, 1, 5, 40]) for _ in range(120))]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>, tags array<string>").repartition(3)
+    got = sorted((r.id, r.group_idx, r.tag, r.text) for r in annotate.entity_groups(df, "id").collect())
+    want = []
+    for i, tokens, tags in rows:
+        runs = [(tag, " ".join(t for t, _ in group)) for tag, group in itertools.groupby(zip(tokens, tags), key=lambda x: x[1]) if tag != "O"]
+        want += [(i, k, *r) for k, r in enumerate(runs)]
+    assert got == want
+
+
 def test_reader_select_with_gold_passages(spark):
     passages = spark.createDataFrame(
         [(1, "Page", "x ans"), (2, "Other", "ans y"), (3, "page", "ans ans"), (4, "Other", "none"), (5, "Other", "no"), (6, "Q", "nope")],
@@ -303,3 +319,33 @@ def test_counters_are_taken_while_rows_are_written(spark):
     with pytest.raises(ValueError, match="'big': 10"):
         quality.stored(df, "stored", {"negative": F.col("id") < 0, "big": F.col("id") >= 990})
     assert quality.counted(df.limit(0), "none", {"n": F.count(F.lit(1))})[1] == {"n": 0}
+
+
+def test_interrupted_shards_are_taken_up_again(spark):
+    """A job that stops after some shards: the next run writes the others alone,
+    and all of them equal a run in one go."""
+    from rivulet.sources import shards
+
+    d = tmpdir()
+    df = spark.range(500).selectExpr("id", "array(cast(id as float), 1.0f) vec").repartition(3)
+    made = []
+
+    def encode(part):
+        made.append(part)
+        if len(made) == 3:
+            raise RuntimeError("stopped")
+        return part
+
+    with pytest.raises(RuntimeError):
+        shards.write_shards(df, f"{d}/some", "id", 5, encode)
+    assert shards.finished(spark, f"{d}/some") == {0, 1} and len(made) == 3
+    df.limit(7).write.parquet(f"{d}/some/shard=2")  # what the stopped job left of its shard
+    assert shards.write_shards(df, f"{d}/some", "id", 5, lambda part: part) == [2, 3, 4]
+    assert shards.write_shards(df, f"{d}/some", "id", 5, lambda part: 1 / 0) == []
+    shards.write_shards(df, f"{d}/whole", "id", 5)
+    rows = [sorted((r.id, r.shard) for r in shards.read_shards(spark, f"{d}/{n}").select("id", "shard").collect()) for n in ("some", "whole")]
+    assert rows[0] == rows[1] and len(rows[0]) == 500
+    with pytest.raises(ValueError, match="5 shards"):
+        shards.write_shards(df, f"{d}/some", "id", 4)
+    io.write_embeddings(df, f"{d}/emb", "model", num_shards=3)
+    assert io.read_embeddings(spark, f"{d}/emb/model").count() == 500
