@@ -35,5 +35,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the plan modules registers their queries
-    from rivulet.plans import (corpus_build, encoding, monitoring, reader_prep,  # noqa: F401
+    from rivulet.plans import (corpus_build, encoding, files, monitoring, reader_prep,  # noqa: F401
                                retrieval, text_search, training_data)
