@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from rivulet.functions.text import strip_quotes
 from rivulet.plans.registry import register
 from rivulet.session import ensure_checkpoint_dir
 from rivulet.sources import io, json_array
@@ -127,3 +128,49 @@ def metrics_log(spark, sf_dir):
     for epoch in (1, 2):
         io.write_metrics(back.select(F.lit(epoch).alias("epoch"), "role", "n"), f"{path}/log")
     return spark.read.schema("epoch INT, role STRING, n BIGINT").json(f"{path}/log").select("epoch", "role", "n")
+
+
+@register("page_jsonl_roundtrip", """
+SELECT CAST(page_id AS VARCHAR) AS pageid, url, md5(html) AS html_md5 FROM pages
+""")
+def page_jsonl_roundtrip(spark, sf_dir):
+    """K1 + K2 + S6 + S7 + X11: pages as gzip JSON lines with a fixed schema."""
+    path = _folder(spark, "pages")
+    io.write_jsonl(table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("pageid"), "url", "html"), path)
+    return io.read_jsonl(spark, path, "page_html").select("pageid", "url", F.md5("html").alias("html_md5"))
+
+
+@register("qas_roundtrip", """
+SELECT CAST(item_id AS VARCHAR) AS qid, md5(text) AS question_md5, CASE WHEN item_id % 2 = 0 THEN 1 ELSE 0 END AS n_answers FROM benchmark
+""")
+def qas_roundtrip(spark, sf_dir):
+    """K3 + S2: questions as JSON lines; half of them have no ``answers``."""
+    path = _folder(spark, "qas")
+    io.write_jsonl(table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"),
+        F.when(F.col("item_id") % 2 == 0, F.array("text")).alias("answers")), path)
+    return io.read_qas(spark, path).select("qid", F.md5("question").alias("question_md5"), F.size("answers").alias("n_answers"))
+
+
+@register("gold_file_roundtrip", """
+SELECT md5(text) AS question_md5, max(CAST(item_id AS VARCHAR)) AS example_id FROM benchmark GROUP BY text
+""")
+def gold_file_roundtrip(spark, sf_dir):
+    """S10 + A14: gold passages under ``data``, read by byte ranges; each question
+    stands there twice, and the last entry wins."""
+    path = _folder(spark, "gold")
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("example_id"), F.col("text").alias("question"))
+    kept = b.groupBy("question").agg(F.max("example_id").alias("example_id"))
+    twice = b.withColumn("ord", F.lit(0)).unionByName(kept.withColumn("ord", F.lit(1))).coalesce(1).sortWithinPartitions("ord")
+    json_array.write_array(twice.select("example_id", "question", F.lit("").alias("question_tokens"), F.lit("t").alias("title"),
+                                        F.col("question").alias("context")), path, parts=1, key="data")
+    return io.read_gold_file(spark, path).select(F.md5("question").alias("question_md5"), "example_id")
+
+
+@register("quoted_texts", """
+SELECT doc_id, md5(regexp_replace(text, '^"+|"+$', '', 'g')) AS text_md5 FROM documents
+""")
+def quoted_texts(spark, sf_dir):
+    """Quotes around a text taken off."""
+    quoted = F.concat(F.lit('""'), "text", F.lit('"'))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_quotes(quoted)).alias("text_md5"))

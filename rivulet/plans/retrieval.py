@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from rivulet.operators import evaluate, knn as knn_ops, vector_index
+from rivulet.operators import encode as encode_ops, evaluate, knn as knn_ops, vector_index
 from rivulet.operators.order import add_dense_id
 from rivulet.plans.registry import register
 from rivulet.session import ensure_checkpoint_dir, files_key
@@ -206,3 +206,33 @@ def mips_to_l2(spark, sf_dir):
     phi = knn_ops.max_norm2(e, "embedding")
     a = e.select("vec_id", F.element_at(mips_augment_doc(F.col("embedding"), F.lit(phi)), -1).alias("x"))
     return a.select("vec_id", F.round("x", 6).alias("extra"), F.round(F.lit(phi), 6).alias("phi"))
+
+
+@register("projected_vectors", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, list_reverse(CAST(embedding AS DOUBLE[])) AS w FROM embeddings)
+SELECT vec_id, round(v[1] - v[2], 6) AS a, round(2 * v[2] + v[3], 6) AS b FROM v
+""")
+def projected_vectors(spark, sf_dir):
+    """The first of a row's token vectors, put through a linear layer."""
+    from rivulet.functions.vector import first_token_pool, project
+    e = _emb(spark, sf_dir)
+    dim = e.select(F.max(F.size("embedding"))).first()[0] or 3
+    layer = [[1, -1, *[0] * (dim - 2)], [0, 2, 1, *[0] * (dim - 3)]]
+    tokens = F.array(F.col("embedding").cast("array<double>"), F.reverse(F.col("embedding").cast("array<double>")))
+    p = e.select("vec_id", project(first_token_pool(tokens), layer).alias("p"))
+    return p.select("vec_id", F.round(F.col("p")[0], 6).alias("a"), F.round(F.col("p")[1], 6).alias("b"))
+
+
+@register("registered_encoder", """
+SELECT doc_id, CAST(length(text) AS DOUBLE) AS n_chars, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS n_e FROM documents
+""")
+def registered_encoder(spark, sf_dir):
+    """An encoder registered by name, called on whole Arrow batches."""
+    @encode_ops.register_encoder("letters")
+    def letters():
+        import numpy as np
+        return lambda texts: np.array([[len(t[0]), t[0].count("e")] if t is not None and len(t) else [0, 0] for t in texts], dtype=float).reshape(-1, 2)
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = encode_ops.encode(d, "text", encoder="letters", dtype="double", analyzer=lambda c: F.array(c))
+    return v.select("doc_id", F.col("vec")[0].alias("n_chars"), F.col("vec")[1].alias("n_e"))

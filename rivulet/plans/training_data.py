@@ -274,3 +274,33 @@ def pick_by_index(spark, sf_dir):
     ts = from_document_indices(items)
     return ts.select("qid", ids_string("positive_ctxs").alias("positive_ids"),
                      ids_string("hard_negative_ctxs").alias("hard_negative_ids"))
+
+
+@register("global_offsets", _PAIRS_SQL + """,
+n AS (SELECT b.conv_id, b.turn, b.pos, 1 + least(len(negs), 2) AS n_ctx FROM b JOIN neg USING (conv_id, turn)),
+t AS (SELECT CAST(ceil(count(*) / 3.0) AS BIGINT) AS size FROM n),
+d AS (SELECT conv_id, turn, n_ctx, pos // size AS shard_id, pos % size AS place FROM n, t)
+SELECT conv_id, turn, CAST(shard_id AS INTEGER) AS shard_id, CAST(place // 16 AS BIGINT) AS batch_id,
+       CAST(coalesce(sum(n_ctx) OVER (PARTITION BY place // 16 ORDER BY shard_id, place
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS global_ctx_offset FROM d
+""")
+def global_offsets(spark, sf_dir):
+    """Where each sample's contexts begin among those of its global batch,
+    which gathers the same batch of all shards."""
+    s = tr.inbatch_negatives(_samples(spark, sf_dir)).select(
+        "conv_id", "turn", "pos", (F.lit(1) + F.least(F.size("negative_ctxs"), F.lit(2))).alias("n_ctx"))
+    s = tr.assign_batches(tr.assign_shards(s, s.count(), SHARDS), BATCH)
+    return tr.global_batch_offsets(s).select("conv_id", "turn", "shard_id", "batch_id", "global_ctx_offset")
+
+
+@register("visited_turns", """
+SELECT conv_id, turn, length(text) AS n_chars, CAST(md5(text) AS VARCHAR) AS text_md5 FROM conversations
+""")
+def visited_turns(spark, sf_dir):
+    """A visitor of the user's called on every row."""
+    def visit(rows):
+        import hashlib
+        text = rows["text"].fillna("")
+        return rows.assign(n_chars=text.str.len(), text_md5=[hashlib.md5(t.encode()).hexdigest() for t in text])[["conv_id", "turn", "n_chars", "text_md5"]]
+
+    return tr.apply_visitor(_turns(spark, sf_dir), visit, "conv_id long, turn long, n_chars long, text_md5 string")

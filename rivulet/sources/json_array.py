@@ -179,20 +179,22 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str, *,
     return whole.select(record.alias("r"), "file", F.struct("split", "number").alias("place")).select("r.*", "file", "place")
 
 
-def write_array(df: DataFrame, path: str, *, parts: int | None = None) -> None:
-    """Each file of the folder ``path`` is one JSON array, and a file
-    appears only when its task is done and the job commits.  ``parts=1`` gives
-    one array; its rows then go through one task, one at a time."""
+def write_array(df: DataFrame, path: str, *, parts: int | None = None, key: str | None = None) -> None:
+    """Each file of the folder ``path`` is one JSON array, with ``key``
+    an object that holds it under this key, and a file appears only when its
+    task is done and the job commits.  ``parts=1`` gives one array; its rows
+    then go through one task, one at a time."""
+    first, last = ("[", "]") if key is None else (f'{{"{key}": [', "]}")
     df = df if parts is None else df.coalesce(parts)
     rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
 
     def run(batches):
-        before = "["
+        before = first
         for b in batches:
             values = b.column(0).to_pylist()
             if values:
                 yield pa.RecordBatch.from_pydict({"value": [(before if i == 0 else ",") + v for i, v in enumerate(values)]})
                 before = ","
-        yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
+        yield pa.RecordBatch.from_pydict({"value": [first + last if before == first else last]})
 
     rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
