@@ -17,14 +17,18 @@ each block the question's terms are ordered by their bound there; terms whose
 bounds do not add up to the threshold cannot lift a passage over it by
 themselves, so only postings of the other (essential) terms are read, and a
 passage stays if its score so far and the bounds of the rest reach the
-threshold.  (3) What stays is scored exactly.  No score is approximate and no
-term is dropped: common words, with their long postings, are rarely essential.
+threshold.  (3) What stays is looked up in the other terms' postings.  Where the
+essential terms hold most of the postings anyway, all are read at once and step
+(3) falls away.  No score is approximate and no term is dropped: common words,
+with their long postings, are rarely essential.
 """
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -37,9 +41,16 @@ B = 0.75
 #: Passages a block, and the least and greatest number of blocks.
 BLOCK_DOCS, MIN_BLOCKS, MAX_BLOCKS = 4096, 16, 256
 #: For the threshold, best passages of (term, block) scored for each hit asked for.
-SEEDS = 8
+SEEDS = 4
+#: Share of a block's postings for a question from which all of them are read.
+MOST = 0.4
 #: Scores that differ by less are taken as equal when something is left out.
 SLACK = 1e-5
+#: Passages whose terms are grouped at a time.
+GROUPED_ROWS = 1024
+#: Postings of all questions together up to which they are scored in one pass:
+#: the jobs that find thresholds cost more than they save.
+DIRECT_POSTINGS = 50_000_000
 #: Columns of the stored postings beside doc_id, whose type is the passages'.
 POSTING = "term string, block int, tf bigint, impact double, positions array<int>"
 
@@ -79,15 +90,13 @@ def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "tex
     avgdl = total["terms"] / total["n"] if total["n"] else None
     n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, total["n"] // BLOCK_DOCS))
     norm = k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0))
-    postings = (forward.repartition(buckets, "doc_id").select("doc_id", "dl", F.posexplode("terms").alias("pos", "term"))
-                .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    postings = (_grouped(forward).repartition(buckets, "doc_id")
                 .select("doc_id", "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "tf",
                         (F.col("tf") * (k1 + 1) / (F.col("tf") + norm)).alias("impact"), "positions"))
     name = f"rivulet_postings_{uuid.uuid4().hex[:12]}"
     (postings.write.mode("overwrite").bucketBy(buckets, "doc_id").sortBy("term").option("path", f"{path}/postings").saveAsTable(name))
-    top = F.max(F.struct("impact", "doc_id"))
-    (spark.table(name).groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), top.alias("top"))
-     .select("term", "block", "df", "cf", F.col("top.impact").alias("best"), F.col("top.doc_id").alias("best_doc"))
+    (spark.table(name).groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("impact").alias("best"),
+                                                    F.max_by("doc_id", "impact").alias("best_doc"))
      .write.mode("overwrite").parquet(f"{path}/blocks"))
     (spark.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("best").alias("best"))
      .write.mode("overwrite").parquet(f"{path}/terms"))
@@ -98,6 +107,33 @@ def build_index(passages: DataFrame, *, id_col: str = "id", text_col: str = "tex
     return open_index(spark, path)
 
 
+def _grouped(forward: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf, positions): the places of each term of a passage,
+    found for all passages of an Arrow batch by one sort; no shuffle."""
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, GROUPED_ROWS):
+                b = whole.slice(start, GROUPED_ROWS)
+                sizes = b.column(1).to_numpy().astype(np.int64)
+                words = b.column(2).flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                row = np.repeat(np.arange(b.num_rows), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                key = row * len(words.dictionary) + words.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+                edges = np.r_[first, len(key)]
+                rows = pa.array(row[order[first]])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(rows), b.column(1).take(rows), words.dictionary.take(words.indices.take(pa.array(order[first]))),
+                     pa.array(np.diff(edges), pa.int64()), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(place[order], pa.int32()))],
+                    names=["doc_id", "dl", "term", "tf", "positions"])
+
+    kind = forward.schema["doc_id"].dataType.simpleString()
+    return forward.select("doc_id", "dl", "terms").mapInArrow(run, f"doc_id {kind}, dl bigint, term string, tf bigint, positions array<int>")
+
+
 def open_index(spark: SparkSession, path: str) -> LexicalIndex:
     """Open a stored index.  Its postings become a table of the session again,
     so that joins and sums on ``doc_id`` need no shuffle."""
@@ -152,13 +188,23 @@ def score_pairs(index: LexicalIndex, weights: DataFrame, pairs: DataFrame) -> Da
             .groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact"))))
 
 
-def bm25_scores(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
-    """Every (qid, doc_id) sharing a term, with its BM25 score."""
-    weights = weighted_terms(index, qterms)
+def _all_scores(index: LexicalIndex, weights: DataFrame) -> DataFrame:
     return (weights.join(index.postings.select("doc_id", "term", "impact"), "term")
             .groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact"))))
 
 
+def bm25_scores(index: LexicalIndex, qterms: DataFrame) -> DataFrame:
+    """Every (qid, doc_id) sharing a term, with its BM25 score."""
+    return _all_scores(index, weighted_terms(index, qterms))
+
+
+def few_postings(index: LexicalIndex, weights: DataFrame) -> bool:
+    """Whether the questions' postings, by the stored statistics, are so few
+    that one pass over them is the cheaper way."""
+    n = weights.join(index.term_stats.select("term", "df"), "term").agg(F.sum("df")).first()[0]
+    return (n or 0) <= DIRECT_POSTINGS
+
+
 def thresholds(index: LexicalIndex, weights: DataFrame, bounds: DataFrame, k: int, excluded: DataFrame | None) -> DataFrame:
     """(qid, least): a score that the question's k-th hit has at least; none
     for a question with fewer passages scored."""
@@ -172,18 +218,25 @@ def thresholds(index: LexicalIndex, weights: DataFrame, bounds: DataFrame, k: in
     return scored.where(F.col("n") == k).select("qid", (F.col("score") - SLACK).alias("least"))
 
 
-def candidates(index: LexicalIndex, bounds: DataFrame, least: DataFrame) -> DataFrame:
-    """(qid, doc_id) of every passage whose score can reach the threshold."""
-    rising = Window.partitionBy("qid", "block").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
+def marked_terms(bounds: DataFrame, least: DataFrame) -> DataFrame:
+    """``bounds`` with ``essential`` and ``need``: what the essential terms alone
+    must give in that block."""
+    here = Window.partitionBy("qid", "block")
+    rising = here.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)
     cut = F.coalesce("least", F.lit(0.0))
-    marked = bounds.join(least, "qid", "left").withColumn("upto", F.sum("bound").over(rising)) \
-        .withColumn("essential", F.col("upto") >= cut)
-    rest = F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("qid", "block"))
-    need = materialize(marked.withColumn("need", cut - rest).where("essential")
-                       .select("qid", "term", "block", "weight", "need"), "lexical-need")
-    found = index.postings.select("doc_id", "term", "block", "impact").join(need, ["term", "block"])
-    return (found.groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact")), F.first("need").alias("need"))
-            .where(F.col("score") >= F.col("need")).select("qid", "doc_id"))
+    marked = bounds.join(least, "qid", "left").withColumn("essential", F.sum("bound").over(rising) >= cut)
+    read = F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).over(here) / F.sum("df").over(here)
+    marked = marked.withColumn("read", read).withColumn("essential", F.col("essential") | (F.col("read") >= MOST))
+    rest = F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).over(here)
+    return marked.withColumn("need", cut - rest).select("qid", "term", "block", "weight", "need", "essential")
+
+
+def candidates(index: LexicalIndex, marked: DataFrame) -> DataFrame:
+    """(qid, doc_id, block, score) of every passage that can reach the threshold;
+    the score is that of the essential terms."""
+    found = index.postings.select("doc_id", "term", "block", "impact").join(marked.where("essential").drop("essential"), ["term", "block"])
+    return (found.groupBy("qid", "doc_id").agg(_sum(F.col("weight") * F.col("impact")), F.first("need").alias("need"), F.first("block").alias("block"))
+            .where(F.col("score") >= F.col("need")).select("qid", "doc_id", "block", "score"))
 
 
 def top_k(scores: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id",
@@ -197,22 +250,34 @@ def top_k(scores: DataFrame, k: int, *, qid: str = "qid", doc: str = "doc_id",
     return (scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
 
 
-def _ranked(index: LexicalIndex, weights: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
-    bounds = materialize(weights.join(index.blocks.select("term", "block", "best", "best_doc"), "term")
+def _ranked(index: LexicalIndex, weights: DataFrame, k: int, prune: bool | None, excluded: DataFrame | None = None) -> DataFrame:
+    if prune is False or prune is None and few_postings(index, weights):
+        scores = _all_scores(index, weights)
+        return top_k(scores if excluded is None else scores.join(excluded, ["qid", "doc_id"], "left_anti"), k)
+    bounds = materialize(weights.join(index.blocks.select("term", "block", "df", "best", "best_doc"), "term")
                          .withColumn("bound", F.col("weight") * F.col("best")), "lexical-bounds")
     least = materialize(thresholds(index, weights, bounds, k, excluded), "lexical-least")
-    pairs = candidates(index, bounds, least)
+    marked = materialize(marked_terms(bounds, least), "lexical-marked")
+    found = candidates(index, marked)
     if excluded is not None:
-        pairs = pairs.join(excluded, ["qid", "doc_id"], "left_anti")
-    return top_k(score_pairs(index, weights, pairs), k)
+        found = found.join(excluded, ["qid", "doc_id"], "left_anti")
+    found = materialize(found, "lexical-found")
+    others = materialize(found.select("qid", "doc_id", "block").join(marked.where("not essential").select("qid", "term", "block", "weight"), ["qid", "block"])
+                         .drop("block"), "lexical-others")
+    more = index.postings.select("doc_id", "term", "impact").join(others, ["doc_id", "term"]) \
+        .select("qid", "doc_id", (F.col("weight") * F.col("impact")).alias("score"))
+    scores = found.select("qid", "doc_id", "score").unionByName(more).groupBy("qid", "doc_id").agg(_sum(F.col("score")))
+    return top_k(scores, k)
 
 
 def search(index: LexicalIndex, questions: DataFrame, k: int = 10, *, qid: str = "qid",
-           text_col: str = "question", analyzer=analyze) -> DataFrame:
+           text_col: str = "question", analyzer=analyze, prune: bool | None = None) -> DataFrame:
     """J5 + T2: BM25 ``match`` query, top ``k`` passages per question.
-    Returns ``qid, rank, doc_id, score``."""
+    Returns ``qid, rank, doc_id, score``.  ``prune`` forces the search by bounds
+    (True) or one pass over all the questions' postings (False); by default their
+    number decides."""
     weights = materialize(weighted_terms(index, query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)), "lexical-weights")
-    return _ranked(index, weights, k).select("qid", "rank", "doc_id", "score")
+    return _ranked(index, weights, k, prune).select("qid", "rank", "doc_id", "score")
 
 
 def phrase_passages(index: LexicalIndex, questions: DataFrame, *, qid: str = "qid", phrase_col: str = "phrase",
@@ -243,7 +308,7 @@ def search_with_phrase(index: LexicalIndex, passages: DataFrame, questions: Data
                        k: int = 10, *, qid: str = "qid", text_col: str = "question",
                        phrase_col: str = "phrase", must_not: bool = False,
                        id_col: str = "id", passage_text: str = "text",
-                       analyzer=analyze) -> DataFrame:
+                       analyzer=analyze, prune: bool | None = None) -> DataFrame:
     """BM25 query restricted to passages that contain (``must_not=False``)
     or do not contain (``must_not=True``) the question's phrase as a term
     sequence; top-k is taken after the restriction, then the reference's raw
@@ -252,7 +317,7 @@ def search_with_phrase(index: LexicalIndex, passages: DataFrame, questions: Data
     weights = materialize(weighted_terms(index, query_terms(questions, qid=qid, text_col=text_col, analyzer=analyzer)), "lexical-weights")
     holding = materialize(phrase_passages(index, questions, qid=qid, phrase_col=phrase_col, analyzer=analyzer), "phrase-passages")
     if must_not:
-        top = _ranked(index, weights, k, holding)
+        top = _ranked(index, weights, k, prune, holding)
     else:
         top = top_k(score_pairs(index, weights, holding), k)
     texts = passages.select(F.col(id_col).alias("doc_id"), F.col(passage_text).alias("ptext"))

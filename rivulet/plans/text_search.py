@@ -160,8 +160,9 @@ WITH {S.bm25_ctes(K).strip()}
 SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 4) AS score FROM top
 """)
 def bm25_topk(spark, sf_dir):
-    """J5 + T2: BM25 (k1=1.2, b=0.75) top-10 passages per benchmark question."""
-    h = bm25_hits(spark, sf_dir)
+    """J5 + T2: BM25 (k1=1.2, b=0.75) top-10 passages per benchmark question, by
+    bounds, however few the postings are."""
+    h = lexical.search(_index(spark, sf_dir), questions(spark, sf_dir), K, prune=True)
     return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -182,7 +183,7 @@ WHERE rank <= {K} AND {neg}contains(text, phrase)
 def _phrase_query(spark, sf_dir, must_not):
     q = questions(spark, sf_dir).withColumn("phrase", F.col("answers")[0])
     h = lexical.search_with_phrase(_index(spark, sf_dir), passages(spark, sf_dir), q, K,
-                                   must_not=must_not)
+                                   must_not=must_not, prune=True)
     return h.select("qid", "rank", "doc_id", F.round("score", 4).alias("score"))
 
 

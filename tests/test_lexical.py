@@ -28,8 +28,12 @@ def test_pruned_search_equals_exhaustive(spark, corpus, monkeypatch):
     scores = lexical.bm25_scores(ix, lexical.query_terms(qs))
     for k in (1, 3, 25, 1000):
         want = sorted((r.qid, r.rank, r.doc_id, round(r.score, 6)) for r in lexical.top_k(scores, k).collect())
-        got = sorted((r.qid, r.rank, r.doc_id, round(r.score, 6)) for r in lexical.search(ix, qs, k).collect())
-        assert got == want
+        for prune in (True, False, None):
+            got = sorted((r.qid, r.rank, r.doc_id, round(r.score, 6)) for r in lexical.search(ix, qs, k, prune=prune).collect())
+            assert got == want
+    monkeypatch.setattr(lexical, "DIRECT_POSTINGS", 10)
+    weights = lexical.weighted_terms(ix, lexical.query_terms(qs))
+    assert not lexical.few_postings(ix, weights) and lexical.few_postings(ix, weights.limit(0))
 
 
 def test_search_reads_few_candidates(spark, corpus):
@@ -38,7 +42,8 @@ def test_search_reads_few_candidates(spark, corpus):
     ix = lexical.build_index(ps)
     weights = lexical.weighted_terms(ix, lexical.query_terms(qs.where("qid < 40")))
     bounds = weights.join(ix.blocks, "term").withColumn("bound", F.col("weight") * F.col("best"))
-    found = lexical.candidates(ix, bounds, lexical.thresholds(ix, weights, bounds, 3, None)).count()
+    marked = lexical.marked_terms(bounds, lexical.thresholds(ix, weights, bounds, 3, None))
+    found = lexical.candidates(ix, marked).count()
     every = weights.join(ix.postings, "term").select("qid", "doc_id").distinct().count()
     assert found < every / 4, (found, every)
 
@@ -69,7 +74,7 @@ def test_index_cut_off_before_its_end_is_built_again(spark, corpus, tmp_path):
 def test_empty_index(spark, corpus):
     ps, qs, _, _ = corpus
     ix = lexical.build_index(ps.limit(0))
-    assert lexical.search(ix, qs, 5).collect() == [] and lexical.search(lexical.build_index(ps), qs.limit(0), 5).collect() == []
+    assert lexical.search(ix, qs, 5).collect() == [] and lexical.search(lexical.build_index(ps), qs.limit(0), 5, prune=True).collect() == []
 
 
 def test_phrases_by_positions_equal_a_scan(spark, corpus):
@@ -94,7 +99,7 @@ def test_phrase_search_equals_exhaustive(spark, corpus, must_not):
     ps, _, texts, qtext = corpus
     qs = spark.createDataFrame([(q, t, " ".join((t or "").split()[:2])) for q, t in qtext.items()], "qid long, question string, phrase string")
     ix = lexical.build_index(ps)
-    got = sorted((r.qid, r.rank, r.doc_id, round(r.score, 6)) for r in lexical.search_with_phrase(ix, ps, qs, 4, must_not=must_not).collect())
+    got = sorted((r.qid, r.rank, r.doc_id, round(r.score, 6)) for r in lexical.search_with_phrase(ix, ps, qs, 4, must_not=must_not, prune=True).collect())
     scores = {}
     for r in lexical.bm25_scores(ix, lexical.query_terms(qs)).collect():
         scores.setdefault(r.qid, []).append((r.doc_id, r.score))
