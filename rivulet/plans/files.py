@@ -68,7 +68,7 @@ def training_file_roundtrip(spark, sf_dir):
 
 
 @register("embedding_shards", """
-SELECT CAST(vec_id AS VARCHAR) AS id, len(embedding) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
+SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS size, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
 FROM embeddings
 """)
 def embedding_shards(spark, sf_dir):
