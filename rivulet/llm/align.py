@@ -224,13 +224,15 @@ class Aligner:
         """Ids of A and B for each piece on its own; None where they do not
         give a space and the piece."""
         raw = [f" {p}" for p in pieces]
-        if self.ascii is not None and all(map(str.isascii, raw)):
+        by_rank = self.ascii is not None and all(map(str.isascii, raw))
+        if by_rank:
             a = list(map(self.ascii.encode_ordinary, raw))
         else:
             a = [x.ids for x in self.a.encode_batch_fast(raw, add_special_tokens=False)]
         b = self.b.encode(pieces, num_threads=1)
+        # merging by rank splits the bytes there are, so its tokens give them back
         return [(np.array(x, np.int64), np.array(y, np.int64))
-                if self._bytes(x, self.a_bytes) == r.encode() == self._bytes(y, self.b_bytes) else None
+                if self._bytes(y, self.b_bytes) == r.encode() and (by_rank or self._bytes(x, self.a_bytes) == r.encode()) else None
                 for r, x, y in zip(raw, a, b, strict=True)]
 
     @staticmethod
@@ -303,14 +305,18 @@ class Aligner:
         uneven = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
         self.number.update(dict.fromkeys(uneven, -1))
         self._add(list(new - uneven))
-        numbers = [list(map(self.number.__getitem__, parts)) for parts in cut]
-        for i, found in enumerate(numbers):
-            if -1 in found:
-                numbers[i] = self._uneven(texts[i])
+        lengths = np.array([len(parts) for parts in cut], np.int64)
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, int(lengths.sum()))
+        odd = np.unique(np.repeat(np.arange(len(cut)), lengths)[flat < 0])
+        if len(odd):
+            parts = np.split(flat, np.cumsum(lengths)[:-1])
+            for i in odd.tolist():
+                parts[i] = np.array(self._uneven(texts[i]), np.int64)
+                lengths[i] = len(parts[i])
+            flat = np.concatenate(parts)
         self._settle()
-        flat = np.fromiter(chain.from_iterable(numbers), np.int64)
         self.calls += np.bincount(flat, minlength=self.stored) > 0
-        return flat, np.array([len(n) for n in numbers], np.int64)
+        return flat, lengths
 
     def _uneven(self, text: str) -> list[int]:
         """Numbers of a text's pieces, cut where that is safe; as a whole if
