@@ -1,9 +1,18 @@
 """Token-array helpers (X7c, X7e, X21): Column -> Column, built-ins only."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.batches import SLICE_TEXT, sizes, slices
+from rivulet.functions.text import TOKEN_PATTERN
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -45,32 +54,40 @@ def extend_span_to_words(tokens, s, e) -> Column:
     return let(body, _c(tokens), _c(s), _c(e))
 
 
-def _tokens_of(texts):
-    import pandas as pd
-    import regex
-
-    from rivulet.functions.text import TOKEN_PATTERN
-
-    pattern = regex.compile(TOKEN_PATTERN)
+TOKEN = "array<struct<text:string,start:int,end:int,after:string>>"
 
-    def of(text):
-        if text is None:
-            return None
-        found = list(pattern.finditer(text))
-        ends = [m.start() for m in found[1:]] + [len(text)]
-        return [{"text": m[0], "start": m.start(), "end": m.end(), "after": text[m.end():nxt]} for m, nxt in zip(found, ends)]
 
-    return pd.Series([of(t) for t in texts])
+def _tokens_of(texts: pa.Array) -> pa.Array:
+    """Lists of (text, start, end, after).  From the first token on a text is
+    made of tokens and what follows each, so places are running sums of lengths."""
+    found, parts, leading, counts = regex.compile(f"({TOKEN_PATTERN})([\\p{{Z}}\\p{{C}}]*)").findall, [], [], []
+    for text in texts.to_pylist():
+        pairs = found(text or "")
+        parts += pairs
+        counts.append(len(pairs))
+        leading.append(len(text or "") - sum(len(t) + len(a) for t, a in pairs))
+    words, after = pa.array([t for t, _ in parts], pa.string()), pa.array([a for _, a in parts], pa.string())
+    n_word, n_after = (pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, after))
+    n, step = np.array(counts, np.int64), np.r_[0, np.cumsum(n_word + n_after)]
+    offsets = np.r_[0, np.cumsum(n)]
+    start = step[:-1] - np.repeat(step[offsets[:-1]] - np.array(leading, np.int64), n)
+    rows = pa.StructArray.from_arrays([words, pa.array(start, pa.int32()), pa.array(start + n_word, pa.int32()), after],
+                                      names=["text", "start", "end", "after"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=texts.is_null())
 
 
-TOKEN = "array<struct<text:string,start:int,end:int,after:string>>"
+def _tokens_by_slices(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        for start, n in slices(sizes(texts), SLICE_TEXT):
+            yield _tokens_of(texts.slice(start, n))
 
 
 def tokens_with_offsets(col) -> Column:
     """Every token with its place in the text (code points, end exclusive)
     and what stands between it and the next one.  Spark's patterns do not tell
-    where they match, so this is a small helper over Arrow batches."""
-    return F.pandas_udf(_tokens_of, TOKEN)(_c(col))
+    where they match, so this is a small helper over Arrow batches, which it
+    takes in slices of bounded text."""
+    return F.arrow_udf(_tokens_by_slices, TOKEN)(_c(col))
 
 
 def token_offsets(tokens) -> Column:

@@ -349,3 +349,21 @@ def test_interrupted_shards_are_taken_up_again(spark):
         shards.write_shards(df, f"{d}/some", "id", 4)
     io.write_embeddings(df, f"{d}/emb", "model", num_shards=3)
     assert io.read_embeddings(spark, f"{d}/emb/model").count() == 500
+
+
+def test_tokens_with_offsets_in_slices_of_bounded_text():
+    """However many texts a batch has, tokens are made a slice at a time."""
+    import pyarrow as pa
+
+    from rivulet.functions import batches
+
+    texts = ["  ab, c\n", None, "", " é x́!  ", "\t"] + ["word and word " * 2000] * 200
+    out = list(tk._tokens_by_slices(iter([pa.array(texts)])))
+    assert sum(map(len, out)) == len(texts) and max(sum(len(r or []) for r in o.to_pylist()) for o in out) <= batches.SLICE_TEXT
+    assert len(out) > 5
+    for text, row in zip(texts, (r for o in out for r in o.to_pylist())):
+        assert (row is None) == (text is None)
+        for t in row or []:
+            assert text[t["start"]:t["end"]] == t["text"] and text[t["end"]:t["end"] + len(t["after"])] == t["after"]
+    assert [[(t["text"], t["start"], t["after"]) for t in r] if r is not None else None for r in out[0].to_pylist()[:5]] == [
+        [("ab", 2, ""), (",", 4, " "), ("c", 6, "\n")], None, [], [("é", 1, " "), ("x́", 3, ""), ("!", 5, "  ")], []]
