@@ -214,3 +214,12 @@ def test_dense_id_hot_leading_key(spark):
     b, _ = _bucketed(df, ["lead", "tok"], 8, materialize_input=False)
     hot_buckets = b.where("lead = 0").select("__b").distinct().count()
     assert hot_buckets > 1
+
+
+def test_reader_batch_of_a_question_with_few_negatives(spark):
+    """A slot without a passage is empty, not an index error."""
+    rows = [(1, "positive", 1, 10, [(1, 2)]), (1, "negative", 2, 11, []), (2, "positive", 1, 20, [(0, 0), (300, 301)]),
+            (3, "negative", 1, 30, []), (4, "positive", 1, 40, [(400, 401)]), (4, "negative", 2, 41, [])]
+    s = spark.createDataFrame(rows, "qid long, role string, rank int, doc_id long, spans array<struct<s:int,e:int>>")
+    got = sorted(map(tuple, reader.reader_batch(s, passages_per_question=3).collect()), key=lambda r: r[:2])
+    assert got == [(1, 0, 10, 1), (1, 1, 11, 0), (1, 2, None, 0), (2, 0, 20, 1), (2, 1, None, 0), (2, 2, None, 0)]
