@@ -1,17 +1,22 @@
 """Token annotation grouping (X7d): consecutive tokens with the same tag form
 one entity; the non-entity tag is skipped.  Tokens and tags lie in one row, so
 the groups are found in that row, without a shuffle: borders of runs and their
-texts by whole-batch array operations over all rows of an Arrow batch.
+texts by array operations over many rows of an Arrow batch at once, in slices of
+bounded size.
 Tags come from an external annotator column (the reference never populates
 them itself)."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.functions.batches import SLICE_ITEMS, sizes, slices
+
 
 def _runs(tokens: pa.Array, tags: pa.Array, outside: str) -> pa.Array:
     """Lists of (tag, text); a null list of tokens or tags gives a null one."""
@@ -48,8 +53,10 @@ def tag_runs(tokens: Column, tags: Column, outside: str = "O") -> Column:
     are joined by spaces (a null one is empty).  Outside and null tags are in no
     run; tags beyond the tokens have an empty text."""
     @F.arrow_udf("array<struct<tag:string,text:string>>")
-    def runs(words: pa.Array, marks: pa.Array) -> pa.Array:
-        return _runs(words, marks, outside)
+    def runs(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for words, marks in batches:
+            for start, n in slices(np.maximum(sizes(words), sizes(marks)), SLICE_ITEMS):
+                yield _runs(words.slice(start, n), marks.slice(start, n), outside)
 
     return runs(tokens, tags)
 

@@ -31,8 +31,9 @@ from pyspark.sql import types as T
 
 from rivulet.session import materialize
 
-#: Most corpus vectors of a chunk, queries of a block, and queries scored at a time.
-CHUNK_ROWS, BLOCK_ROWS, SLICE_ROWS = 16384, 16384, 512
+#: Most corpus vectors of a chunk, queries of a block, and scores (queries times
+#: corpus vectors) worked out at a time.
+CHUNK_ROWS, BLOCK_ROWS, SLICE_SCORES = 16384, 16384, 1 << 20
 #: Most bytes of a chunk's or a block's vectors.
 DEFAULT_MAX_BLOCK_BYTES = 64 << 20
 
@@ -85,8 +86,9 @@ def checked(*tables: DataFrame) -> tuple[int, list[int]]:
 
 def paired(q: DataFrame, c: DataFrame, in_q: dict[int, int], in_c: dict[int, int], pair, schema: str, dim: int,
            max_block_bytes: int) -> DataFrame:
-    """``pair(queries, corpus)`` (Arrow tables) over every block and chunk of
-    equal ``cell``; ``in_q`` and ``in_c`` are the rows of each cell."""
+    """``pair(corpus)(queries)`` (Arrow tables) over every block and chunk of
+    equal ``cell``; ``in_q`` and ``in_c`` are the rows of each cell.  A chunk is
+    made ready once and meets the queries of a block a few at a time."""
     most = max(1, max_block_bytes // (dim * 8 + 64))
     blocks = {cell: -(-n // min(BLOCK_ROWS, most)) for cell, n in in_q.items()}
     chunks = {cell: -(-n // min(CHUNK_ROWS, max(1, DEFAULT_MAX_BLOCK_BYTES // (dim * 8 + 64)))) for cell, n in in_c.items()}
@@ -107,7 +109,8 @@ def paired(q: DataFrame, c: DataFrame, in_q: dict[int, int], in_c: dict[int, int
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return empty
-        return pa.concat_tables([pair(a.slice(i, SLICE_ROWS), b) for i in range(0, a.num_rows, SLICE_ROWS)])
+        scored, step = pair(b), max(1, SLICE_SCORES // b.num_rows)
+        return pa.concat_tables([scored(a.slice(i, step)) for i in range(0, a.num_rows, step)])
 
     return left.groupBy(keys).cogroup(right.groupBy(keys)).applyInArrow(run, schema)
 
@@ -117,35 +120,41 @@ def id_type(df: DataFrame, column: str) -> str:
 
 
 def scorer(dim: int, metric: str, exclude_self: bool, k: int):
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        qids, ids = _ids(left.column("qid")), _ids(right.column("doc_id"))
-        qm, cm = matrix(left.column("vec"), dim), matrix(right.column("vec"), dim)
+    def pair(right: pa.Table):
+        ids, cm = _ids(right.column("doc_id")), matrix(right.column("vec"), dim)
         if metric == "cosine":
-            qm, cm = _normalize_rows(qm), _normalize_rows(cm)
-        s = qm @ cm.T
-        s[np.isnan(s)] = -np.inf  # no direction, no neighbour
+            cm = _normalize_rows(cm)
+        place: dict = {}
         if exclude_self:
-            place: dict = {}
             for j, d in enumerate(ids):
                 place.setdefault(d, []).append(j)
-            for i, d in enumerate(qids):
-                s[i, place.get(d, [])] = -np.inf
-        kk = min(k, s.shape[1])
-        least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
-        # what may be among the best k; their scores then come from one formula,
-        # which does not hang on the shape of the block as a matrix product does
-        slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
-        row, col = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
-        score = np.concatenate([np.einsum("ij,ij->i", qm[row[i:i + 65536]], cm[col[i:i + 65536]])
-                                for i in range(0, max(len(row), 1), 65536)])
         by_id = np.empty(len(ids), dtype=np.int64)
         by_id[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        order = np.lexsort((by_id[col], -score, row))
-        row, col, score = row[order], col[order], score[order]
-        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-        row, col, score = row[keep], col[keep], score[keep]
-        return pa.table({"qid": left.column("qid").take(pa.array(row)), "doc_id": right.column("doc_id").take(pa.array(col)),
-                         "score": pa.array(score, pa.float64())})
+
+        def scored(left: pa.Table) -> pa.Table:
+            qm = matrix(left.column("vec"), dim)
+            if metric == "cosine":
+                qm = _normalize_rows(qm)
+            s = qm @ cm.T
+            s[np.isnan(s)] = -np.inf  # no direction, no neighbour
+            if exclude_self:
+                for i, d in enumerate(_ids(left.column("qid"))):
+                    s[i, place.get(d, [])] = -np.inf
+            kk = min(k, s.shape[1])
+            least = np.partition(s, s.shape[1] - kk, axis=1)[:, s.shape[1] - kk]
+            # what may be among the best k; their scores then come from one formula,
+            # which does not hang on the shape of the block as a matrix product does
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0)))
+            row, col = np.nonzero((s >= (least - slack)[:, None]) & np.isfinite(s))
+            score = np.concatenate([np.einsum("ij,ij->i", qm[row[i:i + 16384]], cm[col[i:i + 16384]])
+                                    for i in range(0, max(len(row), 1), 16384)])
+            order = np.lexsort((by_id[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col, score = row[keep], col[keep], score[keep]
+            return pa.table({"qid": left.column("qid").take(pa.array(row)), "doc_id": right.column("doc_id").take(pa.array(col)),
+                             "score": pa.array(score, pa.float64())})
+        return scored
     return pair
 
 
@@ -191,21 +200,27 @@ def gold_rank(queries: DataFrame, corpus: DataFrame, *, qid: str = "qid", qvec:
     gold = c.select(F.col("doc_id").alias("gold_id"), F.col("vec").alias("gold_vec"))
     known = q.join(gold, "gold_id").withColumn("cell", F.lit(0))
 
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, gids = _ids(right.column("doc_id")), _ids(left.column("gold_id"))
-        qm, gm, cm = matrix(left.column("vec"), dim), matrix(left.column("gold_vec"), dim), matrix(right.column("vec"), dim)
+    def pair(right: pa.Table):
+        ids, cm = _ids(right.column("doc_id")), matrix(right.column("vec"), dim)
         if metric == "cosine":
-            qm, gm, cm = _normalize_rows(qm), _normalize_rows(gm), _normalize_rows(cm)
-        g = np.einsum("ij,ij->i", qm, gm)
-        s = qm @ cm.T
-        g[np.isnan(g)], s[np.isnan(s)] = -np.inf, -np.inf  # without direction: after all others
-        higher = s > g[:, None]
-        # scores that differ by rounding alone are compared by one formula
-        with np.errstate(invalid="ignore"):
-            row, col = np.nonzero(np.abs(s - g[:, None]) <= 1e-9 * (1 + np.abs(g))[:, None])
-        same = np.einsum("ij,ij->i", qm[row], cm[col])
-        higher[row, col] = (same > g[row]) | ((same == g[row]) & (ids[col] < gids[row]))
-        return pa.table({"qid": left.column("qid"), "n_before": pa.array(higher.sum(axis=1), pa.int64())})
+            cm = _normalize_rows(cm)
+
+        def counted(left: pa.Table) -> pa.Table:
+            gids = _ids(left.column("gold_id"))
+            qm, gm = matrix(left.column("vec"), dim), matrix(left.column("gold_vec"), dim)
+            if metric == "cosine":
+                qm, gm = _normalize_rows(qm), _normalize_rows(gm)
+            g = np.einsum("ij,ij->i", qm, gm)
+            s = qm @ cm.T
+            g[np.isnan(g)], s[np.isnan(s)] = -np.inf, -np.inf  # without direction: after all others
+            higher = s > g[:, None]
+            # scores that differ by rounding alone are compared by one formula
+            with np.errstate(invalid="ignore"):
+                row, col = np.nonzero(np.abs(s - g[:, None]) <= 1e-9 * (1 + np.abs(g))[:, None])
+            same = np.einsum("ij,ij->i", qm[row], cm[col])
+            higher[row, col] = (same > g[row]) | ((same == g[row]) & (ids[col] < gids[row]))
+            return pa.table({"qid": left.column("qid"), "n_before": pa.array(higher.sum(axis=1), pa.int64())})
+        return counted
 
     counts = paired(known, c, {0: n_q}, {0: n_c}, pair, f"qid {id_type(q, 'qid')}, n_before long", dim, max_broadcast_bytes)
     ranks = counts.groupBy("qid").agg(F.sum("n_before").cast("long").alias("gold_rank"))

@@ -5,9 +5,9 @@ words.
 A dictionary is a table ``surface, cost, base``.  Every run of letters and
 digits is a lattice: an edge for each dictionary word in it, and a dear one for
 each single character, so that there always is a path.  The cheapest path (of
-equal ones that with the longer last word) gives the terms.  A run is cut once
-in each Arrow batch, however often it stands there; the dictionary is bounded
-and travels to the tasks, so terms do not cross the network.
+equal ones that with the longer last word) gives the terms.  Runs that a task
+has cut are kept in a bounded cache; the dictionary is bounded and travels to the
+tasks, so terms do not cross the network.
 """
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.functions.batches import cut
 from rivulet.functions.text import analyze
 
 #: Most words of a dictionary that is sent to tasks, and cost of a character
@@ -23,6 +24,8 @@ from rivulet.functions.text import analyze
 MAX_WORDS, UNKNOWN = 1 << 20, 10_000
 #: Cost of the most frequent word; each further one costs one more.
 FIRST_COST = 100
+#: Runs that a task keeps; beyond it starts anew.
+CACHE = 1 << 17
 
 
 def build_dictionary(term_arrays: DataFrame, size: int, terms: str = "terms", longest: int = 20) -> DataFrame:
@@ -73,8 +76,10 @@ def segment(df: DataFrame, terms: str, dictionary: DataFrame, *, out: str = "wor
 
     def run(batches):
         lattice = Lattice(shared.value)
-        for b in batches:
-            known: dict[str, list[str]] = {}
+        known: dict[str, list[str]] = {}
+        for b in cut(batches, [terms]):
+            if len(known) > CACHE:
+                known.clear()
             found = []
             for runs in b.column(b.schema.get_field_index(terms)).to_pylist():
                 if runs is None:

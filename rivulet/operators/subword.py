@@ -3,8 +3,8 @@ vocabulary, sequences laid out, cut and padded, and put back to text.
 
 A vocabulary is a table ``token, id`` of bounded size: it is made by a rule from
 ``size`` words at most and is sent to every task, so tokens never cross the
-network.  A word is looked up once in each Arrow batch, however often it stands
-there, and its pieces are kept in a bounded cache.
+network.  A word is looked up once in each slice of an Arrow batch, however often
+it stands there, and its pieces are kept in a bounded cache.
 """
 from __future__ import annotations
 
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rivulet.functions.batches import cut
+
 # Special tokens by their ids, and the mark of a continuation.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 PAD, UNK, CLS, SEP = range(4)
@@ -125,7 +127,7 @@ def encode_pieces(df: DataFrame, tokens: str, vocab: DataFrame, *, out: str = "i
 
     def run(batches):
         pieces = _pieces(key, shared.value)
-        for b in batches:
+        for b in cut(batches, names):
             parts = [encoded(b.column(b.schema.get_field_index(c)), pieces) for c in names]
             text, n_text = parts[0]
             title, n_title = parts[1] if title_tokens else (np.zeros(0, np.int32), np.zeros(b.num_rows, np.int64))
@@ -157,7 +159,7 @@ def decode_pieces(df: DataFrame, ids: str, vocab: DataFrame, *, out: str = "text
 
     def run(batches):
         written = shared.value
-        for b in batches:
+        for b in cut(batches, [ids]):
             rows = b.column(b.schema.get_field_index(ids)).to_pylist()
             texts = [None if r is None else " ".join([written[i] for i in r if i in written]).replace(f" {MARK}", "") for r in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out])

@@ -367,3 +367,43 @@ def test_tokens_with_offsets_in_slices_of_bounded_text():
             assert text[t["start"]:t["end"]] == t["text"] and text[t["end"]:t["end"] + len(t["after"])] == t["after"]
     assert [[(t["text"], t["start"], t["after"]) for t in r] if r is not None else None for r in out[0].to_pylist()[:5]] == [
         [("ab", 2, ""), (",", 4, " "), ("c", 6, "\n")], None, [], [("é", 1, " "), ("x́", 3, ""), ("!", 5, "  ")], []]
+
+
+def test_helpers_over_lists_cut_batches_into_slices(spark, monkeypatch):
+    """Rows are the same however small the slices are, and slices keep to their size."""
+    import pyarrow as pa
+
+    from rivulet.functions import batches
+    from rivulet.operators import segment, subword
+
+    b = pa.RecordBatch.from_arrays([pa.array([["a"] * n if n is not None else None for n in (3, 0, None, 50, 9, 9, 1)])], names=["t"])
+    assert [x.num_rows for x in batches.cut(iter([b]), ["t"], 20)] == [3, 1, 1, 2]
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else [f"w{j}" for j in range(i % 11)]) for i in range(60)], "i int, t array<string>").coalesce(1)
+    vocab, words = subword.build_pieces(df, 5, "t"), segment.build_dictionary(df, 5, "t")
+
+    def rows():
+        ids = subword.encode_pieces(df, "t", vocab)
+        cut = segment.segment(df, "t", words)
+        tags = df.select("i", annotate.tag_runs(F.col("t"), F.col("t"), "w1").alias("r"))
+        return [sorted(map(str, x.collect())) for x in (subword.decode_pieces(ids, "ids", vocab), cut, tags)]
+
+    whole = rows()
+    for module in (batches, annotate):
+        monkeypatch.setattr(module, "SLICE_ITEMS", 4)
+    assert rows() == whole
+
+
+def test_few_scores_and_spans_at_a_time(spark, monkeypatch):
+    """A pair of blocks is scored a few queries at a time, whatever the chunk's size."""
+    import pyarrow as pa
+
+    real = knn.scorer(2, "dot", True, 3)
+    t = pa.table({"qid": list(range(30)), "doc_id": list(range(30)), "vec": [[float(i), 1.0] for i in range(30)]})
+    whole = real(t)(t)
+    parts = pa.concat_tables([real(t)(t.slice(i, 7)) for i in range(0, 30, 7)])
+    assert whole.to_pylist() == parts.to_pylist()
+    e = spark.createDataFrame([(i, [i / 9, 1.0 - i / 7, 0.5]) for i in range(40)], "qid int, vec array<double>")
+    logits = e.select("qid", F.lit(0).alias("passage_idx"), F.col("vec").alias("start_logits"), F.col("vec").alias("end_logits"))
+    want = sorted(map(tuple, reader.decode_spans(logits, top_spans=2).collect()))
+    monkeypatch.setattr(reader, "SLICE_SPANS", 1)
+    assert sorted(map(tuple, reader.decode_spans(logits, top_spans=2).collect())) == want
