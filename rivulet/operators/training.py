@@ -38,7 +38,7 @@ def build_training_set(labelled_hits: DataFrame, passages: DataFrame, questions:
     labelled by raw containment).  One group per question, bounded by k.
     """
     docs = passages.select(F.col(id_col).alias("doc_id"), F.col(title).alias("__t"),
-                           F.col(text).alias("__x"))
+                           F.col(text).alias("__x")).join(labelled_hits.select("doc_id").distinct(), "doc_id", "left_semi")
     h = labelled_hits.select(F.col(qid).alias("qid"), "rank", "doc_id", F.col(hit).alias("__h")) \
         .join(docs, "doc_id", "left")
     entry = F.struct(F.col("rank"), ctx_struct("doc_id", "__t", "__x").alias("c"))

@@ -109,3 +109,26 @@ def test_phrase_search_equals_exhaustive(spark, corpus, must_not):
         hits = sorted((-round(s, 6), d) for d, s in scores.get(r.qid, []) if holds(texts[d]) != must_not)[:4]
         want += [(r.qid, i + 1, d, -s) for i, (s, d) in enumerate(hits) if ((r.phrase in texts[d]) != must_not)]
     assert got == sorted(want)
+
+
+def test_buckets_grow_with_the_corpus(spark, corpus, monkeypatch):
+    ps, qs, _, _ = corpus
+    monkeypatch.setattr(lexical, "BUCKET_TERMS", 500)
+    ix = lexical.build_index(ps)
+    c = ix.corpus_stats.first()
+    assert c.n_buckets > 4 and c.n_buckets == -(-ix.forward.agg(F.sum("dl")).first()[0] // 500)
+    want = ix.postings.groupBy("term", "block").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).collect()
+    assert sorted(map(tuple, want)) == sorted(map(tuple, ix.blocks.select("term", "block", "df", "cf").collect()))
+
+
+def test_candidates_are_the_same_however_terms_reach_the_postings(spark, corpus, monkeypatch):
+    ps, qs, _, _ = corpus
+    ix = lexical.build_index(ps)
+    weights = lexical.weighted_terms(ix, lexical.query_terms(qs))
+    bounds = weights.join(ix.blocks, "term").withColumn("bound", F.col("weight") * F.col("best"))
+    marked = lexical.marked_terms(bounds, lexical.thresholds(ix, weights, bounds, 3, None)).localCheckpoint()
+    got = []
+    for most in (1 << 14, 0):
+        monkeypatch.setattr(lexical, "SENT_TERMS", most)
+        got.append(sorted((r.qid, r.doc_id, r.block, round(r.score, 9)) for r in lexical.candidates(ix, marked).collect()))
+    assert got[0] and got[0] == got[1]
