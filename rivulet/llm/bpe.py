@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rivulet.llm.common import documents_only, with_text_columns
+from rivulet.llm.common import documents_only, kept, with_text_columns
 
 #: Fixed values of the tokenizer format: white space, word pattern.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -94,7 +94,7 @@ class PairTable:
         pair = (left, right)
         found = self.known.get(pair)
         if found is None:
-            if len(self.known) >= 4 * CACHE:
+            if len(self.known) >= CACHE:
                 self.known.clear()
             found = self.known[pair] = self._check(left, right)
         return found
@@ -230,14 +230,9 @@ class BpeCodec:
         return b"".join(out)[:-1]
 
 
-_CODECS: dict[str, BpeCodec] = {}
-
-
 def codec(path: str) -> BpeCodec:
-    """The worker's codec of a tokenizer file, made once."""
-    if path not in _CODECS:
-        _CODECS[path] = BpeCodec(path)
-    return _CODECS[path]
+    """The codec of a tokenizer file, made once for a worker's tasks of a step."""
+    return kept(("bpe", path), lambda: BpeCodec(path))
 
 
 def with_ids(docs: DataFrame, path: str, column: str = "ids") -> DataFrame:

@@ -3,7 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,11 @@ from rivulet.session import materialize
 #: Texts are handed to numpy code in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
 
+#: What this worker keeps from one task to the next, and what of it the task
+#: that runs has asked for.
+_KEPT: dict[tuple, object] = {}
+_ASKED: set[tuple] = set()
+
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return it read back."""
@@ -27,17 +34,44 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """``make()``, kept for the worker's later tasks until one of
+    ``with_text_columns`` comes that does not ask for it."""
+    _ASKED.add(key)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def started(factory: Callable[[], Callable]) -> Callable:
+    """``factory()`` for a task that begins.  Spark runs the tasks of one step
+    after another in the same worker: what earlier steps kept goes."""
+    _ASKED.clear()
+    compute = factory()
+    for key in _KEPT.keys() - _ASKED:
+        del _KEPT[key]
+    return compute
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a worker that waits for its next
+    task, or whose step is done, counts with what it still holds."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # the latter: all of malloc's
+        pool.release_unused()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into slices of bounded text; a null text is empty."""
+    """Cut Arrow batches into slices of bounded text; a null text is empty.
+    Texts become Python objects a slice at a time, however large the batch."""
     for batch in batches:
-        raw = batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()
-        start = size = 0
-        for i, value in enumerate(raw):
-            raw[i] = value or b""
-            size += len(raw[i])
-            if size >= SLICE_BYTES or i == len(raw) - 1:
-                yield batch.slice(start, i + 1 - start), raw[start:i + 1]
-                start, size = i + 1, 0
+        column = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = min(int(np.searchsorted(ends, before + SLICE_BYTES)) + 1, len(ends))
+            yield batch.slice(start, stop - start), [value or b"" for value in column.slice(start, stop - start).to_pylist()]
+            start = stop
 
 
 def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField],
@@ -48,10 +82,12 @@ def with_text_columns(df: DataFrame, text: str, fields: list[T.StructField],
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compute = factory()
+        compute = started(factory)
         for batch, raw in text_slices(batches, text):
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(raw)],
                                              names=[*batch.schema.names, *names])
+        compute = batch = raw = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

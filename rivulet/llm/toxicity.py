@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import documents_only, fresh, with_text_columns
+from rivulet.llm.common import documents_only, fresh, give_back, with_text_columns
 
 WINDOW, STRIDE = 48, 40
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_ROWS, WORD_BYTES = 8, 4, 8, 1 << 14, 24
@@ -418,6 +418,8 @@ def with_score(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """
     windows, label = sample_documents(docs, labels, ~held_out())
     net = train(windows, label)
+    del windows, label
+    give_back()
 
     def factory():
         scorer = Scorer(net)

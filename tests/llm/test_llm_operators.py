@@ -1,6 +1,7 @@
 """Each operator of the package against a brute-force version on small rows,
 and on the awkward ones: nulls, empty and long texts, ties, repeated rows,
 empty tables, extra columns with clashing names."""
+import gc
 import hashlib
 import math
 import re
@@ -8,11 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rivulet.llm import bpe, components, decontaminate, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
+from rivulet.llm import bpe, common, components, decontaminate, licenses, lm, near_dedup, pii, secrets, substring, topk, toxicity
 from rivulet.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fp string, score string, masks string, h_id long, doc_key long"
@@ -127,6 +130,55 @@ def test_sentences_make_up_the_text():
         assert b"".join(substring.sentences(raw)) == raw
 
 
+def _task_of(step, schema):
+    """The function that a step maps over Arrow batches."""
+    class Table:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+    Table.schema = schema
+    return step(Table()).run
+
+
+def test_a_slice_of_texts_at_a_time_in_memory():
+    """Texts of a batch become Python objects a slice at a time."""
+    import tracemalloc
+
+    texts = pa.array(["x" * (1 << 20), None, ""] * 48)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        ids, read = [], []
+        for part, raw in common.text_slices(iter([batch]), "text"):
+            assert part.num_rows == len(raw)
+            ids += part.column(0).to_pylist()
+            read += map(len, raw)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids == list(range(len(texts))) and read == [1 << 20, 0, 0] * 48
+    assert most < 4 * common.SLICE_BYTES  # the batch has 12 times that of a slice
+    assert list(common.text_slices(iter([batch.slice(0, 0)]), "text")) == []
+
+
+def test_a_worker_keeps_no_codec_beyond_its_step(spark):
+    """Tasks of a step share the codec; the next step's task drops it."""
+    import weakref
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["it's the the", None])], ["doc_id", "text"])
+    path = tokenizer_path()
+    encode = _task_of(lambda t: bpe.with_ids(t, path), schema)
+    assert [b.column("ids").to_pylist()[1] for b in encode(iter([batch]))] == [b""]
+    first = weakref.ref(bpe.codec(path))
+    assert len(list(encode(iter([batch])))) == 1 and first() is bpe.codec(path)
+    prints = _task_of(lambda t: near_dedup.with_fingerprint(t, "fp"), schema)
+    assert len(list(prints(iter([batch])))) == 1
+    gc.collect()
+    assert first() is None
+
+
 # 2 BPE
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
