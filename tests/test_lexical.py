@@ -132,3 +132,70 @@ def test_candidates_are_the_same_however_terms_reach_the_postings(spark, corpus,
         monkeypatch.setattr(lexical, "SENT_TERMS", most)
         got.append(sorted((r.qid, r.doc_id, r.block, round(r.score, 9)) for r in lexical.candidates(ix, marked).collect()))
     assert got[0] and got[0] == got[1]
+
+
+@pytest.fixture
+def nothing_sent(spark):
+    """Spark's guesses of sizes send no table to all tasks."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_stores_nothing_that_follows_from_the_postings(spark, corpus, tmp_path):
+    ps, _, texts, _ = corpus
+    ix = lexical.build_index(ps, path=f"{tmp_path}/index")
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["corpus", "forward", "postings", "terms"]
+    assert ix.forward.columns == ["doc_id", "dl"]
+    assert spark.read.parquet(f"{ix.path}/postings").columns == ["doc_id", "term", "dl", "tf", "positions"]
+    c = ix.corpus_stats.first()
+    for r in ix.postings.join(ix.forward, "doc_id").collect():
+        words = (texts[r.doc_id] or "").split()
+        assert (r.tf, r.dl) == (words.count(r.term), len(words)) and [words[p] for p in r.positions] == [r.term] * r.tf
+        assert abs(r.impact - r.tf * 2.2 / (r.tf + 1.2 * (0.25 + 0.75 * r.dl / c.avgdl))) < 1e-12 and 0 <= r.block < c.n_blocks
+
+
+def test_postings_stay_where_they_are(spark, corpus, nothing_sent):
+    ps, qs, _, _ = corpus
+    ix = lexical.build_index(ps)
+    weights = lexical.weighted_terms(ix, lexical.query_terms(qs)).localCheckpoint()
+    pairs = weights.join(ix.postings, "term").select("qid", "doc_id").distinct()
+    marked = lexical.marked_terms(b := lexical.bounds_of(ix, weights).localCheckpoint(), lexical.thresholds(ix, weights, b, 3, None)).localCheckpoint()
+    phrases = qs.select("qid", F.col("question").alias("phrase"))
+    for df in (lexical.score_pairs(ix, weights, pairs), lexical.candidates(ix, marked), lexical.phrase_passages(ix, phrases)):
+        assert "SortMergeJoin" not in plan(df), plan(df)
+
+
+def test_search_by_bounds_stores_no_pairs(spark, corpus, monkeypatch):
+    ps, qs, _, _ = corpus
+    ix, stored = lexical.build_index(ps), {}
+    keep = lexical.materialize
+    monkeypatch.setattr(lexical, "materialize", lambda df, name: stored.setdefault(name, keep(df, name)))
+    hits = lexical.search(ix, qs, 3, prune=True)
+    every = lexical.bm25_scores(ix, lexical.query_terms(qs)).count()
+    by_passage = {n: df.count() for n, df in stored.items() if "doc_id" in df.columns}
+    assert hits.count() and sum(by_passage.values()) < every / 2, by_passage
+
+
+def test_index_of_another_form_is_built_again(spark, corpus, tmp_path):
+    ps, _, texts, _ = corpus
+    path = f"{tmp_path}/index"
+    lexical.build_index(ps.limit(5), path=path)
+    spark.read.parquet(f"{path}/corpus").drop("form").write.parquet(f"{tmp_path}/old")
+    spark.read.parquet(f"{tmp_path}/old").write.mode("overwrite").parquet(f"{path}/corpus")
+    assert lexical.index_for(ps, path).corpus_stats.first()["n_docs"] == len(texts)
+
+
+def test_texts_of_few_hits_alone_are_moved(spark, corpus, nothing_sent):
+    from rivulet.operators import match
+    ps, _, _, _ = corpus
+    hits = spark.createDataFrame([(1, 1, 3), (1, 2, 5), (2, 1, 900)], "qid long, rank int, doc_id long")
+    qa = spark.createDataFrame([(1, ["the"]), (2, ["of"])], "qid long, answers array<string>")
+    df = match.has_answer(hits, ps, qa, match_type="raw")
+    assert "LeftSemi, BuildRight" in plan(df), plan(df)
+    assert {(r.qid, r.rank): r.has_answer for r in df.collect()}[(2, 1)] is False
