@@ -199,3 +199,17 @@ def test_texts_of_few_hits_alone_are_moved(spark, corpus, nothing_sent):
     df = match.has_answer(hits, ps, qa, match_type="raw")
     assert "LeftSemi, BuildRight" in plan(df), plan(df)
     assert {(r.qid, r.rank): r.has_answer for r in df.collect()}[(2, 1)] is False
+
+
+def test_queries_move_texts_of_hits_alone(spark, tmp_path, nothing_sent):
+    import re
+
+    from rivulet.plans import registry
+    docs = [(i, f"alpha w{i} beta w{i % 7} gamma", "en", f"src{i % 3}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "w3 beta w3"), (2, "w30")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("reader_select", "reader_select_gold", "gold_page_match", "drop_no_positives"):
+        p = plan(df := registry.queries()[name](spark, str(tmp_path)))
+        texts = len(re.findall(r"FileScan parquet \[doc_id#\w+,(?:text|source)#", p))
+        assert 0 < texts <= p.count("LeftSemi, BuildRight"), (name, p)
+        assert {r.qid for r in df.collect()} <= {1, 2}
